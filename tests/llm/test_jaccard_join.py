@@ -30,7 +30,7 @@ def slow(rows):
     return sorted((doc_id, len(s), least[root(i)]) for i, ((doc_id, _), s) in enumerate(zip(rows, sets, strict=True)))
 
 
-def chains(seed, n=260):
+def chains(seed, n=160):
     """Groups that drift: neighbours link, ends don't; small and large sets; a passage that all share."""
     rng = random.Random(seed)
     word = lambda: "w%d" % rng.randrange(4000)
@@ -58,7 +58,10 @@ def test_against_brute_force(spark, seed, boundary, monkeypatch):
         monkeypatch.setattr(jj, "PAIRS_PER_ROW", 0)  # one hub after the other to the end
     if seed == 3:
         monkeypatch.setattr(jj, "BROADCAST_IDS", 0)
-    rows = chains(seed)
+        monkeypatch.setattr(jj, "HELD", 500)
+    if seed == 4:
+        monkeypatch.setattr(jj, "MOST_LOAD", 1e-6)  # a higher threshold
+    rows = chains(seed, 50 if seed == 2 else 160)
     got = jj.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
     assert sorted(map(tuple, got.collect())) == slow(rows)
 
@@ -77,7 +80,7 @@ def test_boundary_has_least_cost():
     sizes = np.array([8, 10, 20, 40, 80, 600])
     cost = lambda x, length: sum((s + 2) * (s + 1) / 2 if n <= x else (s + 1) * (1 + length) for n in sizes for s in [n - jj.needed(int(n))])
     for length in (0.0, 1.0, 5.0, 100.0):
-        x = jj.choose_boundary(sizes, length)
+        x = jj.choose_boundary(sizes, np.ones(len(sizes)), length)
         assert cost(x, length) == min(cost(y, length) for y in (0, *sizes))
 
 

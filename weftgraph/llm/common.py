@@ -106,3 +106,13 @@ def unpack(blob: bytes) -> pa.Table:
 def texts(column: pa.Array) -> list[str]:
     """Python strings; null is empty."""
     return [x or "" for x in column.to_pylist()]
+
+
+def release() -> None:
+    """Gives memory that Arrow and the C library hold unused back to the system."""
+    import ctypes
+    import sys
+
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

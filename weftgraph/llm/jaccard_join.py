@@ -5,13 +5,15 @@ Classes that may link share a key:
 
 * A set of n shingles links only with sets that share c = ceil(0.85 n) of its
   shingles, so in any total order the first n - c + k of both hold k common
-  ones. The order is by hash, with the shingles last that a sample found in many
-  documents; the sample decides speed, never the result.
+  ones. The order is from rare to frequent: all shingles are counted, and bit
+  maps of fixed size tell which occur in two documents or more, in many, and in
+  very many. A bit may be set by chance, never missing, so the maps decide speed
+  and not the result; a shingle that is in no map occurs once and makes no key.
 * Light (small) sets enumerate all subsets of k = 2 of their prefix.
 * Heavy (large) sets scan the inverted lists of their prefix shingles (k = 1);
   light sets near the boundary are listed there too.
-* The boundary is the size at which, by the sampled sizes and list lengths,
-  rows written plus list entries read cost least.
+* The boundary is the size at which, by the sizes of all sets and the mean list
+  length, rows written plus list entries read cost least.
 
 In each list the smallest id is a hub and is compared with the others; pairs
 that already lie in one component need no comparison. Lists whose members still
@@ -35,16 +37,24 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, spread, stored, texts
+from .common import pack, shuffle_partitions, slices, spread, stored, texts, unpack
 
 #: Two sets link from PERCENT per cent of their union on.
 PERCENT, WORDS = 85, 4
-#: Documents of the sample, about; the most shingles that it may put last.
-SAMPLE, MOST_COMMON, LEAST_SEEN = 8_000, 50_000, 3
+#: Documents that a shingle must occur in to be in each map (the first doubles until the map is thin), and the maps' sizes in bits (log2).
+LEAST_SEEN, MAP_BITS = (2, 16, 256), (27, 24, 24)
+#: The first map takes at most this share of its bits.
+MOST_LOAD = 0.25
+#: Shingles that a task holds before it sends them on.
+HELD = 4_000_000
+#: Larger sets count as this size when the boundary is chosen; it is below.
+LARGEST = 1_000
 #: Up to so many ids are broadcast to pick out texts; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Narrow rows that one task works on.
+ROWS_EACH = 200_000
 #: All remaining pairs are compared at once if they are at most so many times the rows of their lists.
-PAIRS_PER_ROW = 4
+PAIRS_PER_ROW = 64
 _A = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
@@ -84,69 +94,170 @@ def links(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= PERCENT * (len(a) + len(b) - common)
 
 
-class Keys:
-    """The keys of a set, given the common shingles and the boundary."""
+class Maps:
+    """Which shingles are frequent, by the leading bits of their hash."""
+
+    def __init__(self, bits: list[np.ndarray], least: int):
+        self.bits, self.least = bits, least  # least: documents that put a shingle into the first map
+
+    def ranks(self, own: np.ndarray) -> np.ndarray:
+        """0 for shingles in no map; more frequent ones have higher ranks."""
+        out = np.zeros(len(own), np.uint8)
+        for i, (bits, size) in enumerate(zip(self.bits, MAP_BITS, strict=True)):
+            at = (own >> np.uint64(64 - size)).astype(np.int64)
+            hit = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+            out = out + hit if i == 0 else np.where(out == i, out + hit, out)
+        return out
 
-    def __init__(self, common: np.ndarray, boundary: int):
-        self.common, self.boundary = np.sort(common), boundary
 
-    def prefix(self, own: np.ndarray, n: int) -> np.ndarray:
-        if not len(self.common):
-            return own[:n]
-        at = np.minimum(np.searchsorted(self.common, own), len(self.common) - 1)
-        late = self.common[at] == own
-        return np.concatenate([own[~late][:n], own[late]])[:n]
+class Keys:
+    """The keys of a set, given the maps and the boundary."""
+
+    def __init__(self, maps: Maps, boundary: int):
+        self.maps, self.boundary = maps, boundary
 
-    def __call__(self, own: np.ndarray) -> np.ndarray:
+    def __call__(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys, and for a listed shingle its place in the order of its set (0 for subsets)."""
         n = len(own)
         if 100 * n // PERCENT == n:  # no other size is near enough, and an equal size only if all are shared
-            return np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int32)
         spare = n - needed(n)
-        keys = []
+        ranks = self.maps.ranks(own)
+        order = np.argsort(ranks, kind="stable")[: spare + 2]
+        first, ranks = own[order], ranks[order]
+        useful = ranks > 0 if self.maps.least <= 2 else np.ones(len(first), bool)
+        keys, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
         if n <= self.boundary:
-            first = self.prefix(own, spare + 2)
-            i, j = np.triu_indices(len(first), 1)
-            low, high = np.minimum(first[i], first[j]), np.maximum(first[i], first[j])
+            chosen = first[useful]
+            i, j = np.triu_indices(len(chosen), 1)
+            low, high = np.minimum(chosen[i], chosen[j]), np.maximum(chosen[i], chosen[j])
             keys.append(_mixed(low * _A[1] + _mixed(high * _A[2])))
+            places.append(np.zeros(len(low), np.int32))
         if n > self.boundary or 100 * n >= PERCENT * (self.boundary + 1):
-            keys.append(self.prefix(own, spare + 1))
-        return np.concatenate(keys).view(np.int64)
+            place = np.flatnonzero(useful[: spare + 1]).astype(np.int32)
+            keys.append(first[place])
+            places.append(place)
+        return np.concatenate(keys).view(np.int64), np.concatenate(places)
+
 
+def choose_boundary(sizes: np.ndarray, many: np.ndarray, list_length: float) -> int:
+    """The size up to which enumerating pairs of the prefix costs less than scanning lists.
 
-def choose_boundary(sizes: np.ndarray, list_length: float) -> int:
-    """The size up to which enumerating pairs of the prefix costs less than scanning lists."""
+    ``many`` sets have each of the ascending ``sizes``.
+    """
     if not len(sizes):
         return 0
-    spare = sizes - -(-PERCENT * sizes // 100)
-    order = np.argsort(sizes, kind="stable")
-    sizes, spare = sizes[order], spare[order].astype(np.float64)
-    subsets = np.concatenate([[0.0], np.cumsum((spare + 2) * (spare + 1) / 2)])
-    scans = (spare + 1) * (1 + list_length)
+    spare = (sizes - -(-PERCENT * sizes // 100)).astype(np.float64)
+    subsets = np.concatenate([[0.0], np.cumsum(many * (spare + 2) * (spare + 1) / 2)])
+    scans = many * (spare + 1) * (1 + list_length)
     scans = np.concatenate([np.cumsum(scans[::-1])[::-1], [0.0]])
     best = int((subsets + scans).argmin())
     return int(sizes[best - 1]) if best else 0
 
 
-def _sample(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Common shingles, most frequent last, and the boundary."""
-    n = docs.count()
-    share = min(1.0, SAMPLE / max(1, n))
-    unit = F.shiftrightunsigned(F.xxhash64(F.lit(5), "doc_id"), 33).cast("double") / float(1 << 31)
+def _buckets(rows: int) -> int:
+    """Leading bits of a shingle that deal it out for counting; 32 more are kept."""
+    return 8 if rows < 100_000_000 else 16
+
+
+_COUNTED = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
+
+
+def _counted(lead: int):
+    """Leading bits of the shingles of a block by bucket, sorted, with their documents; bucket -1 has the sets' sizes."""
+
+    def rows(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        every, n = np.unique(np.concatenate(parts), return_counts=True)
+        cuts = np.searchsorted(every, np.arange((1 << lead) + 1, dtype=np.uint64) << np.uint64(32))
+        n = np.minimum(n, 0xFFFF).astype(np.uint16)
+        for b in range(1 << lead):
+            own = every[cuts[b] : cuts[b + 1]].astype(np.uint32)
+            if len(own):
+                steps = np.diff(own, prepend=np.uint32(0))
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([pack(pa.table({"step": steps, "n": n[cuts[b] : cuts[b + 1]]}))], pa.binary())], schema=_COUNTED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        sizes = np.zeros(LARGEST + 1, np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = [shingles(t) for t in texts(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["own"])
+                parts += [s >> np.uint64(32 - lead) for s in sets]
+                sizes += np.bincount([min(len(s), LARGEST) for s in sets], minlength=LARGEST + 1)
+                held += sum(map(len, sets))
+                if held > HELD:
+                    yield from rows(parts)
+                    parts, held = [], 0
+        if parts:
+            yield from rows(parts)
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([pack(pa.table({"n": sizes}))], pa.binary())], schema=_COUNTED)
 
-    sets = docs.where(unit < share).select("text").mapInArrow(run, "own array<long>")
-    sets = stored(sets, "sampled_sets")
-    sizes = np.asarray([r[0] for r in sets.select(F.size("own")).where("size(own) > 5").collect()], np.int64)
-    seen = sets.select(F.explode("own").alias("shingle")).groupBy("shingle").count()
-    common = seen.where(F.col("count") >= LEAST_SEEN).orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).select("shingle").toArrow()
-    rare = seen.where(F.col("count") < LEAST_SEEN).agg(F.sum("count"), F.sum(F.col("count") * F.col("count"))).first()
-    length = ((rare[1] or 0) / max(1, rare[0] or 0) - 1) / share + 1
-    return common.column("shingle").to_numpy().astype(np.int64).view(np.uint64), choose_boundary(sizes, length)
+    return run
+
+
+def _mapped(lead: int):
+    """Slices of the maps for each bucket, and what the counts add up to."""
+
+    def done(bucket: int, steps: list, counts: list) -> Iterator[pa.RecordBatch]:
+        own = np.concatenate(steps)
+        order = np.argsort(own, kind="stable")
+        own, n = own[order], np.concatenate(counts)[order].astype(np.int64)
+        at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        own, n = own[at], np.add.reduceat(n, at)
+        out = []
+        for i, (least, size) in enumerate(zip(LEAST_SEEN, MAP_BITS, strict=True)):
+            for threshold in [least << k for k in range(0, 40, 2)] if i == 0 else [least]:
+                chosen = n >= threshold
+                bits = np.zeros(max(8, 1 << (size - lead)), np.uint8)
+                bits[own[chosen] >> np.uint32(32 - (size - lead))] = 1
+                out.append((bucket, i, threshold, int(bits.sum()), int(n[chosen].sum()), int((n[chosen] ** 2).sum()), np.packbits(bits, bitorder="little").tobytes()))
+                if not chosen.any():
+                    break
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "map", "threshold", "ones", "total", "squares", "bits"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, steps, counts = None, [], []
+        for batch in batches:
+            for of, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob"), strict=True):
+                if of != bucket:
+                    if bucket is not None:
+                        yield from done(bucket, steps, counts)
+                    bucket, steps, counts = of, [], []
+                table = unpack(blob.as_py())
+                steps.append(np.cumsum(table.column("step").to_numpy(), dtype=np.uint32))
+                counts.append(table.column("n").to_numpy())
+        if bucket is not None:
+            yield from done(bucket, steps, counts)
+
+    return run
+
+
+def survey(docs: DataFrame) -> Keys:
+    """Counts all shingles and sizes; the maps and the boundary that follow."""
+    lead = _buckets(docs.count())
+    counted = stored(docs.select("text").mapInArrow(_counted(lead), "bucket int, blob binary"), "shingle_counts")
+    sizes = np.zeros(LARGEST + 1, np.int64)
+    for row in counted.where("bucket = -1").select("blob").toLocalIterator():  # a short list a task
+        sizes += unpack(row[0]).column("n").to_numpy()
+    dealt = counted.where("bucket >= 0").repartition(shuffle_partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
+    mapped = stored(dealt.mapInArrow(_mapped(lead), "bucket int, map int, threshold long, ones long, total long, squares long, bits binary"), "shingle_maps")
+    loads = {(r["map"], r["threshold"]): r for r in mapped.groupBy("map", "threshold").agg(*(F.sum(c).alias(c) for c in ("ones", "total", "squares"))).collect()}
+    thin = [t for (i, t), r in sorted(loads.items(), key=lambda x: x[0]) if i == 0 and r["ones"] <= MOST_LOAD * (1 << MAP_BITS[0])]
+    least = thin[0] if thin else LEAST_SEEN[0]
+    bits = []
+    for i, size in enumerate(MAP_BITS):
+        whole = np.zeros(1 << (size - 3), np.uint8)
+        own = mapped.where((F.col("map") == i) & (F.col("threshold") == (least if i == 0 else LEAST_SEEN[i])))
+        width = max(1, (1 << (size - lead)) >> 3)
+        for row in own.select("bucket", "bits").toLocalIterator():  # the map's fixed size in all
+            whole[row["bucket"] * width : (row["bucket"] + 1) * width] = np.frombuffer(row["bits"], np.uint8)[:width]
+        bits.append(whole)
+    # Prefixes hold the rarest shingles, so the lists that are scanned are those of the first map only.
+    first, second = loads.get((0, least)), loads.get((1, LEAST_SEEN[1]))
+    total, squares = (first[c] - (second[c] if second and least < LEAST_SEEN[1] else 0) if first else 0 for c in ("total", "squares"))
+    length = max(0.0, squares / max(1, total) - 1)
+    own = np.flatnonzero(sizes[6:]) + 6
+    return Keys(Maps(bits, least), choose_boundary(own, sizes[own].astype(np.float64), length))
 
 
 def _sketch(keys):
@@ -155,8 +266,9 @@ def _sketch(keys):
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = [shingles(t) for t in texts(part.column("text"))]
+                keyed = [of(s) for s in sets]
                 digest = [sha256(s.tobytes()).digest()[:16] if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array([of(s) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array([k for k, _ in keyed], pa.list_(pa.int64())), pa.array([p for _, p in keyed], pa.list_(pa.int32()))], names=["doc_id", "n_shingles", "digest", "keys", "places"])
 
     return run
 
@@ -173,11 +285,18 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
+def width_for(spark: SparkSession, rows: int) -> int:
+    """Tasks for a table of so many narrow rows."""
+    return min(shuffle_partitions(spark), 1 + rows // ROWS_EACH)
+
+
 def verified(pairs: DataFrame, pool: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link; texts come by one join for each side."""
-    b = pairs.join(pool.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = b.join(pool.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long"), "links")
+    """The pairs (a, b) that link: sizes are compared before the second text is fetched."""
+    pairs = stored(pairs.distinct(), "pairs")
+    width = width_for(pairs.sparkSession, 16 * pairs.count())  # rows with texts
+    first = pairs.join(pool.toDF("b", "text_b", "n_b"), "b").coalesce(width)
+    near = first.join(pool.toDF("a", "text_a", "n_a"), "a").where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
+    return stored(near.select("a", "b", "text_a", "text_b").coalesce(width).mapInArrow(_verify, "a long, b long"), "links")
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -185,19 +304,21 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
     Every round is written to the shared folder; nothing is collected.
     """
-    stars = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars")
-    state = None
+    width = width_for(spark, edges.count())
+    stars = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
     while True:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        stars = stored(small, "stars")
-        now = tuple(stars.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first())
-        if now == state:
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).coalesce(width)
+        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(width)
+        large = stored(large, "large")
+        low = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(width)
+        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v")
+        stars = stored(small.distinct().coalesce(width), "stars")
+        # Done when each node points to one other that points to none.
+        ends = stars.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(stars.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+        degrees = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).coalesce(width)
+        if not degrees.where("out > 1 or out = 1 and into = 1").count():
             break
-        state = now
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
@@ -213,16 +334,16 @@ def _open(rows: DataFrame) -> DataFrame:
     return left.join(several, "key")
 
 
-def link_components(classes: DataFrame, keys: DataFrame, pool_of) -> DataFrame:
+def link_components(keys: DataFrame, pool_of) -> DataFrame:
     """Components of the classes: ``node`` and ``component`` of those that link with another class.
 
-    ``keys`` has ``key`` and ``member``. ``pool_of`` gives doc_id and text of the ids asked for.
+    ``keys`` has ``key``, ``member`` and its size ``n``. ``pool_of`` gives doc_id, text and n of the ids asked for.
     """
     spark = keys.sparkSession
-    lists = keys.groupBy("key").agg(F.min("member").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
+    lists = keys.groupBy("key").agg(F.min("member").alias("hub"), F.max("member").alias("last")).where("hub < last").select("key", "hub")
     rows = stored(keys.join(lists.hint("shuffle_hash"), "key"), "lists")
-    pool = pool_of(rows.select(F.col("member").alias("doc_id")).distinct())
-    pairs = rows.where("member <> hub").select(F.col("hub").alias("a"), F.col("member").alias("b")).distinct()
+    pool = pool_of(rows.select(F.col("member").alias("doc_id"), "n").distinct())
+    pairs = rows.where("member <> hub").select(F.col("hub").alias("a"), F.col("member").alias("b"))
     found = verified(pairs, pool)
     comps = components(spark, found)
     while True:
@@ -233,14 +354,15 @@ def link_components(classes: DataFrame, keys: DataFrame, pool_of) -> DataFrame:
         last = n_pairs <= PAIRS_PER_ROW * n_rows
         if last:
             left, right = rows.alias("x"), rows.alias("y")
-            met = left.join(right, (F.col("x.key") == F.col("y.key")) & (F.col("x.member") < F.col("y.member")) & (F.col("x.component") != F.col("y.component")))
+            # At the first shingle that two sets share, all they may share is what follows in both.
+            possible = (100 + PERCENT) * F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= PERCENT * (F.col("x.n") + F.col("y.n"))
+            met = left.join(right, (F.col("x.key") == F.col("y.key")) & (F.col("x.member") < F.col("y.member")) & (F.col("x.component") != F.col("y.component")) & possible)
             pairs = met.select(F.col("x.member").alias("a"), F.col("y.member").alias("b"))
         else:
             hubs = rows.where("member = hub").select("key", F.col("component").alias("of")).distinct()
             pairs = rows.where("member <> hub").join(hubs, "key").where("component <> of").select(F.col("hub").alias("a"), F.col("member").alias("b"))
-        new = verified(pairs.distinct(), pool)
-        found = found.unionByName(new)
-        comps = components(spark, found)
+        new = verified(pairs, pool)
+        comps = components(spark, new.unionByName(comps.select(F.col("node").alias("a"), F.col("component").alias("b"))))
         if last:
             return comps
 
@@ -249,19 +371,18 @@ def join(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row."""
     spark = docs.sparkSession
     source = spread(docs.select("doc_id", "text"))
-    common, boundary = _sample(source)
-    keys = spark.sparkContext.broadcast(Keys(common, boundary))  # MOST_COMMON hashes at most
-    sketches = stored(source.mapInArrow(_sketch(keys), "doc_id long, n_shingles long, digest binary, keys array<long>"), "sketches")
+    keys = spark.sparkContext.broadcast(survey(source))  # maps of fixed size
+    sketches = stored(source.mapInArrow(_sketch(keys), "doc_id long, n_shingles long, digest binary, keys array<long>, places array<int>"), "sketches")
     classes = sketches.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("member"))
-    chosen = sketches.where("size(keys) > 0").select("doc_id", "keys").join(classes.select("member").hint("shuffle_hash"), F.col("doc_id") == F.col("member"), "left_semi")
-    exploded = chosen.select(F.explode("keys").alias("key"), F.col("doc_id").alias("member"))
+    chosen = sketches.where("size(keys) > 0").select("doc_id", "n_shingles", "keys", "places").join(classes.select("member").hint("shuffle_hash"), F.col("doc_id") == F.col("member"), "left_semi")
+    exploded = chosen.select(F.explode(F.arrays_zip("keys", "places")).alias("k"), "doc_id", "n_shingles").selectExpr("k.keys as key", "k.places as place", "doc_id as member", "n_shingles as n")
 
     def pool_of(ids: DataFrame) -> DataFrame:
         ids = stored(ids, "ids")
         few = ids.count() <= BROADCAST_IDS
-        return stored(docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "pool")
+        return stored(docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), "doc_id").dropDuplicates(["doc_id"]), "pool")
 
-    comps = link_components(classes, exploded, pool_of)
+    comps = link_components(exploded, pool_of)
     of_class = classes.join(comps, F.col("member") == F.col("node"), "left").select("digest", F.coalesce("component", "member").alias("component"))
     return sketches.join(of_class, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

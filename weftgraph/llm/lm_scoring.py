@@ -28,12 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ctw
-from .common import buckets_for, crc_mod, pack, shuffle_partitions, slices, spread, stored, texts, unpack
+from .common import MOST_BUCKETS, buckets_for, crc_mod, pack, release, shuffle_partitions, slices, spread, stored, texts, unpack
 
 DEPTH = 6
 END = b"\n"
 #: Distinct grams and words that a task holds before it sends them on.
-HELD_GRAMS, HELD_WORDS = 6_000_000, 1_000_000
+HELD_GRAMS, HELD_WORDS = 2_000_000, 300_000
+#: Bytes of text whose grams are sorted at a time.
+PART_BYTES = 1 << 20
+#: Buckets of the model for each shuffle partition: a task works on one bucket at a time.
+BUCKETS_EACH = 4
 
 _ROWS = "kind int, block long, bucket int, blob binary"
 _ROWS_ARROW = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary())])
@@ -59,7 +63,7 @@ def gram_bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Sums counts by gram; sorted."""
     if not parts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
     if len(parts) == 1:
         return parts[0]
     keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -77,7 +81,7 @@ def block_grams(docs: list[bytes], held_out: np.ndarray) -> tuple[np.ndarray, np
         own = ctw.grams_of(np.frombuffer(pad + doc, np.uint8), DEPTH) << np.uint64(1)
         keys.append(own if held else own | np.uint64(1))
     flagged, counts = np.unique(np.concatenate(keys), return_counts=True)
-    counts = np.where(flagged & np.uint64(1), counts, 0)
+    counts = np.where(flagged & np.uint64(1), counts, 0).astype(np.uint32)
     grams = flagged >> np.uint64(1)
     at = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
     return grams[at], np.add.reduceat(counts, at)
@@ -108,7 +112,8 @@ def _ask(buckets: int):
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         block = None
         for batch in batches:
-            for part in slices(batch, "text"):
+            release()
+            for part in slices(batch, "text", PART_BYTES):
                 block = part.column("block")[0].as_py()
                 docs = [normalised(t) for t in texts(part.column("text"))]
                 held = np.asarray(part.column("held_out").to_pylist(), bool)
@@ -124,7 +129,7 @@ def _ask(buckets: int):
                 parts.append(block_grams(docs, held))
                 if sum(len(p[0]) for p in parts) > HELD_GRAMS:
                     parts = [_merge(parts)]
-                    if len(parts[0][0]) > HELD_GRAMS // 2:
+                    if 3 * len(parts[0][0]) > 2 * HELD_GRAMS:
                         yield from gram_rows(block, parts)
                         parts = []
                 if len(words) > HELD_WORDS:
@@ -132,7 +137,10 @@ def _ask(buckets: int):
                     words = Counter()
         if block is not None:
             yield from word_rows(block, words)
+            words.clear()
             yield from gram_rows(block, parts)
+            parts.clear()
+            release()
 
     return run
 
@@ -187,7 +195,7 @@ def _sum_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(grams):
             return
         model = pack(pa.table({"gram": grams, "n": counts}))
-        tree = ctw.levels(grams, counts, DEPTH, 2)
+        tree = ctw.levels(grams, counts.astype(np.int64), DEPTH, 2)
         weights = ctw.weigh(tree)
         keys, zeros, ones, below = [], [], [], []
         for bit in range(8):
@@ -208,7 +216,7 @@ def _sum_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = unpack(blob.as_py())
             grams, counts = table.column("gram").to_numpy(), table.column("n").to_numpy()
             own = counts > 0
-            parts.append((grams[own], counts[own]))
+            parts.append((grams[own], counts[own].astype(np.int64)))
             held += int(own.sum())
             if held > HELD_GRAMS:
                 parts = [_merge(parts)]
@@ -263,7 +271,8 @@ def _answer_grams(top: Top):
                 table = unpack(blob.as_py())
                 asked = table.column("gram").to_numpy()
                 if of != bucket or kind == MODEL:
-                    bucket = of
+                    bucket, tree, weights, logs = of, None, None, None
+                    release()
                     grams, counts = (asked, table.column("n").to_numpy()) if kind == MODEL else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
                     tree = ctw.levels(grams, counts, DEPTH, 2)
                     weights = ctw.weigh(tree) | top.weights
@@ -289,18 +298,19 @@ class Lookup:
         order = np.argsort(grams)
         self.grams, self.logs = grams[order], logs[order]
         self.shift = np.uint64(64 - max(4, int(2 * len(grams) + 1).bit_length()))
-        self.slot_key = np.full(1 << (64 - int(self.shift)), np.uint64(0xFFFFFFFFFFFFFFFF))
-        self.slot_log = np.zeros(len(self.slot_key), np.float32)
+        # Key and value side by side: one place in memory for each look.
+        self.slots = np.full((1 << (64 - int(self.shift)), 2), np.uint64(0xFFFFFFFFFFFFFFFF))
         slot = self._slot(self.grams)
-        self.slot_key[slot], self.slot_log[slot] = self.grams, self.logs
+        self.slots[slot, 0] = self.grams
+        self.slots[slot, 1] = self.logs.astype(np.float64).view(np.uint64)
 
     def _slot(self, grams: np.ndarray) -> np.ndarray:
         return (grams * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
 
     def __call__(self, grams: np.ndarray) -> np.ndarray:
-        slot = self._slot(grams)
-        out = self.slot_log[slot]
-        miss = np.flatnonzero(self.slot_key[slot] != grams)
+        found = self.slots.take(self._slot(grams).astype(np.int64), axis=0)
+        out = found[:, 1].copy().view(np.float64)
+        miss = np.flatnonzero(found[:, 0] != grams)
         if len(miss):
             at, seen = ctw.find(self.grams, grams[miss])
             if not seen.all():
@@ -323,6 +333,7 @@ def _score(end_log: float, end_known: bool):
                 kind, of = kind.as_py(), of.as_py()
                 if of != block:
                     block, words, parts, lookup = of, {}, [], None
+                    release()
                 table = unpack(blob.as_py())
                 if kind == WORDS:
                     words.update(zip(table.column("word").to_pylist(), table.column("log").to_pylist(), strict=True))
@@ -351,7 +362,7 @@ def score(docs: DataFrame) -> DataFrame:
     code length, ``base_score`` that of smoothed word frequencies.
     """
     spark = docs.sparkSession
-    buckets, width = buckets_for(spark), shuffle_partitions(spark)
+    buckets, width = min(MOST_BUCKETS, BUCKETS_EACH * buckets_for(spark)), shuffle_partitions(spark)
     held = F.coalesce(crc_mod("doc_id", 5) == 1, F.lit(False))
     rows = spread(docs.select("doc_id", "text")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held.alias("held_out"), F.spark_partition_id().cast("long").alias("block"))
     asked = stored(rows.mapInArrow(_ask(buckets), _ROWS), "lm_blocks", "kind")
