@@ -54,7 +54,7 @@ BROADCAST_IDS = 500_000
 #: Narrow rows that one task works on.
 ROWS_EACH = 200_000
 #: All remaining pairs are compared at once if they are at most so many times the rows of their lists.
-PAIRS_PER_ROW = 64
+PAIRS_PER_ROW = 1024
 _A = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
@@ -117,7 +117,7 @@ class Keys:
         self.maps, self.boundary = maps, boundary
 
     def __call__(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keys, and for a listed shingle its place in the order of its set (0 for subsets)."""
+        """Keys and their places: a set has ``n - place`` shingles at most in common with one that shares this key first."""
         n = len(own)
         if 100 * n // PERCENT == n:  # no other size is near enough, and an equal size only if all are shared
             return np.zeros(0, np.int64), np.zeros(0, np.int32)
@@ -128,11 +128,11 @@ class Keys:
         useful = ranks > 0 if self.maps.least <= 2 else np.ones(len(first), bool)
         keys, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
         if n <= self.boundary:
-            chosen = first[useful]
-            i, j = np.triu_indices(len(chosen), 1)
-            low, high = np.minimum(chosen[i], chosen[j]), np.maximum(chosen[i], chosen[j])
+            at = np.flatnonzero(useful).astype(np.int32)
+            i, j = np.triu_indices(len(at), 1)
+            low, high = np.minimum(first[at[i]], first[at[j]]), np.maximum(first[at[i]], first[at[j]])
             keys.append(_mixed(low * _A[1] + _mixed(high * _A[2])))
-            places.append(np.zeros(len(low), np.int32))
+            places.append(at[j] - 1)
         if n > self.boundary or 100 * n >= PERCENT * (self.boundary + 1):
             place = np.flatnonzero(useful[: spare + 1]).astype(np.int32)
             keys.append(first[place])
@@ -237,8 +237,8 @@ def survey(docs: DataFrame) -> Keys:
     lead = _buckets(docs.count())
     counted = stored(docs.select("text").mapInArrow(_counted(lead), "bucket int, blob binary"), "shingle_counts")
     sizes = np.zeros(LARGEST + 1, np.int64)
-    for row in counted.where("bucket = -1").select("blob").toLocalIterator():  # a short list a task
-        sizes += unpack(row[0]).column("n").to_numpy()
+    for blob in counted.where("bucket = -1").select("blob").toArrow().column("blob"):  # a short list a task
+        sizes += unpack(blob.as_py()).column("n").to_numpy()
     dealt = counted.where("bucket >= 0").repartition(shuffle_partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
     mapped = stored(dealt.mapInArrow(_mapped(lead), "bucket int, map int, threshold long, ones long, total long, squares long, bits binary"), "shingle_maps")
     loads = {(r["map"], r["threshold"]): r for r in mapped.groupBy("map", "threshold").agg(*(F.sum(c).alias(c) for c in ("ones", "total", "squares"))).collect()}
@@ -249,8 +249,9 @@ def survey(docs: DataFrame) -> Keys:
         whole = np.zeros(1 << (size - 3), np.uint8)
         own = mapped.where((F.col("map") == i) & (F.col("threshold") == (least if i == 0 else LEAST_SEEN[i])))
         width = max(1, (1 << (size - lead)) >> 3)
-        for row in own.select("bucket", "bits").toLocalIterator():  # the map's fixed size in all
-            whole[row["bucket"] * width : (row["bucket"] + 1) * width] = np.frombuffer(row["bits"], np.uint8)[:width]
+        own = own.select("bucket", "bits").toArrow()  # the map's fixed size in all
+        for bucket, part in zip(own.column("bucket").to_pylist(), own.column("bits"), strict=True):
+            whole[bucket * width : (bucket + 1) * width] = np.frombuffer(part.as_py(), np.uint8)[:width]
         bits.append(whole)
     # Prefixes hold the rarest shingles, so the lists that are scanned are those of the first map only.
     first, second = loads.get((0, least)), loads.get((1, LEAST_SEEN[1]))
@@ -330,7 +331,7 @@ def _with_component(rows: DataFrame, comps: DataFrame) -> DataFrame:
 def _open(rows: DataFrame) -> DataFrame:
     """The rows of lists whose members lie in more than one component, but those of hubs that are done."""
     left = rows.where("member <> hub").drop("hub")
-    several = left.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("member").alias("hub")).where("c0 <> c1").select("key", "hub")
+    several = left.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min(F.when(F.col("early"), F.col("member"))).alias("hub")).where("c0 <> c1 and hub is not null").select("key", "hub")
     return left.join(several, "key")
 
 
@@ -340,7 +341,9 @@ def link_components(keys: DataFrame, pool_of) -> DataFrame:
     ``keys`` has ``key``, ``member`` and its size ``n``. ``pool_of`` gives doc_id, text and n of the ids asked for.
     """
     spark = keys.sparkSession
-    lists = keys.groupBy("key").agg(F.min("member").alias("hub"), F.max("member").alias("last")).where("hub < last").select("key", "hub")
+    # A pair's smaller set has their first common shingle so early that enough follows; lists without such a member hold no pair.
+    keys = keys.withColumn("early", (100 + PERCENT) * (F.col("n") - F.col("place")) >= 2 * PERCENT * F.col("n"))
+    lists = keys.groupBy("key").agg(F.min(F.when(F.col("early"), F.col("member"))).alias("hub"), F.min("member").alias("first"), F.max("member").alias("last")).where("first < last and hub is not null").select("key", "hub")
     rows = stored(keys.join(lists.hint("shuffle_hash"), "key"), "lists")
     pool = pool_of(rows.select(F.col("member").alias("doc_id"), "n").distinct())
     pairs = rows.where("member <> hub").select(F.col("hub").alias("a"), F.col("member").alias("b"))
@@ -348,15 +351,18 @@ def link_components(keys: DataFrame, pool_of) -> DataFrame:
     comps = components(spark, found)
     while True:
         rows = stored(_open(_with_component(rows, comps)), "lists")
-        n_rows, n_pairs = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0))).first()
+        # Pairs between components only: what a hub has drawn together is done.
+        own = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.count_if("early").alias("early"))
+        each = own.groupBy("key").agg(F.sum("n").alias("n"), F.sum("early").alias("early"), F.sum(F.col("n") * F.col("early")).alias("inside"))
+        n_rows, n_pairs = each.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("early") - F.col("inside")), F.lit(0))).first()
         if not n_rows:
             return comps
         last = n_pairs <= PAIRS_PER_ROW * n_rows
         if last:
-            left, right = rows.alias("x"), rows.alias("y")
             # At the first shingle that two sets share, all they may share is what follows in both.
             possible = (100 + PERCENT) * F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= PERCENT * (F.col("x.n") + F.col("y.n"))
-            met = left.join(right, (F.col("x.key") == F.col("y.key")) & (F.col("x.member") < F.col("y.member")) & (F.col("x.component") != F.col("y.component")) & possible)
+            ordered = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.member") < F.col("y.member")))
+            met = rows.where("early").alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & ordered & (F.col("x.component") != F.col("y.component")) & possible)
             pairs = met.select(F.col("x.member").alias("a"), F.col("y.member").alias("b"))
         else:
             hubs = rows.where("member = hub").select("key", F.col("component").alias("of")).distinct()
