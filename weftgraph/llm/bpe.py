@@ -22,11 +22,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, pack, shuffle_partitions, slices, spread, texts, unpack
+from .common import buckets_for, pack, release, shuffle_partitions, slices, spread, texts, unpack
 
 SPECIAL = "<|endoftext|>"
 #: Distinct words that a task holds before it sends them on.
-HELD = 1_000_000
+HELD = 250_000
 #: The published splitting pattern of byte-level BPE, with Unicode white space spelled out.
 _SPACE = r"\t\n\x0B\f\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 _SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
@@ -104,6 +104,7 @@ def _ask(path: str, buckets: int):
                 if len(words) > HELD:
                     yield from rows(block, words)
                     words = set()
+                    release()
         if words:
             yield from rows(block, words)
 
@@ -121,6 +122,7 @@ def _answer(path: str):
             for of, block, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if of != bucket:
                     known, bucket = {}, of
+                    release()
                 words = unpack(blob).column("word").to_pylist()
                 new = [w for w in words if w not in known]
                 known.update(zip(new, encode_words(new, tokenizer), strict=True))
@@ -149,6 +151,7 @@ def _join(path: str, names: list[str]):
             for block, kind, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if block != at:
                     memo, at = Memo(tokenizer), block
+                    release()
                 table = unpack(blob)
                 if kind == 0:
                     memo.update(zip(table.column("word").to_pylist(), table.column("ids").to_pylist(), strict=True))
@@ -198,6 +201,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = pieces(path).__getitem__
         for batch in batches:
+            release()
             decoded = [b"".join(map(piece, memoryview(x or b"").cast("I"))).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
             yield batch.append_column("decoded", pa.array(decoded, pa.string()))
 
