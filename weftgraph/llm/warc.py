@@ -16,6 +16,7 @@ framing is broken. Payloads are bytes; null html is an empty payload.
 from __future__ import annotations
 
 import base64
+import gzip
 from collections.abc import Iterator
 from hashlib import sha1
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, scratch, slices
+from .common import SLICE_BYTES, release, scratch, slices
 
 #: Smallest payload that is stored once only.
 LEAST_REVISIT = 1000
@@ -131,7 +132,7 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
     made = rows.select("page_id", "url", "payload", "refers_to")
     made = made.mapInArrow(_to_records(segment_bytes), "page_id long, segment long, record binary")
     # A text file with the two blank lines as separator is a WARC file; the bytes are written as they are.
-    made.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
+    made.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 _PARSED = "record_id string, page_id long, type string, origin string, segment int, total long, refers_to long, digest string, length long, block binary"
@@ -167,9 +168,11 @@ def parse_records(data: bytes) -> Iterator[tuple]:
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        release()
         for content in batch.column("content"):
             rows, held = [], 0
-            for *row, cut in parse_records(content.as_py()):
+            data = content.as_py()
+            for *row, cut in parse_records(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                 if cut:
                     row[5] = row[5] if row[5] is not None else -1  # a segment, but not the last
                 rows.append(row)
@@ -187,7 +190,7 @@ def _batch(rows: list) -> pa.RecordBatch:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row per record: page_id, record_type, refers_to, whole, payload (null for revisits), digest and length as stated."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path)
     # One file is one row; wide enough to be dealt out, its records go on in small batches.
     parsed = files.select("content").mapInArrow(_parse, _PARSED)
     single = parsed.where("total is null")
@@ -211,6 +214,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        release()
         payloads, whole = [], []
         for kind, block, ok in zip(*(batch.column(c).to_pylist() for c in ("type", "block", "whole")), strict=True):
             payload = None
