@@ -26,7 +26,7 @@ from .common import buckets_for, pack, release, shuffle_partitions, slices, spre
 
 SPECIAL = "<|endoftext|>"
 #: Distinct words that a task holds before it sends them on.
-HELD = 250_000
+HELD = 600_000
 #: The published splitting pattern of byte-level BPE, with Unicode white space spelled out.
 _SPACE = r"\t\n\x0B\f\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 _SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
@@ -119,11 +119,11 @@ def _answer(path: str):
         known: dict[str, bytes] = {}
         bucket = None
         for batch in batches:
-            for of, block, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for of, block, blob in zip(batch.column("bucket").to_pylist(), batch.column("block").to_pylist(), batch.column("blob"), strict=True):
                 if of != bucket:
                     known, bucket = {}, of
                     release()
-                words = unpack(blob).column("word").to_pylist()
+                words = unpack(blob.as_py()).column("word").to_pylist()
                 new = [w for w in words if w not in known]
                 known.update(zip(new, encode_words(new, tokenizer), strict=True))
                 out = pack(pa.table({"word": words, "ids": pa.array([known[w] for w in words], pa.binary())}))
@@ -141,6 +141,19 @@ def packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([1], pa.int32()), pa.array([blob], pa.binary())], schema=_SENT)
 
 
+def _decoded(path: str):
+    """Adds the joined pieces of the ids as text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece = pieces(path).__getitem__
+        for batch in batches:
+            release()
+            decoded = [b"".join(map(piece, memoryview(x.as_py() or b"").cast("I"))).decode("utf-8", "replace") for x in batch.column("ids")]
+            yield batch.append_column("decoded", pa.array(decoded, pa.string()))
+
+    return run
+
+
 def _join(path: str, names: list[str]):
     """Joins the ids of a block to its words by position."""
 
@@ -148,11 +161,11 @@ def _join(path: str, names: list[str]):
         tokenizer = library(path)
         memo, at = Memo(tokenizer), None
         for batch in batches:
-            for block, kind, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for block, kind, blob in zip(batch.column("block").to_pylist(), batch.column("kind").to_pylist(), batch.column("blob"), strict=True):
                 if block != at:
                     memo, at = Memo(tokenizer), block
                     release()
-                table = unpack(blob)
+                table = unpack(blob.as_py())
                 if kind == 0:
                     memo.update(zip(table.column("word").to_pylist(), table.column("ids").to_pylist(), strict=True))
                     continue
@@ -164,8 +177,12 @@ def _join(path: str, names: list[str]):
     return run
 
 
-def encode(docs: DataFrame, path: str, *keep: str) -> DataFrame:
-    """``keep`` columns of each row and ``ids``: binary, little-endian unsigned 32-bit integers."""
+def encode(docs: DataFrame, path: str, *keep: str, decoded: bool = False) -> DataFrame:
+    """``keep`` columns of each row and ``ids``: binary, little-endian unsigned 32-bit integers.
+
+    ``decoded`` adds what ``decode`` adds, in the worker that joins the ids: one
+    process for a task, not two.
+    """
     spark, buckets = docs.sparkSession, buckets_for(docs.sparkSession)
     keep = keep or ("doc_id",)
     docs = spread(docs)
@@ -176,7 +193,10 @@ def encode(docs: DataFrame, path: str, *keep: str) -> DataFrame:
     packed = rows.mapInArrow(packed_rows, "block long, kind int, blob binary")
     met = answered.unionByName(packed).repartition(shuffle_partitions(spark), "block").sortWithinPartitions("block", "kind")
     kept = docs.select(*keep).schema
-    return met.mapInArrow(_join(path, list(keep)), kept.add("ids", "binary"))
+    joined, back = _join(path, list(keep)), _decoded(path)
+    if decoded:
+        return met.mapInArrow(lambda batches: back(joined(batches)), kept.add("ids", "binary").add("decoded", "string"))
+    return met.mapInArrow(joined, kept.add("ids", "binary"))
 
 
 @lru_cache(maxsize=4)
@@ -196,21 +216,13 @@ def pieces(path: str) -> list[bytes]:
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """Replaces ``ids`` by keeping it and adding ``decoded``: the joined pieces of the ids as text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = pieces(path).__getitem__
-        for batch in batches:
-            release()
-            decoded = [b"".join(map(piece, memoryview(x or b"").cast("I"))).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
-            yield batch.append_column("decoded", pa.array(decoded, pa.string()))
-
-    return encoded.mapInArrow(run, encoded.select("*", F.lit("").alias("decoded")).schema)
+    """Adds ``decoded``: the joined pieces of the ids as text."""
+    return encoded.mapInArrow(_decoded(path), encoded.select("*", F.lit("").alias("decoded")).schema)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """Per document: count and digest of its ids, and digest of the text decoded from them."""
-    done = decode(encode(docs, path, "doc_id"), path)
+    done = encode(docs, path, "doc_id", decoded=True)
     return done.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
