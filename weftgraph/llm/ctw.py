@@ -46,12 +46,14 @@ def log_pe(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def grams_of(data: np.ndarray, depth: int) -> np.ndarray:
-    """Keys of all positions from ``depth`` on of a byte array."""
+    """Keys of all positions from ``depth`` (7 at most) on of a byte array."""
     n = len(data) - depth
-    wide = data.astype(np.uint64)
-    key = wide[depth:].copy()
-    for back in range(1, depth + 1):
-        key |= wide[depth - back : depth - back + n] << np.uint64(8 * (depth + 1 - back))
+    # Eight bytes read at each position, little end first: the context's latest byte has the highest weight.
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    wide = np.ndarray((n,), "<u8", padded, strides=(1,))
+    key = wide & np.uint64((1 << (8 * depth)) - 1)
+    key <<= np.uint64(8)
+    key |= data[depth:]
     return key
 
 

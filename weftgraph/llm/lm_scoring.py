@@ -33,11 +33,13 @@ from .common import MOST_BUCKETS, buckets_for, crc_mod, pack, release, shuffle_p
 DEPTH = 6
 END = b"\n"
 #: Distinct grams and words that a task holds before it sends them on.
-HELD_GRAMS, HELD_WORDS = 2_000_000, 300_000
+HELD_GRAMS, HELD_WORDS = 3_000_000, 300_000
 #: Bytes of text whose grams are sorted at a time.
 PART_BYTES = 1 << 20
 #: Buckets of the model for each shuffle partition: a task works on one bucket at a time.
 BUCKETS_EACH = 4
+#: Grams looked up at a time.
+LOOKS = 1 << 14
 
 _ROWS = "kind int, block long, bucket int, blob binary"
 _ROWS_ARROW = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary())])
@@ -60,6 +62,22 @@ def gram_bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
     return ((two * np.uint32(2_654_435_761)) >> np.uint32(8)).astype(np.int64) % buckets
 
 
+def _planes(values: np.ndarray) -> pa.Array:
+    """Numbers as one value, their bytes of equal weight side by side: these compress best."""
+    return pa.array([np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()], pa.binary())
+
+
+def gram_table(grams: np.ndarray, values: np.ndarray) -> pa.Table:
+    """Sorted grams, as steps, and a number of each."""
+    return pa.table({"steps": _planes(np.diff(grams, prepend=np.uint64(0))), "values": _planes(values)})
+
+
+def gram_columns(table: pa.Table, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """What ``gram_table`` was given; ``kind`` is the numbers' type."""
+    steps, values = (np.ascontiguousarray(np.frombuffer(table.column(c)[0].as_py(), np.uint8).reshape(np.dtype(t).itemsize, -1).T).view(t).ravel() for c, t in (("steps", np.uint64), ("values", kind)))
+    return np.cumsum(steps, dtype=np.uint64), values
+
+
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Sums counts by gram; sorted."""
     if not parts:
@@ -70,7 +88,7 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
     at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[at], np.add.reduceat(counts, at) if len(at) else counts
+    return keys[at], np.add.reduceat(counts, at, dtype=counts.dtype) if len(at) else counts
 
 
 def block_grams(docs: list[bytes], held_out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +102,7 @@ def block_grams(docs: list[bytes], held_out: np.ndarray) -> tuple[np.ndarray, np
     counts = np.where(flagged & np.uint64(1), counts, 0).astype(np.uint32)
     grams = flagged >> np.uint64(1)
     at = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
-    return grams[at], np.add.reduceat(counts, at)
+    return grams[at], np.add.reduceat(counts, at, dtype=counts.dtype)
 
 
 def _ask(buckets: int):
@@ -98,7 +116,7 @@ def _ask(buckets: int):
         for b in range(buckets):
             own = order[cuts[b] : cuts[b + 1]]
             if len(own):
-                yield _row(GRAMS, block, b, pa.table({"gram": grams[own], "n": counts[own]}))
+                yield _row(GRAMS, block, b, gram_table(grams[own], counts[own]))
 
     def word_rows(block: int, words: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
         by: dict[int, list[bytes]] = {}
@@ -127,9 +145,9 @@ def _ask(buckets: int):
                 for w in seen:
                     words.setdefault(w, 0)
                 parts.append(block_grams(docs, held))
-                if sum(len(p[0]) for p in parts) > HELD_GRAMS:
+                if 3 * sum(len(p[0]) for p in parts[1:]) > HELD_GRAMS:  # parts[0] is what has been merged
                     parts = [_merge(parts)]
-                    if 3 * len(parts[0][0]) > 2 * HELD_GRAMS:
+                    if len(parts[0][0]) > HELD_GRAMS:
                         yield from gram_rows(block, parts)
                         parts = []
                 if len(words) > HELD_WORDS:
@@ -194,7 +212,7 @@ def _sum_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, counts = _merge(parts)
         if not len(grams):
             return
-        model = pack(pa.table({"gram": grams, "n": counts}))
+        model = pack(gram_table(grams, counts.astype(np.int64)))
         tree = ctw.levels(grams, counts.astype(np.int64), DEPTH, 2)
         weights = ctw.weigh(tree)
         keys, zeros, ones, below = [], [], [], []
@@ -214,7 +232,7 @@ def _sum_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from done()
                 parts, bucket, held = [], of, 0
             table = unpack(blob.as_py())
-            grams, counts = table.column("gram").to_numpy(), table.column("n").to_numpy()
+            grams, counts = gram_columns(table, np.uint32)
             own = counts > 0
             parts.append((grams[own], counts[own].astype(np.int64)))
             held += int(own.sum())
@@ -269,11 +287,11 @@ def _answer_grams(top: Top):
             for kind, block, of, blob in zip(*(batch.column(c) for c in ("kind", "block", "bucket", "blob")), strict=True):
                 kind, block, of = kind.as_py(), block.as_py(), of.as_py()
                 table = unpack(blob.as_py())
-                asked = table.column("gram").to_numpy()
+                asked, counts = gram_columns(table, np.int64 if kind == MODEL else np.uint32)
                 if of != bucket or kind == MODEL:
                     bucket, tree, weights, logs = of, None, None, None
                     release()
-                    grams, counts = (asked, table.column("n").to_numpy()) if kind == MODEL else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                    grams, counts = (asked, counts) if kind == MODEL else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
                     tree = ctw.levels(grams, counts, DEPTH, 2)
                     weights = ctw.weigh(tree) | top.weights
                     tree |= top.tree
@@ -286,39 +304,67 @@ def _answer_grams(top: Top):
                 new = ~seen
                 if new.any():
                     out[new] = ctw.log2_probability(asked[new], DEPTH, tree, weights)
-                yield _row(GRAMS, block, of, pa.table({"gram": asked, "log": out.astype(np.float32)}))
+                yield _row(GRAMS, block, of, gram_table(asked, out.astype(np.float32)))
 
     return run
 
 
 class Lookup:
-    """Values by gram: a table of slots first, a search in the sorted grams for the few that share a slot."""
+    """Values by gram: a table of slots, another for those whose slot was taken, a search in the sorted grams for the last few."""
 
     def __init__(self, grams: np.ndarray, logs: np.ndarray):
         order = np.argsort(grams)
         self.grams, self.logs = grams[order], logs[order]
-        self.shift = np.uint64(64 - max(4, int(2 * len(grams) + 1).bit_length()))
-        # Key and value side by side: one place in memory for each look.
-        self.slots = np.full((1 << (64 - int(self.shift)), 2), np.uint64(0xFFFFFFFFFFFFFFFF))
-        slot = self._slot(self.grams)
-        self.slots[slot, 0] = self.grams
-        self.slots[slot, 1] = self.logs.astype(np.float64).view(np.uint64)
-
-    def _slot(self, grams: np.ndarray) -> np.ndarray:
-        return (grams * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+        self.tables: list[tuple[np.uint64, np.uint64, np.ndarray]] = []
+        own, values = self.grams, self.logs.astype(np.float64).view(np.uint64)
+        for factor in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+            bits = max(4, int(2 * len(own) + 1).bit_length())
+            # Key and value side by side: one place in memory for each look.
+            slots = np.full((1 << bits, 2), np.uint64(0xFFFFFFFFFFFFFFFF))
+            table = (np.uint64(factor), np.uint64(64 - bits), slots)
+            at = self._slot(own, table)
+            slots[at, 0], slots[at, 1] = own, values
+            taken = slots[at, 0] != own
+            own, values = own[taken], values[taken]
+            self.tables.append(table)
+
+    @staticmethod
+    def _slot(grams: np.ndarray, table: tuple) -> np.ndarray:
+        return ((grams * table[0]) >> table[1]).view(np.int64)
 
     def __call__(self, grams: np.ndarray) -> np.ndarray:
-        found = self.slots.take(self._slot(grams).astype(np.int64), axis=0)
-        out = found[:, 1].copy().view(np.float64)
-        miss = np.flatnonzero(found[:, 0] != grams)
-        if len(miss):
-            at, seen = ctw.find(self.grams, grams[miss])
-            if not seen.all():
-                raise RuntimeError("a block asks for a gram that it did not state")
-            out[miss] = self.logs[at]
+        out = np.empty(len(grams))
+        for start in range(0, len(grams), LOOKS):  # what is in hand stays in the processor's cache
+            part = grams[start : start + LOOKS]
+            found = self.tables[0][2].take(self._slot(part, self.tables[0]), axis=0)
+            values = found[:, 1].copy().view(np.float64)
+            miss = np.flatnonzero(found[:, 0] != part)
+            if len(miss):
+                left = part[miss]
+                found = self.tables[1][2].take(self._slot(left, self.tables[1]), axis=0)
+                values[miss] = found[:, 1].copy().view(np.float64)
+                still = found[:, 0] != left
+                if still.any():
+                    at, seen = ctw.find(self.grams, left[still])
+                    if not seen.all():
+                        raise RuntimeError("a block asks for a gram that it did not state")
+                    values[miss[still]] = self.logs[at]
+            out[start : start + LOOKS] = values
         return out
 
 
+def lookup_padded(lookup: Lookup, docs: list[bytes]) -> list[float]:
+    """Sum of the values of each document's grams; each starts after a pad of its own."""
+    pad = END * DEPTH
+    keys = ctw.grams_of(np.frombuffer(b"".join(pad + doc for doc in docs), np.uint8), DEPTH)
+    lengths = np.fromiter(map(len, docs), np.int64, len(docs))
+    starts = np.cumsum(lengths + DEPTH) - lengths - DEPTH
+    own = np.ones(len(keys), bool)
+    for i in range(DEPTH):
+        own[starts[1:] - DEPTH + i] = False
+    return np.add.reduceat(lookup(keys[own]), np.cumsum(lengths) - lengths).tolist()
+
+
 _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("n_bytes", pa.int64()), ("logs", pa.float64()), ("score", pa.float64())])
 
 
@@ -327,7 +373,6 @@ def _score(end_log: float, end_known: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, words, parts, lookup = None, {}, [], None
-        pad = END * DEPTH
         for batch in batches:
             for kind, of, blob in zip(*(batch.column(c) for c in ("kind", "block", "blob")), strict=True):
                 kind, of = kind.as_py(), of.as_py()
@@ -339,17 +384,18 @@ def _score(end_log: float, end_known: bool):
                     words.update(zip(table.column("word").to_pylist(), table.column("log").to_pylist(), strict=True))
                     continue
                 if kind == GRAMS:
-                    parts.append((table.column("gram").to_numpy(), table.column("log").to_numpy()))
+                    parts.append(gram_columns(table, np.float32))
                     continue
                 if lookup is None:
                     lookup = Lookup(*(np.concatenate(x) for x in zip(*parts, strict=True)))
                     parts = []
-                rows = []
-                for doc_id, held, doc in zip(*(c.to_pylist() for c in table.columns), strict=True):
+                rows, docs = [], table.column("text").to_pylist()
+                # All documents of the slice at once; the positions of the pads between them are left out of the sums.
+                bits = lookup_padded(lookup, docs)
+                for doc_id, held, doc, total in zip(table.column("doc_id").to_pylist(), table.column("held_out").to_pylist(), docs, bits, strict=True):
                     logs = list(map(words.__getitem__, doc.split()))
                     known = len(logs) - logs.count(unknown) + end_known
-                    bits = lookup(ctw.grams_of(np.frombuffer(pad + doc, np.uint8), DEPTH))
-                    rows.append((doc_id, held, len(logs) + 1, known, len(doc), math.fsum(logs) + end_log, float(bits.sum(dtype=np.float64)) * math.log10(2)))
+                    rows.append((doc_id, held, len(logs) + 1, known, len(doc), math.fsum(logs) + end_log, total * math.log10(2)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCORED, strict=True)], schema=_SCORED)
 
     return run
