@@ -38,8 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text, and the text decoded from them."""
-    path = vocabulary_path()
-    return bpe.decode(bpe.encode(docs, path, "doc_id", "lang", "source"), path)
+    return bpe.encode(docs, vocabulary_path(), "doc_id", "lang", "source", decoded=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
