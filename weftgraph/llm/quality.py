@@ -35,6 +35,7 @@ THRESHOLD = 0.5
 LEAST_WORDS, MOST_REPEATED = 50, 50
 _FAMILIES = ("char3", "char5", "word1", "word2")
 _SCALE = 30.0
+_BLOCK = 1 << 20  # entries of the feature matrix taken at once
 _SPACE = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
 
@@ -129,12 +130,18 @@ def train(many: list[str], labels: np.ndarray, steps: int = 60, ridge: float = 1
     rows, cols, values = _sparse([t for t, h in zip(many, held, strict=True) if not h])
     # Both kinds weigh the same in training; calibration restores the true shares.
     each = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    # Products are taken in blocks: their 8-byte copies would outweigh the matrix.
+    blocks = [slice(i, i + _BLOCK) for i in range(0, len(rows), _BLOCK)]
     w, b = np.zeros(size), 0.0
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for step in range(1, steps + 1):
-        z = np.bincount(rows, weights=values * w[cols], minlength=len(y)) + b
+        z = np.full(len(y), b)
+        for at in blocks:
+            z += np.bincount(rows[at], weights=values[at] * w[cols[at]], minlength=len(y))
         err = each * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
-        grad = np.bincount(cols, weights=values * err[rows], minlength=size) + ridge * w
+        grad = ridge * w
+        for at in blocks:
+            grad += np.bincount(cols[at], weights=values[at] * err[rows[at]], minlength=size)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         mb, vb = 0.9 * mb + 0.1 * err.sum(), 0.99 * vb + 0.01 * err.sum() ** 2
         w -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
