@@ -67,3 +67,11 @@ def by_entity(documents: DataFrame, chunks: DataFrame, mentions: DataFrame, name
     own = mentions.where(F.lower("name") == name.lower()).select("chunk_id").distinct().join(chunks.select("chunk_id", "doc_id"), "chunk_id")
     counts = own.groupBy("doc_id").agg(F.count_distinct("chunk_id").alias("chunks_count"))
     return counts.join(documents.select("doc_id", "title"), "doc_id").orderBy(F.desc("chunks_count"), "title", "doc_id").limit(max(1, limit)).select("doc_id", "title", "chunks_count")
+
+
+def by_topic(documents: DataFrame, chunks: DataFrame, tags: DataFrame, topic: str, limit: int = 10) -> DataFrame:
+    """Documents whose title, text or a chunk's tag contains the topic, whatever its case."""
+    part = F.lit(topic.strip().lower())
+    tagged = tags.where(F.contains(F.lower("tag"), part)).join(chunks.select("chunk_id", "doc_id"), "chunk_id").select("doc_id").distinct().withColumn("tagged", F.lit(True))
+    own = F.contains(F.lower("title"), part) | F.contains(F.lower("text"), part)
+    return documents.join(tagged, "doc_id", "left").where(F.coalesce("tagged", F.lit(False)) | F.coalesce(own, F.lit(False))).orderBy("title", "doc_id").limit(max(1, limit)).select("doc_id", "title")

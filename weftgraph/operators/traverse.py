@@ -46,6 +46,8 @@ def shortest_path(edges: DataFrame, start: str, goal: str, most: int = 5) -> Dat
     for _ in range(most):
         step = frontier.join(doubled, F.col("id") == F.col("a")).select(F.col("b").alias("id"), F.concat("nodes", F.array("b")).alias("nodes"))
         step = step.join(reached.select("id"), "id", "left_anti").groupBy("id").agg(F.min("nodes").alias("nodes"))
+        if spark.sparkContext.getCheckpointDir():
+            step = step.checkpoint()
         frontier, reached = step, reached.unionByName(step)
         found = found.unionByName(step.where(F.col("id") == goal))
     return found.orderBy(F.size("nodes")).limit(1).select((F.size("nodes") - 1).alias("distance"), "nodes")

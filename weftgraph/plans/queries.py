@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.splitting import by_separators
 from ..functions.vectors import hash_embedding
-from ..operators import hybrid, kb, search, traverse, writes
+from ..operators import context, hybrid, kb, search, traverse, writes
 from ..sources import worklist
 from .fixture import SQL, Graph
 
@@ -265,10 +266,9 @@ def shorten_text(g):
     return g.documents.select("doc_id", tx.shorten(F.col("text"), 80).alias("short"))
 
 
-@query("SELECT conv_id, turn, text AS answer FROM conversations WHERE trim(text) = text AND NOT contains(text, chr(10) || chr(10) || chr(10))")
+@query(r"SELECT conv_id, turn, trim(regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g')) AS answer FROM conversations")
 def strip_think(g):
-    rows = g.table("conversations").where("trim(text) = text and not contains(text, '\n\n\n')")
-    return rows.select("conv_id", "turn", tx.without_think(F.concat(F.lit("<think>a\nb</think>"), F.col("text"))).alias("answer"))
+    return g.table("conversations").select("conv_id", "turn", tx.without_think(F.concat(F.lit("<think>a\nb</think>"), F.col("text"))).alias("answer"))
 
 
 @query("SELECT conv_id, a.turn AS turn, a.text AS question, b.text AS answer FROM conversations a JOIN conversations b USING (conv_id) WHERE a.role = 'user' AND b.role = 'assistant' AND b.turn = a.turn + 1")
@@ -276,3 +276,79 @@ def faqs(g):
     t = g.table("conversations")
     a, b = t.where("role = 'user'").alias("a"), t.where("role = 'assistant'").alias("b")
     return a.join(b, (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("b.turn") == F.col("a.turn") + 1)).select("a.conv_id", "a.turn", F.col("a.text").alias("question"), F.col("b.text").alias("answer"))
+
+
+@query()
+def recursive_chunks(g):
+    return by_separators(g.documents, "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+@query("SELECT DISTINCT name, type FROM en WHERE contains(name, 'ation') ORDER BY name, type LIMIT 10")
+def entity_search(g):
+    return g.mentions.where(F.contains(F.lower("name"), F.lit("ation"))).select("name", "type").distinct().orderBy("name", "type").limit(10)
+
+
+@query("SELECT DISTINCT source, raw_type AS type, target FROM rel ORDER BY source, type, target LIMIT 50")
+def entity_pairs(g):
+    return g.relations.select("source", F.col("raw_type").alias("type"), "target").distinct().orderBy("source", "type", "target").limit(50)
+
+
+@query("SELECT doc_id, title FROM d WHERE contains(lower(title), 'thing') OR contains(lower(text), 'thing') OR doc_id IN (SELECT doc_id FROM tg JOIN c USING (chunk_id) WHERE contains(tag, 'thing')) ORDER BY title, doc_id LIMIT 10")
+def docs_search_strict(g):
+    return kb.by_topic(g.documents, g.chunks, g.tags, "Thing")
+
+
+@query("SELECT doc_id, number FROM d WHERE active ORDER BY number DESC, doc_id LIMIT 20")
+def documents_recent(g):
+    return g.documents.where("active").orderBy(F.desc("number"), "doc_id").select("doc_id", "number").limit(20)
+
+
+@query(_LIST.format("SELECT doc_id, title FROM d WHERE doc_id IN (SELECT doc_id FROM kw WHERE keyword = (SELECT min(keyword) FROM kw WHERE doc_id = 'doc_001')) ORDER BY title, doc_id LIMIT 50"))
+def kw_search(g):
+    word = g.keywords.where("doc_id = 'doc_001'").agg(F.min("keyword")).first()[0]
+    return kb.by_keywords(g.documents, g.keywords, [word])
+
+
+@query("SELECT doc_id, chunk_id, coalesce(title, '') AS title, CAST(NULL AS VARCHAR) AS url, CAST(length(s.text) AS DOUBLE) AS score FROM (SELECT * FROM c ORDER BY length(text) DESC, chunk_id LIMIT 10) s LEFT JOIN (SELECT doc_id, title FROM d) USING (doc_id)")
+def citations(g):
+    seeds = g.chunks.select("chunk_id", "doc_id", F.length("text").alias("retrieval_score"), (-F.length("text")).alias("place"))
+    return context.citations(seeds, g.documents)
+
+
+_NODES = "(SELECT DISTINCT 'e:' || name AS id, 'Entity' AS label, name FROM en UNION SELECT DISTINCT 't:' || tag, 'Tag', tag FROM tg)"
+
+
+def _nodes(g) -> DataFrame:
+    names = g.mentions.select(F.concat(F.lit("e:"), "name").alias("id"), F.lit("Entity").alias("label"), "name")
+    return names.unionByName(g.tags.select(F.concat(F.lit("t:"), "tag").alias("id"), F.lit("Tag").alias("label"), F.col("tag").alias("name"))).distinct()
+
+
+@query(f"SELECT term, id, name FROM (SELECT term, id, name, row_number() OVER (PARTITION BY term ORDER BY lower(name) <> term, label <> 'Entity', length(name), lower(name), id) AS place FROM {_NODES}, (SELECT unnest(['thing', 'question', 'ation', 'was', 'zzzz']) AS term) WHERE contains(lower(name), term)) WHERE place = 1")
+def keyword_nodes(g):
+    return context.keyword_nodes(_nodes(g), ["thing", "question", "ation", "was", "zzzz"])
+
+
+@query()
+def render_context(g):
+    best = lexical_search(g)
+    keys = best.select("chunk_id")
+    seeds = best.select("chunk_id", "doc_id", "text", (-F.col("score")).alias("place"))
+    near = g.chunks.join(best.select("doc_id").distinct(), "doc_id", "left_semi").join(keys, "chunk_id", "left_anti").select("chunk_id", "doc_id", "text", F.col("chunk_index").alias("place"))
+    asked = g.spark.createDataFrame([], "question string, answer string")
+    return context.render(best.select("doc_id", "title"), g.tags.join(keys, "chunk_id", "left_semi").select("tag"), g.mentions.join(keys, "chunk_id", "left_semi").select("name", "type"), seeds, near, asked)
+
+
+@query("SELECT page_id, 'Title ' || page_id AS title, 'https://x.example/' || page_id AS url, 'more of ' || page_id AS summary FROM pages UNION ALL SELECT page_id, 'Other one', 'http://y.example/a', 'latest tour' FROM pages")
+def search_result_entries(g):
+    page = F.col("page_id").cast("string")
+    text = F.concat(F.lit("1. Title  "), page, F.lit("\n  URL: https://x.example/"), page, F.lit(").\n  Summary: more\n of "), page, F.lit("\n2. Other\tone\n URL: http://y.example/a\nSummary: latest tour\n"))
+    rows = g.table("pages").select("page_id", F.explode(tx.search_entries(text)).alias("x"))
+    return rows.select("page_id", "x.title", "x.url", "x.summary")
+
+
+@query("SELECT page_id, CAST(CASE WHEN page_id % 2 = 0 THEN 1 + 1.5 + 1.5 - 1.5 ELSE 1 + 1.5 + 2 END AS DOUBLE) AS score FROM pages")
+def url_scores(g):
+    even = F.col("page_id") % 2 == 0
+    summary = F.when(even, "latest update of a tour").otherwise("news")
+    url = F.when(even, "https://x.example/").otherwise("https://kyivpost.example/")
+    return g.table("pages").select("page_id", tx.url_score(F.array(F.lit("kyiv"), F.lit("zzz")), F.lit("On Kyiv"), summary, url).cast("double").alias("score"))
