@@ -15,6 +15,9 @@ from weftgraph.llm import bpe, jaccard_join, language, mixing, quality
 from weftgraph.llm.common import documents, stored
 from weftgraph.llm.queries import labels, vocabulary_path
 
+#: Near copies share so many per cent of their shingles, of so many words; op4 has a rule of its own.
+NEAR_PERCENT, NEAR_WORDS = 80, 5
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
@@ -28,7 +31,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that of the smallest id."""
-    return jaccard_join.keep_one(docs)
+    return jaccard_join.keep_one(docs, NEAR_PERCENT, NEAR_WORDS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

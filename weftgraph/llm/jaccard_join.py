@@ -3,7 +3,7 @@
 Sets of one digest are one class; a class's smallest doc_id stands for it.
 Classes that may link share a key:
 
-* A set of n shingles links only with sets that share c = ceil(0.85 n) of its
+* A set of n shingles links only with sets that share c = ceil(percent n / 100) of its
   shingles, so in any total order the first n - c + k of both hold k common
   ones. The order is from rare to frequent: all shingles are counted, and bit
   maps of fixed size tell which occur in two documents or more, in many, and in
@@ -22,7 +22,7 @@ few pairs are left, with all of them, so no link between components is lost and
 a group of n near copies costs about n comparisons a list, not n squared.
 
 Null or wordless text has an empty set and links with nothing. Repeated rows
-are copies of each other.
+are copies of each other. Words a shingle and the percentage are parameters.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import pack, shuffle_partitions, slices, spread, stored, texts, unpack
 
-#: Two sets link from PERCENT per cent of their union on.
+#: Two sets link from PERCENT per cent of their union on; shingles have WORDS words. Defaults, those of op4.
 PERCENT, WORDS = 85, 4
 #: Documents that a shingle must occur in to be in each map (the first doubles until the map is thin), and the maps' sizes in bits (log2).
 LEAST_SEEN, MAP_BITS = (2, 16, 256), (27, 24, 24)
@@ -64,34 +64,34 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingles(text: str | None) -> np.ndarray:
+def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
     """The set of a text's shingles as sorted distinct 64-bit hashes."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(words) < WORDS:
+    if len(words) < size:
         whole = b" ".join(words)
         return np.array([xxhash.xxh3_64_intdigest(whole, seed=len(words))], np.uint64)
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    n = len(h) - WORDS + 1
+    n = len(h) - size + 1
     out = _mixed(h[:n]) * _A[0]
-    for i in range(1, WORDS):
-        out = _mixed(out + h[i : i + n] * _A[i])
+    for i in range(1, size):
+        out = _mixed(out + h[i : i + n] * _A[i % len(_A)])
     return np.unique(out)
 
 
-def needed(n: int) -> int:
+def needed(n: int, percent: int = PERCENT) -> int:
     """Shingles of a set of n that any set it links with must share."""
-    return -(-PERCENT * n // 100)
+    return -(-percent * n // 100)
 
 
-def links(a: np.ndarray, b: np.ndarray) -> bool:
+def links(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     small, large = (a, b) if len(a) <= len(b) else (b, a)
-    if not len(small) or 100 * len(small) < PERCENT * len(large):
+    if not len(small) or 100 * len(small) < percent * len(large):
         return False
     at = np.minimum(np.searchsorted(large, small), len(large) - 1)
     common = int((large[at] == small).sum())
-    return 100 * common >= PERCENT * (len(a) + len(b) - common)
+    return 100 * common >= percent * (len(a) + len(b) - common)
 
 
 class Maps:
@@ -113,15 +113,15 @@ class Maps:
 class Keys:
     """The keys of a set, given the maps and the boundary."""
 
-    def __init__(self, maps: Maps, boundary: int):
-        self.maps, self.boundary = maps, boundary
+    def __init__(self, maps: Maps, boundary: int, percent: int):
+        self.maps, self.boundary, self.percent = maps, boundary, percent
 
     def __call__(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Keys and their places: a set has ``n - place`` shingles at most in common with one that shares this key first."""
         n = len(own)
-        if 100 * n // PERCENT == n:  # no other size is near enough, and an equal size only if all are shared
+        if 100 * n // self.percent == n:  # no other size is near enough, and an equal size only if all are shared
             return np.zeros(0, np.int64), np.zeros(0, np.int32)
-        spare = n - needed(n)
+        spare = n - needed(n, self.percent)
         ranks = self.maps.ranks(own)
         order = np.argsort(ranks, kind="stable")[: spare + 2]
         first, ranks = own[order], ranks[order]
@@ -133,21 +133,21 @@ class Keys:
             low, high = np.minimum(first[at[i]], first[at[j]]), np.maximum(first[at[i]], first[at[j]])
             keys.append(_mixed(low * _A[1] + _mixed(high * _A[2])))
             places.append(at[j] - 1)
-        if n > self.boundary or 100 * n >= PERCENT * (self.boundary + 1):
+        if n > self.boundary or 100 * n >= self.percent * (self.boundary + 1):
             place = np.flatnonzero(useful[: spare + 1]).astype(np.int32)
             keys.append(first[place])
             places.append(place)
         return np.concatenate(keys).view(np.int64), np.concatenate(places)
 
 
-def choose_boundary(sizes: np.ndarray, many: np.ndarray, list_length: float) -> int:
+def choose_boundary(sizes: np.ndarray, many: np.ndarray, list_length: float, percent: int = PERCENT) -> int:
     """The size up to which enumerating pairs of the prefix costs less than scanning lists.
 
     ``many`` sets have each of the ascending ``sizes``.
     """
     if not len(sizes):
         return 0
-    spare = (sizes - -(-PERCENT * sizes // 100)).astype(np.float64)
+    spare = (sizes - -(-percent * sizes // 100)).astype(np.float64)
     subsets = np.concatenate([[0.0], np.cumsum(many * (spare + 2) * (spare + 1) / 2)])
     scans = many * (spare + 1) * (1 + list_length)
     scans = np.concatenate([np.cumsum(scans[::-1])[::-1], [0.0]])
@@ -163,7 +163,7 @@ def _buckets(rows: int) -> int:
 _COUNTED = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 
 
-def _counted(lead: int):
+def _counted(lead: int, words: int):
     """Leading bits of the shingles of a block by bucket, sorted, with their documents; bucket -1 has the sets' sizes."""
 
     def rows(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +181,7 @@ def _counted(lead: int):
         sizes = np.zeros(LARGEST + 1, np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
-                sets = [shingles(t) for t in texts(part.column("text"))]
+                sets = [shingles(t, words) for t in texts(part.column("text"))]
                 parts += [s >> np.uint64(32 - lead) for s in sets]
                 sizes += np.bincount([min(len(s), LARGEST) for s in sets], minlength=LARGEST + 1)
                 held += sum(map(len, sets))
@@ -232,10 +232,10 @@ def _mapped(lead: int):
     return run
 
 
-def survey(docs: DataFrame) -> Keys:
+def survey(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> Keys:
     """Counts all shingles and sizes; the maps and the boundary that follow."""
     lead = _buckets(docs.count())
-    counted = stored(docs.select("text").mapInArrow(_counted(lead), "bucket int, blob binary"), "shingle_counts")
+    counted = stored(docs.select("text").mapInArrow(_counted(lead, words), "bucket int, blob binary"), "shingle_counts")
     sizes = np.zeros(LARGEST + 1, np.int64)
     for blob in counted.where("bucket = -1").select("blob").toArrow().column("blob"):  # a short list a task
         sizes += unpack(blob.as_py()).column("n").to_numpy()
@@ -257,16 +257,17 @@ def survey(docs: DataFrame) -> Keys:
     first, second = loads.get((0, least)), loads.get((1, LEAST_SEEN[1]))
     total, squares = (first[c] - (second[c] if second and least < LEAST_SEEN[1] else 0) if first else 0 for c in ("total", "squares"))
     length = max(0.0, squares / max(1, total) - 1)
-    own = np.flatnonzero(sizes[6:]) + 6
-    return Keys(Maps(bits, least), choose_boundary(own, sizes[own].astype(np.float64), length))
+    own = np.flatnonzero(sizes)
+    own = own[100 * own // percent > own]  # the others make no keys
+    return Keys(Maps(bits, least), choose_boundary(own, sizes[own].astype(np.float64), length, percent), percent)
 
 
-def _sketch(keys):
+def _sketch(keys, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = keys.value
         for batch in batches:
             for part in slices(batch, "text"):
-                sets = [shingles(t) for t in texts(part.column("text"))]
+                sets = [shingles(t, words) for t in texts(part.column("text"))]
                 keyed = [of(s) for s in sets]
                 digest = [sha256(s.tobytes()).digest()[:16] if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array([k for k, _ in keyed], pa.list_(pa.int64())), pa.array([p for _, p in keyed], pa.list_(pa.int32()))], names=["doc_id", "n_shingles", "digest", "keys", "places"])
@@ -275,15 +276,18 @@ def _sketch(keys):
 
 
 @lru_cache(maxsize=8)
-def _shingles_again(text: str) -> np.ndarray:
-    return shingles(text)
+def _shingles_again(text: str, words: int) -> np.ndarray:
+    return shingles(text, words)
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, "text_b"):
-            ok = [links(_shingles_again(x), shingles(y)) for x, y in zip(part.column("text_a").to_pylist(), part.column("text_b").to_pylist(), strict=True)]
-            yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+def _verify(percent: int, words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text_b"):
+                ok = [links(_shingles_again(x, words), shingles(y, words), percent) for x, y in zip(part.column("text_a").to_pylist(), part.column("text_b").to_pylist(), strict=True)]
+                yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
 
 
 def width_for(spark: SparkSession, rows: int) -> int:
@@ -291,13 +295,13 @@ def width_for(spark: SparkSession, rows: int) -> int:
     return min(shuffle_partitions(spark), 1 + rows // ROWS_EACH)
 
 
-def verified(pairs: DataFrame, pool: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, pool: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """The pairs (a, b) that link: sizes are compared before the second text is fetched."""
     pairs = stored(pairs.distinct(), "pairs")
     width = width_for(pairs.sparkSession, 16 * pairs.count())  # rows with texts
     first = pairs.join(pool.toDF("b", "text_b", "n_b"), "b").coalesce(width)
-    near = first.join(pool.toDF("a", "text_a", "n_a"), "a").where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
-    return stored(near.select("a", "b", "text_a", "text_b").coalesce(width).mapInArrow(_verify, "a long, b long"), "links")
+    near = first.join(pool.toDF("a", "text_a", "n_a"), "a").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    return stored(near.select("a", "b", "text_a", "text_b").coalesce(width).mapInArrow(_verify(percent, words), "a long, b long"), "links")
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -335,19 +339,19 @@ def _open(rows: DataFrame) -> DataFrame:
     return left.join(several, "key")
 
 
-def link_components(keys: DataFrame, pool_of) -> DataFrame:
+def link_components(keys: DataFrame, pool_of, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """Components of the classes: ``node`` and ``component`` of those that link with another class.
 
     ``keys`` has ``key``, ``member`` and its size ``n``. ``pool_of`` gives doc_id, text and n of the ids asked for.
     """
     spark = keys.sparkSession
     # A pair's smaller set has their first common shingle so early that enough follows; lists without such a member hold no pair.
-    keys = keys.withColumn("early", (100 + PERCENT) * (F.col("n") - F.col("place")) >= 2 * PERCENT * F.col("n"))
+    keys = keys.withColumn("early", (100 + percent) * (F.col("n") - F.col("place")) >= 2 * percent * F.col("n"))
     lists = keys.groupBy("key").agg(F.min(F.when(F.col("early"), F.col("member"))).alias("hub"), F.min("member").alias("first"), F.max("member").alias("last")).where("first < last and hub is not null").select("key", "hub")
     rows = stored(keys.join(lists.hint("shuffle_hash"), "key"), "lists")
     pool = pool_of(rows.select(F.col("member").alias("doc_id"), "n").distinct())
     pairs = rows.where("member <> hub").select(F.col("hub").alias("a"), F.col("member").alias("b"))
-    found = verified(pairs, pool)
+    found = verified(pairs, pool, percent, words)
     comps = components(spark, found)
     while True:
         rows = stored(_open(_with_component(rows, comps)), "lists")
@@ -360,25 +364,25 @@ def link_components(keys: DataFrame, pool_of) -> DataFrame:
         last = n_pairs <= PAIRS_PER_ROW * n_rows
         if last:
             # At the first shingle that two sets share, all they may share is what follows in both.
-            possible = (100 + PERCENT) * F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= PERCENT * (F.col("x.n") + F.col("y.n"))
+            possible = (100 + percent) * F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= percent * (F.col("x.n") + F.col("y.n"))
             ordered = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.member") < F.col("y.member")))
             met = rows.where("early").alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & ordered & (F.col("x.component") != F.col("y.component")) & possible)
             pairs = met.select(F.col("x.member").alias("a"), F.col("y.member").alias("b"))
         else:
             hubs = rows.where("member = hub").select("key", F.col("component").alias("of")).distinct()
             pairs = rows.where("member <> hub").join(hubs, "key").where("component <> of").select(F.col("hub").alias("a"), F.col("member").alias("b"))
-        new = verified(pairs, pool)
+        new = verified(pairs, pool, percent, words)
         comps = components(spark, new.unionByName(comps.select(F.col("node").alias("a"), F.col("component").alias("b"))))
         if last:
             return comps
 
 
-def join(docs: DataFrame) -> DataFrame:
+def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row."""
     spark = docs.sparkSession
     source = spread(docs.select("doc_id", "text"))
-    keys = spark.sparkContext.broadcast(survey(source))  # maps of fixed size
-    sketches = stored(source.mapInArrow(_sketch(keys), "doc_id long, n_shingles long, digest binary, keys array<long>, places array<int>"), "sketches")
+    keys = spark.sparkContext.broadcast(survey(source, percent, words))  # maps of fixed size
+    sketches = stored(source.mapInArrow(_sketch(keys, words), "doc_id long, n_shingles long, digest binary, keys array<long>, places array<int>"), "sketches")
     classes = sketches.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("member"))
     chosen = sketches.where("size(keys) > 0").select("doc_id", "n_shingles", "keys", "places").join(classes.select("member").hint("shuffle_hash"), F.col("doc_id") == F.col("member"), "left_semi")
     exploded = chosen.select(F.explode(F.arrays_zip("keys", "places")).alias("k"), "doc_id", "n_shingles").selectExpr("k.keys as key", "k.places as place", "doc_id as member", "n_shingles as n")
@@ -388,13 +392,13 @@ def join(docs: DataFrame) -> DataFrame:
         few = ids.count() <= BROADCAST_IDS
         return stored(docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), "doc_id").dropDuplicates(["doc_id"]), "pool")
 
-    comps = link_components(exploded, pool_of)
+    comps = link_components(exploded, pool_of, percent, words)
     of_class = classes.join(comps, F.col("member") == F.col("node"), "left").select("digest", F.coalesce("component", "member").alias("component"))
     return sketches.join(of_class, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """The row of each component's smallest doc_id, in all columns; one of repeated rows."""
-    kept = join(docs.select("doc_id", "text")).where("doc_id = component_id").select(F.col("doc_id").alias("of")).distinct()
+    kept = join(docs.select("doc_id", "text"), percent, words).where("doc_id = component_id").select(F.col("doc_id").alias("of")).distinct()
     rows = docs.join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col("of"), "left_semi")
     return rows.dropDuplicates(["doc_id"])
