@@ -67,3 +67,28 @@ def test_chunked():
 
 def test_empty(spark):
     assert warc.report(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_repeated_rows_and_null_ids(spark):
+    """Each row comes back, of whatever size: equal rows, one page_id with other html, null page_ids."""
+    long, half, short = "a" * 30_000, "b" * 9_000, "tiny"
+    rows = [(1, "u", long, ""), (1, "u", long, ""), (1, "v", long, ""), (2, "u", short, ""), (2, "u", short, ""), (3, "u", half, ""), (3, "u", "c" * 20_000, ""), (4, "u", half, ""), (4, "u", half, "")]
+    rows += [(None, "u", "d" * 20_000, ""), (None, "u", "d" * 20_000, ""), (None, "u", half, ""), (None, None, None, ""), (-7, "u", "e" * 20_000, "")]
+    pages = spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+    def one(page_id, html):
+        data = (html or "").encode()
+        largest = max((p for p, _, h, _ in rows if h == html and p is not None), default=None)
+        again = len(data) >= 1000 and largest not in (None, page_id)
+        return page_id, len(data), sha1(data).hexdigest(), "revisit" if again else "response", largest if again else None
+
+    order = lambda x: tuple((v is not None, v) for v in x)
+    assert sorted(map(tuple, warc.report(pages).collect()), key=order) == sorted((one(r[0], r[2]) for r in rows), key=order)
+    path = scratch(spark, "w")
+    warc.write_archives(pages, path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).collect()
+    fields = [f for r in files for f in warc.parse_records(warc.gzip.decompress(r.content))]
+    ids = [f[0] for f in fields]
+    assert len(ids) == len(set(ids))
+    named = {x for r in files for x in warc.gzip.decompress(r.content).decode().split("WARC-Refers-To: ")[1:]}
+    assert named and {x.split("\r\n")[0] for x in named} <= {f[0] for f in fields if f[2] == "response"}

@@ -6,6 +6,10 @@ with an equal payload. A block longer than the segment size is cut: the first
 segment keeps the record's type, the others are ``continuation`` records that
 name it as their origin.
 
+A record's identifier states the page, its payload's digest and the copy's
+number, so that repeated rows, and rows that share a page_id with other html,
+are records of their own. A null page_id is written as ``none`` and read as null.
+
 Reading parses each file by the records' lengths, groups continuation records
 by the origin's identifier, orders them by segment number, verifies the total
 length, and decodes the chunked framing. A set of segments with a gap, a double
@@ -17,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import gzip
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import sha1
 
@@ -35,8 +40,8 @@ _VERSION = b"WARC/1.1\r\n"
 _END = b"\r\n\r\n"
 
 
-def record_id(page_id: int, segment: int = 1) -> str:
-    return f"<urn:page:{page_id}>" if segment == 1 else f"<urn:page:{page_id}:{segment}>"
+def record_id(page_id: int | None, digest: str, copy: int = 1, segment: int = 1) -> str:
+    return f"<urn:page:{'none' if page_id is None else page_id}:{digest}:{copy}:{segment}>"
 
 
 def chunked(body: bytes, size: int = CHUNK_BYTES) -> bytes:
@@ -74,25 +79,26 @@ def _head(fields: list[tuple[str, str]], length: int) -> bytes:
     return _VERSION + b"".join(f"{k}: {v}\r\n".encode() for k, v in lines) + b"\r\n"
 
 
-def records(page_id: int, url: str | None, payload: bytes, refers_to: int | None, segment_bytes: int) -> Iterator[bytes]:
+def records(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, segment_bytes: int, copy: int = 1) -> Iterator[bytes]:
     """The record of a page, or its segments, each without the blank lines after it."""
-    digest = "sha1:" + base64.b32encode(sha1(payload).digest()).decode()
+    bare = base64.b32encode(sha1(payload).digest()).decode()
+    digest = "sha1:" + bare
     target = "".join(c if "!" <= c <= "~" else "".join(f"%{b:02X}" for b in c.encode()) for c in url or "urn:none")
     base = [("WARC-Target-URI", target), ("WARC-Date", _DATE), ("WARC-Payload-Digest", digest), ("WARC-Payload-Length", str(len(payload)))]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     kind = ("Content-Type", "application/http; msgtype=response")
     if refers_to is not None:
-        fields = [("WARC-Type", "revisit"), ("WARC-Record-ID", record_id(page_id)), ("WARC-Refers-To", record_id(refers_to)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), *base, kind]
+        fields = [("WARC-Type", "revisit"), ("WARC-Record-ID", record_id(page_id, bare, copy)), ("WARC-Refers-To", record_id(refers_to, bare)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), *base, kind]
         yield _head(fields, len(http)) + http
         return
     block = http + chunked(payload)
     cuts = [block[at : at + segment_bytes] for at in range(0, len(block), segment_bytes)]
     for i, cut in enumerate(cuts, 1):
-        fields = [("WARC-Type", "response" if i == 1 else "continuation"), ("WARC-Record-ID", record_id(page_id, i)), *base]
+        fields = [("WARC-Type", "response" if i == 1 else "continuation"), ("WARC-Record-ID", record_id(page_id, bare, copy, i)), *base]
         if len(cuts) > 1:
             fields.append(("WARC-Segment-Number", str(i)))
         if i > 1:
-            fields.append(("WARC-Segment-Origin-ID", record_id(page_id)))
+            fields.append(("WARC-Segment-Origin-ID", record_id(page_id, bare, copy)))
         if 1 < i == len(cuts):
             fields.append(("WARC-Segment-Total-Length", str(len(block))))
         if i == 1:
@@ -102,11 +108,14 @@ def records(page_id: int, url: str | None, payload: bytes, refers_to: int | None
 
 def _to_records(segment_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: Counter[str] = Counter()  # copies so far of the keys that have several; all rows of a key are in one task
         for batch in batches:
             for part in slices(batch, "payload"):
                 places, out = [], []
-                for page_id, url, payload, refers_to in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to")), strict=True):
-                    for i, x in enumerate(records(page_id, url, payload or b"", refers_to, segment_bytes)):
+                for page_id, url, payload, refers_to, repeated in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to", "repeated")), strict=True):
+                    if repeated is not None:
+                        met[repeated] += 1
+                    for i, x in enumerate(records(page_id, url, payload or b"", refers_to, segment_bytes, 1 if repeated is None else met[repeated])):
                         places.append(i)
                         out.append((page_id, x))
                 yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array(places, pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["page_id", "segment", "record"])
@@ -117,19 +126,24 @@ def _to_records(segment_bytes: int):
 def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, least: int = LEAST_REVISIT) -> None:
     """Writes WARC files under ``path``.
 
-    Of records with equal payloads of ``least`` bytes or more, that with the
-    largest page_id is the response and the others revisit it. Copies meet as
-    (digest, largest id) before any shuffle; the pages themselves move once, by
-    page_id.
+    Of records with equal payloads of ``least`` bytes or more, those with the
+    largest page_id are responses and the others, null page_ids among them,
+    revisit the first of these. Copies meet as (digest, largest id) before any
+    shuffle; the pages themselves move once, by page_id and digest.
     """
     spark = pages.sparkSession
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     digest = F.unhex(F.sha1(payload))
-    keyed = pages.select("page_id", digest.alias("digest"), F.octet_length(payload).alias("length")).where(F.col("length") >= least)
-    kept = keyed.groupBy("digest").agg(F.max("page_id").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    revisits = keyed.join(kept, "digest").where("page_id <> kept").select(F.col("page_id").alias("of"), F.col("kept").alias("refers_to")).dropDuplicates(["of"])
-    rows = pages.select("page_id", "url", payload.alias("payload")).join(revisits.hint("shuffle_hash"), F.col("page_id") == F.col("of"), "left")
-    made = rows.select("page_id", "url", "payload", "refers_to")
+    key = F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(":"), F.sha1(payload))
+    keyed = pages.select("page_id", digest.alias("digest"), key.alias("key"), F.octet_length(payload).alias("length"))
+    groups = keyed.groupBy("key", "page_id", "digest", "length").agg(F.count(F.lit(1)).alias("n"))
+    kept = keyed.where(F.col("length") >= least).groupBy("digest").agg(F.max("page_id").alias("kept"), F.count(F.lit(1)).alias("several")).where("several > 1 and kept is not null")
+    refers_to = F.when(~F.col("page_id").eqNullSafe(F.col("kept")), F.col("kept"))
+    told = groups.join(kept, "digest", "left").select(F.col("key").alias("of"), F.when(F.col("kept").isNotNull(), refers_to).alias("refers_to"), F.when(F.col("n") > 1, F.col("key")).alias("repeated"))
+    told = told.where("refers_to is not null or repeated is not null")
+    # An explicit repartition is never split, so a task has all rows of its keys.
+    rows = pages.select("page_id", "url", payload.alias("payload"), key.alias("key")).repartition("key")
+    made = rows.join(told.hint("shuffle_hash"), F.col("key") == F.col("of"), "left").select("page_id", "url", "payload", "refers_to", "repeated")
     made = made.mapInArrow(_to_records(segment_bytes), "page_id long, segment long, record binary")
     # A text file with the two blank lines as separator is a WARC file; the bytes are written as they are.
     made.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
@@ -142,7 +156,8 @@ _PARSED_ARROW = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()),
 def _page_of(identifier: str | None) -> int | None:
     if not identifier or not identifier.startswith("<urn:page:"):
         return None
-    return int(identifier[10:-1].split(":")[0])
+    page = identifier[10:-1].split(":")[0]
+    return int(page) if page.removeprefix("-").isdigit() else None
 
 
 def parse_records(data: bytes) -> Iterator[tuple]:
