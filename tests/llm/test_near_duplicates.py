@@ -47,3 +47,16 @@ def test_pipeline_links_from_eighty_percent(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in cp.near_duplicates(spark, docs, "").collect()) == [1, 3]
     assert sorted(r.doc_id for r in jj.keep_one(docs).collect()) == [1, 2, 3, 4]
+
+
+def test_null_and_reused_ids(spark):
+    """A row goes only if a row that it links with stays."""
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcdefg"}
+    near = {k: t + " more" for k, t in text.items()}
+    stay = [(None, text["a"], "x"), (1, text["b"], "x"), (5, text["c"], "x"), (5, text["d"], "x"), (7, None, "x"), (None, None, "x"), (None, "", "x"), (None, " ", "y"), (9, text["f"], "x")]
+    go = [(None, near["b"], "x"), (6, near["c"], "x"), (6, near["d"], "x"), (None, near["d"], "x"), (7, None, "x"), (None, " ", "y"), (9, text["f"], "x")]
+    twice = [(None, text["g"], "x"), (None, text["g"], "x")]
+    docs = spark.createDataFrame(stay + go + twice, "doc_id long, text string, source string").repartition(3)
+    order = lambda r: tuple((v is not None, v) for v in r)
+    got = sorted(map(tuple, jj.keep_one(docs, 80, 5).collect()), key=order)
+    assert got == sorted(stay + twice[:1], key=order)

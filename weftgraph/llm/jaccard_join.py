@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pack, shuffle_partitions, slices, spread, stored, texts, unpack
+from .common import WORD, pack, shuffle_partitions, slices, spread, stored, texts, unpack
 
 #: Two sets link from PERCENT per cent of their union on; shingles have WORDS words. Defaults, those of op4.
 PERCENT, WORDS = 85, 4
@@ -398,7 +398,16 @@ def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFra
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """The row of each component's smallest doc_id, in all columns; one of repeated rows."""
-    kept = join(docs.select("doc_id", "text"), percent, words).where("doc_id = component_id").select(F.col("doc_id").alias("of")).distinct()
-    rows = docs.join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col("of"), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    """One row of each component, in all columns: that of the smallest doc_id, and among rows that share it, of the smallest hash.
+
+    Rows are told apart by a number of their own, so doc_id may be null (these
+    come last) or reused: a row goes only if one of its component stays. A row
+    without words goes only if another equals it in all columns.
+    """
+    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = join(numbered.select(F.col("_row").alias("doc_id"), "text"), percent, words).where("n_shingles > 0").select(F.col("doc_id").alias("_row"), "component_id")
+    place = F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", F.xxhash64(*docs.columns).alias("hash"), "_row")
+    kept = found.join(numbered.select("_row", place.alias("place")), "_row").groupBy("component_id").agg(F.min("place")["_row"].alias("of")).select("of")
+    wordless = numbered.where(~F.coalesce(F.col("text").rlike(WORD), F.lit(False))).groupBy(*docs.columns).agg(F.min("_row").alias("of")).select("of")
+    rows = numbered.join(kept.unionByName(wordless).hint("shuffle_hash"), F.col("_row") == F.col("of"), "left_semi")
+    return rows.select(*docs.columns)
