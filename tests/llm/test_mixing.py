@@ -1,5 +1,5 @@
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -67,3 +67,15 @@ def test_mix_repeats_rows(docs, nothing, small):
         got[r.doc_id, words(r.text)] += 1
     assert all(got[k] == n for k, n in taken.items() if k[0] != 14)
     assert mx.report(nothing).count() == 0 and mx.mix(nothing).count() == 0
+
+
+def test_mix_counts_rows_of_one_id_apart(spark):
+    """Every row comes as often as systematic sampling says, whether or not others share its id."""
+    rows = [(i // 4 if i % 8 else None, f"a b w{i}", "a" if i % 2 else "b") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    wanted = Counter()
+    for r in mx.copies(docs).collect():
+        wanted[r.doc_id, r.source] += r.copies
+    got = mx.mix(docs).collect()
+    assert Counter((r.doc_id, r.source) for r in got) == +wanted
+    assert abs(sum(r.source == "b" for r in got) - 200 * 2 / 7) <= 1.01 and max(Counter(r.text for r in got).values()) == 2

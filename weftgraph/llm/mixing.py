@@ -29,8 +29,8 @@ MOST_TIMES = 3.0
 CELL_ROWS = 20_000
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def sized(docs: DataFrame, *own: str) -> DataFrame:
+    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *own)
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most_times: float = MOST_TIMES) -> DataFrame:
@@ -56,9 +56,9 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most_times: fl
     return by.select("source", "source_size", "docs", target.cast("double").alias("target"))
 
 
-def copies(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most_times: float = MOST_TIMES, seed: int = 17) -> DataFrame:
-    """``doc_id``, ``source``, ``size``, ``source_size``, ``target`` and ``copies`` of every row."""
-    rows = sized(docs).withColumn("draw", F.xxhash64(F.lit(seed), "doc_id"))
+def copies(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most_times: float = MOST_TIMES, seed: int = 17, own: Sequence[str] = ()) -> DataFrame:
+    """``doc_id``, ``source``, ``size``, ``source_size``, ``target`` and ``copies`` of every row, and its columns ``own``, which break ties."""
+    rows = sized(docs, *own).withColumn("draw", F.xxhash64(F.lit(seed), "doc_id"))
     rows = stored(rows, "sizes")  # narrow; read three times
     goals = targets(rows, weights, most_times)
     counts = rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
@@ -70,14 +70,14 @@ def copies(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most_times: floa
     per_cell = dealt.groupBy("source", "size", "cell").agg(F.count(F.lit(1)).alias("n"))
     upto = Window.partitionBy("source").orderBy("size", "cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_cell.withColumn("start", F.coalesce(F.sum("n").over(upto), F.lit(0))).drop("n")
-    inside = Window.partitionBy("source", "size", "cell").orderBy("draw", "doc_id")
+    inside = Window.partitionBy("source", "size", "cell").orderBy("draw", "doc_id", *own)
     ranked = dealt.withColumn("rank", F.row_number().over(inside))
     placed = ranked.alias("r").join(starts.alias("s"), same_cell()).select("r.*", (F.col("s.start") + F.col("r.rank")).alias("position"))
     goals = goals.withColumn("rate", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(most_times))).otherwise(F.lit(0.0)))
     goals = goals.withColumn("offset", F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), F.coalesce("source", F.lit("")), F.isnull("source")), 33).cast("double") / float(1 << 31))
     joined = placed.alias("p").join(goals.alias("g"), F.col("p.source").eqNullSafe(F.col("g.source")))
     crossed = F.floor(F.col("position") * F.col("rate") + F.col("offset")) - F.floor((F.col("position") - 1) * F.col("rate") + F.col("offset"))
-    return joined.select("p.doc_id", "p.source", "p.size", "g.source_size", "g.target", F.least(crossed, F.lit(int(most_times))).cast("long").alias("copies"))
+    return joined.select("p.doc_id", "p.source", "p.size", "g.source_size", "g.target", F.least(crossed, F.lit(int(most_times))).cast("long").alias("copies"), *(f"p.{c}" for c in own))
 
 
 def same_cell():
@@ -85,9 +85,10 @@ def same_cell():
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixture: each row of ``docs`` as often as it is taken, in all its columns."""
-    taken = copies(docs, **options).where("copies > 0").groupBy(F.col("doc_id").alias("of")).agg(F.max("copies").alias("copies"))
-    joined = docs.join(taken.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("of")))
+    """The mixture: each row of ``docs`` as often as it is taken, in all its columns; rows that share a doc_id count apart."""
+    numbered = stored(docs.withColumns({"_tie": F.xxhash64(*docs.columns), "_row": F.monotonically_increasing_id()}), "numbered")
+    taken = copies(numbered, own=("_tie", "_row"), **options).where("copies > 0").select(F.col("_row").alias("of"), "copies")
+    joined = numbered.join(taken.hint("shuffle_hash"), F.col("_row") == F.col("of"))
     again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
     return joined.withColumn("_copy", again).select(*docs.columns)
 
