@@ -67,3 +67,18 @@ def test_edges(docs, nothing, small):
     assert la.keep_identified(docs).columns == docs.columns
     unlabelled = docs.selectExpr("doc_id", "text", "cast(null as string) as lang")
     assert {r.lang_pred for r in la.identify(unlabelled).collect()} == {"und"}
+
+
+def test_rare_languages_are_learned(spark, monkeypatch):
+    """All of 300 languages, and words scored in several blocks."""
+    def text(k):
+        return " ".join(chr(97 + k // 26) + chr(97 + k % 26) + x for x in ("kmo", "vut", "zzi", "ploq", "hyrr")) * 8
+
+    rows = [(k * 10 + i, text(k), f"l{k:03}") for k in range(300) for i in range(10)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = la.fit(frame)
+    assert len(model.languages) == 300 and model.logs.size <= 256 << la.BITS
+    whole = la.label([text(299) + " " + text(0)], model)
+    monkeypatch.setattr(la, "SLOT_SCORES", 5_000)
+    assert la.label([text(299) + " " + text(0)], model) == whole
+    assert np.mean([la.label([text(k)], model)[0] == [f"l{k:03}"] for k in range(300)]) > 0.9

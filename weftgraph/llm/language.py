@@ -6,7 +6,8 @@ candidate; Viterbi over the words, with a penalty for a switch, labels spans of
 mixed text. The document's language is the one with the most letters.
 
 Trained on a bounded sample: about ``SAMPLE`` documents of each language, drawn
-by id hash. Null text or text without a letter is ``und`` with score 0 and no
+by id hash. All languages are learned; beyond ``FINE_LANGUAGES`` of them the
+trigram slots get fewer, so that the tables stay of one size. Null text or text without a letter is ``und`` with score 0 and no
 spans; so is everything if there is nothing to learn from. Null languages don't
 train. A tie goes to the language that sorts first.
 """
@@ -26,9 +27,11 @@ from .common import crc_mod, slices, spread, texts
 
 #: Documents of a language that train, about.
 SAMPLE = 2_000
-#: Most languages that are learned: those with the most documents.
-MOST_LANGUAGES = 256
 BITS = 15
+#: Up to so many languages trigrams have 2 ** BITS slots; each doubling from there on halves the slots, down to 2 ** LEAST_BITS.
+FINE_LANGUAGES, LEAST_BITS = 256, 8
+#: Scores of trigrams, or of a text's words, that are held at a time: trigrams (bytes of text) times languages.
+SLOT_SCORES = 1 << 21
 #: Nats that a switch of language costs, and a word in a script that its language wasn't seen in.
 SWITCH, WRONG_SCRIPT = 12.0, 20.0
 #: A language is a candidate in a script from this share of its letters on.
@@ -101,14 +104,28 @@ class Model:
     logs: np.ndarray  # slot x language
     allowed: np.ndarray  # script x language: 0, or the cost of a script that it wasn't seen in
 
+    @property
+    def batch_bytes(self) -> int:
+        """Texts that Viterbi runs over at a time: fewer if there are many languages."""
+        return VITERBI_BYTES * 8 // max(8, len(self.languages))
+
+
+def bits_for(languages: int) -> int:
+    """Bits of a trigram slot."""
+    return max(LEAST_BITS, BITS - max(0, (languages - 1) // FINE_LANGUAGES).bit_length())
+
 
 def emissions(words: Words, model: Model) -> np.ndarray:
     """Log-likelihood of each word in each language; 0 for words without a letter."""
     out = np.zeros((len(words.start), len(model.languages)), np.float32)
     if len(words.slots):
         at = np.flatnonzero(np.concatenate([[True], words.slot_word[1:] != words.slot_word[:-1]]))
-        own = words.slot_word[at]
-        out[own] = np.add.reduceat(model.logs[words.slots], at, axis=0) - model.allowed[words.script[own]]
+        slots = words.slots >> np.uint32(BITS - bits_for(len(model.languages)))
+        cuts = np.flatnonzero(np.diff(at // max(1, SLOT_SCORES // max(1, len(model.languages))), prepend=-1))  # whole words
+        for low, high in zip(cuts, [*cuts[1:], len(at)], strict=True):
+            own = words.slot_word[at[low:high]]
+            stop = at[high] if high < len(at) else len(slots)
+            out[own] = np.add.reduceat(model.logs[slots[at[low] : stop]], at[low:high] - at[low], axis=0) - model.allowed[words.script[own]]
     return out
 
 
@@ -118,13 +135,14 @@ def viterbi(scores: np.ndarray, first: np.ndarray, counts: np.ndarray, switch: f
     ``scores`` holds the words of text after text, ``first`` where each text's
     begin and ``counts`` how many there are.
     """
-    best = np.zeros(len(scores), np.int16)
+    kind = np.int16 if scores.ndim < 2 or scores.shape[1] < 1 << 15 else np.int32
+    best = np.zeros(len(scores), kind)
     if not len(scores):
         return best
     order = np.argsort(-counts, kind="stable")
     first, counts = first[order], counts[order]
     active = np.searchsorted(-counts, -np.arange(int(counts[0])), side="left")  # texts longer than k
-    came = np.zeros(len(scores), np.int16)  # the language before, if the word switched
+    came = np.zeros(len(scores), kind)  # the language before, if the word switched
     stay = np.zeros(scores.shape, bool)
     v = np.zeros((len(order), scores.shape[1]), np.float32)
     for k in range(int(counts[0])):
@@ -138,7 +156,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, counts: np.ndarray, switch: f
             v[:n] = np.maximum(v[:n], high[:, None])
         v[:n] += scores[at]
         v[:n] -= v[:n].max(axis=1)[:, None]
-    state = v.argmax(axis=1).astype(np.int16)
+    state = v.argmax(axis=1).astype(kind)
     for k in range(int(counts[0]) - 1, -1, -1):
         n = active[k]
         at = first[:n] + k
@@ -148,7 +166,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, counts: np.ndarray, switch: f
     return best
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """Letters by language, trigram slot and script of a task's documents."""
     grams: dict[str, np.ndarray] = {}
     scripts: dict[str, np.ndarray] = {}
@@ -158,7 +176,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             many = texts(part.column("text"))
             for lang in set(langs):
                 words = words_of([t for t, x in zip(many, langs, strict=True) if x == lang])
-                grams[lang] = grams.get(lang, 0) + np.bincount(words.slots, minlength=1 << BITS)
+                grams[lang] = grams.get(lang, 0) + np.bincount(words.slots >> np.uint32(BITS - bits), minlength=1 << bits)
                 scripts[lang] = scripts.get(lang, 0) + np.bincount(words.script, weights=words.letters, minlength=len(SCRIPT_NAMES)).astype(np.int64)
     for lang, counts in grams.items():
         every = np.concatenate([counts, scripts[lang]])
@@ -169,20 +187,21 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame) -> Model:
     """Learns from text and language of documents whose crc32 of the id modulo 4 is not 2."""
     usable = docs.where(F.col("lang").isNotNull() & F.coalesce(crc_mod("doc_id", 4) != 2, F.lit(False)))
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    sizes = usable.groupBy("lang").count().collect()
     if not sizes:
         return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros((len(SCRIPT_NAMES), 0), np.float32))
+    bits = bits_for(len(sizes))
     share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, SAMPLE / r["count"])) for r in sizes], "of string, share double")
     unit = F.shiftrightunsigned(F.xxhash64(F.lit(3), "doc_id"), 33).cast("double") / float(1 << 31)
     drawn = usable.join(F.broadcast(share), F.col("lang") == F.col("of")).where(unit < F.col("share"))
-    counted = drawn.select("lang", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_count, "lang string, slot int, n long")
+    counted = drawn.select("lang", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(lambda batches: _count(batches, bits), "lang string, slot int, n long")
     table = counted.groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()  # at most languages x slots
     languages = sorted(r["lang"] for r in sizes)
     place = {x: i for i, x in enumerate(languages)}
-    counts = np.zeros(((1 << BITS) + len(SCRIPT_NAMES), len(languages)))
+    counts = np.zeros(((1 << bits) + len(SCRIPT_NAMES), len(languages)))
     counts[table.column("slot").to_numpy(), [place[x] for x in table.column("lang").to_pylist()]] = table.column("n").to_numpy()
-    grams, scripts = counts[: 1 << BITS], counts[1 << BITS :]
-    logs = np.log((grams + 0.5) / (grams.sum(axis=0) + 0.5 * (1 << BITS)))
+    grams, scripts = counts[: 1 << bits], counts[1 << bits :]
+    logs = np.log((grams + 0.5) / (grams.sum(axis=0) + 0.5 * (1 << bits)))
     allowed = np.where(scripts >= LEAST_SHARE * np.maximum(1, scripts.sum(axis=0)), 0.0, WRONG_SCRIPT)
     # A script that no language was seen in leaves all as candidates.
     allowed[(allowed > 0).all(axis=1)] = 0.0
@@ -239,7 +258,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", VITERBI_BYTES):
+            for part in slices(batch, "text", known.value.batch_bytes):
                 langs, shares, spans = _label_batch(part, known.value)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(langs, pa.string()), pa.array(shares, pa.float64()), pa.array(spans, _SPAN)], names=["doc_id", "held_out", "lang_pred", "score", "spans"])
 
@@ -254,7 +273,7 @@ def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", VITERBI_BYTES):
+            for part in slices(batch, "text", known.value.batch_bytes):
                 langs, shares, _ = _label_batch(part, known.value)
                 yield part.filter(pa.array([x != "und" and s >= least for x, s in zip(langs, shares, strict=True)], pa.bool_()))
 
