@@ -6,7 +6,11 @@ estimates the Jaccard likeness of two phrase dictionaries: texts that would
 compress each other well share phrases.
 
 Null text counts as empty. Two texts without phrases are alike (1.0); a text
-without phrases and one with phrases are not (0.0).
+without phrases and one with phrases are not (0.0). Repeated rows have equal
+fingerprints; an empty table gives an empty result. A text is parsed whole, one
+at a time: a worker holds its phrases besides a slice of ``SLICE_BYTES``. A
+column called ``fingerprint`` gets an underscore more; other columns are kept
+(``fingerprints``) or not read (``edited_fingerprints``).
 """
 
 from __future__ import annotations
@@ -21,9 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import aside, block_ids, shuffle_partitions, slices
+
 SLOTS = 128
-#: Documents that go in order to one task, and the most such runs: their heads are broadcast.
+#: Documents of a run, which is sorted in one task, and the most runs: their bounds and heads are broadcast.
 RUN_ROWS, MOST_RUNS = 500, 65_536
+#: Ids a run that the bounds are read from.
+SAMPLED = 20
 
 _ROOT = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_ROOT), -1, 1 << 64))
@@ -168,11 +176,13 @@ class Parsed:
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """All rows of ``docs`` with a column ``fingerprint``; needs no shuffle."""
+    docs = aside(docs, "fingerprint")
     schema = docs.select("*", F.lit("").alias("fingerprint")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.append_column("fingerprint", pa.array([fingerprint(x) for x in batch.column(text).to_pylist()], pa.string()))
+            for part in slices(batch, text):
+                yield part.append_column("fingerprint", pa.array([fingerprint(x) for x in part.column(text).to_pylist()], pa.string()))
 
     return docs.mapInArrow(run, schema)
 
@@ -182,23 +192,34 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
     The next document is the one before in ascending ``doc_id``; after the last
     comes the first. Null ids come last, ties are ordered by text. Each run of
-    ids is one sorted task; the document that the next run starts with is sent
-    along with it, so no task sees more than its run.
+    ids is one sorted task; its bounds are quantiles of the ids, so runs are
+    about equal however the ids lie. The document that the next run starts with
+    is sent along with it, so no task sees more than its run.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    least, most, n = docs.select(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
+    n = docs.select(F.count(F.lit(1))).first()[0]
     runs = max(1, min(MOST_RUNS, n // RUN_ROWS))
-    if least is None:
-        least = most = 0
-    width = (most - least) // runs + 1
-    wide = "decimal(20,0)"
-    offset = F.lit(str(most)).cast(wide) - F.col("doc_id").cast(wide)
-    run_of = F.coalesce(F.floor(offset / F.lit(width).cast(wide)).cast("long"), F.lit(runs + 1).cast("long"))
-    rows = docs.withColumn("run", run_of)
-    heads = sorted(rows.groupBy("run").agg(F.max("doc_id").alias("doc_id")).collect(), key=lambda r: r["run"])
+    # Ids of some hashes tell where runs end. That decides which rows meet in a task, not what comes out.
+    sampled = docs.select("doc_id").where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // (SAMPLED * runs)))) == 0)).distinct()
+    ids = np.sort(np.asarray(sampled.toArrow().column("doc_id").combine_chunks(), np.int64)) if runs > 1 else np.zeros(0, np.int64)
+    ends = np.unique(ids[(np.arange(1, runs) * len(ids)) // runs]) if len(ids) else ids
+    width = shuffle_partitions(spark)
+    named = block_ids((len(ends) + 2) // width + 1, width)  # runs are dealt evenly
+    known = spark.sparkContext.broadcast((ends, named))
+
+    @F.arrow_udf("int")
+    def run_of(ids: pa.Array) -> pa.Array:
+        """The first run has the largest ids; null ids are a run of their own after all."""
+        ends, named = known.value
+        at = len(ends) - np.searchsorted(ends, np.asarray(ids.fill_null(0), np.int64), side="left")
+        return pa.array(named[np.where(np.asarray(ids.is_null()), len(ends) + 1, at)], pa.int32())
+
+    rows = docs.withColumn("run", run_of("doc_id"))
+    place = {int(x): i for i, x in enumerate(named)}
+    heads = sorted(rows.groupBy("run").agg(F.max("doc_id").alias("doc_id")).collect(), key=lambda r: place[r["run"]])
     after = [(heads[i - 1]["run"], h["doc_id"]) for i, h in enumerate(heads)]  # the run before needs this head
-    sent = spark.createDataFrame(after, "run long, head long")
+    sent = spark.createDataFrame(after, "run int, head long")
     heads_rows = docs.join(F.broadcast(sent), docs["doc_id"].eqNullSafe(sent["head"])).select("doc_id", "text", "run", F.lit(1).alias("late"))
     rows = rows.select("doc_id", "text", "run", F.lit(0).alias("late")).unionByName(heads_rows)
     rows = rows.repartition("run").sortWithinPartitions("run", "late", F.col("doc_id").desc_nulls_last(), "text")
@@ -214,15 +235,16 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha2
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     waiting: tuple[int | None, Parsed] | None = None
     for batch in batches:
-        out: list[tuple] = []
-        for doc_id, text, late in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "late")), strict=True):
-            if late and waiting is None:
-                continue  # ties of the head: the first served
-            parsed = Parsed(text)
-            if waiting is not None:
-                own_id, own = waiting
-                edited, short = own.edited(text)
-                out.append((own_id, len(own.text), sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), own.short.tobytes().hex(), short.tobytes().hex(), _alike(own.short, short), _alike(own.short, parsed.short)))
-            waiting = None if late else (doc_id, parsed)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _OUT, strict=True)], schema=_OUT)
+        for part in slices(batch, "text"):
+            out: list[tuple] = []
+            for doc_id, text, late in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "late")), strict=True):
+                if late and waiting is None:
+                    continue  # ties of the head: the first served
+                parsed = Parsed(text)
+                if waiting is not None:
+                    own_id, own = waiting
+                    edited, short = own.edited(text)
+                    out.append((own_id, len(own.text), sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), own.short.tobytes().hex(), short.tobytes().hex(), _alike(own.short, short), _alike(own.short, parsed.short)))
+                waiting = None if late else (doc_id, parsed)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _OUT, strict=True)], schema=_OUT)
