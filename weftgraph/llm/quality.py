@@ -2,14 +2,21 @@
 
 Features are hashed word unigrams and bigrams and hashed character n-grams
 (bytes), each family as relative frequencies. A logistic regression is trained
-on the driver on a bounded sample of labelled rows (``SAMPLE`` rows, those of
-the smallest hashes) and calibrated by Platt's method on a fold of it that
-training doesn't see. Scoring runs in Arrow batches over all rows, whole texts,
-against fixed thresholds.
-
-Null text has no words, fails the base rules, and is not kept. Null labels
-don't count; a row labelled twice has its lower label. Without labels of both
-kinds the classifier gives the share of good labels (1 without any) to all.
+on the driver on a bounded sample of labelled rows and calibrated by Platt's
+method on a fold of it that training doesn't see. The sample's bounds are
+parameters: ``SAMPLE`` labelled ids, those of the smallest hashes, one text an
+id, and of these, in the order of the hashes, whole texts of ``SAMPLE_BYTES``
+bytes together. Only texts that were chosen by length reach the driver.
+Scoring runs in Arrow batches over all rows, whole texts, against fixed
+thresholds.
+
+Null text has no words, fails the base rules, and is not kept. Null labels and
+null ids don't count; a row labelled twice has its lower label; of rows that
+share a labelled id one text (by hash) trains, and each is scored on its own.
+Repeated rows are scored alike. An empty table gives an empty result. Other
+columns, whatever their names, are not read; ``keep_good`` returns them as they
+are. Without labels of both kinds the classifier gives the share of good labels
+(1 without any) to all.
 """
 
 from __future__ import annotations
@@ -26,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import slices, spread, texts
 
-#: Labelled rows that the classifier is fitted on, at most.
-SAMPLE = 4_000
+#: Labelled rows that the classifier is fitted on, at most, and bytes of their texts.
+SAMPLE, SAMPLE_BYTES = 4_000, 8 << 20
 BITS = 16
 #: Kept from this calibrated probability of good quality on.
 THRESHOLD = 0.5
@@ -171,17 +178,28 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(a), 1e-3), float(c)
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
-    """Trains on the ``SAMPLE`` labelled documents of the smallest id hashes."""
-    own = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    drawn = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)  # bounded: broadcast
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id")
-    table = rows.select("doc_id", "text", F.col("quality").cast("int").alias("quality")).toArrow()
-    order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
-    table = table.take(pa.array(order[: 2 * SAMPLE]))
+def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Classifier:
+    """Trains on at most ``rows`` labelled documents, of ``most_bytes`` bytes in all, of the smallest id hashes."""
+    spark = docs.sparkSession
+    own = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    drawn = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # bounded: broadcast
+    text = F.coalesce("text", F.lit("")).alias("text")
+    keyed = docs.select("doc_id", text).select("doc_id", "text", F.xxhash64("text").alias("tie"))
+    # First one (hash, length) an id, then only the texts that fit.
+    least = F.min(F.struct("tie", F.octet_length("text").alias("n")))
+    sizes = keyed.join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(least.alias("s"), F.first("quality").alias("quality"))
+    chosen, held = [], 0
+    for r in sizes.select("doc_id", "s.tie", "s.n", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if held + r.n <= most_bytes:
+            held += r.n
+            chosen.append((r.doc_id, r.tie, r.quality))
+    if not chosen:
+        return train([], np.zeros(0, np.int64))
+    wanted = spark.createDataFrame(chosen, "doc_id long, tie long, quality int")
+    table = keyed.join(F.broadcast(wanted), ["doc_id", "tie"]).select("doc_id", "quality", "text").dropDuplicates(["doc_id"]).toArrow()
+    table = table.take(pa.array(np.argsort(table.column("doc_id").to_numpy(), kind="stable")))
     # Folds must not follow the ids' order in time.
-    mixed = np.random.Generator(np.random.PCG64(11)).permutation(table.num_rows)
-    table = table.take(pa.array(mixed))
+    table = table.take(pa.array(np.random.Generator(np.random.PCG64(11)).permutation(table.num_rows)))
     return train(table.column("text").to_pylist(), (table.column("quality").to_numpy() > 0).astype(np.int64))
 
 
