@@ -7,9 +7,18 @@ mixed text. The document's language is the one with the most letters.
 
 Trained on a bounded sample: about ``SAMPLE`` documents of each language, drawn
 by id hash. All languages are learned; beyond ``FINE_LANGUAGES`` of them the
-trigram slots get fewer, so that the tables stay of one size. Null text or text without a letter is ``und`` with score 0 and no
-spans; so is everything if there is nothing to learn from. Null languages don't
-train. A tie goes to the language that sorts first.
+trigram slots get fewer, so that the tables stay of one size.
+
+A language that isn't a candidate for a word's script gets no score there at all
+and can't be the word's label; where no language was seen in a script, all are
+candidates. Long texts are worked on in pieces of ``PIECE`` characters cut at
+white space (a longer word counts as several), spans and labels run over all of
+them. Null text or text without a letter is ``und`` with score 0 and no spans; so
+is everything if there is nothing to learn from. Null languages don't train,
+null ids neither. Repeated rows and rows that share an id are labelled each by
+its own text; an empty table gives an empty result; other columns, whatever
+their names, are not read, and ``keep_identified`` returns them as they are. A
+tie goes to the language that sorts first.
 """
 
 from __future__ import annotations
@@ -32,8 +41,12 @@ BITS = 15
 FINE_LANGUAGES, LEAST_BITS = 256, 8
 #: Scores of trigrams, or of a text's words, that are held at a time: trigrams (bytes of text) times languages.
 SLOT_SCORES = 1 << 21
-#: Nats that a switch of language costs, and a word in a script that its language wasn't seen in.
-SWITCH, WRONG_SCRIPT = 12.0, 20.0
+#: Nats that a switch of language costs.
+SWITCH = 12.0
+#: What stands for minus infinity: no label that isn't a candidate can make up for it.
+NEVER = np.float32(-1e30)
+#: Characters of a text that are scored at a time.
+PIECE = 500_000
 #: A language is a candidate in a script from this share of its letters on.
 LEAST_SHARE = 0.01
 #: First code points of script ranges (Unicode blocks); each range ends where the next begins.
@@ -90,7 +103,7 @@ def words_of(many: list[str]) -> Words:
     at = np.flatnonzero(kind != 255)
     word = np.searchsorted(start, at, side="right") - 1
     letters = np.bincount(word, minlength=len(start))
-    votes = np.bincount(word * len(SCRIPT_NAMES) + kind[at], minlength=len(start) * len(SCRIPT_NAMES)).reshape(len(start), -1)
+    votes = np.bincount(word * len(SCRIPT_NAMES) + kind[at], minlength=len(start) * len(SCRIPT_NAMES)).reshape(len(start), len(SCRIPT_NAMES))
     flat = np.where(gap, np.uint32(32), every)
     h = (flat[at - 1] * np.uint32(0x9E3779B1) + flat[at]) * np.uint32(0x85EBCA77) + flat[at + 1]
     slots = (h * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - BITS)
@@ -102,7 +115,7 @@ def words_of(many: list[str]) -> Words:
 class Model:
     languages: list[str]
     logs: np.ndarray  # slot x language
-    allowed: np.ndarray  # script x language: 0, or the cost of a script that it wasn't seen in
+    allowed: np.ndarray  # script x language: whether it is a candidate there
 
     @property
     def batch_bytes(self) -> int:
@@ -116,16 +129,37 @@ def bits_for(languages: int) -> int:
 
 
 def emissions(words: Words, model: Model) -> np.ndarray:
-    """Log-likelihood of each word in each language; 0 for words without a letter."""
+    """Log-likelihood of each word in each of its script's candidates, ``NEVER`` elsewhere; 0 for words without a letter."""
     out = np.zeros((len(words.start), len(model.languages)), np.float32)
-    if len(words.slots):
-        at = np.flatnonzero(np.concatenate([[True], words.slot_word[1:] != words.slot_word[:-1]]))
-        slots = words.slots >> np.uint32(BITS - bits_for(len(model.languages)))
-        cuts = np.flatnonzero(np.diff(at // max(1, SLOT_SCORES // max(1, len(model.languages))), prepend=-1))  # whole words
-        for low, high in zip(cuts, [*cuts[1:], len(at)], strict=True):
-            own = words.slot_word[at[low:high]]
-            stop = at[high] if high < len(at) else len(slots)
-            out[own] = np.add.reduceat(model.logs[slots[at[low] : stop]], at[low:high] - at[low], axis=0) - model.allowed[words.script[own]]
+    if not len(words.slots):
+        return out
+    at = np.flatnonzero(np.concatenate([[True], words.slot_word[1:] != words.slot_word[:-1]]))
+    ends = np.append(at[1:], len(words.slots))
+    own = words.slot_word[at]  # words with letters
+    slots = words.slots >> np.uint32(BITS - bits_for(len(model.languages)))
+    for script in np.unique(words.script[own]):
+        candidates = np.flatnonzero(model.allowed[script])
+        every = len(candidates) == len(model.languages)
+        logs = model.logs if every else np.ascontiguousarray(model.logs[:, candidates])
+        here = np.flatnonzero(words.script[own] == script)
+        if not every:
+            out[own[here]] = NEVER
+        many = max(1, SLOT_SCORES // max(1, len(candidates)))
+        sizes = np.cumsum(ends[here] - at[here])
+        cuts = np.flatnonzero(np.diff(sizes // many, prepend=-1))  # whole words
+        for low, high in zip(cuts, [*cuts[1:], len(here)], strict=True):
+            part = here[low:high]
+            if len(here) == len(at):  # one script only: its letters lie side by side
+                first, taken = at[part] - at[part[0]], slots[at[part[0]] : ends[part[-1]]]
+            else:
+                n = ends[part] - at[part]
+                first = np.cumsum(n) - n
+                taken = slots[np.repeat(at[part] - first, n) + np.arange(int(n.sum()))]
+            scores = np.add.reduceat(logs[taken], first, axis=0)
+            if every:
+                out[own[part]] = scores
+            else:
+                out[own[part][:, None], candidates[None, :]] = scores
     return out
 
 
@@ -186,7 +220,7 @@ def _count(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBa
 
 def fit(docs: DataFrame) -> Model:
     """Learns from text and language of documents whose crc32 of the id modulo 4 is not 2."""
-    usable = docs.where(F.col("lang").isNotNull() & F.coalesce(crc_mod("doc_id", 4) != 2, F.lit(False)))
+    usable = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.coalesce(crc_mod("doc_id", 4) != 2, F.lit(False)))
     sizes = usable.groupBy("lang").count().collect()
     if not sizes:
         return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros((len(SCRIPT_NAMES), 0), np.float32))
@@ -202,27 +236,48 @@ def fit(docs: DataFrame) -> Model:
     counts[table.column("slot").to_numpy(), [place[x] for x in table.column("lang").to_pylist()]] = table.column("n").to_numpy()
     grams, scripts = counts[: 1 << bits], counts[1 << bits :]
     logs = np.log((grams + 0.5) / (grams.sum(axis=0) + 0.5 * (1 << bits)))
-    allowed = np.where(scripts >= LEAST_SHARE * np.maximum(1, scripts.sum(axis=0)), 0.0, WRONG_SCRIPT)
+    allowed = scripts >= LEAST_SHARE * np.maximum(1, scripts.sum(axis=0))
     # A script that no language was seen in leaves all as candidates.
-    allowed[(allowed > 0).all(axis=1)] = 0.0
-    return Model(languages, logs.astype(np.float32), allowed.astype(np.float32))
+    allowed[~allowed.any(axis=1)] = True
+    return Model(languages, logs.astype(np.float32), allowed)
+
+
+def pieces_of(text: str, most: int = PIECE) -> list[str]:
+    """A text in pieces of at most ``most`` characters, cut after white space where there is some."""
+    out, at = [], 0
+    while len(text) - at > most:
+        stop = next((i + 1 for i in range(at + most - 1, at + most // 2, -1) if text[i] in " \t\n\v\f\r"), at + most)
+        out.append(text[at:stop])
+        at = stop
+    return [*out, text[at:]]
 
 
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("lang", pa.string())]))
 
 
+def _placed(pieces: list[str]) -> Iterator[tuple[int, str]]:
+    """Each piece with its place among the lower-cased characters."""
+    at = 0
+    for piece in pieces:
+        yield at, piece
+        at += len(piece.lower()) if len(pieces) > 1 else 0
+
+
 def label(many: list[str], model: Model) -> tuple[list[str], list[float], list[list[dict]]]:
     """Language, its share of the letters, and the spans of each text."""
-    pieces, at = [], 0
-    while at < len(many):  # scores in small groups, Viterbi over all
+    cut = [(i, at, piece) for i, text in enumerate(many) for at, piece in _placed(pieces_of(text))]
+    parts, at = [], 0
+    while at < len(cut):  # scores in small groups, Viterbi over all
         stop, held = at, 0
-        while stop < len(many) and (stop == at or held + len(many[stop]) < 500_000):
-            held += len(many[stop])
+        while stop < len(cut) and (stop == at or held + len(cut[stop][2]) < PIECE):
+            held += len(cut[stop][2])
             stop += 1
-        words = words_of(many[at:stop])
-        pieces.append((words.doc + at, words.start - words.offsets[words.doc], words.stop - words.offsets[words.doc], words.letters, emissions(words, model)))
+        words = words_of([piece for _, _, piece in cut[at:stop]])
+        of, moved = (np.array([c[k] for c in cut[at:stop]], np.int64) for k in (0, 1))
+        moved = moved[words.doc] - words.offsets[words.doc]
+        parts.append((of[words.doc], words.start + moved, words.stop + moved, words.letters, emissions(words, model)))
         at = stop
-    doc, start, stop, letters, scores = (np.concatenate(x) for x in zip(*pieces, strict=True)) if pieces else (np.zeros(0, np.int64),) * 5
+    doc, start, stop, letters, scores = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 5
     counts = np.bincount(doc, minlength=len(many))
     first = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
     best = viterbi(scores, first, counts) if model.languages and len(doc) else np.zeros(len(doc), np.int16)
