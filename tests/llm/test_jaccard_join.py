@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from weftgraph.llm import common
 from weftgraph.llm import jaccard_join as jj
 
 
@@ -59,8 +60,11 @@ def test_against_brute_force(spark, seed, boundary, monkeypatch):
     if seed == 3:
         monkeypatch.setattr(jj, "BROADCAST_IDS", 0)
         monkeypatch.setattr(jj, "HELD", 500)
+        monkeypatch.setattr(jj, "FEW", 0)  # every table is looked through for hot keys
+        monkeypatch.setattr(common, "FEW", 0)
+        monkeypatch.setattr(jj, "LIST_PART", 3)
     if seed == 4:
-        monkeypatch.setattr(jj, "MOST_LOAD", 1e-6)  # a higher threshold
+        monkeypatch.setattr(jj, "map_bits", lambda _: (11, 11, 11))  # maps that are full
     rows = chains(seed, 50 if seed == 2 else 160)
     got = jj.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
     assert sorted(map(tuple, got.collect())) == slow(rows)

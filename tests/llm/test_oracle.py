@@ -1,0 +1,18 @@
+import duckdb
+import pytest
+
+from weftgraph.llm.queries import oracle_sql, queries
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_like_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got = queries()[name](spark, SF)
+    want = con.execute(oracle_sql()[name])
+    names = [d[0] for d in want.description]
+    assert sorted(names) == sorted(got.columns)
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(want.fetchall())

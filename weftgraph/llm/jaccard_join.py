@@ -1,28 +1,40 @@
 """Size-aware heavy-light Jaccard join of shingle sets, and its components.
 
-Sets of one digest are one class; a class's smallest doc_id stands for it.
-Classes that may link share a key:
+Sets of one digest are one class; one row of a class, found by its row number,
+stands for it, so rows may share an id or have none. Classes that may link share
+a key:
 
 * A set of n shingles links only with sets that share c = ceil(percent n / 100) of its
   shingles, so in any total order the first n - c + k of both hold k common
   ones. The order is from rare to frequent: all shingles are counted, and bit
-  maps of fixed size tell which occur in two documents or more, in many, and in
-  very many. A bit may be set by chance, never missing, so the maps decide speed
-  and not the result; a shingle that is in no map occurs once and makes no key.
+  maps tell which occur in two documents or more, in many, and in very many. A
+  bit may be set by chance, never missing, so the maps decide speed and not the
+  result; a shingle that is in no map occurs once and makes no key. The maps
+  grow with the number of shingles up to ``MOST_BITS``; from there on more bits
+  are set by chance, and shingles that occur once make keys in that measure.
 * Light (small) sets enumerate all subsets of k = 2 of their prefix.
 * Heavy (large) sets scan the inverted lists of their prefix shingles (k = 1);
   light sets near the boundary are listed there too.
 * The boundary is the size at which, by the sizes of all sets and the mean list
   length, rows written plus list entries read cost least.
 
-In each list the smallest id is a hub and is compared with the others; pairs
+In each list the smallest member is a hub and is compared with the others; pairs
 that already lie in one component need no comparison. Lists whose members still
 lie in several components are gone through again with the next hub, or, once
 few pairs are left, with all of them, so no link between components is lost and
 a group of n near copies costs about n comparisons a list, not n squared.
 
+Keys, hubs, components and digests that many rows have are joined by a broadcast
+of the few that do (``hot_join``), texts of hot hubs and lists of many members
+are repeated and their partners dealt out over the copies, so no task sees all
+rows of one.
+
 Null or wordless text has an empty set and links with nothing. Repeated rows
-are copies of each other. Words a shingle and the percentage are parameters.
+are copies of each other; of rows that share an id each has its own links. Null
+ids count least as names: a component is called by its smallest id, null if none
+has one. An empty table gives an empty result; other columns, whatever their
+names, are kept (``keep_one``) or not read. Words a shingle and the percentage
+are parameters.
 """
 
 from __future__ import annotations
@@ -37,14 +49,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, pack, shuffle_partitions, slices, spread, stored, texts, unpack
+from .common import FEW, HOT_SHARE, WORD, free, hot_join, pack, shuffle_partitions, slices, spread, stored, texts, unpack
 
 #: Two sets link from PERCENT per cent of their union on; shingles have WORDS words. Defaults, those of op4.
 PERCENT, WORDS = 85, 4
-#: Documents that a shingle must occur in to be in each map (the first doubles until the map is thin), and the maps' sizes in bits (log2).
-LEAST_SEEN, MAP_BITS = (2, 16, 256), (27, 24, 24)
-#: The first map takes at most this share of its bits.
-MOST_LOAD = 0.25
+#: Documents that a shingle must occur in to be in each map.
+LEAST_SEEN = (2, 16, 256)
+#: The first map has one bit for two shingles, but 2 ** LEAST_BITS at least and 2 ** MOST_BITS (128 MB) at most; the others have an eighth.
+LEAST_BITS, MOST_BITS = 27, 30
 #: Shingles that a task holds before it sends them on.
 HELD = 4_000_000
 #: Larger sets count as this size when the boundary is chosen; it is below.
@@ -55,6 +67,8 @@ BROADCAST_IDS = 500_000
 ROWS_EACH = 200_000
 #: All remaining pairs are compared at once if they are at most so many times the rows of their lists.
 PAIRS_PER_ROW = 1024
+#: Lists of more members are compared in parts.
+LIST_PART = 4096
 _A = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
@@ -94,16 +108,23 @@ def links(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
+def map_bits(total: int) -> tuple[int, int, int]:
+    """Sizes of the maps (log2 of their bits) for so many shingles."""
+    size = min(MOST_BITS, max(LEAST_BITS, (total // 2).bit_length()))
+    return size, size - 3, size - 3
+
+
 class Maps:
     """Which shingles are frequent, by the leading bits of their hash."""
 
-    def __init__(self, bits: list[np.ndarray], least: int):
-        self.bits, self.least = bits, least  # least: documents that put a shingle into the first map
+    def __init__(self, bits: list[np.ndarray]):
+        self.bits = bits
 
     def ranks(self, own: np.ndarray) -> np.ndarray:
         """0 for shingles in no map; more frequent ones have higher ranks."""
         out = np.zeros(len(own), np.uint8)
-        for i, (bits, size) in enumerate(zip(self.bits, MAP_BITS, strict=True)):
+        for i, bits in enumerate(self.bits):
+            size = (8 * len(bits)).bit_length() - 1
             at = (own >> np.uint64(64 - size)).astype(np.int64)
             hit = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
             out = out + hit if i == 0 else np.where(out == i, out + hit, out)
@@ -125,7 +146,7 @@ class Keys:
         ranks = self.maps.ranks(own)
         order = np.argsort(ranks, kind="stable")[: spare + 2]
         first, ranks = own[order], ranks[order]
-        useful = ranks > 0 if self.maps.least <= 2 else np.ones(len(first), bool)
+        useful = ranks > 0
         keys, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
         if n <= self.boundary:
             at = np.flatnonzero(useful).astype(np.int32)
@@ -178,13 +199,15 @@ def _counted(lead: int, words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
-        sizes = np.zeros(LARGEST + 1, np.int64)
+        sizes = np.zeros(LARGEST + 2, np.int64)  # sets of each size; then all shingles
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = [shingles(t, words) for t in texts(part.column("text"))]
                 parts += [s >> np.uint64(32 - lead) for s in sets]
-                sizes += np.bincount([min(len(s), LARGEST) for s in sets], minlength=LARGEST + 1)
-                held += sum(map(len, sets))
+                sizes[:-1] += np.bincount([min(len(s), LARGEST) for s in sets], minlength=LARGEST + 1)
+                many = sum(map(len, sets))
+                sizes[-1] += many
+                held += many
                 if held > HELD:
                     yield from rows(parts)
                     parts, held = [], 0
@@ -195,7 +218,7 @@ def _counted(lead: int, words: int):
     return run
 
 
-def _mapped(lead: int):
+def _mapped(lead: int, sizes: tuple[int, int, int]):
     """Slices of the maps for each bucket, and what the counts add up to."""
 
     def done(bucket: int, steps: list, counts: list) -> Iterator[pa.RecordBatch]:
@@ -205,15 +228,12 @@ def _mapped(lead: int):
         at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         own, n = own[at], np.add.reduceat(n, at)
         out = []
-        for i, (least, size) in enumerate(zip(LEAST_SEEN, MAP_BITS, strict=True)):
-            for threshold in [least << k for k in range(0, 40, 2)] if i == 0 else [least]:
-                chosen = n >= threshold
-                bits = np.zeros(max(8, 1 << (size - lead)), np.uint8)
-                bits[own[chosen] >> np.uint32(32 - (size - lead))] = 1
-                out.append((bucket, i, threshold, int(bits.sum()), int(n[chosen].sum()), int((n[chosen] ** 2).sum()), np.packbits(bits, bitorder="little").tobytes()))
-                if not chosen.any():
-                    break
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "map", "threshold", "ones", "total", "squares", "bits"])
+        for i, (least, size) in enumerate(zip(LEAST_SEEN, sizes, strict=True)):
+            chosen = n >= least
+            bits = np.zeros(max(8, 1 << (size - lead)), np.uint8)
+            bits[own[chosen] >> np.uint32(32 - (size - lead))] = 1
+            out.append((bucket, i, int(n[chosen].sum()), int((n[chosen] ** 2).sum()), np.packbits(bits, bitorder="little").tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "map", "total", "squares", "bits"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, steps, counts = None, [], []
@@ -236,30 +256,28 @@ def survey(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> Keys:
     """Counts all shingles and sizes; the maps and the boundary that follow."""
     lead = _buckets(docs.count())
     counted = stored(docs.select("text").mapInArrow(_counted(lead, words), "bucket int, blob binary"), "shingle_counts")
-    sizes = np.zeros(LARGEST + 1, np.int64)
+    sizes = np.zeros(LARGEST + 2, np.int64)
     for blob in counted.where("bucket = -1").select("blob").toArrow().column("blob"):  # a short list a task
         sizes += unpack(blob.as_py()).column("n").to_numpy()
+    sizes, every = sizes[:-1], int(sizes[-1])
+    widths = map_bits(every)
     dealt = counted.where("bucket >= 0").repartition(shuffle_partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
-    mapped = stored(dealt.mapInArrow(_mapped(lead), "bucket int, map int, threshold long, ones long, total long, squares long, bits binary"), "shingle_maps")
-    loads = {(r["map"], r["threshold"]): r for r in mapped.groupBy("map", "threshold").agg(*(F.sum(c).alias(c) for c in ("ones", "total", "squares"))).collect()}
-    thin = [t for (i, t), r in sorted(loads.items(), key=lambda x: x[0]) if i == 0 and r["ones"] <= MOST_LOAD * (1 << MAP_BITS[0])]
-    least = thin[0] if thin else LEAST_SEEN[0]
+    mapped = stored(dealt.mapInArrow(_mapped(lead, widths), "bucket int, map int, total long, squares long, bits binary"), "shingle_maps")
+    loads = {r["map"]: r for r in mapped.groupBy("map").agg(*(F.sum(c).alias(c) for c in ("total", "squares"))).collect()}
     bits = []
-    for i, size in enumerate(MAP_BITS):
+    for i, size in enumerate(widths):
         whole = np.zeros(1 << (size - 3), np.uint8)
-        own = mapped.where((F.col("map") == i) & (F.col("threshold") == (least if i == 0 else LEAST_SEEN[i])))
         width = max(1, (1 << (size - lead)) >> 3)
-        own = own.select("bucket", "bits").toArrow()  # the map's fixed size in all
+        own = mapped.where(F.col("map") == i).select("bucket", "bits").toArrow()  # the map's size in all
         for bucket, part in zip(own.column("bucket").to_pylist(), own.column("bits"), strict=True):
             whole[bucket * width : (bucket + 1) * width] = np.frombuffer(part.as_py(), np.uint8)[:width]
         bits.append(whole)
     # Prefixes hold the rarest shingles, so the lists that are scanned are those of the first map only.
-    first, second = loads.get((0, least)), loads.get((1, LEAST_SEEN[1]))
-    total, squares = (first[c] - (second[c] if second and least < LEAST_SEEN[1] else 0) if first else 0 for c in ("total", "squares"))
+    total, squares = (loads[0][c] - loads[1][c] if loads else 0 for c in ("total", "squares"))
     length = max(0.0, squares / max(1, total) - 1)
     own = np.flatnonzero(sizes)
     own = own[100 * own // percent > own]  # the others make no keys
-    return Keys(Maps(bits, least), choose_boundary(own, sizes[own].astype(np.float64), length, percent), percent)
+    return Keys(Maps(bits), choose_boundary(own, sizes[own].astype(np.float64), length, percent), percent)
 
 
 def _sketch(keys, words: int):
@@ -270,7 +288,7 @@ def _sketch(keys, words: int):
                 sets = [shingles(t, words) for t in texts(part.column("text"))]
                 keyed = [of(s) for s in sets]
                 digest = [sha256(s.tobytes()).digest()[:16] if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array([k for k, _ in keyed], pa.list_(pa.int64())), pa.array([p for _, p in keyed], pa.list_(pa.int32()))], names=["doc_id", "n_shingles", "digest", "keys", "places"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tie"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array([k for k, _ in keyed], pa.list_(pa.int64())), pa.array([p for _, p in keyed], pa.list_(pa.int32()))], names=["doc_id", "tie", "n_shingles", "digest", "keys", "places"])
 
     return run
 
@@ -295,12 +313,30 @@ def width_for(spark: SparkSession, rows: int) -> int:
     return min(shuffle_partitions(spark), 1 + rows // ROWS_EACH)
 
 
+def _with_text(pairs: DataFrame, pool: DataFrame, side: str, hot: DataFrame | None) -> DataFrame:
+    """Adds text and size of the members of a column; those of ``hot`` (member, copies) are repeated and their pairs dealt out."""
+    own = pool.toDF(side, f"text_{side}", f"n_{side}")
+    if hot is None:
+        return pairs.join(own, side)
+    few = F.broadcast(hot.toDF(side, "copies"))
+    salted = pairs.join(few, side, "left").withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
+    again = F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)).cast("int") - 1)).alias("salt")
+    return salted.join(own.join(few, side, "left").select(side, f"text_{side}", f"n_{side}", again), [side, "salt"]).drop("salt")
+
+
 def verified(pairs: DataFrame, pool: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """The pairs (a, b) that link: sizes are compared before the second text is fetched."""
     pairs = stored(pairs.distinct(), "pairs")
-    width = width_for(pairs.sparkSession, 16 * pairs.count())  # rows with texts
-    first = pairs.join(pool.toDF("b", "text_b", "n_b"), "b").coalesce(width)
-    near = first.join(pool.toDF("a", "text_a", "n_a"), "a").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    n = pairs.count()
+    hot = {}
+    for side in "ab":
+        hot[side] = None
+        if n > FEW:
+            counts = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * HOT_SHARE > n)
+            hot[side] = stored(counts.select(side, F.ceil(F.col("n") * HOT_SHARE / n).alias("copies")), "hot_members")  # fewer than HOT_SHARE rows
+    width = width_for(pairs.sparkSession, 16 * n)  # rows with texts
+    first = _with_text(pairs, pool, "b", hot["b"]).coalesce(width)
+    near = _with_text(first, pool, "a", hot["a"]).where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     return stored(near.select("a", "b", "text_a", "text_b").coalesce(width).mapInArrow(_verify(percent, words), "a long, b long"), "links")
 
 
@@ -309,15 +345,20 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
     Every round is written to the shared folder; nothing is collected.
     """
-    width = width_for(spark, edges.count())
+    n = edges.count()
+    width = width_for(spark, n)
     stars = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
+
+    def met(rows: DataFrame, least: DataFrame, name: str) -> DataFrame:
+        return hot_join(rows, stored(least, name) if 2 * n > FEW else least, "u", total=2 * n)
+
     while True:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).coalesce(width)
-        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(width)
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n")).coalesce(width)
+        large = met(both, least, "least").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(width)
         large = stored(large, "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(width)
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).coalesce(width)
+        small = met(large, low, "low").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v")
         stars = stored(small.distinct().coalesce(width), "stars")
         # Done when each node points to one other that points to none.
         ends = stars.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(stars.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
@@ -335,21 +376,36 @@ def _with_component(rows: DataFrame, comps: DataFrame) -> DataFrame:
 def _open(rows: DataFrame) -> DataFrame:
     """The rows of lists whose members lie in more than one component, but those of hubs that are done."""
     left = rows.where("member <> hub").drop("hub")
-    several = left.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min(F.when(F.col("early"), F.col("member"))).alias("hub")).where("c0 <> c1 and hub is not null").select("key", "hub")
-    return left.join(several, "key")
+    lists = left.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min(F.when(F.col("early"), F.col("member"))).alias("hub"), F.count(F.lit(1)).alias("n"))
+    several = stored(lists.where("c0 <> c1 and hub is not null").select("key", "hub", F.col("n").alias("of")), "open_lists")
+    return hot_join(left, several, "key", "of")
+
+
+def _list_pairs(rows: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """All pairs of a list that may link; the earlier members of a long list are dealt over copies of its rows."""
+    long = F.broadcast(sizes.where(F.col("n") > LIST_PART).select("key", F.ceil(F.col("n") / LIST_PART).cast("int").alias("copies")))  # a row for LIST_PART rows at most
+    parted = rows.join(long, "key", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    one = parted.where("early").withColumn("salt", F.pmod(F.xxhash64("member"), F.col("copies")).cast("int"))
+    other = parted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    # At the first shingle that two sets share, all they may share is what follows in both.
+    possible = (100 + percent) * F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= percent * (F.col("x.n") + F.col("y.n"))
+    ordered = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.member") < F.col("y.member")))
+    met = one.alias("x").join(other.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.salt") == F.col("y.salt")) & ordered & (F.col("x.component") != F.col("y.component")) & possible)
+    return met.select(F.col("x.member").alias("a"), F.col("y.member").alias("b"))
 
 
 def link_components(keys: DataFrame, pool_of, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """Components of the classes: ``node`` and ``component`` of those that link with another class.
 
-    ``keys`` has ``key``, ``member`` and its size ``n``. ``pool_of`` gives doc_id, text and n of the ids asked for.
+    ``keys`` has ``key``, ``member``, its size ``n`` and the key's ``place``. ``pool_of`` gives member, text and n of the members asked for.
     """
     spark = keys.sparkSession
     # A pair's smaller set has their first common shingle so early that enough follows; lists without such a member hold no pair.
     keys = keys.withColumn("early", (100 + percent) * (F.col("n") - F.col("place")) >= 2 * percent * F.col("n"))
-    lists = keys.groupBy("key").agg(F.min(F.when(F.col("early"), F.col("member"))).alias("hub"), F.min("member").alias("first"), F.max("member").alias("last")).where("first < last and hub is not null").select("key", "hub")
-    rows = stored(keys.join(lists.hint("shuffle_hash"), "key"), "lists")
-    pool = pool_of(rows.select(F.col("member").alias("doc_id"), "n").distinct())
+    lists = keys.groupBy("key").agg(F.min(F.when(F.col("early"), F.col("member"))).alias("hub"), F.min("member").alias("first"), F.max("member").alias("last"), F.count(F.lit(1)).alias("of"))
+    lists = stored(lists.where("first < last and hub is not null").select("key", "hub", "of"), "hubs")
+    rows = stored(hot_join(keys, lists, "key", "of"), "lists")
+    pool = pool_of(rows.select("member", "n").distinct())
     pairs = rows.where("member <> hub").select(F.col("hub").alias("a"), F.col("member").alias("b"))
     found = verified(pairs, pool, percent, words)
     comps = components(spark, found)
@@ -363,14 +419,10 @@ def link_components(keys: DataFrame, pool_of, percent: int = PERCENT, words: int
             return comps
         last = n_pairs <= PAIRS_PER_ROW * n_rows
         if last:
-            # At the first shingle that two sets share, all they may share is what follows in both.
-            possible = (100 + percent) * F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= percent * (F.col("x.n") + F.col("y.n"))
-            ordered = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.member") < F.col("y.member")))
-            met = rows.where("early").alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & ordered & (F.col("x.component") != F.col("y.component")) & possible)
-            pairs = met.select(F.col("x.member").alias("a"), F.col("y.member").alias("b"))
+            pairs = _list_pairs(rows, each.select("key", "n"), percent)
         else:
-            hubs = rows.where("member = hub").select("key", F.col("component").alias("of")).distinct()
-            pairs = rows.where("member <> hub").join(hubs, "key").where("component <> of").select(F.col("hub").alias("a"), F.col("member").alias("b"))
+            hubs = stored(rows.groupBy("key").agg(F.min(F.when(F.col("member") == F.col("hub"), F.col("component"))).alias("of"), F.count(F.lit(1)).alias("many")), "hub_components")
+            pairs = hot_join(rows.where("member <> hub"), hubs, "key", "many").where("component <> of").select(F.col("hub").alias("a"), F.col("member").alias("b"))
         new = verified(pairs, pool, percent, words)
         comps = components(spark, new.unionByName(comps.select(F.col("node").alias("a"), F.col("component").alias("b"))))
         if last:
@@ -381,20 +433,29 @@ def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFra
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row."""
     spark = docs.sparkSession
     source = spread(docs.select("doc_id", "text"))
-    keys = spark.sparkContext.broadcast(survey(source, percent, words))  # maps of fixed size
-    sketches = stored(source.mapInArrow(_sketch(keys, words), "doc_id long, n_shingles long, digest binary, keys array<long>, places array<int>"), "sketches")
-    classes = sketches.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("member"))
-    chosen = sketches.where("size(keys) > 0").select("doc_id", "n_shingles", "keys", "places").join(classes.select("member").hint("shuffle_hash"), F.col("doc_id") == F.col("member"), "left_semi")
-    exploded = chosen.select(F.explode(F.arrays_zip("keys", "places")).alias("k"), "doc_id", "n_shingles").selectExpr("k.keys as key", "k.places as place", "doc_id as member", "n_shingles as n")
-
-    def pool_of(ids: DataFrame) -> DataFrame:
-        ids = stored(ids, "ids")
+    keys = spark.sparkContext.broadcast(survey(source, percent, words))  # maps of bounded size
+    tied = source.withColumn("tie", F.xxhash64("text"))
+    made = tied.mapInArrow(_sketch(keys, words), "doc_id long, tie long, n_shingles long, digest binary, keys array<long>, places array<int>")
+    sketches = stored(made.withColumn("row", F.monotonically_increasing_id()), "sketches")  # numbers are fixed by being written
+    classes = stored(sketches.where("digest is not null").groupBy("digest").agg(F.min("row").alias("member"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "classes")
+    chosen = sketches.where("size(keys) > 0").select("row", "n_shingles", "keys", "places").join(classes.select("member").hint("shuffle_hash"), F.col("row") == F.col("member"), "left_semi")
+    exploded = chosen.select(F.explode(F.arrays_zip("keys", "places")).alias("k"), "row", "n_shingles").selectExpr("k.keys as key", "k.places as place", "row as member", "n_shingles as n")
+
+    def pool_of(members: DataFrame) -> DataFrame:
+        """Texts are fetched by id and hash; rows that equal the one that stands for a class go."""
+        ids = stored(members.join(sketches.select(F.col("row").alias("member"), F.col("doc_id").alias("of"), F.col("tie").alias("wanted")), "member").withColumn("at", F.xxhash64("of", "wanted")), "ids")
         few = ids.count() <= BROADCAST_IDS
-        return stored(docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), "doc_id").dropDuplicates(["doc_id"]), "pool")
+        rows = docs.select("doc_id", "text").withColumn("tie", F.xxhash64("text")).withColumn("at", F.xxhash64("doc_id", "tie"))
+        met = rows.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), "at").where(F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tie") == F.col("wanted")))
+        return stored(met.dropDuplicates(["at", "member"]).select("member", "text", "n"), "pool")
 
     comps = link_components(exploded, pool_of, percent, words)
-    of_class = classes.join(comps, F.col("member") == F.col("node"), "left").select("digest", F.coalesce("component", "member").alias("component"))
-    return sketches.join(of_class, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    named = stored(classes.join(comps, F.col("member") == F.col("node"), "left").select("digest", "least", "n", F.coalesce("component", "member").alias("component")), "named")
+    names = stored(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("many")), "names")
+    of_class = stored(hot_join(named.select("digest", "n", "component"), names, "component", "many").select("digest", "n", "component_id"), "of_class")
+    rows = sketches.select("doc_id", "n_shingles", "digest")
+    alone = rows.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return hot_join(rows, of_class, "digest").select("doc_id", "n_shingles", "component_id").unionByName(alone)
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
@@ -404,10 +465,11 @@ def keep_one(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> Dat
     come last) or reused: a row goes only if one of its component stays. A row
     without words goes only if another equals it in all columns.
     """
-    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    found = join(numbered.select(F.col("_row").alias("doc_id"), "text"), percent, words).where("n_shingles > 0").select(F.col("doc_id").alias("_row"), "component_id")
-    place = F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", F.xxhash64(*docs.columns).alias("hash"), "_row")
-    kept = found.join(numbered.select("_row", place.alias("place")), "_row").groupBy("component_id").agg(F.min("place")["_row"].alias("of")).select("of")
-    wordless = numbered.where(~F.coalesce(F.col("text").rlike(WORD), F.lit(False))).groupBy(*docs.columns).agg(F.min("_row").alias("of")).select("of")
-    rows = numbered.join(kept.unionByName(wordless).hint("shuffle_hash"), F.col("_row") == F.col("of"), "left_semi")
+    row, of = free(docs.columns, "own_row"), free(docs.columns, "own_of")
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = join(numbered.select(F.col(row).alias("doc_id"), "text"), percent, words).where("n_shingles > 0").select(F.col("doc_id").alias(of), "component_id")
+    place = F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", F.xxhash64(*docs.columns).alias("hash"), F.col(row).alias("row"))
+    kept = found.join(numbered.select(F.col(row).alias(of), place.alias("place")), of).groupBy("component_id").agg(F.min("place")["row"].alias(of)).select(of)
+    wordless = numbered.where(~F.coalesce(F.col("text").rlike(WORD), F.lit(False))).groupBy(*docs.columns).agg(F.min(row).alias(of)).select(of)
+    rows = numbered.join(kept.unionByName(wordless).hint("shuffle_hash"), F.col(row) == F.col(of), "left_semi")
     return rows.select(*docs.columns)

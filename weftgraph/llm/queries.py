@@ -71,5 +71,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_fingerprints, op2_quality, op3_language, op4_jaccard_join, op5_bpe, op6_sharding, op7_lm_scoring, op8_warc, op9_token_counts, op10_mixing)}
 
 
+#: Sets by list functions, links by the shingles that two documents share, components by reaching out along links.
+_OP4 = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS s FROM w),
+n AS (SELECT doc_id, len(s) AS n_shingles FROM s),
+y AS (SELECT doc_id, unnest(s) AS sh FROM s),
+x AS (SELECT DISTINCT doc_id, sh FROM y WHERE sh IN (SELECT sh FROM y GROUP BY sh HAVING count(*) > 1)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM x a JOIN x b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n u ON u.doc_id = a JOIN n v ON v.doc_id = b WHERE 100 * common >= 85 * (u.n_shingles + v.n_shingles - common)),
+r(doc_id, id) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.id)
+SELECT doc_id, n_shingles, component_id FROM n JOIN (SELECT doc_id, min(id) AS component_id FROM r GROUP BY doc_id) USING (doc_id)"""
+_OP8 = """WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS kept FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM kept AND kept IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM kept THEN kept END AS refers_to FROM k"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others hang on seeded hashes, trained models or a tokenizer; tests compare those with brute force."""
+    return {"op4_jaccard_join": _OP4, "op8_warc": _OP8}
