@@ -92,3 +92,17 @@ def test_repeated_rows_and_null_ids(spark):
     assert len(ids) == len(set(ids))
     named = {x for r in files for x in warc.gzip.decompress(r.content).decode().split("WARC-Refers-To: ")[1:]}
     assert named and {x.split("\r\n")[0] for x in named} <= {f[0] for f in fields if f[2] == "response"}
+
+
+def test_damaged_archives(spark, tmp_path):
+    """Whatever is wrong with a record, the others are read; a record that isn't as stated is not whole."""
+    one = lambda i, html, size=8192: [r + warc._END for r in warc.records(i, "u", html, None, size)]
+    good, short, forged, lengthless, odd = (b"".join(one(i, b"payload %d " % i * 20)) for i in range(1, 6))
+    forged = forged.replace(b"payload 3 pay", b"payload 9 pay", 1)
+    lengthless = lengthless.replace(b"\r\nContent-Length: ", b"\r\nContent-Length: x", 1)
+    odd = odd.replace(b"WARC-Payload-Digest: sha1:", b"WARC-Payload-Digest: sha1:!", 1).replace(b"WARC-Payload-Length: ", b"WARC-Payload-Length: z", 1).replace(b"<urn:page:5:", b"<urn:page:five:", 1)
+    parts = one(6, b"cut " * 5000, 4096)
+    (tmp_path / "a.txt").write_bytes(good + forged + lengthless + odd + b"".join(parts[:2] + parts[3:]) + short[:-60])
+    (tmp_path / "b.txt.gz").write_bytes(warc.gzip.compress(b"".join(one(7, b"late " * 5000, 4096)[::-1])))
+    got = {r.page_id: (r.whole, None if r.payload is None else len(r.payload)) for r in warc.read_archives(spark, str(tmp_path)).collect()}
+    assert got == {1: (True, 200), 2: (False, None), 3: (False, None), 4: (False, None), None: (True, 200), 6: (False, None), 7: (True, 25_000)}

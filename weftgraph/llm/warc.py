@@ -12,9 +12,19 @@ are records of their own. A null page_id is written as ``none`` and read as null
 
 Reading parses each file by the records' lengths, groups continuation records
 by the origin's identifier, orders them by segment number, verifies the total
-length, and decodes the chunked framing. A set of segments with a gap, a double
-number or a wrong total has ``whole`` false and null payload; so has a body whose
-framing is broken. Payloads are bytes; null html is an empty payload.
+length, and decodes the chunked framing. Every record, cut or not, is verified:
+its block must be as long as its header says, and the payload that comes out must
+have the stated length and digest. A record that fails, a set of segments with a
+gap, a double number or a wrong total, and a body whose framing is broken have
+``whole`` false and null payload. Numbers, digests and identifiers that can't be
+read count as not stated; a header without a readable length ends where the next
+record begins. Payloads are bytes; null html is an empty payload.
+
+Files are text files of at most ``FILE_RECORDS`` records of ``SEGMENT_BYTES``,
+so a reader holds some 130 MB however many pages there are; each is one gzip
+stream. A page's payload is put together in one task: that is its size. Repeated
+rows are records of their own; an empty table gives no record; other columns of
+pages, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -35,6 +45,8 @@ from .common import SLICE_BYTES, release, scratch, slices
 LEAST_REVISIT = 1000
 SEGMENT_BYTES = 8192
 CHUNK_BYTES = 4096
+#: Records of a file, at most.
+FILE_RECORDS = 16_000
 _DATE = "2024-01-01T00:00:00Z"
 _VERSION = b"WARC/1.1\r\n"
 _END = b"\r\n\r\n"
@@ -146,22 +158,36 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
     made = rows.join(told.hint("shuffle_hash"), F.col("key") == F.col("of"), "left").select("page_id", "url", "payload", "refers_to", "repeated")
     made = made.mapInArrow(_to_records(segment_bytes), "page_id long, segment long, record binary")
     # A text file with the two blank lines as separator is a WARC file; the bytes are written as they are.
-    made.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    made.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
-_PARSED = "record_id string, page_id long, type string, origin string, segment int, total long, refers_to long, digest string, length long, block binary"
-_PARSED_ARROW = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("type", pa.string()), ("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("refers_to", pa.int64()), ("digest", pa.string()), ("length", pa.int64()), ("block", pa.binary())])
+_PARSED = "record_id string, page_id long, type string, origin string, cut boolean, segment int, total long, refers_to long, digest string, length long, complete boolean, block binary"
+_PARSED_ARROW = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("type", pa.string()), ("origin", pa.string()), ("cut", pa.bool_()), ("segment", pa.int32()), ("total", pa.int64()), ("refers_to", pa.int64()), ("digest", pa.string()), ("length", pa.int64()), ("complete", pa.bool_()), ("block", pa.binary())])
+
+
+def _number(text: str | None, bits: int = 63) -> int | None:
+    """A whole number that fits; null if there is none."""
+    if not text or len(text) > 20 or not text.removeprefix("-").isascii() or not text.removeprefix("-").isdigit():
+        return None
+    n = int(text)
+    return n if -(1 << bits) <= n < 1 << bits else None
 
 
 def _page_of(identifier: str | None) -> int | None:
     if not identifier or not identifier.startswith("<urn:page:"):
         return None
-    page = identifier[10:-1].split(":")[0]
-    return int(page) if page.removeprefix("-").isdigit() else None
+    return _number(identifier[10:-1].split(":")[0])
+
+
+def _sha1_of(digest: str) -> str | None:
+    try:
+        return base64.b32decode(digest[5:]).hex() if digest.startswith("sha1:") else None
+    except ValueError:
+        return None
 
 
 def parse_records(data: bytes) -> Iterator[tuple]:
-    """The records of one archive, found by their lengths."""
+    """The records of one archive, found by their lengths, as ``_PARSED`` has them."""
     at = 0
     while (at := data.find(_VERSION, at)) >= 0:
         head_end = data.find(_END, at)
@@ -172,13 +198,20 @@ def parse_records(data: bytes) -> Iterator[tuple]:
             k, _, v = line.partition(b":")
             fields[k.strip().lower().decode("latin-1")] = v.strip().decode("utf-8", "replace")
         start = head_end + len(_END)
-        length = int(fields.get("content-length", "0"))
-        number = lambda k, f=fields: int(f[k]) if f.get(k, "").isdigit() else None
-        digest = fields.get("warc-payload-digest", "")
-        bare = base64.b32decode(digest[5:]).hex() if digest.startswith("sha1:") else None
+        length = _number(fields.get("content-length"))
+        if length is None or length < 0:
+            stop = data.find(_END + _VERSION, start)
+            stop, complete = (stop if stop >= 0 else len(data)), False
+        else:
+            stop, complete = start + length, start + length <= len(data)
         own = fields.get("warc-record-id", "")
-        yield own, _page_of(own), fields.get("warc-type", ""), fields.get("warc-segment-origin-id", own), number("warc-segment-number") or 1, number("warc-segment-total-length"), _page_of(fields.get("warc-refers-to")), bare, number("warc-payload-length"), data[start : start + length], "warc-segment-number" in fields
-        at = start + length
+        number = lambda k, bits=63, f=fields: _number(f.get(k), bits)
+        yield (
+            own, _page_of(own), fields.get("warc-type", ""), fields.get("warc-segment-origin-id", own), "warc-segment-number" in fields,
+            number("warc-segment-number", 31) or 1, number("warc-segment-total-length"), _page_of(fields.get("warc-refers-to")),
+            _sha1_of(fields.get("warc-payload-digest", "")), number("warc-payload-length"), complete, data[start:stop],
+        )
+        at = stop
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,11 +220,9 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for content in batch.column("content"):
             rows, held = [], 0
             data = content.as_py()
-            for *row, cut in parse_records(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
-                if cut:
-                    row[5] = row[5] if row[5] is not None else -1  # a segment, but not the last
+            for row in parse_records(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                 rows.append(row)
-                held += len(row[9])
+                held += len(row[-1])
                 if held > SLICE_BYTES:
                     yield _batch(rows)
                     rows, held = [], 0
@@ -208,34 +239,40 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path)
     # One file is one row; wide enough to be dealt out, its records go on in small batches.
     parsed = files.select("content").mapInArrow(_parse, _PARSED)
-    single = parsed.where("total is null")
-    cut = parsed.where("total is not null")
-    piece = F.struct("segment", "total", "block", "type", "refers_to", "digest", "length", "page_id")
+    single = parsed.where("not cut")
+    cut = parsed.where("cut")
+    piece = F.struct("segment", "total", "block", "type", "refers_to", "digest", "length", "page_id", "complete")
     grouped = cut.groupBy("origin").agg(F.sort_array(F.collect_list(piece)).alias("s"))
     first, n = F.col("s")[0], F.size("s")
     numbers = F.transform("s", lambda x: x["segment"]) == F.sequence(F.lit(1), n)
     total = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x["block"]))
     stated = F.element_at("s", -1)["total"]
-    whole = F.coalesce(numbers & (total == stated), F.lit(False))
+    whole = F.coalesce(numbers & (total == stated) & F.forall("s", lambda x: x["complete"]), F.lit(False))
     joined = grouped.select(
         F.col("origin").alias("record_id"), first["page_id"].alias("page_id"), first["type"].alias("type"), first["refers_to"].alias("refers_to"),
-        first["digest"].alias("digest"), first["length"].alias("length"), whole.alias("whole"),
-        F.when(whole, F.array_join(F.transform("s", lambda x: F.hex(x["block"])), "")).alias("hexed"),
+        first["digest"].alias("digest"), first["length"].alias("length"), whole.alias("whole"), F.transform("s", lambda x: x["block"]).alias("blocks"),
     )
-    joined = joined.withColumn("block", F.unhex("hexed")).drop("hexed")
-    every = joined.unionByName(single.select("record_id", "page_id", "type", "refers_to", "digest", "length", F.lit(True).alias("whole"), "block"))
+    every = joined.unionByName(single.select("record_id", "page_id", "type", "refers_to", "digest", "length", F.col("complete").alias("whole"), F.array("block").alias("blocks")))
     return every.mapInArrow(_decode, "page_id long, record_type string, refers_to long, whole boolean, digest string, length long, payload binary")
 
 
+def _payload(blocks: list[bytes], length: int | None, digest: str | None) -> bytes | None:
+    """What a response's segments hold; null unless it is as long as stated and has the stated digest."""
+    head, _, body = b"".join(blocks).partition(_END)
+    payload = dechunked(body) if b"transfer-encoding: chunked" in head.lower() else body
+    if payload is None or length not in (None, len(payload)) or digest not in (None, sha1(payload).hexdigest()):
+        return None
+    return payload
+
+
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         release()
         payloads, whole = [], []
-        for kind, block, ok in zip(*(batch.column(c).to_pylist() for c in ("type", "block", "whole")), strict=True):
+        for i, (kind, ok, length, digest) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("type", "whole", "length", "digest")), strict=True)):
             payload = None
             if kind == "response" and ok:
-                head, _, body = block.partition(_END)
-                payload = dechunked(body) if b"transfer-encoding: chunked" in head.lower() else body
+                payload = _payload(batch.column("blocks")[i].as_py(), length, digest)
                 ok = payload is not None
             payloads.append(payload)
             whole.append(ok)
