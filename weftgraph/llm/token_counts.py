@@ -7,6 +7,11 @@ missing once, appends those counts to the cache and joins all counts back.
 The content is the whole text, null as empty; nothing else is normalised, as a
 count must be that of the text itself. Appending twice is harmless: a key that
 occurs more than once has the same count each time and is read once.
+
+Null ids and rows that share an id are counted each by its own text; an empty
+table gives an empty result and appends nothing; other columns, whatever their
+names, are not read. A content that many rows have (more than a thousandth) is
+joined by a broadcast, so its rows don't meet in one task.
 """
 
 from __future__ import annotations
@@ -18,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import library, words_of
-from .common import scratch, slices, spread, texts
+from .bpe import library, plain, words_of
+from .common import hot_join, local, scratch, ship, slices, spread, stored, texts
 
 CACHE = "content binary, version string, n_tokens long"
 #: Distinct words whose counts a task remembers; beyond that it starts anew.
@@ -44,7 +49,7 @@ class Counts(dict):
 
 def _json_counter(path: str):
     tokenizer = library(path)
-    if tokenizer.to_str().find('"ByteLevel"') < 0 or tokenizer.normalizer is not None:
+    if not plain(path):
         return lambda many: [len(x.ids) for x in tokenizer.encode_batch_fast(many, add_special_tokens=False)]
     counts = Counts(tokenizer)
 
@@ -61,7 +66,7 @@ def counter(path: str):
     if path.endswith(".model"):
         import sentencepiece
 
-        processor = sentencepiece.SentencePieceProcessor(model_file=path)
+        processor = sentencepiece.SentencePieceProcessor(model_file=local(path))
         return lambda many: [len(x) for x in processor.encode(many, num_threads=1)]
     return _json_counter(path)
 
@@ -77,14 +82,16 @@ def cached(spark: SparkSession, cache: str) -> DataFrame:
 def count_tokens(docs: DataFrame, path: str, cache: str) -> DataFrame:
     """``doc_id``, ``n_bytes`` and ``n_tokens`` of every row; new counts are appended to ``cache``."""
     spark, version = docs.sparkSession, version_of(path)
+    shipped = ship(spark, path)
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("content"))
-    known = cached(spark, cache).where(F.col("version") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
-    # One row of each text that is missing: narrow rows only, copies meet before the shuffle.
-    misses = keyed.groupBy("content").agg(F.min("doc_id").alias("doc_id")).join(known, "content", "left_anti")
+    keyed = stored(docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("content")), "digests")
+    # One row of each content: narrow rows only, copies meet before the shuffle.
+    contents = stored(keyed.groupBy("content").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")), "contents")
+    known = cached(spark, cache).where(F.col("version") == version).select("content").distinct()
+    misses = contents.join(known, "content", "left_anti")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(path)
+        count = counter(shipped)
         for batch in batches:
             for part in slices(batch, "text"):
                 many = texts(part.column("text"))
@@ -97,10 +104,17 @@ def count_tokens(docs: DataFrame, path: str, cache: str) -> DataFrame:
     chosen = source.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("of")), "left_semi").select("text")
     chosen.mapInArrow(encode, CACHE).write.mode("append").option("compression", "zstd").parquet(cache)
     counts = cached(spark, cache).where(F.col("version") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
-    return keyed.join(counts, "content").select("doc_id", "n_bytes", "n_tokens")
+    lookup = stored(contents.select("content", "n").join(counts, "content"), "counts")
+    return hot_join(keyed, lookup, "content").select("doc_id", "n_bytes", "n_tokens")
 
 
 def counted(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
-    """Counts with a cache of this run's own, and whether a text is over the limit."""
-    done = count_tokens(docs, path, scratch(docs.sparkSession, "token_cache"))
-    return done.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    """Counts all rows with a cache of this run's own, and says whether a text is over the limit.
+
+    The table comes in two loads, by a hash of the id: the second finds
+    the first one's counts in the cache, as a later load of a corpus would.
+    """
+    cache = scratch(docs.sparkSession, "token_cache")
+    early = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    loads = [count_tokens(docs.where(load), path, cache) for load in (early, ~early)]
+    return loads[0].unionByName(loads[1]).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
