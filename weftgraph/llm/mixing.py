@@ -6,56 +6,88 @@ one random offset of the source, crosses integers, and a document is emitted
 once for each integer that it crosses.
 
 The order is by size (words), then by a seeded hash: neighbours are alike in
-size, so the words taken stay within about one document of the target. Prefix
-sums come from counts: documents are ranked inside small cells of (source,
-size, hash range), and cells are summed by source, so no task sees a source.
+size. The words taken then miss the target by less than the largest document,
+which is much in a source of few documents; so of ``OFFSETS`` seeded offsets a
+source takes the one whose words come nearest to its target.
+
+Prefix sums come from counts: documents are ranked inside small cells of
+(source, size, hash range), and cells are summed by source, so no task sees a
+source. Places and levels of the sources come from aggregates over the table of
+sources; no task needs all of them, and the driver sees sums only.
 
 Null text has size 0; a null source is a source of its own and comes last. A
-source of size 0 has target 0 and takes nothing.
+source of size 0 has target 0 and takes nothing. Rows that share an id, and
+repeated rows, are sampled each on their own; null ids are documents like
+others. An empty table gives an empty mixture. Other columns, whatever their
+names, come through ``mix`` as they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, free, stored
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_TIMES = 3.0
 #: Documents of one source and one size that are ranked in one task.
 CELL_ROWS = 20_000
+#: Random offsets of a source, of which it takes the best.
+OFFSETS = 24
+_LOW = (1 << 33) - 1
 
 
 def sized(docs: DataFrame, *own: str) -> DataFrame:
     return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *own)
 
 
+def ranked(rows: DataFrame, name: str, *order: Column) -> DataFrame:
+    """A table with the place of each row in a total order, from 0, as ``name``.
+
+    The sort deals the rows out by range; a row's place is its place in its
+    range plus the rows of the ranges before, which are one number a partition.
+    """
+    own = stored(rows.orderBy(*order).withColumn(name, F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright(name, 33)
+    at, starts = 0, []
+    for r in own.groupBy(part.alias("part")).count().orderBy("part").collect():
+        starts.append((r.part, at))
+        at += r["count"]
+    before = F.broadcast(own.sparkSession.createDataFrame(starts, "_part long, _start long"))
+    return own.join(before, part == F.col("_part")).withColumn(name, F.col("_start") + F.col(name).bitwiseAND(F.lit(_LOW))).drop("_part", "_start")
+
+
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most_times: float = MOST_TIMES) -> DataFrame:
     """``source``, ``source_size``, ``docs`` and ``target`` of each source.
 
-    Sharing the excess by weight until no target is above its bound ends at a
-    level L with target = min(bound, L * weight). L is found on the sources in
-    the order of bound / weight: the first k are at their bounds, for the
-    smallest k at which the rest's level stays below the next ratio.
+    All that the bounded sources leave is shared by weight among the others, at
+    a level L: target = min(bound, L * weight). Sources whose share is above
+    their bound join the bounded ones until there are none.
     """
     by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    by = ranked(by, "place", F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
-    by = by.withColumn("place", place).withColumn("weight", weight).withColumn("bound", F.col("source_size") * F.lit(most_times))
-    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    order = Window.orderBy((F.col("bound") / F.col("weight")).asc(), "place")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.col("total") - F.coalesce(F.sum("bound").over(before), F.lit(0.0))) / F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    by = by.withColumn("total", F.sum("source_size").over(every)).withColumn("level", level)
-    free = F.when(F.col("level") * F.col("weight") <= F.col("bound"), F.col("level"))
-    by = by.withColumn("common", F.first(free, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    target = F.least(F.col("bound"), F.coalesce(F.col("common") * F.col("weight"), F.col("bound")))
+    by = stored(by.withColumn("weight", weight).withColumn("bound", F.col("source_size") * F.lit(float(most_times))), "sources")
+    total, shares = by.agg(F.sum("source_size").cast("double"), F.sum("weight")).first()
+    level, bounded = (total / shares if shares else 0.0), 0
+    while True:
+        over = F.col("bound") < F.col("weight") * F.lit(level)
+        n, held, left = by.agg(F.count_if(over), F.sum(F.when(over, F.col("bound"))), F.sum(F.when(~over, F.col("weight")))).first()
+        if n == bounded or not left:
+            break
+        bounded, level = n, (total - (held or 0.0)) / left
+    target = F.least(F.col("bound"), F.col("weight") * F.lit(level))
     return by.select("source", "source_size", "docs", target.cast("double").alias("target"))
 
 
+def _crossed(offset: Column) -> Column:
+    rate = F.col("rate")
+    return F.floor(F.col("position") * rate + offset) - F.floor((F.col("position") - 1) * rate + offset)
+
+
 def copies(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most_times: float = MOST_TIMES, seed: int = 17, own: Sequence[str] = ()) -> DataFrame:
     """``doc_id``, ``source``, ``size``, ``source_size``, ``target`` and ``copies`` of every row, and its columns ``own``, which break ties."""
     rows = sized(docs, *own).withColumn("draw", F.xxhash64(F.lit(seed), "doc_id"))
@@ -73,11 +105,19 @@ def copies(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most_times: floa
     inside = Window.partitionBy("source", "size", "cell").orderBy("draw", "doc_id", *own)
     ranked = dealt.withColumn("rank", F.row_number().over(inside))
     placed = ranked.alias("r").join(starts.alias("s"), same_cell()).select("r.*", (F.col("s.start") + F.col("r.rank")).alias("position"))
-    goals = goals.withColumn("rate", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(most_times))).otherwise(F.lit(0.0)))
-    goals = goals.withColumn("offset", F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), F.coalesce("source", F.lit("")), F.isnull("source")), 33).cast("double") / float(1 << 31))
-    joined = placed.alias("p").join(goals.alias("g"), F.col("p.source").eqNullSafe(F.col("g.source")))
-    crossed = F.floor(F.col("position") * F.col("rate") + F.col("offset")) - F.floor((F.col("position") - 1) * F.col("rate") + F.col("offset"))
-    return joined.select("p.doc_id", "p.source", "p.size", "g.source_size", "g.target", F.least(crossed, F.lit(int(most_times))).cast("long").alias("copies"), *(f"p.{c}" for c in own))
+    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most_times)))).otherwise(F.lit(0.0))
+    # Offset k of a source: a seeded hash as a fraction, moved on by k / OFFSETS.
+    first = F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), F.coalesce("source", F.lit("")), F.isnull("source")), 33).cast("double") / float(1 << 31)
+    goals = goals.withColumn("rate", rate).withColumn("offset", first)
+    joined = placed.alias("p").join(goals.alias("g"), F.col("p.source").eqNullSafe(F.col("g.source"))).select("p.*", "g.source_size", "g.target", "g.rate", "g.offset")
+    joined = stored(joined, "placed")
+    each = [F.sum(_crossed(F.pmod(F.col("offset") + k / OFFSETS, F.lit(1.0))) * F.col("size")).alias(f"t{k}") for k in range(OFFSETS)]
+    sums = joined.groupBy("source").agg(F.first("target").alias("goal"), F.first("offset").alias("o"), *each)
+    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("goal")).alias("off"), F.pmod(F.col("o") + k / OFFSETS, F.lit(1.0)).alias("offset")) for k in range(OFFSETS)]))
+    chosen = sums.select("source", best["offset"].alias("offset"))
+    met = joined.drop("offset").alias("p").join(chosen.alias("g"), F.col("p.source").eqNullSafe(F.col("g.source")))
+    taken = F.least(_crossed(F.col("g.offset")), F.lit(int(most_times))).cast("long")
+    return met.select("p.doc_id", "p.source", "p.size", "p.source_size", "p.target", taken.alias("copies"), *(f"p.{c}" for c in own))
 
 
 def same_cell():
@@ -86,11 +126,12 @@ def same_cell():
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixture: each row of ``docs`` as often as it is taken, in all its columns; rows that share a doc_id count apart."""
-    numbered = stored(docs.withColumns({"_tie": F.xxhash64(*docs.columns), "_row": F.monotonically_increasing_id()}), "numbered")
-    taken = copies(numbered, own=("_tie", "_row"), **options).where("copies > 0").select(F.col("_row").alias("of"), "copies")
-    joined = numbered.join(taken.hint("shuffle_hash"), F.col("_row") == F.col("of"))
-    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
-    return joined.withColumn("_copy", again).select(*docs.columns)
+    tie, row, of, copy, times = (free([*docs.columns, "size", "draw"], c) for c in ("mix_tie", "mix_row", "mix_of", "mix_copy", "mix_times"))
+    numbered = stored(docs.withColumns({tie: F.xxhash64(*docs.columns), row: F.monotonically_increasing_id()}), "numbered")
+    taken = copies(numbered, own=(tie, row), **options).where("copies > 0").select(F.col(row).alias(of), F.col("copies").alias(times))
+    joined = numbered.join(taken.hint("shuffle_hash"), F.col(row) == F.col(of))
+    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))
+    return joined.withColumn(copy, again).select(*docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:
