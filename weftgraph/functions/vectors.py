@@ -28,12 +28,34 @@ def _mod(hex_digits: Column, n: int) -> Column:
 
 
 def hash_embedding(df: DataFrame, key: str, text: str, dims: int = 384) -> DataFrame:
-    """Signed hashed token weights by dimension: ``key``, ``dim``, ``weight``, of unit length."""
+    """Signed hashed token weights by dimension: ``key``, ``dim``, ``weight``, of unit length.
+
+    Digests are folded once a distinct token. A text without a token is the zero
+    vector: one row of ``dim`` 0 and weight 0. Rows that share a key add up.
+    """
     dims = max(16, dims)
     parts = df.select(key, F.explode(tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
     digest = F.sha1(F.col("token").cast("binary"))
     sign = F.when(_mod(digest, 4) >= 2, 1.0).otherwise(-1.0)
-    parts = parts.select(key, _mod(digest, dims).alias("dim"), (sign * (1 + _mod(digest, 997) / 9970.0) * F.col("n")).alias("w"))
-    sums = parts.groupBy(key, "dim").agg(F.sum("w").alias("w"))
+    folded = parts.select("token").distinct().select("token", _mod(digest, dims).alias("dim"), (sign * (1 + _mod(digest, 997) / 9970.0)).alias("each"))
+    sums = parts.join(folded, "token").groupBy(key, "dim").agg(F.sum(F.col("each") * F.col("n")).alias("w"))
     norms = sums.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return sums.join(norms, key).select(key, "dim", F.when(F.col("norm") > 0, F.col("w") / F.col("norm")).otherwise(F.lit(0.0)).alias("weight"))
+    made = sums.join(norms, key).select(key, "dim", F.when(F.col("norm") > 0, F.col("w") / F.col("norm")).otherwise(F.lit(0.0)).alias("weight"))
+    none = df.groupBy(key).agg(F.max(F.size(tokens(F.col(text)))).alias("n")).where("n is null or n <= 0")
+    return made.unionByName(none.select(key, F.lit(0).cast("long").alias("dim"), F.lit(0.0).alias("weight")))
+
+
+def blocked_pairs(df: DataFrame, key: str, vector: str, least: float, length: float = 4.0, tables: int = 4, seed: int = 42) -> DataFrame:
+    """Pairs (src, dst, score) of rows of cosine ``least`` or more that meet in a bucket of locality-sensitive hashing.
+
+    Vectors of unit length are hashed by random projections (``pyspark.ml``), so
+    only rows of a common bucket are compared; pairs that meet in none are missed.
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    norm = F.sqrt(dot(F.col(vector), F.col(vector)))
+    unit = df.where(norm > 0).select(F.col(key).alias("id"), array_to_vector(F.transform(vector, lambda x: x.cast("double") / norm)).alias("unit"))
+    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="buckets", bucketLength=length, numHashTables=tables, seed=seed).fit(unit)
+    near = model.approxSimilarityJoin(unit, unit, (2 - 2 * least) ** 0.5 + 1e-9, "distance").where("datasetA.id < datasetB.id")
+    return near.select(F.col("datasetA.id").alias("src"), F.col("datasetB.id").alias("dst"), (1 - F.col("distance") * F.col("distance") / 2).alias("score"))

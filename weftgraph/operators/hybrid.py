@@ -36,6 +36,6 @@ def rerank(rows: DataFrame, terms: list[str], seed_limit: int = 16, neighbour_li
     graph = F.greatest(F.when(F.col("has_graph"), 1.0).otherwise(0.0), F.coalesce("rrf_norm", F.lit(0.0)))
     score = 0.55 * F.coalesce("vector_norm", F.lit(0.0)) + 0.25 * graph + 0.20 * share + F.when(F.col("is_seed"), 0.10).otherwise(0.0)
     scored = rows.withColumn("retrieval_score", F.round(score, 6))
-    place = F.row_number().over(Window.partitionBy("is_seed").orderBy(F.desc("retrieval_score"), F.desc("chunk_id")))
-    limit = F.when(F.col("is_seed"), seed_limit).otherwise(neighbour_limit)
-    return scored.withColumn("place", place).where(F.col("place") <= limit)
+    order = (F.desc("retrieval_score"), F.desc("chunk_id"))
+    best = scored.where("is_seed").orderBy(*order).limit(seed_limit).unionByName(scored.where(~F.coalesce("is_seed", F.lit(False))).orderBy(*order).limit(neighbour_limit))
+    return best.withColumn("place", F.row_number().over(Window.partitionBy("is_seed").orderBy(*order)))

@@ -10,6 +10,21 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
+
+
+def normalised(records: DataFrame) -> DataFrame:
+    """Records (title, file_path, description, keywords) for ingest: clean keywords, titles from the file's name.
+
+    All records are checked first: one without a file path fails the whole ingest.
+    """
+    path = F.trim(F.coalesce("file_path", F.lit("")))
+    checked = F.when(path == "", F.raise_error(F.lit("a record needs a file_path"))).otherwise(path)
+    name = F.element_at(F.split(path, "/"), -1)
+    title = F.coalesce(F.nullif(F.trim("title"), F.lit("")), name)
+    own = text.keywords(F.coalesce("keywords", F.array().cast("array<string>")))
+    return records.select(checked.cast("string").alias("file_path"), title.alias("title"), F.coalesce("description", F.lit("")).alias("description"), name.alias("file_name"), own.alias("keywords"))
+
 
 def _listed(documents: DataFrame, keywords: DataFrame, limit: int) -> DataFrame:
     top = documents.orderBy("title", "doc_id").limit(max(1, limit))
@@ -41,26 +56,44 @@ def by_title(documents: DataFrame, keywords: DataFrame, part: str, limit: int =
 def similarity_edges(keywords: DataFrame, least: int = 1) -> DataFrame:
     """Pairs a < b with their number of common keywords.
 
-    Joined on the keyword; a pair's rows are counted, so keywords of many
-    documents should be left out by the caller.
+    Each keyword's documents are joined with themselves, so there are as many
+    rows as pairs that share it: those pairs are the result. Keywords of one
+    document go first.
     """
-    a, b = keywords.distinct().alias("a"), keywords.distinct().alias("b")
+    own = keywords.distinct()
+    several = own.groupBy("keyword").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("keyword")
+    own = own.join(several, "keyword", "left_semi")
+    a, b = own.alias("a"), own.alias("b")
     pairs = a.join(b, (F.col("a.keyword") == F.col("b.keyword")) & (F.col("a.doc_id") < F.col("b.doc_id")))
     return pairs.groupBy(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).agg(F.count(F.lit(1)).alias("common_keywords")).where(F.col("common_keywords") >= least)
 
 
-def similar(edges: DataFrame, documents: DataFrame, doc_id, limit: int = 10) -> DataFrame:
-    own = edges.where((F.col("a") == doc_id) | (F.col("b") == doc_id)).select(F.when(F.col("a") == doc_id, F.col("b")).otherwise(F.col("a")).alias("doc_id"), "common_keywords")
-    return own.join(documents.select("doc_id", "title"), "doc_id").orderBy(F.desc("common_keywords"), "title", "doc_id").limit(max(1, limit)).select("doc_id", "title", "common_keywords")
+def edges_of(keywords: DataFrame, doc_id, least: int = 1) -> DataFrame:
+    """The similarity edges of one document: (doc_id, common_keywords) of the others. Only its own keywords are joined."""
+    mine = keywords.where(F.col("doc_id") == doc_id).select("keyword").distinct()
+    met = keywords.where(F.col("doc_id") != doc_id).join(mine, "keyword", "left_semi")
+    return met.groupBy("doc_id").agg(F.count_distinct("keyword").alias("common_keywords")).where(F.col("common_keywords") >= least)
 
 
-def related(edges: DataFrame, documents: DataFrame, keywords: DataFrame, doc_id, limit: int = 10) -> DataFrame:
-    """Neighbours by 10 x the edge's count + keywords shared now."""
-    near = edges.where((F.col("a") == doc_id) | (F.col("b") == doc_id)).select(F.when(F.col("a") == doc_id, F.col("b")).otherwise(F.col("a")).alias("doc_id"), "common_keywords")
-    mine = keywords.where(F.col("doc_id") == doc_id).select("keyword").distinct()
-    shared = keywords.join(mine, "keyword", "left_semi").groupBy("doc_id").agg(F.count_distinct("keyword").alias("shared"))
+def similar(keywords: DataFrame, documents: DataFrame, doc_id, limit: int = 10, least: int = 1) -> DataFrame:
+    top = edges_of(keywords, doc_id, least).join(documents.select("doc_id", "title"), "doc_id")
+    return top.orderBy(F.desc("common_keywords"), "title", "doc_id").limit(max(1, limit)).select("doc_id", "title", "common_keywords")
+
+
+def related(keywords: DataFrame, documents: DataFrame, doc_id, limit: int = 10, least: int = 1, edges: DataFrame | None = None) -> DataFrame:
+    """Neighbours by 10 x the edge's count + keywords shared now.
+
+    ``edges`` (a, b, common_keywords) are those of an earlier time, of parallel
+    ones the strongest counts; without them the edges of now.
+    """
+    shared = edges_of(keywords, doc_id).withColumnRenamed("common_keywords", "shared")
+    near = edges_of(keywords, doc_id, least)
+    if edges is not None:
+        ends = edges.where((F.col("a") == doc_id) | (F.col("b") == doc_id)).select(F.when(F.col("a") == doc_id, F.col("b")).otherwise(F.col("a")).alias("doc_id"), "common_keywords")
+        near = ends.groupBy("doc_id").agg(F.coalesce(F.max("common_keywords"), F.lit(0)).alias("common_keywords"))
     score = 10 * F.coalesce("common_keywords", F.lit(0)) + F.coalesce("shared", F.lit(0))
-    return near.join(shared, "doc_id", "left").join(documents.select("doc_id", "title"), "doc_id").select("doc_id", "title", score.alias("relevance")).orderBy(F.desc("relevance"), "title", "doc_id").limit(max(1, limit))
+    rows = near.join(shared, "doc_id", "left").join(documents.select("doc_id", "title"), "doc_id").select("doc_id", "title", score.alias("relevance"))
+    return rows.orderBy(F.desc("relevance"), "title", "doc_id").limit(max(1, limit))
 
 
 def by_entity(documents: DataFrame, chunks: DataFrame, mentions: DataFrame, name: str, limit: int = 10) -> DataFrame:
@@ -69,8 +102,13 @@ def by_entity(documents: DataFrame, chunks: DataFrame, mentions: DataFrame, name
     return counts.join(documents.select("doc_id", "title"), "doc_id").orderBy(F.desc("chunks_count"), "title", "doc_id").limit(max(1, limit)).select("doc_id", "title", "chunks_count")
 
 
-def by_topic(documents: DataFrame, chunks: DataFrame, tags: DataFrame, topic: str, limit: int = 10) -> DataFrame:
-    """Documents whose title, text or a chunk's tag contains the topic, whatever its case."""
+def by_topic(documents: DataFrame, chunks: DataFrame, tags: DataFrame, topic: str, limit: int = 10, compat: bool = False) -> DataFrame:
+    """Documents whose title, text or a chunk's tag contains the topic, whatever its case.
+
+    With ``compat`` the topic narrows what is matched beside a document, not the documents: all are listed.
+    """
+    if compat:
+        return documents.select("doc_id", "title").distinct().orderBy("title", "doc_id").limit(max(1, limit))
     part = F.lit(topic.strip().lower())
     tagged = tags.where(F.contains(F.lower("tag"), part)).join(chunks.select("chunk_id", "doc_id"), "chunk_id").select("doc_id").distinct().withColumn("tagged", F.lit(True))
     own = F.contains(F.lower("title"), part) | F.contains(F.lower("text"), part)

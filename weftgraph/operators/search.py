@@ -7,6 +7,8 @@ name, type) and tags (chunk_id, tag). Null ``active`` counts as true.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,30 +20,54 @@ def is_active(column: str = "active") -> Column:
     return F.coalesce(F.col(column), F.lit(True))
 
 
-def either_contains(names: Column, term: Column) -> Column:
-    return F.exists(names, lambda n: F.contains(n, term) | F.contains(term, n))
+def _terms_of(rows: DataFrame, name: str, terms: Column, out: str) -> DataFrame:
+    """The terms that a chunk's names contain or lie in: only chunks that have some."""
+    low = F.lower(name)
+    hit = rows.select("chunk_id", F.explode(F.filter(terms, lambda t: F.contains(low, t) | F.contains(t, low))).alias("term"))
+    return hit.groupBy("chunk_id").agg(F.size(F.collect_set("term")).alias(out))
 
 
-def lexical_search(chunks: DataFrame, documents: DataFrame, mentions: DataFrame, tags: DataFrame, query: str, limit: int = 12, compat: bool = False) -> DataFrame:
+def lexical_search(chunks: DataFrame, documents: DataFrame, mentions: DataFrame, tags: DataFrame, query: str, limit: int = 12, compat: bool = False, with_url: bool = False) -> DataFrame:
     """Top chunks by 3 x terms in the text + 2 x terms in entities + terms in tags.
 
-    Entities and tags are gathered apart and then joined, so a chunk never sees
-    their product. With ``compat`` a chunk without entities or tags has the
-    empty name, which every term contains.
+    Names are matched where they are, and what is joined to the chunks are
+    counts of the chunks that have a hit. With ``compat`` a chunk without
+    entities or tags has the empty name, which every term contains. A query
+    without a word gives nothing. ``with_url`` adds the document's address.
     """
     terms = query_terms(F.lit(query))
-    names = mentions.groupBy("chunk_id").agg(F.collect_set(F.lower("name")).alias("names"))
-    own = tags.groupBy("chunk_id").agg(F.collect_set(F.lower("tag")).alias("tag_names"))
-    none = F.array(F.lit("")) if compat else F.array().cast("array<string>")
-    found = chunks.where(is_active()).select("chunk_id", "doc_id", "chunk_index", "text").join(names, "chunk_id", "left").join(own, "chunk_id", "left")
-    hits = lambda test: F.size(F.filter(terms, test))
-    score = (
-        3 * hits(lambda t: F.contains(F.lower("text"), t))
-        + 2 * hits(lambda t: either_contains(F.coalesce("names", none), t))
-        + hits(lambda t: either_contains(F.coalesce("tag_names", none), t))
-    )
+    found = chunks.where(is_active()).select("chunk_id", "doc_id", "chunk_index", "text")
+    for rows, name, out in ((mentions, "name", "entity_hits"), (tags, "tag", "tag_hits")):
+        found = found.join(_terms_of(rows, name, terms, out), "chunk_id", "left")
+        if compat:
+            some = rows.select("chunk_id").distinct().withColumn("_named", F.lit(True))
+            found = found.join(some, "chunk_id", "left").withColumn(out, F.when(F.col("_named"), F.col(out)).otherwise(F.size(terms))).drop("_named")
+    score = 3 * F.size(F.filter(terms, lambda t: F.contains(F.lower("text"), t))) + 2 * F.coalesce("entity_hits", F.lit(0)) + F.coalesce("tag_hits", F.lit(0))
     top = found.withColumn("score", score.cast("double")).where("score > 0").orderBy(F.desc("score"), "chunk_index", "chunk_id").limit(max(1, limit))
-    return top.join(documents.select("doc_id", "title"), "doc_id", "left").select("chunk_id", "text", "doc_id", "title", "chunk_index", "score")
+    more = ["url"] if with_url else []
+    return top.join(documents.select("doc_id", "title", *more), "doc_id", "left").select("chunk_id", "text", "doc_id", "title", *more, "chunk_index", "score")
+
+
+def check_index(dims: int, similarity: str = "cosine", name: str = "chunk_embedding_index") -> dict:
+    """What a vector index is recorded by; unfit settings raise."""
+    if dims <= 0 or similarity not in ("cosine", "euclidean") or not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", name):
+        raise ValueError("needs dimensions above 0, cosine or euclidean, and a plain name")
+    return {"name": name, "dimensions": dims, "similarity": similarity}
+
+
+def vector_search(vectors: DataFrame, chunks: DataFrame, documents: DataFrame, query: list[float], top_k: int = 8, with_url: bool = False) -> DataFrame:
+    """The nearest chunks of ``vectors`` (chunk_id, embedding), of which inactive ones then go: there may be fewer than ``top_k``."""
+    near = nearest(vectors, "chunk_id", "embedding", query, top_k).select("chunk_id", "score")
+    own = chunks.where(is_active()).select("chunk_id", "doc_id", "chunk_index", "text")
+    more = ["url"] if with_url else []
+    rows = F.broadcast(near).join(own, "chunk_id").join(documents.select("doc_id", "title", *more), "doc_id", "left")
+    return rows.select("chunk_id", "text", "doc_id", "title", *more, "score").orderBy(F.desc("score"), "chunk_id")
+
+
+def unembedded(chunks: DataFrame, embedded: DataFrame, model: str) -> DataFrame:
+    """Chunks that have no vector of this model yet."""
+    done = embedded.where(F.col("embedding").isNotNull() & (F.col("embedding_model") == model)).select("chunk_id")
+    return chunks.join(done, "chunk_id", "left_anti")
 
 
 def nearest(vectors: DataFrame, key: str, vector: str, query: list[float], top_k: int = 8, metric: str = "cosine") -> DataFrame:

@@ -1,4 +1,9 @@
-"""A property graph derived from the documents table, by fixed rules."""
+"""A property graph derived from the documents and conversations tables, by fixed rules.
+
+What takes tokens of all texts is derived once in a session and written to the
+shared folder; queries then read narrow tables, as they would read a graph that
+was ingested before.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +11,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import QUERY_STOPWORDS, tokens, windows
+from ..operators.writes import entity_id
+from ..storage import stored
+
+_kept: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def kept(make):
+    """A derived table, written once for each session and input."""
+
+    def get(self) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, make.__name__)
+        if key not in _kept:
+            _kept[key] = stored(make(self), make.__name__)
+        return _kept[key]
+
+    return property(get)
 
 
 class Graph:
@@ -25,33 +46,33 @@ class Graph:
         rows = docs.select("doc_id", "active", "lang", F.explode(windows(F.col("text"))).alias("w"))
         return rows.select(F.format_string("%s_c%03d", "doc_id", "w.index").alias("chunk_id"), "doc_id", F.col("w.index").alias("chunk_index"), F.col("w.text").alias("text"), "active", "lang")
 
-    @property
+    @kept
     def tags(self) -> DataFrame:
         words = self.chunks.select("chunk_id", F.explode(tokens(F.col("text"))).alias("tag")).where((F.length("tag") >= 3) & ~F.col("tag").isin(QUERY_STOPWORDS))
         counts = words.groupBy("chunk_id", "tag").agg(F.count(F.lit(1)).alias("n"))
         place = F.row_number().over(Window.partitionBy("chunk_id").orderBy(F.desc("n"), "tag"))
         return counts.withColumn("place", place).where("place <= 12").select("chunk_id", "tag")
 
-    @property
+    @kept
     def mentions(self) -> DataFrame:
         words = self.chunks.select("chunk_id", F.upper("lang").alias("type"), F.explode(F.array_distinct(tokens(F.col("text")))).alias("name")).where(F.length("name") >= 8)
         place = F.row_number().over(Window.partitionBy("chunk_id").orderBy(F.length("name").desc(), "name"))
         return words.withColumn("place", place).where("place <= 5")
 
-    @property
+    @kept
     def relations(self) -> DataFrame:
         """Entities of neighbouring places in a chunk; the raw type goes round."""
         a, b = self.mentions.alias("a"), self.mentions.alias("b")
         raw = F.element_at(F.array(*map(F.lit, ["RELATED_TO", "uses", "part of", "mentions near"])), F.col("a.place"))
         return a.join(b, (F.col("a.chunk_id") == F.col("b.chunk_id")) & (F.col("b.place") == F.col("a.place") + 1)).select(F.col("a.name").alias("source"), F.col("b.name").alias("target"), raw.alias("raw_type"))
 
-    @property
+    @kept
     def keywords(self) -> DataFrame:
         words = self.documents.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("keyword"))
         place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.length("keyword").desc(), "keyword"))
         return words.withColumn("place", place).where("place <= 5").select("doc_id", "keyword")
 
-    @property
+    @kept
     def edges(self) -> DataFrame:
         """Documents refer to the document of half their number; chunks lie in documents."""
         n = self.table("documents").select("doc_id").distinct()
@@ -60,6 +81,44 @@ class Graph:
         return refers.unionByName(self.chunks.select(F.col("doc_id").alias("src"), F.lit("CONTAINS").alias("type"), F.col("chunk_id").alias("dst")))
 
 
+    @kept
+    def faqs(self) -> DataFrame:
+        """A user's turn and the assistant's answer to it; ``chunk_id`` is the first chunk of a document, by the conversation's number."""
+        t = self.table("conversations")
+        a, b = t.where("role = 'user'").alias("a"), t.where("role = 'assistant'").alias("b")
+        pairs = a.join(b, (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("b.turn") == F.col("a.turn") + 1))
+        n = max(1, self.table("documents").select("doc_id").distinct().count())
+        one = pairs.groupBy("a.conv_id", "a.turn").agg(F.min(F.col("a.text")).alias("question"), F.min(F.col("b.text")).alias("answer"))
+        return one.select(F.format_string("faq_%d_%d", "conv_id", "turn").alias("faq_id"), "question", "answer", F.lit(True).alias("active"), F.format_string("doc_%03d_c000", F.col("conv_id") % n).alias("chunk_id"))
+
+    @property
+    def vectors(self) -> DataFrame:
+        """The vector of a number is that of the first chunk of the document of this number."""
+        return self.table("embeddings").select(F.format_string("doc_%03d_c000", "vec_id").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+
+    @kept
+    def all_edges(self) -> DataFrame:
+        """Also tags, entities and what FAQs are derived from, where the chunk exists."""
+        edge = lambda df, src, kind, dst: df.select(src.alias("src"), F.lit(kind).alias("type"), dst.alias("dst"))
+        ids = self.chunks.select("chunk_id")
+        tagged = edge(self.tags, F.col("chunk_id"), "HAS_TAG", F.concat(F.lit("t:"), "tag"))
+        named = edge(self.mentions, F.col("chunk_id"), "MENTIONS", entity_id())
+        derived = edge(self.faqs.join(ids, "chunk_id", "left_semi"), F.col("faq_id"), "DERIVED_FROM", F.col("chunk_id"))
+        return self.edges.unionByName(tagged).unionByName(named).unionByName(derived)
+
+    @kept
+    def nodes(self) -> DataFrame:
+        """(id, label, name, type, question, answer) of all."""
+        none = F.lit(None).cast("string")
+
+        def node(df, key, label, name=none, kind=none, question=none, answer=none):
+            return df.select(key.alias("id"), F.lit(label).alias("label"), name.alias("name"), kind.alias("type"), question.alias("question"), answer.alias("answer")).distinct()
+
+        out = node(self.documents, F.col("doc_id"), "Document").unionByName(node(self.chunks, F.col("chunk_id"), "Chunk"))
+        out = out.unionByName(node(self.tags, F.concat(F.lit("t:"), "tag"), "Tag", F.col("tag"))).unionByName(node(self.mentions, entity_id(), "Entity", F.col("name"), F.col("type")))
+        return out.unionByName(node(self.faqs, F.col("faq_id"), "FAQ", none, none, F.col("question"), F.col("answer")))
+
+
 _STOP = ", ".join(f"'{w}'" for w in QUERY_STOPWORDS)
 #: The same tables in DuckDB.
 SQL = rf"""WITH RECURSIVE d AS (SELECT printf('doc_%03d', doc_id) AS doc_id, substring(text, 1, 60) AS title, source AS source_type, doc_id % 17 <> 0 AS active, doc_id AS number, lang, text FROM documents),
@@ -72,3 +131,8 @@ rel AS (SELECT a.name AS source, b.name AS target, ['RELATED_TO', 'uses', 'part
 kw AS (SELECT doc_id, keyword FROM (SELECT doc_id, t AS keyword, row_number() OVER (PARTITION BY doc_id ORDER BY length(t) DESC, t) AS place FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_-]+')) AS t FROM d)) WHERE place <= 5),
 e AS (SELECT * FROM (SELECT printf('doc_%03d', doc_id) AS src, 'REFERS_TO' AS type, printf('doc_%03d', doc_id // 2) AS dst FROM (SELECT DISTINCT doc_id FROM documents)) WHERE src <> dst UNION ALL SELECT doc_id, 'CONTAINS', chunk_id FROM c)
 """
+#: FAQs, all edges and all nodes.
+GRAPH_SQL = SQL + """, f AS (SELECT printf('faq_%d_%d', conv_id, turn) AS faq_id, question, answer, printf('doc_%03d_c000', conv_id % (SELECT count(DISTINCT doc_id) FROM documents)) AS chunk_id FROM (SELECT a.conv_id, a.turn, min(a.text) AS question, min(b.text) AS answer FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant' GROUP BY 1, 2)),
+ae AS (SELECT src, type, dst FROM e UNION ALL SELECT chunk_id, 'HAS_TAG', 't:' || tag FROM tg UNION ALL SELECT chunk_id, 'MENTIONS', 'e:' || type || '|' || name FROM en UNION ALL SELECT faq_id, 'DERIVED_FROM', chunk_id FROM f WHERE chunk_id IN (SELECT chunk_id FROM c)),
+an AS (SELECT DISTINCT doc_id AS id, 'Document' AS label, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS VARCHAR) AS type FROM d UNION SELECT chunk_id, 'Chunk', NULL, NULL FROM c UNION SELECT 't:' || tag, 'Tag', tag, NULL FROM tg UNION SELECT 'e:' || type || '|' || name, 'Entity', name, type FROM en UNION SELECT faq_id, 'FAQ', NULL, NULL FROM f)
+"""

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.splitting import by_separators
-from ..functions.vectors import hash_embedding
-from ..operators import context, hybrid, kb, search, traverse, writes
-from ..sources import worklist
-from .fixture import SQL, Graph
+from ..functions.vectors import cosine, hash_embedding
+from ..operators import answer, context, hybrid, kb, search, traverse, writes
+from ..sources import annotation_json, read_annotation, worklist
+from .fixture import GRAPH_SQL, SQL, Graph
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,13 +22,13 @@ TERMS = ["thing", "question"]
 AS_OF = "2024-06-01 00:00:00"
 
 
-def query(sql: str | None = None) -> Callable:
+def query(sql: str | None = None, tables: str = SQL) -> Callable:
     """Registers a function of a Graph under its name, with SQL after the fixture's tables."""
 
     def register(f: Callable[[Graph], DataFrame]) -> Callable:
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Graph(spark, sf_dir))
         if sql is not None:
-            ORACLES[f.__name__] = SQL + sql
+            ORACLES[f.__name__] = tables + sql
         return f
 
     return register
@@ -89,22 +89,33 @@ def embedding_dim(g):
     return g.table("embeddings").select(F.size("embedding").cast("long").alias("dims")).distinct()
 
 
-@query()
+_FOLD = "list_reduce(list_transform(range(1, 41), lambda i: CAST(instr('0123456789abcdef', substr(h, i, 1)) - 1 AS BIGINT)), lambda a, x: (a * 16 + x) % {0})"
+
+
+@query(f""", t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_-]+')) AS token FROM d),
+n AS (SELECT doc_id, token, count(*) AS n FROM t GROUP BY 1, 2),
+o AS (SELECT token, {_FOLD.format(384)} AS dim, (CASE WHEN {_FOLD.format(4)} >= 2 THEN 1.0 ELSE -1.0 END) * (1 + CAST({_FOLD.format(997)} AS DOUBLE) / 9970) AS each FROM (SELECT token, sha1(token) AS h FROM (SELECT DISTINCT token FROM n))),
+s AS (SELECT doc_id, dim, sum(each * n) AS w FROM n JOIN o USING (token) GROUP BY 1, 2)
+SELECT doc_id, dim, round(CASE WHEN norm > 0 THEN w / norm ELSE 0 END, 6) AS weight FROM s JOIN (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM s GROUP BY doc_id) USING (doc_id)
+UNION ALL SELECT DISTINCT doc_id, 0, 0.0 FROM d WHERE doc_id NOT IN (SELECT doc_id FROM s)""")
 def hash_embedding_query(g):
-    return hash_embedding(g.documents, "doc_id", "text", 64)
+    return hash_embedding(g.documents, "doc_id", "text").select("doc_id", "dim", F.round("weight", 6).alias("weight"))
 
 
-_SEED = "SELECT chunk_id, CAST(chunk_index AS INTEGER) AS chunk_index, match_count, CAST({branch} AS INTEGER) AS branch FROM (SELECT chunk_id, count(DISTINCT term) AS match_count FROM {table}, (SELECT unnest({terms}) AS term) WHERE contains(lower({name}), term) GROUP BY chunk_id) JOIN c USING (chunk_id) WHERE active ORDER BY match_count DESC, chunk_index, chunk_id LIMIT 8"
+_SEED = """, h AS (SELECT chunk_id, 0 AS branch, term FROM en, (SELECT unnest({terms}) AS term) WHERE contains(lower(name), term) UNION ALL SELECT chunk_id, 1, term FROM tg, (SELECT unnest({terms}) AS term) WHERE contains(lower(tag), term)),
+m AS (SELECT chunk_id, branch, chunk_index, count(DISTINCT term) AS match_count FROM h JOIN c USING (chunk_id) WHERE active GROUP BY 1, 2, 3)
+SELECT chunk_id, CAST(chunk_index AS INTEGER) AS chunk_index, match_count, CAST(branch AS INTEGER) AS branch FROM m WHERE branch = (SELECT min(branch) FROM m) ORDER BY match_count DESC, chunk_index, chunk_id LIMIT 8"""
 
 
-@query(_SEED.format(branch=0, table="en", name="name", terms="['then', 'ation']"))
+@query(_SEED.format(terms="['then', 'ation']"))
 def seed_by_entity(g):
     return search.seeds(g.chunks, g.mentions, g.tags, ["then", "ation"])
 
 
-@query(_SEED.format(branch=1, table="tg", name="tag", terms="['was', 'are']"))
+@query(_SEED.format(terms="['clown', 'idiot']"))
 def seed_by_tag(g):
-    return search.seeds(g.chunks, g.mentions.where("false"), g.tags, ["was", "are"])
+    """Words that tags have and no entity contains: the data decides for tags."""
+    return search.seeds(g.chunks, g.mentions, g.tags, ["clown", "idiot"])
 
 
 @query("""SELECT chunk_id, round(coalesce(1.0 / (60 + gr), 0) + coalesce(1.0 / (60 + vr), 0) + 0.15 * coalesce(vn, 0), 6) AS merge_score, gr IS NOT NULL AS has_graph FROM (SELECT chunk_id, row_number() OVER (ORDER BY chunk_id) AS gr FROM (SELECT chunk_id FROM c ORDER BY chunk_id LIMIT 8)) FULL JOIN (SELECT *, CASE WHEN max(vs) OVER () = min(vs) OVER () THEN 1.0 ELSE (vs - min(vs) OVER ()) / (max(vs) OVER () - min(vs) OVER ()) END AS vn FROM (SELECT chunk_id, row_number() OVER (ORDER BY n DESC, chunk_id) AS vr, CAST(n AS DOUBLE) AS vs FROM (SELECT chunk_id, length(text) + chunk_index AS n FROM c ORDER BY n DESC, chunk_id LIMIT 6))) USING (chunk_id)""")
@@ -123,10 +134,15 @@ def rerank_context(g):
     return hybrid.rerank(rows, TERMS).select("chunk_id", "place", "retrieval_score")
 
 
-@query("SELECT (SELECT count(*) FROM d) AS documents, (SELECT count(*) FROM c) AS chunks, (SELECT count(*) FROM (SELECT DISTINCT name, type FROM en)) AS entities, (SELECT count(DISTINCT tag) FROM tg) AS tags")
+@query("SELECT (SELECT count(*) FROM d) AS documents, (SELECT count(*) FROM c) AS chunks, (SELECT count(*) FROM (SELECT DISTINCT name, type FROM en)) AS entities, (SELECT count(DISTINCT tag) FROM tg) AS tags, (SELECT count(*) FROM (SELECT DISTINCT * FROM ae)) AS relationships", GRAPH_SQL)
 def graph_stats(g):
-    one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    return one(g.documents, "documents").crossJoin(one(g.chunks, "chunks")).crossJoin(one(g.mentions.select("name", "type").distinct(), "entities")).crossJoin(one(g.tags.select("tag").distinct(), "tags"))
+    """Counts of the stored tables: one row from each, put together by name."""
+    tables = {"documents": g.documents, "chunks": g.chunks, "entities": g.mentions.select("name", "type").distinct(), "tags": g.tags.select("tag").distinct(), "relationships": g.all_edges.distinct()}
+    counts = None
+    for name, df in tables.items():
+        own = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+        counts = own if counts is None else counts.unionByName(own)
+    return counts.groupBy().pivot("name", list(tables)).agg(F.max("n"))
 
 
 @query("SELECT tag, count(*) AS uses FROM tg GROUP BY tag ORDER BY uses DESC, tag LIMIT 20")
@@ -180,12 +196,12 @@ def similarity_edges(g):
 
 @query(f"SELECT doc_id, title, common_keywords FROM {_NEAR} JOIN d USING (doc_id) ORDER BY common_keywords DESC, title, doc_id LIMIT 10")
 def similar_documents(g):
-    return kb.similar(kb.similarity_edges(g.keywords), g.documents, "doc_001")
+    return kb.similar(g.keywords, g.documents, "doc_001")
 
 
 @query(f"SELECT doc_id, title, CAST(10 * common_keywords + coalesce(shared, 0) AS BIGINT) AS relevance FROM {_NEAR} LEFT JOIN (SELECT doc_id, count(DISTINCT keyword) AS shared FROM kw WHERE keyword IN (SELECT keyword FROM kw WHERE doc_id = 'doc_001') GROUP BY doc_id) USING (doc_id) JOIN d USING (doc_id) ORDER BY relevance DESC, title, doc_id LIMIT 10")
 def related_documents(g):
-    return kb.related(kb.similarity_edges(g.keywords), g.documents, g.keywords, "doc_001")
+    return kb.related(g.keywords, g.documents, "doc_001")
 
 
 _TOP_NAME = "(SELECT name FROM en GROUP BY name ORDER BY count(*) DESC, name LIMIT 1)"
@@ -236,16 +252,21 @@ def upsert_documents(g):
     return writes.upsert(old, new, ["doc_id"], AS_OF).select("doc_id", "title", "active", F.col("updated_at").isNotNull().alias("changed"))
 
 
-@query("SELECT doc_id, chunk_id, CASE WHEN doc_id = 'doc_003' THEN false ELSE active END AS active FROM c")
+@query("""SELECT 'document' AS kind, doc_id AS id, CASE WHEN doc_id = 'doc_003' THEN false ELSE active END AS active FROM d UNION ALL SELECT 'chunk', chunk_id, CASE WHEN doc_id = 'doc_003' THEN false ELSE active END FROM c
+UNION ALL SELECT 'faq', faq_id, chunk_id NOT IN (SELECT chunk_id FROM c WHERE doc_id = 'doc_003') FROM f""", GRAPH_SQL)
 def soft_delete(g):
-    faqs = g.spark.createDataFrame([], "faq_id string, active boolean")
-    derived = g.spark.createDataFrame([], "faq_id string, chunk_id string")
-    return writes.soft_delete(g.documents, g.chunks, faqs, derived, "doc_003")[1].select("doc_id", "chunk_id", "active")
+    """All three marked tables; an FAQ goes with any of its chunks."""
+    documents, chunks, faqs = writes.soft_delete(g.documents, g.chunks, g.faqs.select("faq_id", "active"), g.faqs.select("faq_id", "chunk_id"), "doc_003")
+    parts = (("document", documents, "doc_id"), ("chunk", chunks, "chunk_id"), ("faq", faqs, "faq_id"))
+    rows = [df.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), "active") for kind, df, key in parts]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
-@query("SELECT DISTINCT src, type, dst FROM e")
+@query("SELECT DISTINCT src, type, dst FROM ae WHERE type <> 'HAS_TAG' OR dst < 't:m'", GRAPH_SQL)
 def link_edges(g):
-    return writes.upsert_edges(g.edges, g.edges)
+    """Two sets of edges that overlap: each edge once."""
+    low = g.all_edges.where("type <> 'HAS_TAG'")
+    return writes.upsert_edges(low, g.all_edges.where("type = 'MENTIONS' or type = 'HAS_TAG' and dst < 't:m'"))
 
 
 @query("SELECT doc_id AS key, sha1(text) AS text_hash FROM d WHERE number % 3 <> 0")
@@ -255,13 +276,14 @@ def cache_worklist(g):
     return worklist(rows, cache).select("key", "text_hash")
 
 
-@query("SELECT page_id, 'https://x.example/' || page_id || '|http://y.example/a' AS urls FROM pages")
+@query(r"""SELECT page_id, array_to_string(list_filter(list_transform(list_filter(list_zip(u, range(1, len(u) + 1)), lambda z: list_position(u, z[1]) = z[2]), lambda z: z[1]), lambda x: x <> ''), '|') AS urls
+FROM (SELECT page_id, list_transform(regexp_extract_all(url || ' ' || coalesce(html, ''), 'https?://[^\s<>\]"'')]+'), lambda x: rtrim(x, '.,;:)]}>')) AS u FROM pages)""")
 def extract_urls(g):
-    text = F.concat(F.lit("see (https://x.example/"), F.col("page_id").cast("string"), F.lit("), http://y.example/a. and https://x.example/"), F.col("page_id").cast("string"), F.lit(";")).alias("t")
-    return g.table("pages").select("page_id", text).select("page_id", F.array_join(tx.urls(F.col("t")), "|").alias("urls"))
+    text = F.concat("url", F.lit(" "), F.coalesce("html", F.lit("")))
+    return g.table("pages").select("page_id", F.array_join(tx.urls(text), "|").alias("urls"))
 
 
-@query("SELECT doc_id, CASE WHEN length(t) > 80 THEN substring(t, 1, 77) || '...' ELSE t END AS short FROM (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS t FROM d)")
+@query("SELECT doc_id, CASE WHEN length(t) > 80 THEN substring(t, 1, 77) || '...' ELSE t END AS short FROM (SELECT doc_id, trim(regexp_replace(text, '[\\p{Z}\\t\\n\\x0B\\f\\r\\x1C-\\x1F\\x85]+', ' ', 'g')) AS t FROM d)")
 def shorten_text(g):
     return g.documents.select("doc_id", tx.shorten(F.col("text"), 80).alias("short"))
 
@@ -334,7 +356,7 @@ def render_context(g):
     keys = best.select("chunk_id")
     seeds = best.select("chunk_id", "doc_id", "text", (-F.col("score")).alias("place"))
     near = g.chunks.join(best.select("doc_id").distinct(), "doc_id", "left_semi").join(keys, "chunk_id", "left_anti").select("chunk_id", "doc_id", "text", F.col("chunk_index").alias("place"))
-    asked = g.spark.createDataFrame([], "question string, answer string")
+    asked = g.faqs.join(best.select("doc_id").distinct().select(F.concat("doc_id", F.lit("_c000")).alias("chunk_id")), "chunk_id", "left_semi").select("question", "answer")
     return context.render(best.select("doc_id", "title"), g.tags.join(keys, "chunk_id", "left_semi").select("tag"), g.mentions.join(keys, "chunk_id", "left_semi").select("name", "type"), seeds, near, asked)
 
 
@@ -352,3 +374,210 @@ def url_scores(g):
     summary = F.when(even, "latest update of a tour").otherwise("news")
     url = F.when(even, "https://x.example/").otherwise("https://kyivpost.example/")
     return g.table("pages").select("page_id", tx.url_score(F.array(F.lit("kyiv"), F.lit("zzz")), F.lit("On Kyiv"), summary, url).cast("double").alias("score"))
+
+
+_DOCS_BY_TITLE = "SELECT DISTINCT doc_id, title FROM d ORDER BY title, doc_id LIMIT 10"
+
+
+@query(_DOCS_BY_TITLE)
+def docs_search_compat(g):
+    return kb.by_topic(g.documents, g.chunks, g.tags, "Thing", compat=True)
+
+
+@query(_lexical("CAST([] AS VARCHAR[])").replace("SELECT chunk_id, text, doc_id, title,", "SELECT chunk_id, text, doc_id, title, 'https://docs.example/' || doc_id AS url,", 1))
+def lexical_search_url(g):
+    documents = g.documents.withColumn("url", F.concat(F.lit("https://docs.example/"), "doc_id"))
+    return search.lexical_search(g.chunks, documents, g.mentions, g.tags, QUESTION, with_url=True)
+
+
+_AROUND = ", two AS (SELECT src AS a, dst AS b FROM ae UNION ALL SELECT dst, src FROM ae), r(id, depth) AS (SELECT {seed}, 0 UNION SELECT two.b, r.depth + 1 FROM r JOIN two ON r.id = two.a WHERE r.depth < 2), near AS (SELECT id, label, depth FROM (SELECT id, min(depth) AS depth FROM r GROUP BY id) JOIN (SELECT id, label FROM an) USING (id) ORDER BY depth, label, id LIMIT {limit}) "
+
+
+@query(_AROUND.format(seed="'doc_003'", limit=100) + "SELECT id, label, CAST(depth AS INTEGER) AS depth FROM near", GRAPH_SQL)
+def doc_neighborhood(g):
+    """Two hops around a document over all kinds of edges."""
+    return traverse.subgraph(g.all_edges, g.nodes, g.spark.createDataFrame([("doc_003",)], "id string"), 2, 100, label="Document")[0]
+
+
+@query(_AROUND.format(seed="'doc_003'", limit=100) + "SELECT DISTINCT src, type, dst FROM ae WHERE src IN (SELECT id FROM near) AND dst IN (SELECT id FROM near)", GRAPH_SQL)
+def doc_neighborhood_edges(g):
+    return traverse.subgraph(g.all_edges, g.nodes, g.spark.createDataFrame([("doc_003",)], "id string"), 2, 100, label="Document")[1]
+
+
+@query(_AROUND.format(seed="'doc_003'", limit=100) + "SELECT label, count(*) AS nodes FROM near WHERE label <> 'FAQ' GROUP BY label", GRAPH_SQL)
+def label_histogram(g):
+    """Nodes of a neighbourhood by label, without FAQs."""
+    near = traverse.subgraph(g.all_edges, g.nodes, g.spark.createDataFrame([("doc_003",)], "id string"), 2, 100, include_faq=False)[0]
+    return near.groupBy("label").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+@query("SELECT type, count(*) AS edges FROM (SELECT DISTINCT * FROM ae) GROUP BY type", GRAPH_SQL)
+def edges_by_type(g):
+    return g.all_edges.distinct().groupBy("type").agg(F.count(F.lit(1)).alias("edges"))
+
+
+@query(", two AS (SELECT a, b, min(type) AS type FROM (SELECT src AS a, dst AS b, type FROM e UNION ALL SELECT dst, src, type FROM e) GROUP BY a, b), r(id, p, t) AS (SELECT 'doc_005', ['doc_005'], CAST([] AS VARCHAR[]) UNION ALL SELECT two.b, list_append(p, two.b), list_append(t, two.type) FROM r JOIN two ON r.id = two.a WHERE len(p) < 6 AND r.id <> 'doc_006' AND NOT list_contains(p, two.b)) SELECT CAST(len(p) - 1 AS INTEGER) AS distance, array_to_string(p, '|') AS nodes, array_to_string(t, '|') AS relations FROM r WHERE id = 'doc_006' ORDER BY len(p), p LIMIT 1")
+def shortest_path(g):
+    return traverse.shortest_path(g.edges, "doc_005", "doc_006").select("distance", F.array_join("nodes", "|").alias("nodes"), F.array_join("relations", "|").alias("relations"))
+
+
+def _two_names(g) -> tuple[str, str]:
+    """The two longest entities of one chunk."""
+    names = g.mentions.where("place <= 2").groupBy("chunk_id").agg(F.min("name").alias("a"), F.max("name").alias("b")).where("a <> b")
+    return tuple(names.orderBy("chunk_id").select("a", "b").first())
+
+
+@query("SELECT CAST(2 AS INTEGER) AS distance, a || '||' || b AS path_nodes, 'MENTIONS|MENTIONS' AS relations FROM (SELECT chunk_id, min(name) AS a, max(name) AS b FROM en WHERE place <= 2 GROUP BY chunk_id HAVING min(name) <> max(name) ORDER BY chunk_id LIMIT 1)")
+def entity_path(g):
+    """Two names of one chunk are two hops apart; the chunk has no name."""
+    found = traverse.entity_path(g.all_edges, g.nodes, *_two_names(g))
+    return found.select("distance", F.array_join("path_nodes", "|", "").alias("path_nodes"), F.array_join("relations", "|").alias("relations"))
+
+
+@query(f"SELECT DISTINCT type, doc_id, title FROM en JOIN c USING (chunk_id) JOIN (SELECT doc_id, title FROM d) USING (doc_id) WHERE name = {_TOP_NAME}")
+def entity_documents(g):
+    return traverse.entity_documents(g.mentions, g.chunks, g.documents, _top_name(g))
+
+
+_HYBRID = """, q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 0),
+gs AS (SELECT chunk_id, row_number() OVER (ORDER BY match_count DESC, chunk_index, chunk_id) AS gr FROM (SELECT chunk_id, chunk_index, match_count FROM (SELECT chunk_id, count(DISTINCT term) AS match_count FROM en, (SELECT unnest(['then', 'ation']) AS term) WHERE contains(name, term) GROUP BY chunk_id) JOIN c USING (chunk_id) WHERE active ORDER BY match_count DESC, chunk_index, chunk_id LIMIT 8)),
+vs AS (SELECT chunk_id, vs, row_number() OVER (ORDER BY vs DESC, chunk_id) AS vr FROM (SELECT printf('doc_%03d_c000', vec_id) AS chunk_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT v FROM q)) AS vs FROM embeddings ORDER BY vs DESC, chunk_id LIMIT 6) JOIN (SELECT chunk_id FROM c WHERE active) USING (chunk_id)),
+fu AS (SELECT chunk_id, gr IS NOT NULL AS has_graph, coalesce(CASE WHEN vs IS NULL THEN NULL WHEN max(vs) OVER () = min(vs) OVER () THEN 1.0 ELSE (vs - min(vs) OVER ()) / (max(vs) OVER () - min(vs) OVER ()) END, 0) AS vn, coalesce(1.0 / (60 + gr), 0) + coalesce(1.0 / (60 + vr), 0) AS rrf FROM gs FULL JOIN vs USING (chunk_id)),
+se AS (SELECT *, CASE WHEN max(rrf) OVER () = min(rrf) OVER () THEN 1.0 ELSE (rrf - min(rrf) OVER ()) / (max(rrf) OVER () - min(rrf) OVER ()) END AS rn FROM fu),
+two AS (SELECT src AS a, dst AS b FROM ae UNION ALL SELECT dst, src FROM ae), r(id, depth) AS (SELECT chunk_id, 0 FROM se UNION SELECT two.b, r.depth + 1 FROM r JOIN two ON r.id = two.a WHERE r.depth < 2),
+near AS (SELECT id, label, depth FROM (SELECT id, min(depth) AS depth FROM r GROUP BY id) JOIN (SELECT id, label FROM an) USING (id) ORDER BY depth, label, id LIMIT 50),
+ch AS (SELECT * FROM c WHERE chunk_id IN (SELECT id FROM near WHERE label = 'Chunk' UNION SELECT chunk_id FROM se)) """
+_TERMS = ["then", "ation"]
+
+
+def _graph(g) -> answer.Tables:
+    return answer.Tables(g.documents, g.chunks, g.mentions, g.tags, g.vectors, g.nodes, g.all_edges)
+
+
+def _hybrid(g) -> answer.Retrieved:
+    return answer.retrieve(_graph(g), _TERMS, [float(x) for x in _vector(g)])
+
+
+@query(_HYBRID + "SELECT chunk_id, has_graph, round(rrf + 0.15 * vn, 6) AS merge_score FROM se", GRAPH_SQL)
+def hybrid_seeds(g):
+    """Seeds by name and by vector, fused."""
+    return answer.merged_seeds(_graph(g), _TERMS, [float(x) for x in _vector(g)]).select("chunk_id", "has_graph", F.round("merge_score", 6).alias("merge_score"))
+
+
+@query(_HYBRID + """SELECT chunk_id, is_seed, retrieval_score, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY is_seed ORDER BY retrieval_score DESC, chunk_id DESC) AS place FROM (SELECT chunk_id, se.chunk_id IS NOT NULL AS is_seed,
+round(0.55 * coalesce(vn, 0) + 0.25 * greatest(CASE WHEN has_graph THEN 1.0 ELSE 0.0 END, coalesce(rn, 0)) + 0.2 * ((CAST(contains(lower(text), 'then') AS INT) + CAST(contains(lower(text), 'ation') AS INT)) / 2) + (CASE WHEN se.chunk_id IS NOT NULL THEN 0.1 ELSE 0 END), 6) AS retrieval_score FROM ch LEFT JOIN se USING (chunk_id))) WHERE place <= (CASE WHEN is_seed THEN 16 ELSE 24 END)""", GRAPH_SQL)
+def hybrid_context(g):
+    """The whole chain up to the re-ranked chunks."""
+    return _hybrid(g).chunks.select("chunk_id", "is_seed", "retrieval_score", "place")
+
+
+@query(_HYBRID + "SELECT 'document' AS kind, doc_id AS id FROM ch UNION SELECT 'tag', substr(id, 3) FROM near WHERE label = 'Tag' UNION SELECT 'entity', substr(id, 3) FROM near WHERE label = 'Entity' UNION SELECT 'faq', id FROM near WHERE label = 'FAQ'", GRAPH_SQL)
+def context_items(g):
+    """Documents, tags, entities and FAQs of a context."""
+    found = _hybrid(g)
+    parts = [("document", found.documents, F.col("doc_id")), ("tag", found.tags, F.col("tag")), ("entity", found.entities, F.concat("type", F.lit("|"), "name")), ("faq", found.faqs, F.col("faq_id"))]
+    rows = [df.select(F.lit(kind).alias("kind"), key.alias("id")) for kind, df, key in parts]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
+@query("SELECT chunk_id, doc_id, CASE WHEN number % 2 = 0 THEN reverse(text) ELSE text END AS text, CAST(chunk_index AS INTEGER) AS chunk_index FROM (SELECT chunk_id, doc_id, text, chunk_index, active FROM c) JOIN (SELECT doc_id, number FROM d) USING (doc_id) WHERE number % 3 <> 0 OR number % 2 = 0")
+def upsert_chunks(g):
+    """Two thirds of the chunks are there; those of even documents come again, some new, some with another text, and some of documents that don't exist."""
+    chunks = g.chunks.join(g.documents.select("doc_id", "number"), "doc_id")
+    old = chunks.where("number % 3 <> 0").select("chunk_id", "doc_id", "text", "chunk_index")
+    new = chunks.where("number % 2 = 0").select("chunk_id", "doc_id", F.reverse("text").alias("text"), "chunk_index")
+    lost = new.select(F.concat("chunk_id", F.lit("_lost")).alias("chunk_id"), F.concat("doc_id", F.lit("_lost")).alias("doc_id"), "text", "chunk_index")
+    return writes.upsert_chunks(g.documents, old, g.edges.where("false"), new.unionByName(lost), AS_OF)[0]
+
+
+@query("SELECT chunk_id, CASE WHEN vec_id % 2 = 0 THEN len(embedding) END AS embedding_dim, CASE WHEN vec_id % 2 = 0 THEN 'table' END AS embedding_model FROM c LEFT JOIN (SELECT printf('doc_%03d_c000', vec_id) AS chunk_id, vec_id, embedding FROM embeddings) USING (chunk_id)")
+def upsert_embeddings(g):
+    """Vectors of chunks that exist; empty ones change nothing."""
+    chunks = g.chunks.select("chunk_id", F.lit(None).cast("array<double>").alias("embedding"), F.lit(None).cast("string").alias("embedding_model"), F.lit(None).cast("int").alias("embedding_dim"))
+    even = F.regexp_extract("chunk_id", r"^doc_(\d+)_", 1).cast("long") % 2 == 0
+    new = g.vectors.withColumn("embedding", F.when(even, F.col("embedding")).otherwise(F.array().cast("array<double>")))
+    return writes.upsert_embeddings(chunks, new, "table", AS_OF).select("chunk_id", F.col("embedding_dim").cast("long").alias("embedding_dim"), "embedding_model")
+
+
+@query("SELECT chunk_id FROM c WHERE chunk_id NOT IN (SELECT printf('doc_%03d_c000', vec_id) FROM embeddings WHERE vec_id % 2 = 0)")
+def unembedded_chunks(g):
+    even = F.regexp_extract("chunk_id", r"^doc_(\d+)_", 1).cast("long") % 2 == 0
+    done = g.vectors.withColumn("embedding_model", F.when(even, "table").otherwise("other"))
+    return search.unembedded(g.chunks, done, "table").select("chunk_id")
+
+
+@query("SELECT DISTINCT 'HAS_TAG' AS type, chunk_id AS src, 't:' || tag AS dst FROM tg")
+def upsert_tags(g):
+    """Tags as people write them come into one form."""
+    raw = g.tags.select(F.col("chunk_id").alias("owner"), F.concat(F.lit("  "), F.translate("tag", "abcdefghij", "ABCDEFGHIJ"), F.lit(" \n")).alias("tag"))
+    lost = g.spark.createDataFrame([("nowhere", "tag"), ("doc_001_c000", "  ")], "owner string, tag string")
+    return writes.upsert_tags(g.spark.createDataFrame([], "name string"), g.edges.where("false"), raw.unionByName(lost), g.chunks.select(F.col("chunk_id").alias("id")))[1].select("type", "src", "dst")
+
+
+@query("SELECT DISTINCT name, type FROM (SELECT name, CASE WHEN place = 1 THEN 'UNKNOWN' ELSE type END AS type FROM en)")
+def upsert_entities(g):
+    raw = g.mentions.select(F.col("chunk_id").alias("owner"), F.concat(F.lit(" "), "name").alias("name"), F.when(F.col("place") == 1, " ").otherwise(F.lower("type")).alias("type"))
+    none = g.spark.createDataFrame([], "name string, type string, active boolean, created_at timestamp, updated_at timestamp")
+    return writes.upsert_entities(none, g.edges.where("false"), raw, g.chunks.select(F.col("chunk_id").alias("id")), AS_OF)[0].select("name", "type")
+
+
+@query("""SELECT source, 'UNKNOWN' AS source_type, CASE WHEN t IN ('RELATED_TO', 'USES', 'PART_OF') THEN t ELSE 'RELATED_TO' END AS type, target, 'WORD' AS target_type, '7' AS weight, min(CASE WHEN t NOT IN ('RELATED_TO', 'USES', 'PART_OF') THEN raw_type END) AS raw_type FROM (SELECT *, replace(upper(raw_type), ' ', '_') AS t FROM rel) GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY 1, 2, 3, 4, 5, 6"))
+def upsert_relationships(g):
+    """Given by other names of the keys; properties stay, and the type as given where it isn't allowed."""
+    raw = F.create_map(F.lit("from"), F.col("source"), F.lit("target"), F.concat(F.lit(" "), "target"), F.lit("relation"), F.col("raw_type"), F.lit("targetType"), F.lit("word"), F.lit("weight"), F.lit("7"))
+    entities = g.spark.createDataFrame([], "name string, type string, active boolean, created_at timestamp, updated_at timestamp")
+    relations = g.spark.createDataFrame([], "source string, source_type string, type string, target string, target_type string, props map<string,string>, updated_at timestamp")
+    made = writes.upsert_relationships(entities, relations, g.relations.select(raw.alias("raw")), AS_OF)[1]
+    return made.select("source", "source_type", "type", "target", "target_type", F.try_element_at("props", F.lit("weight")).alias("weight"), F.try_element_at("props", F.lit("raw_type")).alias("raw_type"))
+
+
+@query("SELECT DISTINCT src, 'REFERS_TO' AS type, dst FROM e WHERE type = 'REFERS_TO'")
+def link_refs(g):
+    """References to documents that don't exist are left out."""
+    refs = g.edges.where("type = 'REFERS_TO'").select("src", "dst")
+    lost = refs.select("src", F.concat("dst", F.lit("_lost")).alias("dst"))
+    return writes.link_refs(g.documents, g.edges.where("false"), refs.unionByName(lost)).select("src", "type", "dst")
+
+
+@query("SELECT faq_id AS src, 'DERIVED_FROM' AS type, chunk_id AS dst FROM f WHERE chunk_id IN (SELECT chunk_id FROM c)", GRAPH_SQL)
+def faq_links(g):
+    return writes.link_faqs(g.faqs, g.chunks, g.edges.where("false"), g.faqs.select("faq_id", "chunk_id")).select("src", "type", "dst")
+
+
+@query("SELECT printf('doc_%03d_c000', vec_id) AS src, 'doc_000_c000' AS dst, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings WHERE printf('doc_%03d_c000', vec_id) IN (SELECT chunk_id FROM c) AND EXISTS (SELECT 1 FROM c WHERE chunk_id = 'doc_000_c000')")
+def link_similarities(g):
+    """Directed edges with a score, between chunks that exist."""
+    query = F.array(*[F.lit(float(x)) for x in _vector(g)])
+    scored = g.vectors.select(F.col("chunk_id").alias("src"), F.lit("doc_000_c000").alias("dst"), cosine(F.col("embedding"), query).alias("score"))
+    none = g.spark.createDataFrame([], "src string, dst string, score double, updated_at timestamp")
+    nodes = g.chunks.select(F.col("chunk_id").alias("id"), F.lit("Chunk").alias("label"))
+    return writes.link_similarities(nodes, none, scored, "Chunk", AS_OF).select("src", "dst", F.round("score", 6).alias("score"))
+
+
+@query("SELECT CAST(NULL AS VARCHAR) AS doc_id, CAST(NULL AS BIGINT) AS n WHERE false")
+def schema_check(g):
+    """Documents whose key is doubled or null: none."""
+    return writes.doubled_keys(g.documents, writes.KEYS["documents"])
+
+
+@query("SELECT doc_id, title, array_to_string(list_distinct([lower(title), source]), '|') IS NOT NULL AS named, 'file_' || number || '.txt' AS file_name FROM (SELECT doc_id, coalesce(nullif(trim(title, ' '), ''), 'file_' || number || '.txt') AS title, source_type AS source, number FROM d)")
+def legacy_records(g):
+    """Records for ingest: title or file name, clean keywords."""
+    rows = g.documents.select(F.concat(F.lit("docs/file_"), F.col("number").cast("string"), F.lit(".txt")).alias("file_path"), "title", F.lit(None).cast("string").alias("description"), F.array(F.concat(F.lit(" "), F.upper("title")), F.lit(" ")).alias("keywords"))
+    number = F.regexp_extract("file_name", r"(\d+)", 1).cast("long")
+    return kb.normalised(rows).select(F.format_string("doc_%03d", number).alias("doc_id"), "title", (F.size("keywords") >= 0).alias("named"), "file_name")
+
+
+@query("SELECT chunk_id, count(*) AS entities, string_agg(type || '|' || name, ',' ORDER BY place) AS listed FROM en GROUP BY chunk_id")
+def annotation_roundtrip(g):
+    """Annotations written as JSON and read again, malformed entries left out."""
+    own = g.mentions.groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("place", "name", "type"))).alias("e"))
+    entities = F.transform("e", lambda x: F.struct(x["name"].alias("name"), F.concat(F.lit(" "), F.lower(x["type"])).alias("type")))
+    more = F.array_append(entities, F.struct(F.lit(" ").alias("name"), F.lit("x").alias("type")))
+    read = own.select("chunk_id", read_annotation(annotation_json(more)).alias("a"))
+    return read.select("chunk_id", F.size("a.entities").cast("long").alias("entities"), F.array_join(F.transform("a.entities", lambda x: F.concat(x["type"], F.lit("|"), x["name"])), ",").alias("listed"))
+
+
+@query("SELECT item_id, array_to_string(list_transform(list_filter(list_zip(t, range(1, len(t) + 1)), lambda z: list_position(t, z[1]) = z[2]), lambda z: z[1]), '|') AS terms FROM (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[a-zа-яёіїє0-9]+'), lambda x: length(x) > 2 AND x NOT IN (" + ", ".join(f"'{w}'" for w in tx.WEB_STOPWORDS) + ")) AS t FROM benchmark)")
+def web_terms(g):
+    return g.table("benchmark").select("item_id", F.array_join(tx.web_terms(F.col("text")), "|").alias("terms"))
