@@ -1,0 +1 @@
+"""The control plane: tools, planning, research steps. Plain Python on the driver, over the engine's operators."""

@@ -1,0 +1,95 @@
+"""Commands over a graph: one line in, text out."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import functions as F
+
+from ..functions.text import shorten
+from ..operators import kb, search, traverse
+from ..operators.answer import Tables
+from .run import choose, diagram
+from .tools import Provider, Registry, ToolError, graph_provider, pick_web, preview
+
+HELP = "stats | tools | tool <name> <query> | web <query> | trace on|off | docs <topic> | entity <name> | find <a> -> <b> | diagram | clear | help | exit; anything else is a question"
+
+
+def registry_of(t: Tables, *others: Provider) -> Registry:
+    """Graph search over the tables, and other providers after it."""
+
+    def rows(query: str, limit: int) -> list[dict]:
+        found = search.lexical_search(t.chunks, t.documents, t.mentions, t.tags, query, limit)
+        return [r.asDict() for r in found.withColumn("text", shorten(F.col("text"), 2500)).orderBy(F.desc("score"), "chunk_index", "chunk_id").collect()]
+
+    return Registry([graph_provider(rows), *others])
+
+
+@dataclass
+class Commands:
+    """Dispatch by the first word. ``ask`` answers questions; by default the agent without a model."""
+
+    tables: Tables
+    registry: Registry
+    ask: Callable[[str], str] | None = None
+    trace: bool = False
+    over: bool = False
+
+    def __call__(self, line: str) -> str:
+        word, _, rest = line.strip().partition(" ")
+        rest = rest.strip()
+        known = {"stats": self.stats, "tools": self.tools, "tool": self.tool, "web": self.web, "trace": self.switch, "docs": self.docs, "entity": self.entity, "find": self.find, "diagram": lambda _: diagram(), "clear": lambda _: "\033[2J\033[H", "help": lambda _: HELP, "exit": self.stop, "quit": self.stop}
+        if not word:
+            return ""
+        if word.lower() in known:
+            return known[word.lower()](rest)
+        return (self.ask or choose(None, self.registry))(line.strip())
+
+    def stop(self, _: str) -> str:
+        self.over = True
+        return "bye"
+
+    def switch(self, rest: str) -> str:
+        self.trace = rest.lower() == "on" if rest else not self.trace
+        return f"trace {'on' if self.trace else 'off'}"
+
+    def stats(self, _: str) -> str:
+        counts = self.tables.nodes.groupBy("label").count().orderBy("label").collect()
+        return "\n".join([*(f"{r.label}: {r['count']}" for r in counts), f"relationships: {self.tables.edges.distinct().count()}"])
+
+    def tools(self, _: str) -> str:
+        return "\n".join(f"{t.name} ({t.provider})" for t in self.registry.list_tools())
+
+    def tool(self, rest: str) -> str:
+        name, _, query = rest.partition(" ")
+        try:
+            return preview(self.registry.call(name, {"query": query.strip()}).output)
+        except ToolError as e:
+            return f"failed: {e}"
+
+    def web(self, rest: str) -> str:
+        name = pick_web([t.name for t in self.registry.list_tools()])
+        return self.tool(f"{name} {rest}") if name else "no web search"
+
+    def docs(self, rest: str) -> str:
+        rows = kb.by_topic(self.tables.documents, self.tables.chunks, self.tables.tags, rest).collect() if rest else []
+        return "\n".join(f"- {r.title or '<untitled>'} (doc_id={r.doc_id})" for r in rows) or f"no documents for {rest!r}"
+
+    def entity(self, rest: str) -> str:
+        """An exact name is taken, else the only match; several are listed."""
+        own = self.tables.nodes.where((F.col("label") == "Entity") & F.contains(F.lower("name"), F.lit(rest.lower())))
+        names = [r.name for r in own.select("name").distinct().orderBy("name").limit(10).collect()] if rest else []
+        exact = own.where(F.col("name") == rest).limit(1).count() > 0
+        if not names and not exact:
+            return f"no entity {rest!r}"
+        if len(names) > 1 and not exact:
+            return "\n".join(["several match:", *names])
+        name = rest if exact else names[0]
+        rows = traverse.entity_documents(self.tables.mentions, self.tables.chunks, self.tables.documents, name).orderBy("type", "doc_id").limit(10).collect()
+        return "\n".join([name, *(f"- {r.type}: {r.title or '<untitled>'} (doc_id={r.doc_id})" for r in rows)])
+
+    def find(self, rest: str) -> str:
+        a, _, b = (x.strip() for x in rest.partition("->"))
+        row = traverse.entity_path(self.tables.edges, self.tables.nodes, a, b).first() if a and b else None
+        return "no path" if row is None else f"{row.distance} hops: " + " -> ".join(n for n in row.path_nodes if n is not None)

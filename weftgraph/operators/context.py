@@ -15,7 +15,7 @@ from . import traverse
 
 def citations(seeds: DataFrame, documents: DataFrame, limit: int = 10) -> DataFrame:
     """The best seeds (chunk_id, doc_id, place, retrieval_score) with their titles; addresses are left out."""
-    top = seeds.orderBy("place", "chunk_id").limit(max(1, limit))
+    top = seeds.select("chunk_id", "doc_id", "place", "retrieval_score").orderBy("place", "chunk_id").limit(max(1, limit))
     return top.join(documents.select("doc_id", "title"), "doc_id", "left").select("doc_id", "chunk_id", F.coalesce("title", F.lit("")).alias("title"), F.lit(None).cast("string").alias("url"), F.col("retrieval_score").cast("double").alias("score"))
 
 
