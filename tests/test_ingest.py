@@ -39,14 +39,14 @@ def test_texts_and_fallback(manifest):
 def test_ingest_reads_and_writes_the_cache(spark, manifest, tmp_path):
     cache = str(tmp_path / "cache")
     g = ingest.ingest(manifest, cache, AS_OF, counting("one"))
-    assert g["chunks"].count() == 5 and g["edges"].where("type = 'CONTAINS'").count() == 5
+    assert g["chunks"].count() == 4 and g["edges"].where("type = 'CONTAINS'").count() == 4
     assert {r.name for r in g["tags"].collect()} == {"one", "tag one"}
     assert {(r.name, r.type) for r in g["entities"].collect()} == {("Kafka", "OTHER"), ("Kafka", "UNKNOWN"), ("Broker", "UNKNOWN")}
     assert [(r.type, r.props) for r in g["relations"].collect()] == [("RELATED_TO", {"raw_type": "sits near"})]
     # Only what changed is annotated anew; other settings make all new.
     changed = manifest.withColumn("text", F.when(F.col("title") == "b", F.lit("other text")).otherwise(F.col("text")))
     again = ingest.ingest(changed, cache, AS_OF, counting("two"))
-    assert sorted(r["count"] for r in again["edges"].where("dst in ('t:one', 't:two')").groupBy("dst").count().collect()) == [1, 4]
+    assert sorted(r["count"] for r in again["edges"].where("dst in ('t:one', 't:two')").groupBy("dst").count().collect()) == [1, 3]
     assert {r.name for r in ingest.ingest(changed, cache, AS_OF, counting("three"), 600, 100)["tags"].collect()} == {"three", "tag one"}
     assert storage.load_version(spark, cache, ingest.CACHE).count() == 7
     assert ingest.ingest(manifest.where("false"), str(tmp_path / "none"), AS_OF)["chunks"].count() == 0
