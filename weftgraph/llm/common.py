@@ -20,7 +20,7 @@ SLICE_BYTES = 2 << 20
 #: Most buckets that a map task splits its dictionary into.
 MOST_BUCKETS = 4096
 #: Text bytes of a block, the unit that has its own word list; an input partition is one block or several.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 48 << 20
 #: Keys with more than 1 / HOT_SHARE of all rows are hot: there are fewer than HOT_SHARE of them, whatever the data.
 HOT_SHARE = 1000
 #: Narrow rows that one task may always work on: smaller tables aren't looked through for hot keys.
