@@ -100,7 +100,7 @@ def retrieve(t: Tables, terms: Sequence[str], query: list[float] | None, hops: i
     nodes, edges = traverse.subgraph(t.edges, t.nodes, seeds.select(F.col("chunk_id").alias("id")), hops, limit)
     details = enrich(t, nodes, seeds)
     rows = details.chunks.join(F.broadcast(seeds.select("chunk_id", "has_graph", "vector_norm", "rrf_norm")), "chunk_id", "left")
-    rows = rows.withColumn("has_graph", F.coalesce("has_graph", F.lit(False)))
+    rows = cut(rows.withColumn("has_graph", F.coalesce("has_graph", F.lit(False))))  # few, and read twice
     ranked = hybrid.rerank(rows, list(terms))
     return replace(details, seeds=seeds, edges=edges, chunks=ranked.drop("has_graph", "vector_norm", "rrf_norm"))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import query_terms
@@ -20,10 +20,16 @@ def is_active(column: str = "active") -> Column:
     return F.coalesce(F.col(column), F.lit(True))
 
 
-def _terms_of(rows: DataFrame, name: str, terms: Column, out: str) -> DataFrame:
-    """The terms that a chunk's names contain or lie in: only chunks that have some."""
+def terms_of(spark: SparkSession, query: str) -> list[str]:
+    """A query's terms, worked out once and not for each row."""
+    return list(spark.range(1).select(query_terms(F.lit(query)).alias("t")).first().t)
+
+
+def _hits(rows: DataFrame, name: str, terms: list[str], out: str) -> DataFrame:
+    """How many terms a chunk's names contain or lie in: only chunks that have some."""
     low = F.lower(name)
-    hit = rows.select("chunk_id", F.explode(F.filter(terms, lambda t: F.contains(low, t) | F.contains(t, low))).alias("term"))
+    some = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)) | F.contains(F.lit(t), low), F.lit(t)) for t in terms]))
+    hit = rows.select("chunk_id", F.explode(some).alias("term"))
     return hit.groupBy("chunk_id").agg(F.size(F.collect_set("term")).alias(out))
 
 
@@ -35,14 +41,15 @@ def lexical_search(chunks: DataFrame, documents: DataFrame, mentions: DataFrame,
     entities or tags has the empty name, which every term contains. A query
     without a word gives nothing. ``with_url`` adds the document's address.
     """
-    terms = query_terms(F.lit(query))
+    terms = terms_of(chunks.sparkSession, query)
     found = chunks.where(is_active()).select("chunk_id", "doc_id", "chunk_index", "text")
     for rows, name, out in ((mentions, "name", "entity_hits"), (tags, "tag", "tag_hits")):
-        found = found.join(_terms_of(rows, name, terms, out), "chunk_id", "left")
+        found = found.join(_hits(rows, name, terms, out), "chunk_id", "left") if terms else found.withColumn(out, F.lit(0))
         if compat:
             some = rows.select("chunk_id").distinct().withColumn("_named", F.lit(True))
-            found = found.join(some, "chunk_id", "left").withColumn(out, F.when(F.col("_named"), F.col(out)).otherwise(F.size(terms))).drop("_named")
-    score = 3 * F.size(F.filter(terms, lambda t: F.contains(F.lower("text"), t))) + 2 * F.coalesce("entity_hits", F.lit(0)) + F.coalesce("tag_hits", F.lit(0))
+            found = found.join(some, "chunk_id", "left").withColumn(out, F.when(F.col("_named"), F.col(out)).otherwise(F.lit(len(terms)))).drop("_named")
+    in_text = sum((F.contains(F.lower("text"), F.lit(t)).cast("int") for t in terms), F.lit(0))
+    score = 3 * in_text + 2 * F.coalesce("entity_hits", F.lit(0)) + F.coalesce("tag_hits", F.lit(0))
     top = found.withColumn("score", score.cast("double")).where("score > 0").orderBy(F.desc("score"), "chunk_index", "chunk_id").limit(max(1, limit))
     more = ["url"] if with_url else []
     return top.join(documents.select("doc_id", "title", *more), "doc_id", "left").select("chunk_id", "text", "doc_id", "title", *more, "chunk_index", "score")

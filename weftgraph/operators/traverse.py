@@ -18,7 +18,7 @@ def ball(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
     One equi-join a hop; nodes are made distinct before the next, so hubs are
     expanded once. Lineage is cut at each hop; a frontier without nodes ends it.
     """
-    doubled = both_ways(edges).select("a", "b").distinct()
+    doubled = both_ways(edges).select("a", "b")
     seen = seeds.select("id").distinct().withColumn("depth", F.lit(0))
     frontier = seen
     for hop in range(1, max(1, hops) + 1):
@@ -93,9 +93,9 @@ def subgraph(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, hops: int = 2
     and id; FAQs then go unless wanted. ``label`` restricts the seeds to one kind
     (document neighbourhoods). Inactive nodes count, unless ``active`` (id) lists those that may.
     """
-    kinds = nodes.select("id", "label").dropDuplicates(["id"])
-    seeds = seeds.select("id").join(kinds if label is None else kinds.where(F.col("label") == label), "id", "left_semi")
-    reached = ball(edges, seeds, hops).join(kinds, "id")
+    kinds = nodes.select("id", "label")
+    seeds = cut(seeds.select("id").join(kinds if label is None else kinds.where(F.col("label") == label), "id", "left_semi"))
+    reached = ball(edges, seeds, hops).join(kinds, "id").dropDuplicates(["id"])
     if active is not None:
         reached = reached.join(active.select("id"), "id", "left_semi")
     near = reached.orderBy("depth", "label", "id").limit(max(1, limit))

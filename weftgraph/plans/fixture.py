@@ -40,12 +40,16 @@ class Graph:
     def documents(self) -> DataFrame:
         return self.table("documents").select(F.format_string("doc_%03d", "doc_id").alias("doc_id"), F.substring("text", 1, 60).alias("title"), F.col("source").alias("source_type"), (F.col("doc_id") % 17 != 0).alias("active"), F.col("doc_id").alias("number"), "lang", "text")
 
-    @property
-    def chunks(self) -> DataFrame:
+    def windows(self) -> DataFrame:
+        """Chunks as they are cut from the texts."""
         docs = self.documents
         rows = docs.select("doc_id", "active", "lang", F.explode(windows(F.col("text"))).alias("w"))
         return rows.select(F.format_string("%s_c%03d", "doc_id", "w.index").alias("chunk_id"), "doc_id", F.col("w.index").alias("chunk_index"), F.col("w.text").alias("text"), "active", "lang")
 
+    @kept
+    def chunks(self) -> DataFrame:
+        return self.windows()
+
     @kept
     def tags(self) -> DataFrame:
         words = self.chunks.select("chunk_id", F.explode(tokens(F.col("text"))).alias("tag")).where((F.length("tag") >= 3) & ~F.col("tag").isin(QUERY_STOPWORDS))

@@ -36,7 +36,7 @@ def query(sql: str | None = None, tables: str = SQL) -> Callable:
 
 @query("SELECT chunk_id, doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, text FROM c")
 def chunk_windows(g):
-    return g.chunks.select("chunk_id", "doc_id", "chunk_index", "text")
+    return g.windows().select("chunk_id", "doc_id", "chunk_index", "text")
 
 
 _HIT = "list_filter(['thing', 'question'], lambda t: {})"
