@@ -2,7 +2,13 @@
 
 Every stage takes all documents that the one before kept; ``run`` writes each
 stage's result to the shared folder and reads it again. All stages but the last
-return the columns of documents.
+return the columns of documents, whatever else these are called; the last one
+returns doc_id, lang, source, ids and decoded.
+
+Null and empty texts fail the quality rules, so they go in the first stage. Rows
+with null or shared ids are rows like others: each is judged by its own text,
+near copies and repeated rows leave one row, and the mixture takes each row as
+often as systematic sampling says. An empty table gives an empty result.
 """
 
 from __future__ import annotations
