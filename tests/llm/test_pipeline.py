@@ -33,3 +33,20 @@ def test_clean_documents_stay(spark):
 
 def test_names():
     assert [n.split("_")[0] for n in queries()] == [f"op{i}" for i in range(1, 11)]
+
+
+def test_stages_on_awkward_rows(spark, docs, nothing, tmp_path):
+    """Nulls, empty texts, repeats, reused ids and columns named as the operators' own: every stage runs and keeps the columns."""
+    labels = spark.createDataFrame([(1, 1, 0), (4, 0, 0), (None, 1, 1), (10, 0, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    for c in ("block", "ids", "of", "copies", "slot", "key", "_row", "size"):
+        docs = docs.withColumn(c, docs.doc_id.cast("string")) if c not in docs.columns else docs
+    empty = docs.limit(0)
+    null_rows = docs.where("doc_id = 1").selectExpr(*(f"if(doc_id = 1, null, `{c}`) as `{c}`" if c in ("doc_id", "source") else f"`{c}`" for c in docs.columns))
+    for rows in (docs.unionByName(null_rows), empty):
+        for name, stage in cp.STAGES:
+            out = stage(spark, rows, str(tmp_path))
+            if name != "encode":
+                assert out.columns == rows.columns
+            got = out.count()
+            assert got <= 3 * rows.count() and (rows is not empty or got == 0)
