@@ -304,7 +304,7 @@ def _label_batch(batch: pa.RecordBatch, model: Model) -> tuple[list[str], list[f
 
 
 #: Texts that Viterbi runs over at a time, in bytes.
-VITERBI_BYTES = 12 << 20
+VITERBI_BYTES = 4 << 20
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
