@@ -350,7 +350,26 @@ def keyword_nodes(g):
     return context.keyword_nodes(_nodes(g), ["thing", "question", "ation", "was", "zzzz"])
 
 
-@query()
+def _cut(text: str, n: int) -> str:
+    return f"CASE WHEN length({text}) > {n} THEN substring({text}, 1, {n}) || '…' ELSE {text} END"
+
+
+def _section(rank: int, head: str, rows: str, joint: str, order: str) -> str:
+    return f"SELECT {rank} AS rank, '{head}:' || chr(10) || string_agg(line, {joint} ORDER BY {order}) AS section FROM ({rows})"
+
+
+_CHUNK_LINE = "'- chunk_id=' || chunk_id || ' doc_id=' || doc_id || ' :: ' || " + _cut("replace(trim(text, ' '), chr(10), ' ')", 800) + " AS line"
+_RENDERED = f""", b AS ({_lexical("CAST([] AS VARCHAR[])")}),
+sections AS ({_section(1, "DOCUMENTS", "SELECT DISTINCT doc_id, '- ' || coalesce(title, '') || ' (doc_id=' || doc_id || ')' AS line FROM b", "chr(10)", "doc_id, line")}
+UNION ALL {_section(2, "TAGS", "SELECT DISTINCT tag AS line FROM tg WHERE chunk_id IN (SELECT chunk_id FROM b) ORDER BY tag LIMIT 30", "', '", "line")}
+UNION ALL {_section(3, "ENTITIES", "SELECT DISTINCT name, type, name || '[' || type || ']' AS line FROM en WHERE chunk_id IN (SELECT chunk_id FROM b) ORDER BY name, type LIMIT 30", "', '", "name, type")}
+UNION ALL {_section(4, "SEED CHUNKS", f"SELECT score, chunk_id, {_CHUNK_LINE} FROM b ORDER BY score DESC, chunk_id LIMIT 20", "chr(10)", "score DESC, chunk_id")}
+UNION ALL {_section(5, "NEIGHBOR CHUNKS", f"SELECT chunk_index, chunk_id, {_CHUNK_LINE} FROM c WHERE doc_id IN (SELECT doc_id FROM b) AND chunk_id NOT IN (SELECT chunk_id FROM b) ORDER BY chunk_index, chunk_id LIMIT 20", "chr(10)", "chunk_index, chunk_id")}
+UNION ALL {_section(6, "FAQ (linked)", f"SELECT question, answer, '- Q: ' || trim(question, ' ') || chr(10) || '  A: ' || {_cut("trim(answer, ' ')", 300)} AS line FROM f WHERE chunk_id IN (SELECT doc_id || '_c000' FROM b) ORDER BY question, answer LIMIT 10", "chr(10)", "question, answer")})
+SELECT coalesce(string_agg(section, chr(10) || chr(10) ORDER BY rank), 'No graph context found.') AS context FROM sections"""
+
+
+@query(_RENDERED, GRAPH_SQL)
 def render_context(g):
     best = lexical_search(g)
     keys = best.select("chunk_id")
