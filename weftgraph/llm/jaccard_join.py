@@ -137,6 +137,9 @@ class Keys:
     def __init__(self, maps: Maps, boundary: int, percent: int):
         self.maps, self.boundary, self.percent = maps, boundary, percent
 
+    def each(self, sets: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [self(own) for own in sets]
+
     def __call__(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Keys and their places: a set has ``n - place`` shingles at most in common with one that shares this key first."""
         n = len(own)
@@ -286,7 +289,7 @@ def _sketch(keys, words: int):
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = [shingles(t, words) for t in texts(part.column("text"))]
-                keyed = [of(s) for s in sets]
+                keyed = of.each(sets)
                 digest = [sha256(s.tobytes()).digest()[:16] if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tie"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array([k for k, _ in keyed], pa.list_(pa.int64())), pa.array([p for _, p in keyed], pa.list_(pa.int32()))], names=["doc_id", "tie", "n_shingles", "digest", "keys", "places"])
 
@@ -429,11 +432,14 @@ def link_components(keys: DataFrame, pool_of, percent: int = PERCENT, words: int
             return comps
 
 
-def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` of every row."""
+def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, keys=None) -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``component_id`` of every row.
+
+    ``keys`` may give the keys of sets by another rule (``each``, like ``Keys``); links are confirmed all the same.
+    """
     spark = docs.sparkSession
     source = spread(docs.select("doc_id", "text"))
-    keys = spark.sparkContext.broadcast(survey(source, percent, words))  # maps of bounded size
+    keys = spark.sparkContext.broadcast(survey(source, percent, words) if keys is None else keys)  # maps of bounded size
     tied = source.withColumn("tie", F.xxhash64("text"))
     made = tied.mapInArrow(_sketch(keys, words), "doc_id long, tie long, n_shingles long, digest binary, keys array<long>, places array<int>")
     sketches = stored(made.withColumn("row", F.monotonically_increasing_id()), "sketches")  # numbers are fixed by being written
