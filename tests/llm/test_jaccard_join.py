@@ -56,16 +56,17 @@ def test_against_brute_force(spark, seed, boundary, monkeypatch):
     if boundary is not None:
         monkeypatch.setattr(jj, "choose_boundary", lambda *_: boundary)
     if seed == 2:
-        monkeypatch.setattr(jj, "PAIRS_PER_ROW", 0)  # one hub after the other to the end
+        monkeypatch.setattr(jj, "DENSE", 1)  # all in blocks
     if seed == 3:
         monkeypatch.setattr(jj, "BROADCAST_IDS", 0)
         monkeypatch.setattr(jj, "HELD", 500)
         monkeypatch.setattr(jj, "FEW", 0)  # every table is looked through for hot keys
         monkeypatch.setattr(common, "FEW", 0)
-        monkeypatch.setattr(jj, "LIST_PART", 3)
+        monkeypatch.setattr(jj, "DENSE", 2)
+        monkeypatch.setattr(jj, "PART_SHINGLES", 150)  # blocks of few members, pairs of parts
     if seed == 4:
         monkeypatch.setattr(jj, "map_bits", lambda _: (11, 11, 11))  # maps that are full
-    rows = chains(seed, 50 if seed == 2 else 160)
+    rows = chains(seed)
     got = jj.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
     assert sorted(map(tuple, got.collect())) == slow(rows)
 

@@ -43,8 +43,9 @@ def test_against_brute_force(spark, seed, monkeypatch):
         monkeypatch.setattr(jj, "FEW", 0)
         monkeypatch.setattr(common, "FEW", 0)
     if seed == 13:
-        monkeypatch.setattr(jj, "PAIRS_PER_ROW", 0)
-    rows = chains(seed, 50 if seed == 13 else 160)
+        monkeypatch.setattr(jj, "DENSE", 2)
+        monkeypatch.setattr(jj, "PART_SHINGLES", 200)
+    rows = chains(seed)
     assert found(mh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))) == slow(rows)
 
 

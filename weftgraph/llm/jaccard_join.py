@@ -20,14 +20,17 @@ a key:
 
 In each list the smallest member is a hub and is compared with the others; pairs
 that already lie in one component need no comparison. Lists whose members still
-lie in several components are gone through again with the next hub, or, once
-few pairs are left, with all of them, so no link between components is lost and
-a group of n near copies costs about n comparisons a list, not n squared.
+lie in several components are gone through once more: those of up to ``DENSE``
+members pair by pair, longer ones in blocks. A block is a task that has the texts
+of one or two parts of a list, makes their sets once and compares every member
+outside the most frequent component with all others, without a row for each pair.
+So no link between components is lost; a group of n near copies of which m link
+with none of the others costs about n m comparisons a list.
 
 Keys, hubs, components and digests that many rows have are joined by a broadcast
-of the few that do (``hot_join``), texts of hot hubs and lists of many members
-are repeated and their partners dealt out over the copies, so no task sees all
-rows of one.
+of the few that do (``hot_join``), texts of hot hubs are repeated and their
+partners dealt out over the copies, and the parts of a list are bounded by
+``PART_SHINGLES``, so no task sees all rows of one.
 
 Null or wordless text has an empty set and links with nothing. Repeated rows
 are copies of each other; of rows that share an id each has its own links. Null
@@ -65,10 +68,10 @@ LARGEST = 1_000
 BROADCAST_IDS = 500_000
 #: Narrow rows that one task works on.
 ROWS_EACH = 200_000
-#: All remaining pairs are compared at once if they are at most so many times the rows of their lists.
-PAIRS_PER_ROW = 1024
-#: Lists of more members are compared in parts.
-LIST_PART = 4096
+#: Longer lists are compared in blocks.
+DENSE = 64
+#: Shingles of a part of a long list; a block has two parts.
+PART_SHINGLES = 2_000_000
 _A = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
@@ -180,8 +183,8 @@ def choose_boundary(sizes: np.ndarray, many: np.ndarray, list_length: float, per
 
 
 def _buckets(rows: int) -> int:
-    """Leading bits of a shingle that deal it out for counting; 32 more are kept."""
-    return 8 if rows < 100_000_000 else 16
+    """Leading bits of a shingle that deal it out for counting; 32 more are kept. A bucket has the shingles of 10,000 rows or so."""
+    return min(20, max(8, (rows // 10_000).bit_length()))
 
 
 _COUNTED = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
@@ -255,13 +258,15 @@ def _mapped(lead: int, sizes: tuple[int, int, int]):
     return run
 
 
+def _added(a: bytes, b: bytes) -> bytes:
+    return (np.frombuffer(a, np.int64) + np.frombuffer(b, np.int64)).tobytes()
+
+
 def survey(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> Keys:
     """Counts all shingles and sizes; the maps and the boundary that follow."""
     lead = _buckets(docs.count())
     counted = stored(docs.select("text").mapInArrow(_counted(lead, words), "bucket int, blob binary"), "shingle_counts")
-    sizes = np.zeros(LARGEST + 2, np.int64)
-    for blob in counted.where("bucket = -1").select("blob").toArrow().column("blob"):  # a short list a task
-        sizes += unpack(blob.as_py()).column("n").to_numpy()
+    sizes = np.frombuffer(counted.where("bucket = -1").select("blob").rdd.map(lambda r: unpack(bytes(r.blob)).column("n").to_numpy().tobytes()).fold(bytes(8 * (LARGEST + 2)), _added), np.int64)
     sizes, every = sizes[:-1], int(sizes[-1])
     widths = map_bits(every)
     dealt = counted.where("bucket >= 0").repartition(shuffle_partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
@@ -377,26 +382,62 @@ def _with_component(rows: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def _open(rows: DataFrame) -> DataFrame:
-    """The rows of lists whose members lie in more than one component, but those of hubs that are done."""
+    """The rows of lists whose members lie in more than one component, but those of hubs, which are done."""
     left = rows.where("member <> hub").drop("hub")
-    lists = left.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min(F.when(F.col("early"), F.col("member"))).alias("hub"), F.count(F.lit(1)).alias("n"))
-    several = stored(lists.where("c0 <> c1 and hub is not null").select("key", "hub", F.col("n").alias("of")), "open_lists")
+    lists = left.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.max("early").alias("some"), F.count(F.lit(1)).alias("of"))
+    several = stored(lists.where("c0 <> c1 and some").select("key", "of"), "open_lists")
     return hot_join(left, several, "key", "of")
 
 
-def _list_pairs(rows: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a list that may link; the earlier members of a long list are dealt over copies of its rows."""
-    long = F.broadcast(sizes.where(F.col("n") > LIST_PART).select("key", F.ceil(F.col("n") / LIST_PART).cast("int").alias("copies")))  # a row for LIST_PART rows at most
-    parted = rows.join(long, "key", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
-    one = parted.where("early").withColumn("salt", F.pmod(F.xxhash64("member"), F.col("copies")).cast("int"))
-    other = parted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+def _list_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """All pairs of a short list that may link."""
     # At the first shingle that two sets share, all they may share is what follows in both.
     possible = (100 + percent) * F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= percent * (F.col("x.n") + F.col("y.n"))
     ordered = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.member") < F.col("y.member")))
-    met = one.alias("x").join(other.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.salt") == F.col("y.salt")) & ordered & (F.col("x.component") != F.col("y.component")) & possible)
+    met = rows.where("early").alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & ordered & (F.col("x.component") != F.col("y.component")) & possible)
     return met.select(F.col("x.member").alias("a"), F.col("y.member").alias("b"))
 
 
+def _block_links(percent: int, words: int):
+    """Links of a block between components, but for those that follow from others of the block."""
+
+    def run(block: pa.Table) -> pa.Table:
+        members, part = block.column("member").to_numpy(), block.column("part").to_numpy()
+        _, component = np.unique(block.column("component").to_numpy(), return_inverse=True)
+        sets = [shingles(t, words) for t in block.column("text").to_pylist()]
+        n = np.array([len(x) for x in sets])
+        names, every = np.unique(np.concatenate(sets), return_inverse=True)
+        starts = np.cumsum(n) - n
+        one_part = block.column("lo")[0] == block.column("hi")[0]
+        a, b = [], []
+        for x in np.flatnonzero(component != np.bincount(component).argmax()):
+            wanted = (component != component[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
+            if not one_part:
+                wanted &= part != part[x]
+            if not wanted.any():
+                continue
+            own = np.zeros(len(names), np.int32)
+            own[every[starts[x] : starts[x] + n[x]]] = 1
+            common = np.add.reduceat(own[every], starts)
+            for y in np.flatnonzero(wanted & (100 * common >= percent * (n + n[x] - common))):
+                if component[y] != component[x]:
+                    a.append(members[x])
+                    b.append(members[y])
+                    component[component == component[y]] = component[x]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _dense_links(rows: DataFrame, sizes: DataFrame, pool: DataFrame, percent: int, words: int) -> DataFrame:
+    """Links of long lists, by blocks: ``sizes`` has the shingles (``held``) of each."""
+    cuts = sizes.select("key", F.ceil(F.col("held") / PART_SHINGLES).cast("int").alias("parts"))
+    dealt = rows.select("key", "member", "component").join(cuts, "key").join(pool.select("member", "text"), "member")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    blocks = dealt.select("key", "member", "component", "text", "part", F.least("part", "with").alias("lo"), F.greatest("part", "with").alias("hi"))
+    return blocks.groupBy("key", "lo", "hi").applyInArrow(_block_links(percent, words), "a long, b long")
+
+
 def link_components(keys: DataFrame, pool_of, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """Components of the classes: ``node`` and ``component`` of those that link with another class.
 
@@ -412,24 +453,16 @@ def link_components(keys: DataFrame, pool_of, percent: int = PERCENT, words: int
     pairs = rows.where("member <> hub").select(F.col("hub").alias("a"), F.col("member").alias("b"))
     found = verified(pairs, pool, percent, words)
     comps = components(spark, found)
-    while True:
-        rows = stored(_open(_with_component(rows, comps)), "lists")
-        # Pairs between components only: what a hub has drawn together is done.
-        own = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.count_if("early").alias("early"))
-        each = own.groupBy("key").agg(F.sum("n").alias("n"), F.sum("early").alias("early"), F.sum(F.col("n") * F.col("early")).alias("inside"))
-        n_rows, n_pairs = each.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("early") - F.col("inside")), F.lit(0))).first()
-        if not n_rows:
-            return comps
-        last = n_pairs <= PAIRS_PER_ROW * n_rows
-        if last:
-            pairs = _list_pairs(rows, each.select("key", "n"), percent)
-        else:
-            hubs = stored(rows.groupBy("key").agg(F.min(F.when(F.col("member") == F.col("hub"), F.col("component"))).alias("of"), F.count(F.lit(1)).alias("many")), "hub_components")
-            pairs = hot_join(rows.where("member <> hub"), hubs, "key", "many").where("component <> of").select(F.col("hub").alias("a"), F.col("member").alias("b"))
-        new = verified(pairs, pool, percent, words)
-        comps = components(spark, new.unionByName(comps.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-        if last:
-            return comps
+    rows = stored(_open(_with_component(rows, comps)), "lists")
+    sizes = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("of"), F.sum("n").alias("held")), "list_sizes")
+    if sizes.isEmpty():
+        return comps
+    dense = sizes.where(F.col("of") > DENSE)
+    short = rows.join(dense.select("key"), "key", "left_anti")
+    new = verified(_list_pairs(short, percent), pool, percent, words)
+    if not dense.isEmpty():
+        new = new.unionByName(stored(_dense_links(rows, dense, pool, percent, words), "dense_links"))
+    return components(spark, new.unionByName(comps.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
 
 def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, keys=None) -> DataFrame:
