@@ -458,7 +458,7 @@ def link_components(keys: DataFrame, pool_of, percent: int = PERCENT, words: int
     if sizes.isEmpty():
         return comps
     dense = sizes.where(F.col("of") > DENSE)
-    short = rows.join(dense.select("key"), "key", "left_anti")
+    short = rows.join(sizes.where(F.col("of") <= DENSE).select("key"), "key", "left_semi")
     new = verified(_list_pairs(short, percent), pool, percent, words)
     if not dense.isEmpty():
         new = new.unionByName(stored(_dense_links(rows, dense, pool, percent, words), "dense_links"))
