@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftgraph import ingest, storage
-from weftgraph.agent.cli import Commands, registry_of
 from weftgraph.functions.text import relationship, without_nulls
 from weftgraph.functions.vectors import blocked_pairs
 from weftgraph.operators import answer, kb, search, traverse, writes
@@ -180,13 +179,3 @@ def test_records_and_paths(tables):
     assert traverse.entity_path(tables.edges, tables.nodes, "Kafka", "zzz").isEmpty()
     seeds = tables.nodes.where("id in ('c1', 'd1')").select("id")
     assert {r.id for r in traverse.subgraph(tables.edges, tables.nodes, seeds, 1, label="Document")[0].collect()} == {"d1", "c1", "c2"}
-
-
-def test_commands(tables):
-    run = Commands(tables, registry_of(tables))
-    assert "Chunk: 3" in run("stats") and run("stats").endswith("relationships: 6")
-    assert run("tools") == "graph_search (graph)" and '"chunk_id": "c1"' in run("tool graph_search kafka") and run("web x") == "no web search" and run("tool nothing x").startswith("failed")
-    assert run("docs kafka") == "- On Kafka (doc_id=d1)" and run("docs") == "no documents for ''"
-    assert run("entity Kafka") == "Kafka\n- TECH: On Kafka (doc_id=d1)" and run("entity k").startswith("several match") and run("entity broke").startswith("Broker") and run("entity zz") == "no entity 'zz'"
-    assert run("find Kafka -> Broker") == "4 hops: Kafka -> Broker" and run("find Kafka") == "no path"
-    assert "c1" in run("kafka brokers") and run("trace on") == "trace on" and run("") == "" and run("exit") == "bye" and run.over

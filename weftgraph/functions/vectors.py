@@ -45,17 +45,7 @@ def hash_embedding(df: DataFrame, key: str, text: str, dims: int = 384) -> DataF
     return made.unionByName(none.select(key, F.lit(0).cast("long").alias("dim"), F.lit(0.0).alias("weight")))
 
 
-def blocked_pairs(df: DataFrame, key: str, vector: str, least: float, length: float = 4.0, tables: int = 4, seed: int = 42) -> DataFrame:
-    """Pairs (src, dst, score) of rows of cosine ``least`` or more that meet in a bucket of locality-sensitive hashing.
-
-    Vectors of unit length are hashed by random projections (``pyspark.ml``), so
-    only rows of a common bucket are compared; pairs that meet in none are missed.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    norm = F.sqrt(dot(F.col(vector), F.col(vector)))
-    unit = df.where(norm > 0).select(F.col(key).alias("id"), array_to_vector(F.transform(vector, lambda x: x.cast("double") / norm)).alias("unit"))
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="buckets", bucketLength=length, numHashTables=tables, seed=seed).fit(unit)
-    near = model.approxSimilarityJoin(unit, unit, (2 - 2 * least) ** 0.5 + 1e-9, "distance").where("datasetA.id < datasetB.id")
-    return near.select(F.col("datasetA.id").alias("src"), F.col("datasetB.id").alias("dst"), (1 - F.col("distance") * F.col("distance") / 2).alias("score"))
+def dense(weights: DataFrame, key: str, dims: int) -> DataFrame:
+    """``key`` and ``vec``: the rows of ``hash_embedding`` as one array for each key."""
+    own = weights.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.col("dim").cast("int"), F.col("weight")))).alias("_m"))
+    return own.select(key, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.coalesce(F.try_element_at("_m", d), F.lit(0.0))).alias("vec"))

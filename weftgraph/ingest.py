@@ -72,7 +72,7 @@ class Prompted:
     ``chat`` takes a prompt and returns text.
     """
 
-    def __init__(self, chat, strict: str = "Return STRICT JSON only.\n"):
+    def __init__(self, chat, strict: str = "The last answer could not be read. Answer with JSON and nothing else.\n"):
         self.chat, self.strict = chat, strict
 
     def _ask(self, prompt: str, read):

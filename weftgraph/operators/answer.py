@@ -32,11 +32,11 @@ class Tables:
 
 @dataclass(frozen=True)
 class Retrieved:
-    """What a question found. ``chunks`` has is_seed, place and retrieval_score."""
+    """What a question found. ``chunks`` has is_seed, place and retrieval_score; ``edges`` only after a whole ``retrieve``."""
 
     seeds: DataFrame
     nodes: DataFrame
-    edges: DataFrame
+    edges: DataFrame | None
     chunks: DataFrame
     documents: DataFrame
     tags: DataFrame
@@ -115,7 +115,7 @@ def enrich(t: Tables, nodes: DataFrame, seeds: DataFrame) -> Retrieved:
     return Retrieved(
         seeds=seeds,
         nodes=nodes,
-        edges=nodes,
+        edges=None,
         chunks=chunks,
         documents=chunks.where("doc_id is not null").select("doc_id", F.coalesce("title", F.lit("")).alias("title")).distinct(),
         tags=full.where("label = 'Tag' and name <> ''").select(F.col("name").alias("tag")).distinct(),

@@ -11,19 +11,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import QUERY_STOPWORDS, tokens, windows
+from ..functions.vectors import dense, hash_embedding
+from ..operators import batch, text_index, vector_index
 from ..operators.writes import entity_id
-from ..storage import stored
+from ..storage import file_states, shared_path, stored
 
-_kept: dict[tuple[str, str, str], DataFrame] = {}
+_kept: dict[tuple, object] = {}
 
 
 def kept(make):
-    """A derived table, written once for each session and input."""
+    """A derived table (or index), written once for each session and state of the input files."""
 
-    def get(self) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, make.__name__)
+    def get(self):
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, self.state, make.__name__)
         if key not in _kept:
-            _kept[key] = stored(make(self), make.__name__)
+            made = make(self)
+            _kept[key] = stored(made, make.__name__) if isinstance(made, DataFrame) else made
         return _kept[key]
 
     return property(get)
@@ -33,6 +36,11 @@ class Graph:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    @property
+    def state(self) -> tuple:
+        """Names, times and sizes of the files of the tables that the graph is derived from."""
+        return tuple(x for name in ("documents", "conversations") for x in file_states(self.spark, f"{self.sf_dir}/{name}.parquet"))
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
@@ -100,6 +108,35 @@ class Graph:
         """The vector of a number is that of the first chunk of the document of this number."""
         return self.table("embeddings").select(F.format_string("doc_%03d_c000", "vec_id").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("embedding"))
 
+    @kept
+    def texts(self) -> DataFrame:
+        """The distinct texts of chunks: ``chunk_id`` is the least of those that have it."""
+        return self.chunks.groupBy("text").agg(F.min("chunk_id").alias("chunk_id")).select("chunk_id", "text")
+
+    @kept
+    def text_vectors(self) -> DataFrame:
+        """The hashed embedding of each distinct text, without those of no token."""
+        made = dense(hash_embedding(self.texts, "chunk_id", "text"), "chunk_id", 384)
+        return made.where(F.exists("vec", lambda x: x != 0)).select("chunk_id", F.transform("vec", lambda x: F.round(x, 9)).alias("embedding"))
+
+    @kept
+    def chunk_vectors(self) -> DataFrame:
+        """The embedding of each chunk that has a token."""
+        own = self.texts.select("text", F.col("chunk_id").alias("of")).join(self.text_vectors.withColumnRenamed("chunk_id", "of"), "of")
+        return self.chunks.select("chunk_id", "text").join(own, "text").select("chunk_id", "embedding")
+
+    @kept
+    def text_index(self):
+        return text_index.index(self.chunks, self.mentions, self.tags, shared_path(self.spark, "text_index"))
+
+    @kept
+    def vector_index(self):
+        return vector_index.build(self.table("embeddings"), "vec_id", "embedding", shared_path(self.spark, "vector_index"), 64)
+
+    @kept
+    def adjacency(self) -> DataFrame:
+        return batch.adjacency(self.all_edges, self.nodes, 50)
+
     @kept
     def all_edges(self) -> DataFrame:
         """Also tags, entities and what FAQs are derived from, where the chunk exists."""

@@ -600,3 +600,6 @@ def annotation_roundtrip(g):
 @query("SELECT item_id, array_to_string(list_transform(list_filter(list_zip(t, range(1, len(t) + 1)), lambda z: list_position(t, z[1]) = z[2]), lambda z: z[1]), '|') AS terms FROM (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[a-zа-яёіїє0-9]+'), lambda x: length(x) > 2 AND x NOT IN (" + ", ".join(f"'{w}'" for w in tx.WEB_STOPWORDS) + ")) AS t FROM benchmark)")
 def web_terms(g):
     return g.table("benchmark").select("item_id", F.array_join(tx.web_terms(F.col("text")), "|").alias("terms"))
+
+
+from . import retrieval  # noqa: E402, F401 registers more queries

@@ -33,18 +33,34 @@ def shared_dir(spark: SparkSession) -> str | None:
     found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if found:
         return found.rstrip("/")
-    if not context.master.startswith("local"):
+    if not context.master.startswith("local[") and context.master != "local":
         return None
     context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="weftgraph-"))
     return context.getCheckpointDir().rstrip("/")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    folder = shared_dir(spark)
+    if folder is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{folder}/weftgraph/{uuid.uuid4().hex}/{name}"
+
+
+def file_states(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Name, time and length of the files of a table."""
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = jvm.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(jvm.Path(path)):
+        return []
+    return [(s.getPath().getName(), s.getModificationTime(), s.getLen()) for s in fs.listStatus(jvm.Path(path))]
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it again; without such a folder the table as it is."""
-    folder = shared_dir(df.sparkSession)
-    if folder is None:
+    if shared_dir(df.sparkSession) is None:
         return df
-    path = f"{folder}/weftgraph/{uuid.uuid4().hex}/{name}"
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
