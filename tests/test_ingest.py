@@ -5,8 +5,7 @@ from pyspark.sql import functions as F
 
 from weftgraph import ingest, storage
 from weftgraph.functions.text import relationship, without_nulls
-from weftgraph.functions.vectors import blocked_pairs
-from weftgraph.operators import answer, kb, search, traverse, writes
+from weftgraph.operators import answer, kb, search, traverse, vector_index, writes
 from weftgraph.sources import read_annotation, read_files, read_manifest, with_texts, write_manifest
 
 AS_OF = "2024-06-01 00:00:00"
@@ -133,7 +132,7 @@ def test_writes_keep_their_rules(spark):
 
 def test_similar_pairs(spark):
     rows = spark.createDataFrame([(i, [1.0, 0.01 * i, 0.0] if i < 4 else [0.0, 0.0, float(i)]) for i in range(6)], "id long, v array<double>")
-    got = {(r.src, r.dst) for r in blocked_pairs(rows, "id", "v", 0.99).collect()}
+    got = {(r.src, r.dst) for r in vector_index.similar_pairs(rows, "id", "v", 3, 0.99).collect()}
     assert got == {(a, b) for a in range(4) for b in range(a + 1, 4)} | {(4, 5)}
 
 
