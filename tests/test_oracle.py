@@ -4,7 +4,7 @@ import pytest
 from weftgraph.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-TABLES = "documents embeddings pages benchmark conversations".split()
+TABLES = "documents embeddings pages benchmark conversations events".split()
 
 
 @pytest.fixture(scope="module")

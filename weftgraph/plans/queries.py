@@ -79,11 +79,6 @@ def knn_euclidean(g):
     return search.nearest(g.table("embeddings"), "vec_id", "embedding", _vector(g), metric="euclidean").select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query("SELECT vec_id, score FROM (SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) DESC, vec_id LIMIT 8) WHERE vec_id % 2 = 0")
-def knn_active_postfilter(g):
-    return search.nearest(g.table("embeddings"), "vec_id", "embedding", _vector(g)).where("vec_id % 2 = 0").select("vec_id", F.round("score", 6).alias("score"))
-
-
 @query("SELECT DISTINCT len(embedding) AS dims FROM embeddings")
 def embedding_dim(g):
     return g.table("embeddings").select(F.size("embedding").cast("long").alias("dims")).distinct()
@@ -127,13 +122,6 @@ def rrf_merge(g):
     return hybrid.fuse(graph, vector).select("chunk_id", F.round("merge_score", 6).alias("merge_score"), "has_graph")
 
 
-@query("""SELECT chunk_id, CAST(place AS INTEGER) AS place, round(s, 6) AS retrieval_score FROM (SELECT *, row_number() OVER (PARTITION BY is_seed ORDER BY s DESC, chunk_id DESC) AS place FROM (SELECT chunk_id, chunk_index = 0 AS is_seed, round(0.25 * (CASE WHEN chunk_index = 0 THEN 1 ELSE 0 END) + 0.2 * (CAST(contains(lower(text), 'thing') AS INT) + CAST(contains(lower(text), 'question') AS INT)) / 2 + (CASE WHEN chunk_index = 0 THEN 0.1 ELSE 0 END), 6) AS s FROM c)) WHERE place <= (CASE WHEN is_seed THEN 16 ELSE 24 END)""")
-def rerank_context(g):
-    first = F.col("chunk_index") == 0
-    rows = g.chunks.select("chunk_id", "text", first.alias("is_seed"), first.alias("has_graph"), F.lit(0.0).alias("vector_norm"), F.lit(0.0).alias("rrf_norm"))
-    return hybrid.rerank(rows, TERMS).select("chunk_id", "place", "retrieval_score")
-
-
 @query("SELECT (SELECT count(*) FROM d) AS documents, (SELECT count(*) FROM c) AS chunks, (SELECT count(*) FROM (SELECT DISTINCT name, type FROM en)) AS entities, (SELECT count(DISTINCT tag) FROM tg) AS tags, (SELECT count(*) FROM (SELECT DISTINCT * FROM ae)) AS relationships", GRAPH_SQL)
 def graph_stats(g):
     """Counts of the stored tables: one row from each, put together by name."""
@@ -288,11 +276,6 @@ def shorten_text(g):
     return g.documents.select("doc_id", tx.shorten(F.col("text"), 80).alias("short"))
 
 
-@query(r"SELECT conv_id, turn, trim(regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g')) AS answer FROM conversations")
-def strip_think(g):
-    return g.table("conversations").select("conv_id", "turn", tx.without_think(F.concat(F.lit("<think>a\nb</think>"), F.col("text"))).alias("answer"))
-
-
 @query("SELECT conv_id, a.turn AS turn, a.text AS question, b.text AS answer FROM conversations a JOIN conversations b USING (conv_id) WHERE a.role = 'user' AND b.role = 'assistant' AND b.turn = a.turn + 1")
 def faqs(g):
     t = g.table("conversations")
@@ -320,11 +303,6 @@ def docs_search_strict(g):
     return kb.by_topic(g.documents, g.chunks, g.tags, "Thing")
 
 
-@query("SELECT doc_id, number FROM d WHERE active ORDER BY number DESC, doc_id LIMIT 20")
-def documents_recent(g):
-    return g.documents.where("active").orderBy(F.desc("number"), "doc_id").select("doc_id", "number").limit(20)
-
-
 @query(_LIST.format("SELECT doc_id, title FROM d WHERE doc_id IN (SELECT doc_id FROM kw WHERE keyword = (SELECT min(keyword) FROM kw WHERE doc_id = 'doc_001')) ORDER BY title, doc_id LIMIT 50"))
 def kw_search(g):
     word = g.keywords.where("doc_id = 'doc_001'").agg(F.min("keyword")).first()[0]
@@ -379,22 +357,6 @@ def render_context(g):
     return context.render(best.select("doc_id", "title"), g.tags.join(keys, "chunk_id", "left_semi").select("tag"), g.mentions.join(keys, "chunk_id", "left_semi").select("name", "type"), seeds, near, asked)
 
 
-@query("SELECT page_id, 'Title ' || page_id AS title, 'https://x.example/' || page_id AS url, 'more of ' || page_id AS summary FROM pages UNION ALL SELECT page_id, 'Other one', 'http://y.example/a', 'latest tour' FROM pages")
-def search_result_entries(g):
-    page = F.col("page_id").cast("string")
-    text = F.concat(F.lit("1. Title  "), page, F.lit("\n  URL: https://x.example/"), page, F.lit(").\n  Summary: more\n of "), page, F.lit("\n2. Other\tone\n URL: http://y.example/a\nSummary: latest tour\n"))
-    rows = g.table("pages").select("page_id", F.explode(tx.search_entries(text)).alias("x"))
-    return rows.select("page_id", "x.title", "x.url", "x.summary")
-
-
-@query("SELECT page_id, CAST(CASE WHEN page_id % 2 = 0 THEN 1 + 1.5 + 1.5 - 1.5 ELSE 1 + 1.5 + 2 END AS DOUBLE) AS score FROM pages")
-def url_scores(g):
-    even = F.col("page_id") % 2 == 0
-    summary = F.when(even, "latest update of a tour").otherwise("news")
-    url = F.when(even, "https://x.example/").otherwise("https://kyivpost.example/")
-    return g.table("pages").select("page_id", tx.url_score(F.array(F.lit("kyiv"), F.lit("zzz")), F.lit("On Kyiv"), summary, url).cast("double").alias("score"))
-
-
 _DOCS_BY_TITLE = "SELECT DISTINCT doc_id, title FROM d ORDER BY title, doc_id LIMIT 10"
 
 
@@ -563,30 +525,6 @@ def faq_links(g):
     return writes.link_faqs(g.faqs, g.chunks, g.edges.where("false"), g.faqs.select("faq_id", "chunk_id")).select("src", "type", "dst")
 
 
-@query("SELECT printf('doc_%03d_c000', vec_id) AS src, 'doc_000_c000' AS dst, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings WHERE printf('doc_%03d_c000', vec_id) IN (SELECT chunk_id FROM c) AND EXISTS (SELECT 1 FROM c WHERE chunk_id = 'doc_000_c000')")
-def link_similarities(g):
-    """Directed edges with a score, between chunks that exist."""
-    query = F.array(*[F.lit(float(x)) for x in _vector(g)])
-    scored = g.vectors.select(F.col("chunk_id").alias("src"), F.lit("doc_000_c000").alias("dst"), cosine(F.col("embedding"), query).alias("score"))
-    none = g.spark.createDataFrame([], "src string, dst string, score double, updated_at timestamp")
-    nodes = g.chunks.select(F.col("chunk_id").alias("id"), F.lit("Chunk").alias("label"))
-    return writes.link_similarities(nodes, none, scored, "Chunk", AS_OF).select("src", "dst", F.round("score", 6).alias("score"))
-
-
-@query("SELECT CAST(NULL AS VARCHAR) AS doc_id, CAST(NULL AS BIGINT) AS n WHERE false")
-def schema_check(g):
-    """Documents whose key is doubled or null: none."""
-    return writes.doubled_keys(g.documents, writes.KEYS["documents"])
-
-
-@query("SELECT doc_id, title, array_to_string(list_distinct([lower(title), source]), '|') IS NOT NULL AS named, 'file_' || number || '.txt' AS file_name FROM (SELECT doc_id, coalesce(nullif(trim(title, ' '), ''), 'file_' || number || '.txt') AS title, source_type AS source, number FROM d)")
-def legacy_records(g):
-    """Records for ingest: title or file name, clean keywords."""
-    rows = g.documents.select(F.concat(F.lit("docs/file_"), F.col("number").cast("string"), F.lit(".txt")).alias("file_path"), "title", F.lit(None).cast("string").alias("description"), F.array(F.concat(F.lit(" "), F.upper("title")), F.lit(" ")).alias("keywords"))
-    number = F.regexp_extract("file_name", r"(\d+)", 1).cast("long")
-    return kb.normalised(rows).select(F.format_string("doc_%03d", number).alias("doc_id"), "title", (F.size("keywords") >= 0).alias("named"), "file_name")
-
-
 @query("SELECT chunk_id, count(*) AS entities, string_agg(type || '|' || name, ',' ORDER BY place) AS listed FROM en GROUP BY chunk_id")
 def annotation_roundtrip(g):
     """Annotations written as JSON and read again, malformed entries left out."""

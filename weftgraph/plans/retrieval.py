@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..buckets import BucketTable
 from ..functions import text as tx
-from ..operators import batch, text_index, vector_index
+from ..functions.vectors import cosine
+from ..operators import batch, hybrid, kb, paths, search, text_index, vector_index, writes
 from ..operators.answer import Tables
-from .fixture import GRAPH_SQL, SQL
-from .queries import _FOLD, QUESTION, _lexical, query
+from ..storage import shared_path
+from .fixture import GRAPH_SQL
+from .queries import _FOLD, AS_OF, QUESTION, TERMS, _lexical, _vector, query
 
 _STOP = ", ".join(f"'{w}'" for w in tx.QUERY_STOPWORDS)
 #: Hashed embeddings of the texts of ``{rows}`` (id, text) as lists: ``v`` (id, v).
@@ -71,3 +74,135 @@ def hybrid_batch(g):
     questions = g.table("benchmark").select(F.concat(F.lit("q"), "item_id").alias("qid"), "text").distinct()
     t = Tables(g.documents, g.chunks, g.mentions, g.tags, g.chunk_vectors, g.nodes, g.all_edges)
     return batch.retrieve(t, questions, near=g.adjacency).withColumn("place", F.col("place").cast("long"))
+
+
+_PAIRS = ", ct AS (SELECT min(chunk_id) AS id, text FROM c GROUP BY text), " + _EMBEDDED.format(rows="ct")
+
+
+@query(_PAIRS + " SELECT a.id AS src, b.id AS dst, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM ev a JOIN ev b ON a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.98")
+def link_similarities(g):
+    """SIMILAR_TO edges from the pairs that the vectors give; ends that don't exist are left out."""
+    pairs = vector_index.similar_pairs(g.text_vectors, "chunk_id", "embedding", 384, 0.98)
+    lost = pairs.select("src", F.concat("dst", F.lit("_lost")).alias("dst"), "score")
+    none = g.spark.createDataFrame([], "src string, dst string, score double, updated_at timestamp")
+    nodes = g.chunks.select(F.col("chunk_id").alias("id"), F.lit("Chunk").alias("label"))
+    return writes.link_similarities(nodes, none, pairs.unionByName(lost), "Chunk", AS_OF).select("src", "dst", F.round("score", 6).alias("score"))
+
+
+_HOPS = ", two AS (SELECT a, b, min(type) AS type FROM (SELECT src AS a, dst AS b, type FROM e UNION ALL SELECT dst, src, type FROM e) GROUP BY a, b), pr AS (SELECT printf('doc_%03d', doc_id) AS s, printf('doc_%03d', doc_id // 3) AS t FROM (SELECT DISTINCT doc_id FROM documents)), r(s, goal, id, p, k) AS (SELECT s, t, s, [s], CAST([] AS VARCHAR[]) FROM pr UNION ALL SELECT r.s, r.goal, two.b, list_append(p, two.b), list_append(k, two.type) FROM r JOIN two ON r.id = two.a WHERE len(p) < 6 AND r.id <> r.goal AND NOT list_contains(p, two.b) AND NOT contains(two.b, '_c')) "
+
+
+@query(_HOPS + "SELECT s AS start, goal, CAST(len(p) - 1 AS INTEGER) AS distance, array_to_string(p, '|') AS nodes, array_to_string(k, '|') AS relations FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY len(p), p) AS o FROM r WHERE id = goal) WHERE o = 1")
+def paths_batch(g):
+    """From each document to that of a third of its number: all pairs in one run. (Chunks are ends of the graph, so the SQL leaves them out.)"""
+    pairs = g.table("documents").select(F.format_string("doc_%03d", "doc_id").alias("start"), F.format_string("doc_%03d", F.floor(F.col("doc_id") / 3).cast("long")).alias("goal"))
+    found = paths.shortest_paths(paths.adjacency(g.edges), pairs)
+    return found.select("start", "goal", "distance", F.array_join("nodes", "|").alias("nodes"), F.array_join("relations", "|").alias("relations"))
+
+
+@query("SELECT chunk_id, CASE WHEN number % 2 = 0 THEN reverse(text) ELSE text END AS text, number % 2 = 0 AND number % 3 <> 0 AS changed FROM (SELECT chunk_id, doc_id, text FROM c) JOIN (SELECT doc_id, number FROM d) USING (doc_id) WHERE (number % 3 <> 0 OR number % 2 = 0) AND number % 7 <> 0")
+def bucket_upserts(g):
+    """Chunks in a bucketed table: loaded, changed and deleted by three commits, of which only touched buckets are rewritten."""
+    chunks = g.chunks.join(g.documents.select("doc_id", "number"), "doc_id")
+    table = BucketTable(g.spark, shared_path(g.spark, "buckets"), ["chunk_id"], "chunk_id string, text string, created_at timestamp, updated_at timestamp", 16)
+    table.upsert(chunks.where("number % 3 <> 0").select("chunk_id", "text"), AS_OF)
+    table.upsert(chunks.where("number % 2 = 0").select("chunk_id", F.reverse("text").alias("text")), "2024-06-02 00:00:00")
+    table.delete(chunks.where("number % 7 = 0").select("chunk_id"))
+    return table.read().select("chunk_id", "text", (F.col("updated_at") > F.col("created_at")).alias("changed"))
+
+
+@query("SELECT chunk_id, CAST(count(*) AS BIGINT) AS n, coalesce(bool_or(there), false) AS existing FROM (SELECT chunk_id, number % 3 = 0 AS there FROM c JOIN (SELECT doc_id, number FROM d) USING (doc_id) WHERE number % 2 = 0 UNION ALL SELECT chunk_id, number % 3 = 0 FROM c JOIN (SELECT doc_id, number FROM d) USING (doc_id) WHERE number % 10 = 0 UNION ALL SELECT NULL, false) GROUP BY chunk_id HAVING count(*) > 1 OR bool_or(there) OR chunk_id IS NULL")
+def unique_violations(g):
+    """What an insert would break: keys that are there, that come twice, or are null."""
+    chunks = g.chunks.join(g.documents.select("doc_id", "number"), "doc_id")
+    table = BucketTable(g.spark, shared_path(g.spark, "unique"), ["chunk_id"], "chunk_id string, text string", 16)
+    table.insert(chunks.where("number % 3 = 0").select("chunk_id", "text"))
+    twice = chunks.where("number % 10 = 0")
+    none = g.spark.range(1).select(F.lit(None).cast("string").alias("chunk_id"), F.lit("").alias("text"))
+    return table.taken(chunks.where("number % 2 = 0").unionByName(twice).select("chunk_id", "text").unionByName(none))
+
+
+@query("SELECT doc_id, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_id FROM d UNION ALL SELECT doc_id FROM d WHERE number % 10 = 0 UNION ALL SELECT NULL) GROUP BY doc_id HAVING count(*) > 1 OR doc_id IS NULL")
+def schema_check(g):
+    """Documents whose key is doubled or null: those that were planted."""
+    planted = g.documents.select("doc_id").unionByName(g.documents.where("number % 10 = 0").select("doc_id")).unionByName(g.spark.range(1).select(F.lit(None).cast("string").alias("doc_id")))
+    return writes.doubled_keys(planted, writes.KEYS["documents"])
+
+
+@query("SELECT doc_id, title, array_to_string(list_filter([lower(trim(title, ' ')), CASE WHEN lower(trim(title, ' ')) <> lower(source) THEN lower(source) ELSE '' END], x -> x <> ''), '|') AS keywords, 'file_' || number || '.txt' AS file_name FROM (SELECT doc_id, coalesce(nullif(trim(title, ' '), ''), 'file_' || number || '.txt') AS title, coalesce(source_type, '') AS source, number FROM d)".replace("x -> x", "lambda x: x"))
+def legacy_records(g):
+    """Records for ingest: title or file name, clean keywords, one of each."""
+    number = F.col("number").cast("string")
+    title = F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.concat(F.lit("file_"), number, F.lit(".txt")))
+    words = F.array(F.concat(F.lit(" "), title), F.lit(" "), F.coalesce("source_type", F.lit("")), F.concat(title, F.lit("  ")))
+    rows = g.documents.select(F.concat(F.lit("docs/file_"), number, F.lit(".txt")).alias("file_path"), "title", F.lit(None).cast("string").alias("description"), words.alias("keywords"))
+    of = F.regexp_extract("file_name", r"(\d+)", 1).cast("long")
+    return kb.normalised(rows).select(F.format_string("doc_%03d", of).alias("doc_id"), "title", F.array_join("keywords", "|").alias("keywords"), "file_name")
+
+
+_COS = "list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0))"
+
+
+@query(f"SELECT chunk_id, title, round(score, 6) AS score FROM (SELECT printf('doc_%03d_c000', vec_id) AS chunk_id, {_COS} AS score FROM embeddings ORDER BY score DESC, chunk_id LIMIT 8) JOIN (SELECT chunk_id, doc_id, active FROM c) USING (chunk_id) LEFT JOIN (SELECT doc_id, title FROM d) USING (doc_id) WHERE active")
+def knn_active_postfilter(g):
+    """Inactive chunks go after the nearest were chosen."""
+    return search.vector_search(g.vectors, g.chunks, g.documents, [float(x) for x in _vector(g)]).select("chunk_id", "title", F.round("score", 6).alias("score"))
+
+
+@query("SELECT doc_id, updated_at FROM (SELECT doc_id, (SELECT max(ts) FROM events WHERE user_id = number) AS updated_at FROM d WHERE active) WHERE updated_at IS NOT NULL ORDER BY updated_at DESC, doc_id LIMIT 20")
+def documents_recent(g):
+    """Active documents by the time of their last event."""
+    last = g.table("events").groupBy(F.col("user_id").alias("number")).agg(F.max("ts").alias("updated_at"))
+    return g.documents.where("active").join(last, "number").orderBy(F.desc("updated_at"), "doc_id").select("doc_id", "updated_at").limit(20)
+
+
+_RERANK = f"SELECT chunk_id, chunk_index = 0 AS is_seed, round(0.55 * vn + 0.25 * greatest(CASE WHEN chunk_index = 0 THEN 1.0 ELSE 0.0 END, 1.0 / (1 + chunk_index)) + 0.2 * ((CAST(contains(lower(text), 'thing') AS INT) + CAST(contains(lower(text), 'question') AS INT)) / 2) + CASE WHEN chunk_index = 0 THEN 0.1 ELSE 0 END, 6) AS retrieval_score FROM c LEFT JOIN (SELECT printf('doc_%03d_c000', vec_id) AS chunk_id, round({_COS}, 6) AS v FROM embeddings) USING (chunk_id), LATERAL (SELECT coalesce(v, 0) AS vn)"
+
+
+@query(f"SELECT chunk_id, CAST(place AS INTEGER) AS place, retrieval_score FROM (SELECT *, row_number() OVER (PARTITION BY is_seed ORDER BY retrieval_score DESC, chunk_id DESC) AS place FROM ({_RERANK})) WHERE place <= CASE WHEN is_seed THEN 16 ELSE 24 END")
+def rerank_context(g):
+    """All four terms at work: the chunk's vector, its place in the document, terms in its text, whether it is a seed."""
+    wanted = F.array(*[F.lit(float(x)) for x in _vector(g)])
+    norms = g.vectors.select("chunk_id", F.round(cosine(F.col("embedding"), wanted), 6).alias("vector_norm"))
+    first = F.col("chunk_index") == 0
+    rows = g.chunks.join(norms, "chunk_id", "left").select("chunk_id", "text", first.alias("is_seed"), first.alias("has_graph"), "vector_norm", (1.0 / (1 + F.col("chunk_index"))).alias("rrf_norm"))
+    return hybrid.rerank(rows, TERMS).select("chunk_id", "place", "retrieval_score")
+
+
+@query(r"SELECT conv_id, turn, trim(regexp_replace(role || chr(10) || chr(10) || chr(10) || chr(10) || reverse(text) || ' ', '\n{3,}', chr(10) || chr(10), 'g'), ' ') AS answer FROM conversations")
+def strip_think(g):
+    """Each turn's text as what was thought, twice, around an answer made of it."""
+    thought = F.concat(F.lit("<think>"), "text", F.lit("</think>"))
+    whole = F.concat(thought, "role", F.lit("\n\n"), F.upper(F.lit("<think>")), "text", F.lit("</THINK>\n\n"), F.reverse("text"), F.lit(" "))
+    return g.table("conversations").select("conv_id", "turn", tx.without_think(whole).alias("answer"))
+
+
+_FLAT = r"trim(regexp_replace({0}, '[\p{{Z}}\t\n\x0B\f\r\x1C-\x1F\x85]+', ' ', 'g'), ' ')"
+_PAGE = "p AS (SELECT page_id, url, " + _FLAT.format("regexp_extract(coalesce(html, ''), '(?s)<title>(.*?)</title>', 1)") + " AS title, " + _FLAT.format("regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '<[^>]*>', ' ', 'g')") + " AS body FROM pages)"
+
+
+def _pages(g):
+    """Title and text of the article of each page."""
+    html = F.coalesce("html", F.lit(""))
+    title = tx.collapse(F.regexp_extract(html, "(?s)<title>(.*?)</title>", 1))
+    body = tx.collapse(F.regexp_replace(F.regexp_extract(html, "(?s)<article>(.*)</article>", 1), "<[^>]*>", " "))
+    return g.table("pages").select("page_id", "url", title.alias("title"), body.alias("body"))
+
+
+@query(f", {_PAGE} SELECT page_id, title, rtrim(url, '.,;:)]}}>') AS url, body AS summary FROM p WHERE title <> '' AND body <> '' UNION ALL SELECT page_id, 'again ' || title, rtrim(url, '.,;:)]}}>') || '/again', title FROM p WHERE title <> ''")
+def search_result_entries(g):
+    """Numbered results made of the pages' titles, addresses and articles, read back."""
+    text = F.concat(F.lit("1. "), "title", F.lit("\n  URL: "), "url", F.lit(").\n  Summary: "), "body", F.lit("\n2. again\t"), "title", F.lit("\n URL: "), F.rtrim(F.col("url"), F.lit(".,;:)]}>")), F.lit("/again\nSummary: "), "title", F.lit("\n"))
+    rows = _pages(g).select("page_id", F.explode(tx.search_entries(text)).alias("x"))
+    return rows.select("page_id", "x.title", "x.url", "x.summary")
+
+
+def _some(text: str, words) -> str:
+    return "greatest(" + ", ".join(f"CAST(contains({text}, '{w}') AS INT)" for w in words) + ")"
+
+
+@query(f", {_PAGE}, l AS (SELECT page_id, lower(concat_ws(' ', title, body, url)) AS t, lower(url) AS u FROM p) SELECT page_id, CAST(len(list_filter(['the', 'example', 'que', 'zzz'], lambda x: contains(t, x))) + 1.5 * (" + " + ".join(f"CAST(contains(t, '{w}') AS INT)" for w in tx.NEWS_HINTS) + f") - 2 * {_some('u', tx.TRAVEL_SITES)} + 2 * {_some('u', tx.NEWS_SITES)} - 1.5 * {_some('t', tx.TOUR_WORDS)} AS DOUBLE) AS score FROM l")
+def url_scores(g):
+    """The pages as results of a search."""
+    terms = F.array(*map(F.lit, ["the", "example", "que", "zzz"]))
+    return _pages(g).select("page_id", tx.url_score(terms, F.col("title"), F.col("body"), F.col("url")).cast("double").alias("score"))
