@@ -1,9 +1,9 @@
 """A stored vector index, and top-k and threshold joins of vectors in blocks.
 
-The index is a folder of three tables. ``rows`` has a partition for each cell of a
+The index is a folder of two tables. ``rows`` has a partition for each cell of a
 coarse quantiser: key, vector, product code of the residual, and the distance to
-the cell's centre. ``cells`` has size and radius of each cell, ``model`` centres
-and code books. The model is fitted on at most ``SAMPLE`` rows (those of the least
+the cell's centre. ``model`` has centres, code books, and size and radius of each
+cell. The model is fitted on at most ``SAMPLE`` rows (those of the least
 seeded hash), every row is indexed.
 
 ``search`` reads the codes of the ``probes`` nearest cells of each query (other
@@ -133,10 +133,12 @@ class VectorIndex:
     #: Size and radius of each cell.
     sizes: np.ndarray
     radii: np.ndarray
+    #: Columns of the rows.
+    schema: str
 
     def rows(self, spark: SparkSession, cells: list[int] | None = None) -> DataFrame:
         """The indexed rows, of some cells only: those files alone are read."""
-        rows = spark.read.parquet(f"{self.path}/rows")
+        rows = spark.read.schema(self.schema).parquet(f"{self.path}/rows")
         return rows if cells is None else rows.where(F.col("cell").isin(cells))
 
 
@@ -169,7 +171,8 @@ def build(vectors: DataFrame, key: str, vector: str, path: str, dims: int, simil
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("vec"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(far, pa.float64()), pa.array(cell, pa.int32())], names=["key", "vec", "code", "far", "cell"])
 
     kind = vectors.schema[key].dataType.simpleString()
-    made = rows.mapInArrow(run, f"key {kind}, vec {_kind(vectors, vector)}, code binary, far double, cell int")
+    schema = f"key {kind}, vec {_kind(vectors, vector)}, code binary, far double, cell int"
+    made = rows.mapInArrow(run, schema)
     made.hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
     if n:
         stats = spark.read.parquet(f"{path}/rows").groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).toArrow()  # a row for a cell
@@ -178,7 +181,7 @@ def build(vectors: DataFrame, key: str, vector: str, path: str, dims: int, simil
     sizes, radii = np.zeros(len(model.centres), np.int64), np.zeros(len(model.centres))
     sizes[stats.column("cell").to_numpy()] = stats.column("n").to_numpy()
     radii[stats.column("cell").to_numpy()] = stats.column("radius").to_numpy()
-    index = VectorIndex(path, name, model, sizes, radii)
+    index = VectorIndex(path, name, model, sizes, radii, schema)
     spark.createDataFrame([(bytearray(pickle.dumps(index)),)], "model binary").coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
     return index
 
