@@ -1,3 +1,4 @@
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,7 +6,7 @@ from weftgraph.functions import text as tx
 from weftgraph.functions.splitting import SEPARATORS, by_separators, by_tokens, spans
 from weftgraph.operators import context
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 @pytest.mark.parametrize("text", ["", "a", "x" * 95, "one two three. " * 20, "p\n\n" * 30 + "y" * 50 + "\n\nz", "\n\n\n\na b"])
