@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import keyword_pairs
 
 
 def normalised(records: DataFrame) -> DataFrame:
@@ -54,18 +55,20 @@ def by_title(documents: DataFrame, keywords: DataFrame, part: str, limit: int =
 
 
 def similarity_edges(keywords: DataFrame, least: int = 1) -> DataFrame:
-    """Pairs a < b with their number of common keywords.
+    """Pairs a < b with their number of common keywords, ``least`` or more.
 
-    Each keyword's documents are joined with themselves, so there are as many
-    rows as pairs that share it: those pairs are the result. Keywords of one
-    document go first.
+    For ``least`` of 1 each keyword's documents are joined with themselves: the
+    pairs that share a keyword are the result. From 2 on only prefixes of rare
+    keywords are joined (``keyword_pairs``). Keywords of one document go first.
     """
+    if least > 1:
+        return keyword_pairs.pairs(keywords, least)
     own = keywords.distinct()
     several = own.groupBy("keyword").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("keyword")
     own = own.join(several, "keyword", "left_semi")
     a, b = own.alias("a"), own.alias("b")
     pairs = a.join(b, (F.col("a.keyword") == F.col("b.keyword")) & (F.col("a.doc_id") < F.col("b.doc_id")))
-    return pairs.groupBy(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).agg(F.count(F.lit(1)).alias("common_keywords")).where(F.col("common_keywords") >= least)
+    return pairs.groupBy(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).agg(F.count(F.lit(1)).alias("common_keywords"))
 
 
 def edges_of(keywords: DataFrame, doc_id, least: int = 1) -> DataFrame:

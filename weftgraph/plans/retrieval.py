@@ -10,7 +10,7 @@ from ..functions.vectors import cosine
 from ..operators import batch, hybrid, kb, paths, search, text_index, vector_index, writes
 from ..operators.answer import Tables
 from ..storage import shared_path
-from .fixture import GRAPH_SQL
+from .fixture import GRAPH_SQL, SQL
 from .queries import _FOLD, AS_OF, QUESTION, TERMS, _lexical, _vector, query
 
 _STOP = ", ".join(f"'{w}'" for w in tx.QUERY_STOPWORDS)
@@ -206,3 +206,15 @@ def url_scores(g):
     """The pages as results of a search."""
     terms = F.array(*map(F.lit, ["the", "example", "que", "zzz"]))
     return _pages(g).select("page_id", tx.url_score(terms, F.col("title"), F.col("body"), F.col("url")).cast("double").alias("score"))
+
+
+@query("SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common_keywords FROM kw a JOIN kw b ON a.keyword = b.keyword AND a.doc_id < b.doc_id GROUP BY 1, 2 HAVING count(*) >= 2", SQL)
+def similarity_edges_two(g):
+    """Documents with two keywords in common or more."""
+    return kb.similarity_edges(g.keywords, 2)
+
+
+@query("SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS common_keywords FROM tg a JOIN tg b ON a.tag = b.tag AND a.chunk_id < b.chunk_id GROUP BY 1, 2 HAVING count(*) >= 6", SQL)
+def tag_pairs(g):
+    """Chunks with half of their tags in common."""
+    return kb.similarity_edges(g.tags.select(F.col("chunk_id").alias("doc_id"), F.col("tag").alias("keyword")), 6)
