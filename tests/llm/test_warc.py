@@ -106,3 +106,54 @@ def test_damaged_archives(spark, tmp_path):
     (tmp_path / "b.txt.gz").write_bytes(warc.gzip.compress(b"".join(one(7, b"late " * 5000, 4096)[::-1])))
     got = {r.page_id: (r.whole, None if r.payload is None else len(r.payload)) for r in warc.read_archives(spark, str(tmp_path)).collect()}
     assert got == {1: (True, 200), 2: (False, None), 3: (False, None), 4: (False, None), None: (True, 200), 6: (False, None), 7: (True, 25_000)}
+
+
+def _one(i, html, size=8192):
+    return b"".join(r + warc._END for r in warc.records(i, "u", html, None, size))
+
+
+def _read(spark, path):
+    return {r.page_id: (r.whole, None if r.payload is None else bytes(r.payload)) for r in warc.read_archives(spark, str(path)).collect()}
+
+
+def test_foreign_archives(spark, tmp_path):
+    """Version 1.0, .warc and .warc.gz, a gzip member for each record, trailers, bodies without framing."""
+    plain = {i: b"page %d " % i * 30 for i in range(1, 9)}
+    old = b"".join(_one(i, plain[i]) for i in (1, 2)).replace(b"WARC/1.1\r\n", b"WARC/1.0\r\n")
+    (tmp_path / "old.warc").write_bytes(old + b"\r\n")
+    (tmp_path / "each.warc.gz").write_bytes(b"".join(warc.gzip.compress(_one(i, plain[i])) for i in (3, 4)) + b"\0" * 20)
+    body = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + warc.chunked(plain[5], 11)[:-2] + b"Expires: never\r\nX-Sum: 1\r\n\r\n"
+    unframed = b"HTTP/1.1 200 OK\r\n\r\n" + plain[6]
+    made = b"".join(b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d:x>\r\nContent-Length: %d\r\n\r\n" % (i, len(x)) + x + warc._END for i, x in ((5, body), (6, unframed)))
+    (tmp_path / "made.warc.gz").write_bytes(warc.gzip.compress(made))
+    broken = bytearray(warc.gzip.compress(_one(7, plain[7])))
+    broken[40:60] = b"\xff" * 20
+    (tmp_path / "broken.warc.gz").write_bytes(bytes(broken) + warc.gzip.compress(_one(8, plain[8])))
+    got = _read(spark, tmp_path)
+    got.pop(7, None)
+    got.pop(None, None)
+    assert got == {i: (True, plain[i]) for i in (1, 2, 3, 4, 5, 6, 8)}
+
+
+@pytest.mark.parametrize("by", [b"9", b"-", b"1"])
+def test_wrong_lengths(by):
+    """Of three records three come out, whichever states a wrong length."""
+    good = [_one(i, b"payload %d " % i * 20) for i in range(3)]
+    for wrong in range(3):
+        parts = list(good)
+        parts[wrong] = parts[wrong].replace(b"\r\nContent-Length: ", b"\r\nContent-Length: " + by, 1)
+        assert [(r[1], r[-2]) for r in warc.parse_records(b"".join(parts))] == [(i, i != wrong) for i in range(3)]
+        at = parts[wrong].index(b"\r\nContent-Length: ") + 18
+        parts[wrong] = good[wrong][:at] + b"7" + good[wrong][good[wrong].index(b"\r\n", at) :]
+        assert [(r[1], r[-2]) for r in warc.parse_records(b"".join(parts))] == [(i, i != wrong) for i in range(3)]
+
+
+def test_long_page_and_hot_digest(spark, monkeypatch):
+    """A page of 20 MB whose segments span files; one boilerplate page under most ids."""
+    import weftgraph.llm.common as common
+
+    monkeypatch.setattr(common, "FEW", 0)
+    monkeypatch.setattr(common, "HOT_SHARE", 4)
+    rows = [(1, "u", "long page " * 2_000_000, "")] + [(i, "u", "boilerplate " * 100, "") for i in range(2, 60)] + [(i, "u", "own %d " % i * 300, "") for i in range(60, 70)]
+    pages = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert sorted(map(tuple, warc.report(pages).collect())) == expected([(r[0], r[2]) for r in rows])

@@ -17,8 +17,14 @@ its block must be as long as its header says, and the payload that comes out mus
 have the stated length and digest. A record that fails, a set of segments with a
 gap, a double number or a wrong total, and a body whose framing is broken have
 ``whole`` false and null payload. Numbers, digests and identifiers that can't be
-read count as not stated; a header without a readable length ends where the next
-record begins. Payloads are bytes; null html is an empty payload.
+read count as not stated. A block whose stated length is unreadable, or isn't
+followed by empty lines and the next record or the end of the file, ends where
+the next record begins, and its record is not whole; what follows is read. Payloads
+are bytes; null html is an empty payload.
+
+Archives of any version are read (``WARC/1.0``, ``WARC/1.1``), plain or gzip, one
+stream or a member for each record; of a damaged member what can be read counts, and
+what follows is read. Chunked bodies may have trailers.
 
 Files are text files of at most ``FILE_RECORDS`` records of ``SEGMENT_BYTES``,
 so a reader holds some 130 MB however many pages there are; each is one gzip
@@ -31,6 +37,8 @@ from __future__ import annotations
 
 import base64
 import gzip
+import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import sha1
@@ -39,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, release, scratch, slices
+from .common import SLICE_BYTES, hot_join, release, scratch, slices, stored
 
 #: Smallest payload that is stored once only.
 LEAST_REVISIT = 1000
@@ -50,6 +58,14 @@ FILE_RECORDS = 16_000
 _DATE = "2024-01-01T00:00:00Z"
 _VERSION = b"WARC/1.1\r\n"
 _END = b"\r\n\r\n"
+_ANY_VERSION = rb"WARC/\d+\.\d+\r\n"
+_START = re.compile(_ANY_VERSION)
+#: What follows a block: empty lines, then another record or the end of the file.
+_FOLLOWS = re.compile(rb"[\r\n]*(?:" + _ANY_VERSION + rb"|\Z)")
+_NEXT = re.compile(rb"(?:\r\n)*" + _ANY_VERSION + rb"(?=[A-Za-z-]+:)")
+#: Packed bytes that are unpacked at a time; what a member leaves of them is copied.
+_PACKED_BYTES = 64 << 10
+_TRAILER = re.compile(rb"[!#-'*+.^-z|~\w-]+:[^\r\n]*")
 
 
 def record_id(page_id: int | None, digest: str, copy: int = 1, segment: int = 1) -> str:
@@ -65,6 +81,11 @@ def chunked(body: bytes, size: int = CHUNK_BYTES) -> bytes:
     return b"".join([*parts, b"0\r\n\r\n"])
 
 
+def _trailers(rest: bytes) -> bool:
+    """Whether header lines, or none, and one empty line are all that follows the last chunk."""
+    return rest == b"\r\n" or (rest.endswith(_END) and all(_TRAILER.fullmatch(line) for line in rest[: -len(_END)].split(b"\r\n")))
+
+
 def dechunked(data: bytes) -> bytes | None:
     """The body of chunked framing; null if the framing is broken."""
     out, at = [], 0
@@ -78,7 +99,7 @@ def dechunked(data: bytes) -> bytes | None:
             return None
         at = line + 2
         if size == 0:
-            return b"".join(out) if data[at:] == b"\r\n" else None
+            return b"".join(out) if _trailers(data[at:]) else None
         part = data[at : at + size]
         if len(part) != size or data[at + size : at + size + 2] != b"\r\n":
             return None
@@ -141,18 +162,22 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
     Of records with equal payloads of ``least`` bytes or more, those with the
     largest page_id are responses and the others, null page_ids among them,
     revisit the first of these. Copies meet as (digest, largest id) before any
-    shuffle; the pages themselves move once, by page_id and digest.
+    shuffle, ids of a digest with many by a broadcast; the pages themselves move
+    once, by page_id and digest.
     """
     spark = pages.sparkSession
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     digest = F.unhex(F.sha1(payload))
     key = F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(":"), F.sha1(payload))
     keyed = pages.select("page_id", digest.alias("digest"), key.alias("key"), F.octet_length(payload).alias("length"))
-    groups = keyed.groupBy("key", "page_id", "digest", "length").agg(F.count(F.lit(1)).alias("n"))
-    kept = keyed.where(F.col("length") >= least).groupBy("digest").agg(F.max("page_id").alias("kept"), F.count(F.lit(1)).alias("several")).where("several > 1 and kept is not null")
+    groups = stored(keyed.groupBy("key", "page_id", "digest", "length").agg(F.count(F.lit(1)).alias("n")), "page_keys")
+    of_digest = groups.where(F.col("length") >= least).groupBy("digest").agg(F.max("page_id").alias("kept"), F.sum("n").alias("several"), F.count(F.lit(1)).alias("ids"))
+    kept = stored(of_digest.where("several > 1 and kept is not null").select("digest", "kept", "ids"), "kept_pages")
     refers_to = F.when(~F.col("page_id").eqNullSafe(F.col("kept")), F.col("kept"))
-    told = groups.join(kept, "digest", "left").select(F.col("key").alias("of"), F.when(F.col("kept").isNotNull(), refers_to).alias("refers_to"), F.when(F.col("n") > 1, F.col("key")).alias("repeated"))
-    told = told.where("refers_to is not null or repeated is not null")
+    none = F.lit(None)
+    again = hot_join(groups, kept, "digest", "ids").select(F.col("key").alias("of"), refers_to.alias("refers_to"), none.cast("string").alias("repeated"))
+    twice = groups.where("n > 1").select(F.col("key").alias("of"), none.cast("long").alias("refers_to"), F.col("key").alias("repeated"))
+    told = again.where("refers_to is not null").unionByName(twice).groupBy("of").agg(F.max("refers_to").alias("refers_to"), F.max("repeated").alias("repeated"))
     # An explicit repartition is never split, so a task has all rows of its keys.
     rows = pages.select("page_id", "url", payload.alias("payload"), key.alias("key")).repartition("key")
     made = rows.join(told.hint("shuffle_hash"), F.col("key") == F.col("of"), "left").select("page_id", "url", "payload", "refers_to", "repeated")
@@ -186,24 +211,32 @@ def _sha1_of(digest: str) -> str | None:
         return None
 
 
+def _block_end(data: bytes, start: int, length: int | None) -> tuple[int, bool]:
+    """Where a block ends, and whether that is where its header says.
+
+    The stated end holds if nothing but empty lines is between it and another
+    record or the end of the file. A block may hold what looks like a record, so
+    the next one is looked for only where the stated end doesn't hold.
+    """
+    if length is not None and 0 <= length <= len(data) - start and _FOLLOWS.match(data, start + length):
+        return start + length, True
+    found = _NEXT.search(data, start)
+    return (found.start() if found else len(data)), False
+
+
 def parse_records(data: bytes) -> Iterator[tuple]:
     """The records of one archive, found by their lengths, as ``_PARSED`` has them."""
     at = 0
-    while (at := data.find(_VERSION, at)) >= 0:
-        head_end = data.find(_END, at)
+    while version := _START.search(data, at):
+        head_end = data.find(_END, version.end())
         if head_end < 0:
             return
         fields = {}
-        for line in data[at + len(_VERSION) : head_end].split(b"\r\n"):
+        for line in data[version.end() : head_end].split(b"\r\n"):
             k, _, v = line.partition(b":")
             fields[k.strip().lower().decode("latin-1")] = v.strip().decode("utf-8", "replace")
         start = head_end + len(_END)
-        length = _number(fields.get("content-length"))
-        if length is None or length < 0:
-            stop = data.find(_END + _VERSION, start)
-            stop, complete = (stop if stop >= 0 else len(data)), False
-        else:
-            stop, complete = start + length, start + length <= len(data)
+        stop, complete = _block_end(data, start, _number(fields.get("content-length")))
         own = fields.get("warc-record-id", "")
         number = lambda k, bits=63, f=fields: _number(f.get(k), bits)
         yield (
@@ -214,13 +247,31 @@ def parse_records(data: bytes) -> Iterator[tuple]:
         at = stop
 
 
+def unpacked(data: bytes) -> bytes:
+    """The bytes of an archive, plain or of any number of gzip members; damaged members give what can be read."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    out, at = [], 0
+    while 0 <= at < len(data):
+        member, end = zlib.decompressobj(31), at
+        try:
+            while not member.eof and end < len(data):
+                out.append(member.decompress(data[end : end + _PACKED_BYTES]))
+                end = min(end + _PACKED_BYTES, len(data))
+            out.append(member.flush())
+        except zlib.error:
+            pass
+        at = end - len(member.unused_data) if member.eof else data.find(b"\x1f\x8b\x08", at + 3)
+    return b"".join(out)
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         release()
         for content in batch.column("content"):
             rows, held = [], 0
             data = content.as_py()
-            for row in parse_records(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+            for row in parse_records(unpacked(data)):
                 rows.append(row)
                 held += len(row[-1])
                 if held > SLICE_BYTES:
@@ -236,7 +287,7 @@ def _batch(rows: list) -> pa.RecordBatch:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row per record: page_id, record_type, refers_to, whole, payload (null for revisits), digest and length as stated."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,warc}*").load(path)
     # One file is one row; wide enough to be dealt out, its records go on in small batches.
     parsed = files.select("content").mapInArrow(_parse, _PARSED)
     single = parsed.where("not cut")
