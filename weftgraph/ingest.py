@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .functions.values import json_array, json_object
-from .operators import writes
+from .operators import phrases, writes
 from .sources import ANNOTATION, read_annotation, settings_key
 from .storage import load_version, save_version, stored
 
@@ -66,6 +66,37 @@ class Words:
         return out
 
 
+class Phrases:
+    """Tags are key phrases by association over the whole corpus, entities runs of capitalised words, neighbours related.
+
+    It works on tables, not on texts one by one, and leaves no built-in function.
+    """
+
+    #: One capitalised word after another, not at the start of a sentence.
+    NAMES = r"(?<![.!?]\s{0,3})(?<!^)\b\p{Lu}[\p{L}\p{N}_-]+(?: \p{Lu}[\p{L}\p{N}_-]+)*"
+
+    def __init__(self, least: int = phrases.LEAST, threshold: float = phrases.THRESHOLD, longest: int = phrases.LONGEST):
+        self.least, self.threshold, self.longest = least, threshold, longest
+
+    def table(self, corpus: DataFrame, chunks: DataFrame) -> DataFrame:
+        """``chunks`` with ``annotation``, JSON; counts are those of ``corpus``. A chunk_id has one text."""
+        known = phrases.phrases(corpus, "text", self.least, self.threshold, self.longest)
+        best = phrases.key_phrases(chunks.select("chunk_id", "text").distinct(), known, "chunk_id", "text", MOST["tags"], self.longest)
+        tags = best.groupBy("chunk_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "phrase"))), lambda x: x["phrase"]).alias("_tags"))
+        text = F.coalesce("text", F.lit(""))
+        names = F.slice(F.array_distinct(F.regexp_extract_all(tx.collapse(text), F.lit(self.NAMES), F.lit(0))), 1, MOST["entities"])
+        entities = F.transform("_names", lambda n: F.struct(n.alias("name"), F.lit("OTHER").alias("type")))
+        ends = F.arrays_zip(F.col("_names").alias("source"), F.slice("_names", F.lit(2), F.greatest(F.size("_names") - 1, F.lit(0))).alias("target"))
+        related = F.transform(F.filter(ends, lambda x: x["target"].isNotNull()), lambda x: F.struct(x["source"].alias("source"), x["target"].alias("target"), F.lit("RELATED_TO").alias("type")))
+        none = F.array().cast("array<struct<question:string,answer:string>>")
+        whole = F.struct(
+            F.lit("other").alias("chunk_type"), F.substring(text, 1, 200).alias("summary"), F.coalesce("_tags", F.array().cast("array<string>")).alias("tags"), entities.alias("entities"),
+            F.slice(related, 1, MOST["relationships"]).alias("relationships"), none.alias("candidate_qas"),
+        )
+        rows = chunks.join(tags, "chunk_id", "left").withColumn("_names", names)
+        return rows.select(*(F.col(c) for c in chunks.columns), F.to_json(whole).alias("annotation"))
+
+
 class Prompted:
     """Annotates by a model: asked for JSON, asked again more strictly if the answer is none, then left empty.
 
@@ -154,7 +185,7 @@ def embedded(chunks: DataFrame, embedder: Embedder, fallback: Embedder | None =
     return chunks.select("chunk_id", "text").mapInPandas(run, "chunk_id string, embedding array<double>, embedding_model string")
 
 
-def ingest(manifest: DataFrame, cache_path: str, as_of: str, annotator: Annotator | None = None, size: int = 1200, overlap: int = 200) -> dict[str, DataFrame]:
+def ingest(manifest: DataFrame, cache_path: str, as_of: str, annotator: Annotator | Phrases | None = None, size: int = 1200, overlap: int = 200) -> dict[str, DataFrame]:
     """The graph of a manifest with texts (doc_id, title, file_path, keywords, text): documents, chunks, tags, entities, relations, edges.
 
     Chunks whose document, settings and text the cache holds keep their annotation;
@@ -170,7 +201,8 @@ def ingest(manifest: DataFrame, cache_path: str, as_of: str, annotator: Annotato
     valid = known.where(F.col("settings") == settings).select("key", "text_hash", "chunk_index", "chunk_hash", "annotation")
     on = ["key", "text_hash", "chunk_index", "chunk_hash"]
     valid = valid.groupBy(*on).agg(F.max("annotation").alias("annotation"))
-    new = annotated(chunks.join(valid.select(*on), on, "left_anti"), annotator or Words())
+    missing = chunks.join(valid.select(*on), on, "left_anti")
+    new = annotator.table(chunks, missing) if isinstance(annotator, Phrases) else annotated(missing, annotator or Words())
     whole = stored(chunks.join(valid, on).select(*new.columns).unionByName(new), "ingest_chunks")
     now = F.unix_timestamp(F.lit(as_of).cast("timestamp"))
     entries = whole.select("key", "text_hash", F.lit(settings).alias("settings"), "chunk_index", "chunk_hash", "annotation", now.alias("updated_at"))
@@ -196,4 +228,4 @@ def graph_of(docs: DataFrame, chunks: DataFrame, as_of: str) -> dict[str, DataFr
     return {"documents": documents, "chunks": own, "tags": tags, "entities": entities, "relations": relations, "edges": edges}
 
 
-__all__ = ["ANNOTATION", "Annotator", "Embedder", "Prompted", "Words", "annotated", "clean_keywords", "embedded", "graph_of", "ingest"]
+__all__ = ["ANNOTATION", "Annotator", "Embedder", "Phrases", "Prompted", "Words", "annotated", "clean_keywords", "embedded", "graph_of", "ingest"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..buckets import BucketTable
 from ..functions import text as tx
 from ..functions.vectors import cosine
-from ..operators import batch, hybrid, kb, paths, search, text_index, vector_index, writes
+from ..operators import batch, hybrid, kb, paths, phrases, resolve, search, text_index, vector_index, writes
 from ..operators.answer import Tables
 from ..storage import shared_path
 from .fixture import GRAPH_SQL, SQL
@@ -218,3 +218,55 @@ def similarity_edges_two(g):
 def tag_pairs(g):
     """Chunks with half of their tags in common."""
     return kb.similarity_edges(g.tags.select(F.col("chunk_id").alias("doc_id"), F.col("tag").alias("keyword")), 6)
+
+
+_CELL = "CASE WHEN {0} > 0 THEN ({0}) * ln(({0}) * t / (CAST({1} AS DOUBLE) * ({2}))) ELSE 0 END"
+_LIKELY = "2 * (" + " + ".join(_CELL.format(*x) for x in (("n", "h", "l"), ("h - n", "h", "t - l"), ("l - n", "t - h", "l"), ("t - h - l + n", "t - h", "t - l"))) + ")"
+_CONTENT = f"length({{0}}) >= 3 AND {{0}} NOT IN ({_STOP})"
+#: Phrases of the documents by association: ``ph``; their sequences by document: ``sq``.
+_PHRASES = f""", k AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_-]+') AS w FROM d)),
+k3 AS (SELECT doc_id, t AS t1, lead(t) OVER o AS t2, lead(t, 2) OVER o AS t3 FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+sq AS (SELECT doc_id, 2 AS size, t1 AS head, t2 AS last FROM k3 WHERE t2 IS NOT NULL UNION ALL SELECT doc_id, 3, t1 || ' ' || t2, t3 FROM k3 WHERE t3 IS NOT NULL),
+cn AS (SELECT size, head, last, CAST(count(*) AS BIGINT) AS n FROM sq GROUP BY 1, 2, 3),
+mg AS (SELECT size, head, last, n, CAST(sum(n) OVER (PARTITION BY size, head) AS BIGINT) AS h, CAST(sum(n) OVER (PARTITION BY size, last) AS BIGINT) AS l, CAST(sum(n) OVER (PARTITION BY size) AS BIGINT) AS t FROM cn),
+ph AS (SELECT size, head, last, n, association FROM (SELECT *, round({_LIKELY}, 6) AS association FROM mg WHERE n >= 3 AND {_CONTENT.format("split_part(head, ' ', 1)")} AND {_CONTENT.format("last")} AND CAST(n AS DOUBLE) * t > CAST(h AS DOUBLE) * l) WHERE association >= 10.83)
+"""
+
+
+@query(_PHRASES + "SELECT head || ' ' || last AS phrase, size, n, association FROM ph", SQL)
+def phrases_by_association(g):
+    """Phrases of the whole corpus."""
+    return phrases.phrases(g.documents)
+
+
+@query(_PHRASES + "SELECT doc_id, phrase, CAST(place AS INTEGER) AS place FROM (SELECT doc_id, head || ' ' || last AS phrase, row_number() OVER (PARTITION BY doc_id ORDER BY association DESC, head || ' ' || last) AS place FROM (SELECT DISTINCT doc_id, size, head, last FROM sq) JOIN ph USING (size, head, last)) WHERE place <= 12", SQL)
+def key_phrases(g):
+    """The best twelve of each document."""
+    return phrases.key_phrases(g.documents, phrases.phrases(g.documents), "doc_id").select("doc_id", "phrase", "place")
+
+
+#: Entities of the typed mentions: ``mb`` (name, type, n, entity, of_entity). A variant's place is that of the letter it lacks, 0 for none.
+_MEMBERS = """, nm AS (SELECT name, type, count(*) AS n FROM en WHERE place <> 1 GROUP BY 1, 2),
+vr AS (SELECT name, type, i, CASE WHEN i = 0 THEN name ELSE substring(name, 1, i - 1) || substring(name, i + 1) END AS v FROM (SELECT name, type, unnest(range(length(name) + 1)) AS i FROM nm)),
+lk AS (SELECT DISTINCT a.type, a.name AS x, b.name AS y FROM vr a JOIN vr b ON a.type = b.type AND a.v = b.v AND (a.i = b.i OR a.i = 0 OR b.i = 0) AND a.name <> b.name),
+rc AS (SELECT type, name, name AS other FROM nm UNION SELECT rc.type, rc.name, lk.y FROM rc JOIN lk ON rc.type = lk.type AND rc.other = lk.x),
+cp AS (SELECT type, name, min(other) AS component FROM rc GROUP BY 1, 2),
+mb AS (SELECT name, type, n, first_value(name) OVER (PARTITION BY type, component ORDER BY n DESC, name) AS entity, CAST(sum(n) OVER (PARTITION BY type, component) AS BIGINT) AS of_entity FROM nm JOIN cp USING (type, name))
+"""
+
+
+@query(_MEMBERS + "SELECT * FROM mb", SQL)
+def entity_members(g):
+    """Spellings of one entity among the typed mentions."""
+    return resolve.entities(g.mentions.where("place <> 1"))
+
+
+@query(_MEMBERS + """, un AS (SELECT source AS name FROM rel UNION SELECT target FROM rel),
+uv AS (SELECT name, i, CASE WHEN i = 0 THEN name ELSE substring(name, 1, i - 1) || substring(name, i + 1) END AS v FROM (SELECT name, unnest(range(length(name) + 1)) AS i FROM un)),
+best AS (SELECT u.name, m.entity, m.type, row_number() OVER (PARTITION BY u.name ORDER BY u.name <> m.name, of_entity DESC, n DESC, m.type, m.name) AS place FROM (SELECT DISTINCT u.name, b.name AS typed, b.type FROM uv u JOIN vr b ON u.v = b.v AND (u.i = b.i OR u.i = 0 OR b.i = 0)) u JOIN mb m ON m.name = u.typed AND m.type = u.type)
+SELECT coalesce(s.entity, r.source) AS source, coalesce(s.type, 'UNKNOWN') AS source_type, coalesce(t.entity, r.target) AS target, coalesce(t.type, 'UNKNOWN') AS target_type, raw_type FROM rel r LEFT JOIN (SELECT * FROM best WHERE place = 1) s ON s.name = r.source LEFT JOIN (SELECT * FROM best WHERE place = 1) t ON t.name = r.target""", SQL)
+def resolve_ends(g):
+    """Relations without types between the typed entities that their ends stand for."""
+    unknown = F.lit("UNKNOWN")
+    rows = g.relations.select("source", unknown.alias("source_type"), "target", unknown.alias("target_type"), "raw_type")
+    return resolve.resolve_ends(rows, resolve.entities(g.mentions.where("place <> 1")))
