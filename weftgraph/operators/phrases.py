@@ -85,8 +85,9 @@ def key_phrases(texts: DataFrame, known: DataFrame, key: str, text: str = "text"
     task: they are as many as its words.
     """
     known = stored(known.select("phrase", "association", "n"), "phrases")
-    own = texts.select(key, F.explode(sequences(F.col(text), longest)).alias("s")).select(key, F.concat_ws(" ", "s.head", "s.last").alias("phrase")).distinct()
+    ends = F.filter(sequences(F.col(text), longest), lambda s: _content(F.substring_index(s["head"], " ", 1)) & _content(s["last"]))
+    own = texts.select(key, F.explode(F.array_distinct(F.transform(ends, lambda s: F.concat_ws(" ", s["head"], s["last"])))).alias("phrase"))
     found = hot_join(own, known, "phrase")
-    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("association")).alias("low"), "phrase"))), 1, most)
+    best = F.slice(F.sort_array(F.collect_set(F.struct((-F.col("association")).alias("low"), "phrase"))), 1, most)
     rows = found.groupBy(key).agg(best.alias("best")).select(key, F.posexplode("best").alias("place", "b"))
     return rows.select(key, "b.phrase", (-F.col("b.low")).alias("association"), (F.col("place") + 1).alias("place"))
