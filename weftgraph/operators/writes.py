@@ -133,6 +133,20 @@ def link_faqs(faqs: DataFrame, chunks: DataFrame, edges: DataFrame, derived: Dat
     return upsert_edges(edges, known.select(F.col("faq_id").alias("src"), F.lit("DERIVED_FROM").alias("type"), F.col("chunk_id").alias("dst")))
 
 
+def link_faq_parts(faqs: DataFrame, chunks: DataFrame, tags: DataFrame, entities: DataFrame, edges: DataFrame, parts: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tags, entities and edges after FAQs are linked with what ``parts`` says: (faq_id, chunk_ids, tags, entities as (name, type)).
+
+    Chunks have to exist, tags and entities are made where they don't; an FAQ that
+    doesn't exist gets no link. Null lists are empty.
+    """
+    owners = faqs.select(F.col("faq_id").alias("id"))
+    each = lambda column, name: parts.select(F.col("faq_id").alias("owner"), F.explode(column).alias(name))
+    edges = link_faqs(faqs, chunks, edges, each("chunk_ids", "chunk_id").withColumnRenamed("owner", "faq_id"))
+    tags, edges = upsert_tags(tags, edges, each("tags", "tag"), owners)
+    entities, edges = upsert_entities(entities, edges, each("entities", "e").select("owner", "e.name", "e.type"), owners, as_of)
+    return tags, entities, edges
+
+
 #: The key of each table.
 KEYS = {"documents": ["doc_id"], "chunks": ["chunk_id"], "faqs": ["faq_id"], "tags": ["name"], "entities": ["name", "type"]}
 

@@ -270,3 +270,15 @@ def resolve_ends(g):
     unknown = F.lit("UNKNOWN")
     rows = g.relations.select("source", unknown.alias("source_type"), "target", unknown.alias("target_type"), "raw_type")
     return resolve.resolve_ends(rows, resolve.entities(g.mentions.where("place <> 1")))
+
+
+@query(f""", qt AS (SELECT DISTINCT faq_id, unnest(regexp_extract_all(lower(question), '[\\p{{L}}\\p{{N}}_-]+')) AS w FROM f), aw AS (SELECT DISTINCT faq_id, unnest(regexp_extract_all(lower(answer), '[\\p{{L}}\\p{{N}}_-]+')) AS w FROM f)
+SELECT faq_id AS src, 'HAS_TAG' AS type, 't:' || w AS dst FROM qt WHERE length(w) >= 3 AND w NOT IN ({_STOP}) UNION ALL SELECT faq_id, 'MENTIONS', 'e:UNKNOWN|' || w FROM aw WHERE length(w) >= 8 UNION ALL SELECT faq_id, 'DERIVED_FROM', chunk_id FROM f WHERE chunk_id IN (SELECT chunk_id FROM c)""", GRAPH_SQL)
+def faq_parts(g):
+    """FAQs with their chunk, tags of the question's words and entities of the answer's long words."""
+    words = lambda c, least: F.filter(tx.tokens(F.col(c)), lambda w: (F.length(w) >= least))
+    tags = F.transform(F.filter(words("question", 3), lambda w: ~w.isin(tx.QUERY_STOPWORDS)), lambda w: F.concat(F.lit(" "), w))
+    named = F.transform(words("answer", 8), lambda w: F.struct(w.alias("name"), F.lit(" ").alias("type")))
+    parts = g.faqs.select("faq_id", F.array("chunk_id").alias("chunk_ids"), tags.alias("tags"), named.alias("entities"))
+    none = g.spark.createDataFrame([], "name string, type string, active boolean, created_at timestamp, updated_at timestamp")
+    return writes.link_faq_parts(g.faqs, g.chunks, none.select("name"), none, g.edges.where("false"), parts, AS_OF)[2].select("src", "type", "dst")
