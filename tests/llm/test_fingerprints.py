@@ -65,3 +65,25 @@ def test_empty_table_and_general_form(nothing, docs, small):
     assert fp.edited_fingerprints(nothing).count() == 0
     got = {(r.doc_id, r.text): r.fingerprint for r in fp.fingerprints(docs).collect()}
     assert got == {(r[0], r[1]): fp.fingerprint(r[1]) for r in small}
+
+
+def test_shared_ids_spread_over_tasks(spark, monkeypatch):
+    """Half of the ids null or equal, repeated rows among them: same results, and no run with more than a few times its share."""
+    monkeypatch.setattr(fp, "RUN_ROWS", 50)
+    for shared in (None, 7):
+        rows = [(shared if i % 2 else i, f"{i * 7919 % 1000} text of document {i}" if i % 8 < 6 else "a copy") for i in range(1600)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        bounds = fp._bounds(docs, len(rows), 32)
+        distinct = set(rows)
+        held = np.bincount([int(np.searchsorted(range(len(bounds)), fp.bisect.bisect_right(bounds, fp._place(i, t[: fp.HEAD])))) for i, t in distinct])
+        assert len(bounds) > 20 and held.max() < 5 * len(distinct) / len(bounds)
+        if shared is None:
+            got = sorted(map(tuple, fp.edited_fingerprints(docs).collect()), key=repr)
+            order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+            want = []
+            for i, (doc_id, text) in enumerate(order):
+                other, third = order[(i + 1) % len(order)][1], len(text) // 3
+                edited = text[: len(text) - third] + other[:third]
+                a, b, c = map(fp.fingerprint, (text, edited, other))
+                want.append((doc_id, len(text), sha256(edited.encode()).hexdigest(), a, b, fp.likeness(a, b), fp.likeness(a, c)))
+            assert got == sorted(want, key=repr)

@@ -1,3 +1,4 @@
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -79,3 +80,32 @@ def test_mix_counts_rows_of_one_id_apart(spark):
     got = mx.mix(docs).collect()
     assert Counter((r.doc_id, r.source) for r in got) == +wanted
     assert abs(sum(r.source == "b" for r in got) - 200 * 2 / 7) <= 1.01 and max(Counter(r.text for r in got).values()) == 2
+
+
+def test_copies_against_a_walk_along_each_source(spark, table):
+    """Brute force of ``taken``: one source after the other, from its offset, a copy for each integer crossed."""
+    rows = table.select("doc_id", "source", "text")
+    offset = "shiftrightunsigned(xxhash64(6, coalesce(source, ''), source IS NULL), 33) / 2147483648D AS offset"
+    seeded = {r.doc_id: r for r in rows.selectExpr("doc_id", "xxhash64(5, doc_id, text) AS draw", offset).collect()}
+    by = defaultdict(list)
+    for r in mx.copies(rows, seed=5).collect():
+        by[r.source].append(r)
+    assert len(by) > 5
+    for many in by.values():
+        many.sort(key=lambda r: (r.size, seeded[r.doc_id].draw, r.doc_id))
+        rate, start = min(many[0].target / many[0].source_size, 3.0), seeded[many[0].doc_id].offset
+        crossed = [math.floor(i * rate + start) for i in range(len(many) + 1)]
+        assert [r.copies for r in many] == [b - a for a, b in zip(crossed, crossed[1:])]
+
+
+def test_mean_copies_over_offsets_are_the_expected_ones(spark, monkeypatch):
+    """Each document's mean copies over seeds equal target / size within four errors of the mean."""
+    rows = [(i, "w " * (1 + i * i % 97), f"s{i % 40}") for i in range(400)]
+    docs = mx.stored(spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1), "docs")
+    n, total, rates = 8, Counter(), {}
+    for seed in range(n):
+        for r in mx.copies(docs, seed=seed).collect():
+            total[r.source] += r.copies
+            rates[r.source] = 10 * r.target / r.source_size
+    off = [total[s] / n - rate for s, rate in rates.items()]
+    assert abs(sum(off) / len(off)) < 4 * 0.5 / math.sqrt(n * len(off))

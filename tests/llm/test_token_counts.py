@@ -44,3 +44,20 @@ def test_cache_is_read_and_appended(spark, docs, small):
     # a stored count is used as it is, and a key stored twice does not double rows
     tc.cached(spark, cache).write.mode("append").parquet(cache)
     assert sorted(map(tuple, tc.count_tokens(more, path, cache).collect())) == again
+
+
+def test_shared_ids_and_hot_contents(spark, monkeypatch):
+    """Rows that share an id (null too) are fetched by their content; hot contents are encoded where they lie."""
+    rows = [(None if i % 2 else 7, "a copy" if i % 3 == 0 else f"text {i}") for i in range(300)] + [(i, "a copy") for i in range(100, 150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    path, tokenizer = vocabulary_path(), library(vocabulary_path())
+    want = sorted((i, len(t), len(tokenizer.encode(t, add_special_tokens=False).ids)) for i, t in [(i or -1, t) for i, t in rows])
+    for few, share in ((tc.FEW, tc.HOT_SHARE), (10, 5)):
+        monkeypatch.setattr(tc, "FEW", few)
+        monkeypatch.setattr(tc, "HOT_SHARE", share)
+        cache = scratch(spark, "hot_cache")
+        got = tc.count_tokens(docs, path, cache).collect()
+        assert sorted((r.doc_id or -1, r.n_bytes, r.n_tokens) for r in got) == want
+        stored = tc.cached(spark, cache)
+        assert stored.select("content").distinct().count() == len({t for _, t in rows})
+        assert stored.count() <= len({t for _, t in rows}) + 8  # a hot content at most once a task more

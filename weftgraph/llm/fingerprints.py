@@ -32,6 +32,8 @@ SLOTS = 128
 RUN_ROWS, MOST_RUNS = 500, 65_536
 #: Ids a run that the bounds are read from.
 SAMPLED = 20
+#: Characters of a text that bound a run of rows which share their id.
+HEAD = 32
 
 _ROOT = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_ROOT), -1, 1 << 64))
@@ -192,59 +194,107 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
     The next document is the one before in ascending ``doc_id``; after the last
     comes the first. Null ids come last, ties are ordered by text. Each run of
-    ids is one sorted task; its bounds are quantiles of the ids, so runs are
-    about equal however the ids lie. The document that the next run starts with
-    is sent along with it, so no task sees more than its run.
+    the order is one sorted task; its bounds are quantiles of the ids, so runs are
+    about equal however the ids lie. An id (null too) that more rows share than
+    two runs hold is bounded by the heads of its texts besides, and repeated rows
+    of an Arrow batch go as one row with a count, so such an id is no task of its
+    own. The document that the next run starts with is sent along with a run, so
+    no task sees more than its run.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n = docs.select(F.count(F.lit(1))).first()[0]
     runs = max(1, min(MOST_RUNS, n // RUN_ROWS))
-    # Ids of some hashes tell where runs end. That decides which rows meet in a task, not what comes out.
-    sampled = docs.select("doc_id").where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // (SAMPLED * runs)))) == 0)).distinct()
-    ids = np.sort(np.asarray(sampled.toArrow().column("doc_id").combine_chunks(), np.int64)) if runs > 1 else np.zeros(0, np.int64)
-    ends = np.unique(ids[(np.arange(1, runs) * len(ids)) // runs]) if len(ids) else ids
+    bounds = _bounds(docs, n, runs) if runs > 1 else []
+    shared = any(head for *_, head in bounds)
     width = shuffle_partitions(spark)
-    named = block_ids((len(ends) + 2) // width + 1, width)  # runs are dealt evenly
-    known = spark.sparkContext.broadcast((ends, named))
+    named = block_ids((len(bounds) + 1) // width + 1, width)  # runs are dealt evenly
+    known = spark.sparkContext.broadcast((bounds, named))
 
     @F.arrow_udf("int")
-    def run_of(ids: pa.Array) -> pa.Array:
-        """The first run has the largest ids; null ids are a run of their own after all."""
-        ends, named = known.value
-        at = len(ends) - np.searchsorted(ends, np.asarray(ids.fill_null(0), np.int64), side="left")
-        return pa.array(named[np.where(np.asarray(ids.is_null()), len(ends) + 1, at)], pa.int32())
+    def run_of(ids: pa.Array, heads: pa.Array) -> pa.Array:
+        bounds, named = known.value
+        at = [bisect.bisect_right(bounds, _place(i, h)) for i, h in zip(ids.to_pylist(), heads.to_pylist(), strict=True)]
+        return pa.array(named[np.asarray(at, np.int64)], pa.int32())
 
-    rows = docs.withColumn("run", run_of("doc_id"))
+    head = F.substring("text", 1, HEAD) if shared else F.lit("")
+    rows = docs.withColumn("head", head).withColumn("run", run_of("doc_id", "head"))
     place = {int(x): i for i, x in enumerate(named)}
-    heads = sorted(rows.groupBy("run").agg(F.max("doc_id").alias("doc_id")).collect(), key=lambda r: place[r["run"]])
-    after = [(heads[i - 1]["run"], h["doc_id"]) for i, h in enumerate(heads)]  # the run before needs this head
-    sent = spark.createDataFrame(after, "run int, head long")
-    heads_rows = docs.join(F.broadcast(sent), docs["doc_id"].eqNullSafe(sent["head"])).select("doc_id", "text", "run", F.lit(1).alias("late"))
-    rows = rows.select("doc_id", "text", "run", F.lit(0).alias("late")).unionByName(heads_rows)
+    first = F.min(F.struct(F.isnull("doc_id").alias("none"), F.bitwise_not(F.coalesce("doc_id", F.lit(0))).alias("turn"), "head")).alias("at")
+    heads = sorted(rows.groupBy("run").agg(first).collect(), key=lambda r: place[r["run"]])
+    after = [(heads[i - 1]["run"], None if h["at"]["none"] else ~h["at"]["turn"], h["at"]["head"]) for i, h in enumerate(heads)]  # the run before needs this head
+    sent = F.broadcast(spark.createDataFrame(after, "run int, id long, start string"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("head") == F.col("start"))
+    late = docs.withColumn("head", head).join(sent, same).groupBy("run", "doc_id").agg(F.min("text").alias("text"))
+    rows = rows.select("doc_id", "text", "run", F.lit(0).alias("late"), F.lit(1).cast("long").alias("times"))
+    if shared:
+        rows = rows.mapInArrow(_folded, rows.schema)
+    rows = rows.unionByName(late.select("doc_id", "text", "run", F.lit(1).alias("late"), F.lit(1).cast("long").alias("times")))
     rows = rows.repartition("run").sortWithinPartitions("run", "late", F.col("doc_id").desc_nulls_last(), "text")
-    return rows.mapInArrow(
+    found = rows.mapInArrow(
         _compare,
-        "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
+        "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, times long",
     )
+    return found.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("times")
+
+
+def _place(doc_id: int | None, head: str) -> tuple[bool, int, str]:
+    """Where a row stands: larger ids first, null ids last, then by text."""
+    return doc_id is None, 0 if doc_id is None else ~doc_id, head
+
+
+def _bounds(docs: DataFrame, n: int, runs: int) -> list[tuple[bool, int, str]]:
+    """Places that runs start with; they decide which rows meet in a task, not what comes out."""
+    # Ids of some hashes tell where runs end, all ids are counted to find those that many rows share.
+    every = n // (SAMPLED * runs)
+    sampled = docs.select("doc_id").where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(max(1, every))) == 0)).distinct()
+    ids = np.sort(np.asarray(sampled.toArrow().column("doc_id").combine_chunks(), np.int64))
+    out = {(True, 0, "")} | {_place(int(i), "") for i in ids[(np.arange(1, runs) * len(ids)) // runs]} if len(ids) else {(True, 0, "")}
+    shared = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * runs > 2 * n)  # fewer than runs / 2 of them
+    sizes = {r.doc_id: r.n for r in shared.collect()}
+    if sizes:
+        few = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in sizes], "id long"))
+        heads = docs.join(few, F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", F.substring("text", 1, HEAD).alias("head"))
+        heads = heads.where(F.pmod(F.xxhash64("head"), F.lit(max(1, 4 * every))) == 0).distinct()
+        by: dict[int | None, list[str]] = {i: [] for i in sizes}
+        for i, h in heads.collect():
+            by[i].append(h)
+        for i, many in by.items():
+            many.sort()
+            cuts = sizes[i] * runs // n
+            out |= {_place(i, "")} | {_place(i, many[k * len(many) // cuts]) for k in range(1, cuts) if many}
+    return sorted(out)
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Equal rows of a batch as one, with their number in ``times``."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            yield from pa.Table.from_batches([part]).group_by(["doc_id", "text", "run", "late"]).aggregate([("times", "sum")]).rename_columns(part.schema.names).to_batches()
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+_OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("times", pa.int64())])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    waiting: tuple[int | None, Parsed] | None = None
+    waiting: tuple[int | None, Parsed, int] | None = None
+
+    def met(doc_id: int | None, own: Parsed, other: Parsed, times: int) -> tuple:
+        edited, short = own.edited(other.text)
+        return (doc_id, len(own.text), sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), own.short.tobytes().hex(), short.tobytes().hex(), _alike(own.short, short), _alike(own.short, other.short), times)
+
     for batch in batches:
         for part in slices(batch, "text"):
             out: list[tuple] = []
-            for doc_id, text, late in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "late")), strict=True):
+            for doc_id, text, late, times in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "late", "times")), strict=True):
                 if late and waiting is None:
                     continue  # ties of the head: the first served
-                parsed = Parsed(text)
+                parsed = waiting[1] if waiting is not None and waiting[1].text == text else Parsed(text)
                 if waiting is not None:
-                    own_id, own = waiting
-                    edited, short = own.edited(text)
-                    out.append((own_id, len(own.text), sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), own.short.tobytes().hex(), short.tobytes().hex(), _alike(own.short, short), _alike(own.short, parsed.short)))
-                waiting = None if late else (doc_id, parsed)
+                    own_id, own, copies = waiting
+                    if copies > 1:  # all but the last are followed by themselves
+                        out.append(met(own_id, own, own, copies - 1))
+                    out.append(met(own_id, own, parsed, 1))
+                waiting = None if late else (doc_id, parsed, times)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _OUT, strict=True)], schema=_OUT)

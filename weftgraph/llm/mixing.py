@@ -6,9 +6,9 @@ one random offset of the source, crosses integers, and a document is emitted
 once for each integer that it crosses.
 
 The order is by size (words), then by a seeded hash: neighbours are alike in
-size. The words taken then miss the target by less than the largest document,
-which is much in a source of few documents; so of ``OFFSETS`` seeded offsets a
-source takes the one whose words come nearest to its target.
+size, and the words taken miss the target by less than the largest document.
+The offset is one seeded draw, taken whatever comes out, so a document's mean
+copies over seeds are its expected copies.
 
 Prefix sums come from counts: documents are ranked inside small cells of
 (source, size, hash range), and cells are summed by source, so no task sees a
@@ -35,12 +35,10 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST_TIMES = 3.0
 #: Documents of one source and one size that are ranked in one task.
 CELL_ROWS = 20_000
-#: Random offsets of a source, of which it takes the best.
-OFFSETS = 24
 _LOW = (1 << 33) - 1
 
 
-def sized(docs: DataFrame, *own: str) -> DataFrame:
+def sized(docs: DataFrame, *own: str | Column) -> DataFrame:
     return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *own)
 
 
@@ -83,14 +81,9 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most_times: fl
     return by.select("source", "source_size", "docs", target.cast("double").alias("target"))
 
 
-def _crossed(offset: Column) -> Column:
-    rate = F.col("rate")
-    return F.floor(F.col("position") * rate + offset) - F.floor((F.col("position") - 1) * rate + offset)
-
-
 def copies(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most_times: float = MOST_TIMES, seed: int = 17, own: Sequence[str] = ()) -> DataFrame:
     """``doc_id``, ``source``, ``size``, ``source_size``, ``target`` and ``copies`` of every row, and its columns ``own``, which break ties."""
-    rows = sized(docs, *own).withColumn("draw", F.xxhash64(F.lit(seed), "doc_id"))
+    rows = sized(docs, F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw"), *own)
     rows = stored(rows, "sizes")  # narrow; read three times
     goals = targets(rows, weights, most_times)
     counts = rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
@@ -106,18 +99,14 @@ def copies(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most_times: floa
     ranked = dealt.withColumn("rank", F.row_number().over(inside))
     placed = ranked.alias("r").join(starts.alias("s"), same_cell()).select("r.*", (F.col("s.start") + F.col("r.rank")).alias("position"))
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most_times)))).otherwise(F.lit(0.0))
-    # Offset k of a source: a seeded hash as a fraction, moved on by k / OFFSETS.
-    first = F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), F.coalesce("source", F.lit("")), F.isnull("source")), 33).cast("double") / float(1 << 31)
-    goals = goals.withColumn("rate", rate).withColumn("offset", first)
-    joined = placed.alias("p").join(goals.alias("g"), F.col("p.source").eqNullSafe(F.col("g.source"))).select("p.*", "g.source_size", "g.target", "g.rate", "g.offset")
-    joined = stored(joined, "placed")
-    each = [F.sum(_crossed(F.pmod(F.col("offset") + k / OFFSETS, F.lit(1.0))) * F.col("size")).alias(f"t{k}") for k in range(OFFSETS)]
-    sums = joined.groupBy("source").agg(F.first("target").alias("goal"), F.first("offset").alias("o"), *each)
-    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("goal")).alias("off"), F.pmod(F.col("o") + k / OFFSETS, F.lit(1.0)).alias("offset")) for k in range(OFFSETS)]))
-    chosen = sums.select("source", best["offset"].alias("offset"))
-    met = joined.drop("offset").alias("p").join(chosen.alias("g"), F.col("p.source").eqNullSafe(F.col("g.source")))
-    taken = F.least(_crossed(F.col("g.offset")), F.lit(int(most_times))).cast("long")
-    return met.select("p.doc_id", "p.source", "p.size", "p.source_size", "p.target", taken.alias("copies"), *(f"p.{c}" for c in own))
+    # One offset a source: a seeded hash as a fraction.
+    offset = F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), F.coalesce("source", F.lit("")), F.isnull("source")), 33).cast("double") / float(1 << 31)
+    goals = goals.withColumn("rate", rate).withColumn("offset", offset)
+    met = placed.alias("p").join(goals.alias("g"), F.col("p.source").eqNullSafe(F.col("g.source")))
+    rate, offset, position = F.col("g.rate"), F.col("g.offset"), F.col("p.position")
+    crossed = F.floor(position * rate + offset) - F.floor((position - 1) * rate + offset)
+    taken = F.least(crossed, F.lit(int(most_times))).cast("long")
+    return met.select("p.doc_id", "p.source", "p.size", "g.source_size", "g.target", taken.alias("copies"), *(f"p.{c}" for c in own))
 
 
 def same_cell():

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import library, plain, words_of
-from .common import hot_join, local, scratch, ship, slices, spread, stored, texts
+from .common import FEW, HOT_SHARE, hot_join, local, scratch, ship, slices, stored, texts
 
 CACHE = "content binary, version string, n_tokens long"
 #: Distinct words whose counts a task remembers; beyond that it starts anew.
@@ -91,17 +91,27 @@ def count_tokens(docs: DataFrame, path: str, cache: str) -> DataFrame:
     misses = contents.join(known, "content", "left_anti")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(shipped)
+        count, last = counter(shipped), set()
         for batch in batches:
             for part in slices(batch, "text"):
-                many = texts(part.column("text"))
-                content = pa.array([sha256(t.encode("utf-8", "surrogatepass")).digest() for t in many], pa.binary())
+                # Rows that share id and content come together or lie in one file: encoded once a slice and not again in the next.
+                found = {sha256(t.encode("utf-8", "surrogatepass")).digest(): t for t in texts(part.column("text"))}
+                found, last = {c: t for c, t in found.items() if c not in last}, set(found)
+                many, content = list(found.values()), pa.array(list(found), pa.binary())
                 yield pa.RecordBatch.from_arrays([content, pa.array([version] * len(many), pa.string()), pa.array(count(many), pa.int64())], names=["content", "version", "n_tokens"])
 
-    # Texts go by doc_id, which no copy shares, to the side that holds the chosen ids.
-    wanted = misses.select(F.col("doc_id").alias("of"), F.col("content").alias("wanted"))
-    source = spread(docs).select("doc_id", text.alias("text"))
-    chosen = source.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("of")), "left_semi").select("text")
+    # Texts go by id and digest to the side that holds the chosen rows; a hot content is found by a broadcast, where its rows lie.
+    wanted = misses.select(F.col("doc_id").alias("of"), F.col("content").alias("wanted"), "n")
+    total = contents.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * HOT_SHARE > total
+    source = docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("content"))
+    same = (F.col("content") == F.col("wanted")) & F.col("doc_id").eqNullSafe(F.col("of"))
+    if total <= FEW:
+        chosen = source.join(wanted.hint("shuffle_hash"), same, "left_semi").select("text")
+    else:
+        found = source.join(F.broadcast(wanted.where(hot)), same, "left_semi")
+        cold = source.join(F.broadcast(contents.where(hot).select("content")), "content", "left_anti")
+        chosen = found.unionByName(cold.join(wanted.where(~hot).hint("shuffle_hash"), same, "left_semi")).select("text")
     chosen.mapInArrow(encode, CACHE).write.mode("append").option("compression", "zstd").parquet(cache)
     counts = cached(spark, cache).where(F.col("version") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
     lookup = stored(contents.select("content", "n").join(counts, "content"), "counts")
