@@ -91,7 +91,7 @@ def merged_seeds(t: Tables, terms: Sequence[str], query: list[float] | None, see
     else:
         near = named.sparkSession.createDataFrame([], "chunk_id string, rank int, vector_score double")
     fused = hybrid.fuse(named, near)
-    return _numbered(fused, F.desc("merge_score"), F.desc("vector_score"), F.desc("has_graph"), F.desc("chunk_id"))
+    return _numbered(fused, *hybrid.best_first())
 
 
 def retrieve(t: Tables, terms: Sequence[str], query: list[float] | None, hops: int = 2, limit: int = 50, seed_limit: int = 8, top_k: int = 6) -> Retrieved:

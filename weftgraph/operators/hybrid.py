@@ -26,8 +26,9 @@ def fuse(graph: DataFrame, vector: DataFrame, k: int = 60, bonus: float = 0.15)
     return both.select("chunk_id", "has_graph", F.coalesce("vector_score", F.lit(0.0)).alias("vector_score"), F.coalesce("vector_norm", F.lit(0.0)).alias("vector_norm"), "rrf_norm", "merge_score")
 
 
-def in_order(fused: DataFrame) -> DataFrame:
-    return fused.orderBy(F.desc("merge_score"), F.desc("vector_score"), F.desc("has_graph"), F.desc("chunk_id"))
+def best_first() -> tuple[Column, ...]:
+    """The order of fused rows; it is total."""
+    return F.desc("merge_score"), F.desc("vector_score"), F.desc("has_graph"), F.desc("chunk_id")
 
 
 def rerank(rows: DataFrame, terms: list[str], seed_limit: int = 16, neighbour_limit: int = 24) -> DataFrame:

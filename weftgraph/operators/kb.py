@@ -116,3 +116,20 @@ def by_topic(documents: DataFrame, chunks: DataFrame, tags: DataFrame, topic: st
     tagged = tags.where(F.contains(F.lower("tag"), part)).join(chunks.select("chunk_id", "doc_id"), "chunk_id").select("doc_id").distinct().withColumn("tagged", F.lit(True))
     own = F.contains(F.lower("title"), part) | F.contains(F.lower("text"), part)
     return documents.join(tagged, "doc_id", "left").where(F.coalesce("tagged", F.lit(False)) | F.coalesce(own, F.lit(False))).orderBy("title", "doc_id").limit(max(1, limit)).select("doc_id", "title")
+
+
+def topic_matches(documents: DataFrame, chunks: DataFrame, tags: DataFrame, topic: str) -> DataFrame:
+    """Every document with its chunks and how many (chunk, tag) pairs the topic matches, by title, chunk text or tag.
+
+    The topic is a predicate of the outer join: it narrows the tags that are met,
+    not the documents, so those without a match are listed with 0. Texts are
+    looked at where they are scanned; only the outcome is shuffled.
+    """
+    part = F.lit(topic.strip().lower())
+    has = lambda c: F.coalesce(F.contains(F.lower(c), part), F.lit(False))
+    own = documents.select("doc_id", "title", has("title").alias("by_title")).alias("d")
+    held = chunks.select("doc_id", "chunk_id", has("text").alias("by_text")).alias("c")
+    tagged = tags.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("tags"), F.count_if(has("tag")).alias("named")).alias("t")
+    met = own.join(held, F.col("d.doc_id") == F.col("c.doc_id"), "left").join(tagged, F.col("c.chunk_id") == F.col("t.chunk_id"), "left")
+    pairs = F.when(F.col("by_title") | F.col("by_text"), F.col("tags")).otherwise(F.col("named"))
+    return met.groupBy("d.doc_id", "d.title").agg(F.count_distinct("c.chunk_id").alias("n_chunks"), F.coalesce(F.sum(pairs), F.lit(0)).alias("n_matches"))

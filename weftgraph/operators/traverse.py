@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import cut
@@ -119,7 +119,8 @@ def as_records(nodes: DataFrame, edges: DataFrame, *own: str) -> tuple[DataFrame
     return made, edges.select(F.concat_ws("|", "src", "type", "dst").alias("id"), "type", F.col("src").alias("start"), F.col("dst").alias("end"), F.create_map().cast("map<string,string>").alias("props")).dropDuplicates(["id"])
 
 
-def first_of_each(rows: DataFrame, key: str, *order) -> DataFrame:
-    """The first row of each key; null keys go."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return rows.where(F.col(key).isNotNull()).withColumn("_place", place).where("_place = 1").drop("_place")
+def first_of_each(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """The first row of each key, ties by the other columns; null keys go. Rows meet after each task kept its first, so a hub is no task."""
+    others = [c for c in rows.columns if c != key and c not in order]
+    least = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*order, *others)).alias("_first"))
+    return least.select(*(F.col(c) if c == key else F.col(f"_first.{c}").alias(c) for c in rows.columns))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..buckets import BucketTable
 from ..functions import text as tx
 from ..functions.vectors import cosine
-from ..operators import batch, hybrid, kb, paths, phrases, resolve, search, text_index, vector_index, writes
+from ..operators import batch, hybrid, kb, paths, phrases, resolve, search, text_index, traverse, vector_index, writes
 from ..operators.answer import Tables
 from ..storage import shared_path
 from .fixture import GRAPH_SQL, SQL
@@ -282,3 +282,25 @@ def faq_parts(g):
     parts = g.faqs.select("faq_id", F.array("chunk_id").alias("chunk_ids"), tags.alias("tags"), named.alias("entities"))
     none = g.spark.createDataFrame([], "name string, type string, active boolean, created_at timestamp, updated_at timestamp")
     return writes.link_faq_parts(g.faqs, g.chunks, none.select("name"), none, g.edges.where("false"), parts, AS_OF)[2].select("src", "type", "dst")
+
+
+@query("SELECT d.doc_id, d.title, count(DISTINCT c.chunk_id) AS n_chunks, count(tg.tag) AS n_matches FROM (SELECT DISTINCT doc_id, title FROM d) d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN tg ON tg.chunk_id = c.chunk_id AND (contains(lower(d.title), 'thing') OR contains(lower(c.text), 'thing') OR contains(lower(tg.tag), 'thing')) GROUP BY 1, 2")
+def topic_matches(g):
+    """All documents; the topic only narrows the tags that the outer join meets."""
+    return kb.topic_matches(g.documents.select("doc_id", "title").distinct(), g.chunks, g.tags, "Thing")
+
+
+@query("SELECT src, type, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY type, dst) AS place FROM ae) WHERE place = 1", GRAPH_SQL)
+def first_edges(g):
+    """The first edge that leaves each node."""
+    return traverse.first_of_each(g.all_edges.select("src", "type", "dst"), "src", "type", "dst")
+
+
+_EARLIER = "(SELECT doc_id, count(DISTINCT keyword) AS common_keywords FROM kw WHERE length(keyword) >= 10 AND doc_id <> 'doc_001' AND keyword IN (SELECT keyword FROM kw WHERE doc_id = 'doc_001') GROUP BY doc_id)"
+
+
+@query(f"SELECT doc_id, title, CAST(10 * common_keywords + coalesce(shared, 0) AS BIGINT) AS relevance FROM {_EARLIER} LEFT JOIN (SELECT doc_id, count(DISTINCT keyword) AS shared FROM kw WHERE keyword IN (SELECT keyword FROM kw WHERE doc_id = 'doc_001') GROUP BY doc_id) USING (doc_id) JOIN d USING (doc_id) ORDER BY relevance DESC, title, doc_id LIMIT 10")
+def related_by_earlier_edges(g):
+    """Neighbours by stored edges, here those of an index of long keywords only, and by the keywords of now."""
+    edges = kb.edges_of(g.keywords.where(F.length("keyword") >= 10), "doc_001").select(F.lit("doc_001").alias("a"), F.col("doc_id").alias("b"), "common_keywords")
+    return kb.related(g.keywords, g.documents, "doc_001", edges=edges)
