@@ -32,7 +32,7 @@ def test_clean_documents_stay(spark):
 
 
 def test_names():
-    assert [n.split("_")[0] for n in queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries()] == [f"op{i}" for i in range(1, 14)]
 
 
 def test_stages_on_awkward_rows(spark, docs, nothing, tmp_path):
