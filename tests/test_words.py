@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftgraph import storage
+from weftgraph.functions.vectors import hash_embedding, hash_vectors
 from weftgraph.operators.words import Pick, top_words
 
 PICKS = [Pick(3, least=2, stop=frozenset(["sea"])), Pick(2, longest=True, least=4)]
@@ -41,3 +42,21 @@ def test_words_of_lone_keys_are_not_shuffled(spark):
     df = spark.createDataFrame([(i, "port and harbour") for i in range(20)], "id long, text string")
     plan = top_words(df, "id", "text", PICKS)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "MapInArrow" in plan
+
+
+def test_embeddings_by_row(spark):
+    """Nothing of lone keys is shuffled; the dense form is the sparse one, also of keys that come again or are null."""
+    lone = spark.createDataFrame([(i, "port and harbour " * i) for i in range(20)], "id long, text string")
+    for made in (hash_embedding(lone, "id", "text"), hash_vectors(lone, "id", "text")):
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    rows = [(1, "Sea port"), (1, "sea"), (2, None), (2, ""), (3, "über x_1 x_1"), (4, None), (None, "a b"), (None, "b c")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    sparse = {}
+    for r in hash_embedding(df, "id", "text", 32).collect():
+        assert (r.id, r.dim) not in sparse
+        sparse[r.id, r.dim] = r.weight
+    vectors = {r.id: r.vec for r in hash_vectors(df, "id", "text", 32).collect()}
+    assert set(vectors) == {1, 2, 3, 4, None} == {k for k, _ in sparse}
+    for k, v in vectors.items():
+        assert v == pytest.approx([sparse.get((k, d), 0.0) for d in range(32)])
+    assert [d for k, d in sparse if k in (2, 4)] == [0, 0]

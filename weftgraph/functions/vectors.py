@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import lone_and_shared
 from .text import tokens
 
 
@@ -21,28 +27,105 @@ def euclidean(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda acc, x: acc + x))
 
 
-def _mod(hex_digits: Column, n: int) -> Column:
-    """A long hexadecimal number modulo n, digit by digit."""
-    digits = F.transform(F.sequence(F.lit(1), F.length(hex_digits)), lambda i: F.conv(F.substring(hex_digits, i, F.lit(1)), 16, 10).cast("long"))
-    return F.aggregate(digits, F.lit(0).cast("long"), lambda acc, d: (acc * 16 + d) % n)
+#: Tokens whose digests a task keeps.
+MOST_FOLDED = 500_000
+
+
+class _Folds:
+    """Dimension and signed weight of a token, by its digest; digests are folded once a task."""
+
+    def __init__(self, dims: int):
+        self.dims, self.known = dims, {}
+
+    def __call__(self, token: str) -> tuple[int, float]:
+        found = self.known.get(token)
+        if found is None:
+            h = int.from_bytes(hashlib.sha1(token.encode()).digest(), "big")
+            found = h % self.dims, (1.0 if h % 4 >= 2 else -1.0) * (1 + h % 997 / 9970.0)
+            if len(self.known) >= MOST_FOLDED:
+                self.known.clear()
+            self.known[token] = found
+        return found
+
+
+def _sums(joined: str | None, fold: _Folds) -> tuple[np.ndarray, np.ndarray]:
+    """Dimensions that a text's tokens fall on, in order, and the sums of their weights."""
+    counts = Counter(joined.split(" ")) if joined else {}
+    folded = [fold(t) for t in counts]
+    at = np.array([d for d, _ in folded], np.int64)
+    w = np.bincount(at, np.array([e for _, e in folded]) * np.fromiter(counts.values(), float, len(counts)), fold.dims) if folded else np.zeros(fold.dims)
+    on = np.unique(at)
+    return on, w[on]
+
+
+def _tokens_of(df: DataFrame, key: str, text: str) -> DataFrame:
+    # Tokens have no spaces, so one string carries them.
+    return df.select(key, F.array_join(tokens(F.col(text)), " ").alias("words"))
+
+
+def _sparse(rows: DataFrame, key: str, dims: int, norm: bool) -> DataFrame:
+    """Key, ``dim`` and weight by row; a text without a token has one row of weight 0 where ``norm`` is asked for, else none."""
+    name = "weight" if norm else "w"
+
+    def run(batches):
+        fold = _Folds(dims)
+        for batch in batches:
+            at, dim, weights = [], [], []
+            for i, joined in enumerate(batch.column("words").to_pylist()):
+                on, w = _sums(joined, fold)
+                if norm:
+                    length = np.sqrt(w @ w)
+                    on, w = (on, w / length if length > 0 else np.zeros(len(w))) if len(on) else (np.zeros(1, np.int64), np.zeros(1))
+                at.append(np.full(len(on), i))
+                dim.append(on)
+                weights.append(w)
+            each = [pa.array(np.concatenate(x) if x else np.zeros(0, t)).cast(k) for x, t, k in ((at, np.int64, pa.int64()), (dim, np.int64, pa.int64()), (weights, float, pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(each[0]), each[1], each[2]], names=[key, "dim", name])
+
+    return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, dim bigint, {name} double")
+
+
+def _summed(shared: DataFrame, key: str, dims: int) -> DataFrame:
+    """Weights of keys that several rows have: these add up."""
+    sums = _sparse(shared, key, dims, norm=False).groupBy(key, "dim").agg(F.sum("w").alias("w"))
+    norms = sums.groupBy(F.col(key).alias("_key")).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    made = sums.join(norms, F.col(key).eqNullSafe(F.col("_key"))).select(key, "dim", F.when(F.col("norm") > 0, F.col("w") / F.col("norm")).otherwise(F.lit(0.0)).alias("weight"))
+    none = shared.groupBy(key).agg(F.max(F.coalesce("words", F.lit(""))).alias("most")).where("most = ''")
+    return made.unionByName(none.select(key, F.lit(0).cast("long").alias("dim"), F.lit(0.0).alias("weight")))
 
 
 def hash_embedding(df: DataFrame, key: str, text: str, dims: int = 384) -> DataFrame:
     """Signed hashed token weights by dimension: ``key``, ``dim``, ``weight``, of unit length.
 
-    Digests are folded once a distinct token. A text without a token is the zero
-    vector: one row of ``dim`` 0 and weight 0. Rows that share a key add up.
+    A text's tokens are counted and summed where it is read. A text without a token
+    is the zero vector: one row of ``dim`` 0 and weight 0. Rows that share a key
+    add up; only these are shuffled.
     """
     dims = max(16, dims)
-    parts = df.select(key, F.explode(tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
-    digest = F.sha1(F.col("token").cast("binary"))
-    sign = F.when(_mod(digest, 4) >= 2, 1.0).otherwise(-1.0)
-    folded = parts.select("token").distinct().select("token", _mod(digest, dims).alias("dim"), (sign * (1 + _mod(digest, 997) / 9970.0)).alias("each"))
-    sums = parts.join(folded, "token").groupBy(key, "dim").agg(F.sum(F.col("each") * F.col("n")).alias("w"))
-    norms = sums.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    made = sums.join(norms, key).select(key, "dim", F.when(F.col("norm") > 0, F.col("w") / F.col("norm")).otherwise(F.lit(0.0)).alias("weight"))
-    none = df.groupBy(key).agg(F.max(F.size(tokens(F.col(text)))).alias("n")).where("n is null or n <= 0")
-    return made.unionByName(none.select(key, F.lit(0).cast("long").alias("dim"), F.lit(0.0).alias("weight")))
+    lone, shared = lone_and_shared(_tokens_of(df, key, text), key)
+    out = _sparse(lone, key, dims, norm=True)
+    return out if shared is None else out.unionByName(_summed(shared, key, dims))
+
+
+def hash_vectors(df: DataFrame, key: str, text: str, dims: int = 384) -> DataFrame:
+    """``key`` and ``vec``: ``hash_embedding`` as one array for each key."""
+    dims = max(16, dims)
+    lone, shared = lone_and_shared(_tokens_of(df, key, text), key)
+
+    def run(batches):
+        fold = _Folds(dims)
+        for batch in batches:
+            out = np.zeros((batch.num_rows, dims))
+            for row, joined in zip(out, batch.column("words").to_pylist(), strict=True):
+                on, w = _sums(joined, fold)
+                length = np.sqrt(w @ w)
+                if length > 0:
+                    row[on] = w / length
+            offsets = pa.array(np.arange(batch.num_rows + 1) * dims, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))], names=[key, "vec"])
+
+    made = lone.mapInArrow(run, f"{key} {lone.schema[key].dataType.simpleString()}, vec array<double>")
+    return made if shared is None else made.unionByName(dense(_summed(shared, key, dims), key, dims))
 
 
 def dense(weights: DataFrame, key: str, dims: int) -> DataFrame:

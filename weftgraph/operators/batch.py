@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import query_terms
-from ..functions.vectors import dense, hash_embedding
+from ..functions.vectors import hash_vectors
 from ..storage import cut, stored
 from . import vector_index
 from .answer import Tables
@@ -57,7 +57,7 @@ def named_seeds(t: Tables, terms: DataFrame, limit: int) -> DataFrame:
 
 def vector_seeds(t: Tables, questions: DataFrame, dims: int, top_k: int, index: vector_index.VectorIndex | None = None, probes: int = 8) -> DataFrame:
     """``qid``, ``chunk_id``, ``rank``, ``vector_score``; inactive chunks go afterwards. With an index only its nearest cells are read."""
-    embedded = dense(hash_embedding(questions, "qid", "text", dims), "qid", dims)
+    embedded = hash_vectors(questions, "qid", "text", dims)
     if index is None:
         near = vector_index.nearest_each(embedded, "qid", "vec", t.vectors, "chunk_id", "embedding", dims, top_k)
     else:

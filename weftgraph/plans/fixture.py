@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import QUERY_STOPWORDS, windows
-from ..functions.vectors import dense, hash_embedding
+from ..functions.vectors import hash_vectors
 from ..operators import batch, text_index, vector_index
 from ..operators.words import Pick, top_words
 from ..operators.writes import entity_id
@@ -116,7 +116,7 @@ class Graph:
     @kept
     def text_vectors(self) -> DataFrame:
         """The hashed embedding of each distinct text, without those of no token."""
-        made = dense(hash_embedding(self.texts, "chunk_id", "text"), "chunk_id", 384)
+        made = hash_vectors(self.texts, "chunk_id", "text", 384)
         return made.where(F.exists("vec", lambda x: x != 0)).select("chunk_id", F.transform("vec", lambda x: F.round(x, 9)).alias("embedding"))
 
     @kept
