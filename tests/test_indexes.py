@@ -153,3 +153,26 @@ def test_batch_expansion_is_the_single_one(spark, graph):
         for q, own in list(seeds.items())[:3]:
             alone = traverse.subgraph(graph.edges, graph.nodes, spark.createDataFrame([(i,) for i in own], "id string"), hops, limit)[0]
             assert found[q] == {(r.id, r.label, r.depth) for r in alone.collect()}
+
+
+def test_postings_of_blocks(monkeypatch):
+    values = ["harbour", "ab", "", "bourbon", "über 𝔸𝔹ℂ", "aaaa"]
+    grams, ends, steps = text_index.postings(values)
+    found, start = {}, 0
+    for g, end in zip(grams, ends, strict=True):
+        found[g] = steps[start:end].astype(int).cumsum().tolist()
+        start = end
+    assert found == {g: [i for i, v in enumerate(values) if g in v] for v in values for g in text_index.grams_of(v)}
+    assert [len(x) for x in text_index.postings(["", "ab"])] == [0, 0, 0] and text_index.postings([""])[0] == []
+    monkeypatch.setattr(text_index, "MOST_LETTERS", 10)
+    cut = list(text_index._blocks(values))
+    assert [v for at, part in cut for v in part] == values and [at for at, _ in cut] == sorted({at for at, _ in cut})
+    assert all(len(part) == 1 or sum(map(len, part)) <= 10 for _, part in cut)
+
+
+def test_index_is_built_without_a_shuffle(spark, graph, tmp_path, monkeypatch):
+    """No row for a gram and a value goes through a shuffle."""
+    seen = []
+    monkeypatch.setattr("pyspark.sql.readwriter.DataFrameWriter.parquet", lambda self, path: seen.append(self._df))
+    text_index.build(graph.chunks, "chunk_id", "text", f"file://{tmp_path}")
+    assert "Exchange" not in seen[0]._jdf.queryExecution().executedPlan().toString()
