@@ -176,3 +176,16 @@ def test_index_is_built_without_a_shuffle(spark, graph, tmp_path, monkeypatch):
     monkeypatch.setattr("pyspark.sql.readwriter.DataFrameWriter.parquet", lambda self, path: seen.append(self._df))
     text_index.build(graph.chunks, "chunk_id", "text", f"file://{tmp_path}")
     assert "Exchange" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_similar_pairs_by_few_axes_and_small_tiles(spark, monkeypatch):
+    """Projections that leave much out, and blocks and tiles of few rows, lose no pair; a row is shuffled once a block."""
+    for name, value in {"AXES": 2, "TILE": 16, "PAIR_ROWS": 90, "PAIR_BLOCKS": 2, "ROWS_EACH": 200}.items():
+        monkeypatch.setattr(vi, name, value)
+    rows = points(5, 250)
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    found = vi.similar_pairs(df, "id", "v", 6, 0.9)
+    got = {(r.src, r.dst): r.score for r in found.collect()}
+    want = {(a, b): cos(v, w) for a, v in rows for b, w in rows if a < b and cos(v, w) >= 0.9}
+    assert set(got) == set(want) and all(isclose(got[k], want[k], abs_tol=1e-9) for k in want)
+    assert "explode(sequence(0, 2" in found._jdf.queryExecution().toString()

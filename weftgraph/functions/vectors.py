@@ -107,8 +107,8 @@ def hash_embedding(df: DataFrame, key: str, text: str, dims: int = 384) -> DataF
     return out if shared is None else out.unionByName(_summed(shared, key, dims))
 
 
-def hash_vectors(df: DataFrame, key: str, text: str, dims: int = 384) -> DataFrame:
-    """``key`` and ``vec``: ``hash_embedding`` as one array for each key."""
+def hash_vectors(df: DataFrame, key: str, text: str, dims: int = 384, digits: int | None = None) -> DataFrame:
+    """``key`` and ``vec``: ``hash_embedding`` as one array for each key, rounded to ``digits``."""
     dims = max(16, dims)
     lone, shared = lone_and_shared(_tokens_of(df, key, text), key)
 
@@ -121,11 +121,15 @@ def hash_vectors(df: DataFrame, key: str, text: str, dims: int = 384) -> DataFra
                 length = np.sqrt(w @ w)
                 if length > 0:
                     row[on] = w / length
+            out = out if digits is None else np.round(out, digits)
             offsets = pa.array(np.arange(batch.num_rows + 1) * dims, pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))], names=[key, "vec"])
 
     made = lone.mapInArrow(run, f"{key} {lone.schema[key].dataType.simpleString()}, vec array<double>")
-    return made if shared is None else made.unionByName(dense(_summed(shared, key, dims), key, dims))
+    if shared is None:
+        return made
+    summed = dense(_summed(shared, key, dims), key, dims)
+    return made.unionByName(summed if digits is None else summed.select(key, F.transform("vec", lambda x: F.round(x, digits)).alias("vec")))
 
 
 def dense(weights: DataFrame, key: str, dims: int) -> DataFrame:

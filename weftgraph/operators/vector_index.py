@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +45,8 @@ MOST_CELLS = 4096
 SUB, WORDS = 4, 256
 #: Rows and queries of a block.
 ROWS_EACH, QUERIES_EACH = 20_000, 1_000
+#: Pairs: blocks of a table, rows of a block at most, rows of a tile, and axes of the projections.
+PAIR_BLOCKS, PAIR_ROWS, TILE, AXES = 8, 200_000, 2048, 96
 #: Candidates by code for each wanted neighbour.
 RERANK = 8
 #: Up to so many candidates are broadcast to pick out their vectors; more are joined by a shuffle.
@@ -361,33 +364,8 @@ def _homes(held, dims: int, farthest: float):
     return run
 
 
-def _pairs(dims: int, least: float, farthest: float, key_type: pa.DataType):
-    """Pairs of a block: rows at home with rows at home of a smaller key, and with all guests; only where the distances to the centre allow it."""
-
-    def work(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        out: tuple[list, list, list] = ([], [], [])
-        if rows.num_rows and asked.num_rows:
-            rows, asked = rows.sort_by("far"), asked.sort_by("far")
-            keys, far, own = rows.column("key").to_pylist(), rows.column("far").to_numpy(), placed(matrix(rows.column("vec"), dims), "cosine")
-            others, at, home = asked.column("query").to_pylist(), asked.column("far").to_numpy(), asked.column("home").to_pylist()
-            wanted = placed(matrix(asked.column("vec"), dims), "cosine", query=True)
-            for a in range(0, len(others), 64):
-                b = min(a + 64, len(others))
-                low, high = np.searchsorted(far, at[a] - farthest - 1e-6), np.searchsorted(far, at[b - 1] + farthest + 1e-6, side="right")
-                found = wanted[a:b] @ own[low:high].T
-                for i, j in zip(*np.nonzero(found >= least - 1e-12), strict=True):
-                    x, y = others[a + i], keys[low + j]
-                    if x != y and (not home[a + i] or x < y):
-                        out[0].append(min(x, y))
-                        out[1].append(max(x, y))
-                        out[2].append(float(found[i, j]))
-        return pa.table([pa.array(out[0], key_type), pa.array(out[1], key_type), pa.array(out[2], pa.float64())], names=["src", "dst", "score"])
-
-    return work
-
-
 def cell_plan(vectors: DataFrame, key: str, vector: str, dims: int, least: float, pivots: int | None = None, seed: int = 1) -> DataFrame:
-    """Rows by cell, at home or guests: (query, vec, cell, home, far); what ``similar_pairs`` compares."""
+    """Rows by cell, at home or guests: (query, vec, cell, home, far); all pairs of ``least`` or more meet in a cell."""
     spark = vectors.sparkSession
     rows = _usable(vectors, key, vector, dims, "query")
     picked = rows.orderBy(F.xxhash64(F.lit(seed), "query"), "query").limit(SAMPLE).select("vec").toArrow()
@@ -405,23 +383,123 @@ def cell_plan(vectors: DataFrame, key: str, vector: str, dims: int, least: float
     return rows.mapInArrow(_homes(spark.sparkContext.broadcast((centres, radii)), dims, farthest), schema)
 
 
+@dataclass(frozen=True)
+class _Axes:
+    """The axes along which a sample of unit vectors is longest, and pivots in that space."""
+
+    axes: np.ndarray
+    pivots: np.ndarray
+
+    def placed(self, units: np.ndarray) -> np.ndarray:
+        """Projections, with the length of what they leave out as one more axis: their dot product is no less than the vectors' own."""
+        at = units @ self.axes
+        rest = np.sqrt(np.maximum(1 - (at * at).sum(axis=1), 0))
+        return np.hstack([at, rest[:, None]]).astype(np.float32)
+
+
+def _axes_of(rows: DataFrame, dims: int, pivots: int | None, seed: int = 1) -> _Axes:
+    picked = rows.orderBy(F.xxhash64(F.lit(seed), "key"), "key").limit(SAMPLE).select("vec").toArrow()
+    sample = _units(matrix(picked.column("vec"), dims)) if picked.num_rows else np.zeros((0, dims))
+    axes = np.linalg.eigh(sample.T @ sample)[1][:, ::-1][:, :AXES]
+    at = _Axes(axes, np.zeros((0, 0))).placed(sample)
+    wanted = pivots or max(1, min(MOST_CELLS, int(len(sample) ** 0.5 / 3)))
+    picks = np.random.default_rng(seed).permutation(len(sample))[:wanted]
+    return _Axes(axes, at[picks] if len(sample) else np.zeros((1, axes.shape[1] + 1), np.float32))
+
+
+def _units(vectors: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(vectors, axis=1)
+    return vectors / np.where(norms > 0, norms, 1)[:, None]
+
+
+def _packed(dims: int):
+    """Unit vectors as the places and values of what isn't zero."""
+
+    def run(batches):
+        for batch in batches:
+            units = _units(matrix(batch.column("vec"), dims))
+            on = [np.flatnonzero(u) for u in units]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([p.astype("<u4").tobytes() for p in on], pa.binary()), pa.array([u[p].tobytes() for u, p in zip(units, on, strict=True)], pa.binary())], names=["key", "places", "parts"])
+
+    return run
+
+
+class _Side:
+    """A block's rows in the order of their pivots, in tiles with a centre and a radius."""
+
+    def __init__(self, rows: pa.Table, dims: int, held: _Axes):
+        self.dims = dims
+        self.places, self.parts = rows.column("places").combine_chunks(), rows.column("parts").combine_chunks()
+        at = np.vstack([held.placed(self.dense(np.arange(a, min(a + TILE, len(rows))))) for a in range(0, len(rows), TILE)])
+        near = np.concatenate([distances(at[a : a + TILE], held.pivots).argmin(axis=1) for a in range(0, len(rows), TILE)])
+        self.order = np.argsort(near, kind="stable")
+        self.at = at[self.order]
+        self.keys = rows.column("key").combine_chunks()
+        self.tiles = [(a, min(a + TILE, len(rows))) for a in range(0, len(rows), TILE)]
+        self.middles = np.stack([self.at[a:b].mean(axis=0, dtype=np.float64) for a, b in self.tiles])
+        self.radii = np.array([np.linalg.norm(self.at[a:b] - m, axis=1).max() for (a, b), m in zip(self.tiles, self.middles, strict=True)])
+
+    def dense(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), self.dims))
+        for row, i in zip(out, rows.tolist(), strict=True):
+            row[np.frombuffer(self.places[i].as_buffer(), "<u4")] = np.frombuffer(self.parts[i].as_buffer(), np.float64)
+        return out
+
+
+def _block_pairs(held, dims: int, least: float, farthest: float, key_type: pa.DataType):
+    """Pairs of two blocks (or within one): by the projections, then by the vectors."""
+
+    def work(rows: pa.Table) -> pa.Table:
+        cell = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        block = rows.column("block").to_numpy()
+        one = _Side(rows.filter(pa.array(block == cell[0])), dims, held.value) if (block == cell[0]).any() else None
+        other = one if cell[0] == cell[1] else _Side(rows.filter(pa.array(block == cell[1])), dims, held.value) if (block == cell[1]).any() else None
+        out: list[pa.Table] = []
+        if one is not None and other is not None:
+            apart = distances(one.middles, other.middles)
+            for x, y in zip(*np.nonzero(apart <= one.radii[:, None] + other.radii[None, :] + farthest + 1e-3), strict=True):
+                if one is other and y < x:
+                    continue
+                (a, b), (c, d) = one.tiles[x], other.tiles[y]
+                i, j = np.nonzero(one.at[a:b] @ other.at[c:d].T >= least - 1e-4)
+                if one is other and x == y:
+                    i, j = i[i < j], j[i < j]
+                for at in range(0, len(i), 20_000):
+                    p, q = one.order[a + i[at : at + 20_000]], other.order[c + j[at : at + 20_000]]
+                    (some, of_p), (others, of_q) = np.unique(p, return_inverse=True), np.unique(q, return_inverse=True)
+                    score = np.einsum("ij,ij->i", one.dense(some)[of_p], other.dense(others)[of_q])
+                    ok = score >= least - 1e-12
+                    left, right = one.keys.take(pa.array(p[ok])), other.keys.take(pa.array(q[ok]))
+                    swap, same = pc.greater(left, right), pc.not_equal(left, right)
+                    out.append(pa.table([pc.if_else(swap, right, left), pc.if_else(swap, left, right), pa.array(score[ok])], names=["src", "dst", "score"]).filter(same))
+        none = pa.table([pa.array([], key_type), pa.array([], key_type), pa.array([], pa.float64())], names=["src", "dst", "score"])
+        return pa.concat_tables([none, *(t.cast(none.schema) for t in out)])
+
+    return work
+
+
 def similar_pairs(vectors: DataFrame, key: str, vector: str, dims: int, least: float = 0.95, pivots: int | None = None) -> DataFrame:
     """All pairs (src, dst, score) with cosine ``least`` or more, each once, ``src`` the smaller key; exact.
 
-    Every row lies in the cell of its nearest pivot and is a guest in later cells
-    whose rows may be near enough, by the plane between the pivots and the radius
-    of the cell; in a cell only rows whose distances to the pivot differ by no
-    more than the threshold's distance are compared. Pass one row of each group
-    of equal vectors: copies are members of a class, not pairs.
+    Rows are dealt into blocks, and each two blocks meet in a task, so a row is
+    shuffled once a block: ``PAIR_BLOCKS`` times, more only where a block would have
+    more than ``PAIR_ROWS``. In a task, tiles of rows around like pivots are left out
+    where their balls lie too far apart; others are compared by projections on
+    ``AXES`` axes, whose product bounds the cosine from above, and what reaches the
+    bound by the vectors. Comparisons grow with the square of the rows. Pass one row
+    of each group of equal vectors: copies are members of a class, not pairs.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
-    plan = stored(cell_plan(vectors, key, vector, dims, least, pivots), "cells")
-    home = plan.where("home").select(F.col("cell").alias("cell"), F.col("query").alias("key"), F.col("vec").alias("vec"), F.col("far").alias("far"))
-    sizes = {r.cell: r["count"] for r in home.groupBy("cell").count().collect()}  # a row for a cell
-    many = np.zeros(max(sizes, default=0) + 1, np.int64)
-    for c, n in sizes.items():
-        many[c] = n
-    kind = vectors.schema[key].dataType
+    spark, kind = vectors.sparkSession, vectors.schema[key].dataType
+    rows = _usable(vectors, key, vector, dims, "key")
+    held = spark.sparkContext.broadcast(_axes_of(rows, dims, pivots))
+    packed = stored(rows.mapInArrow(_packed(dims), f"key {kind.simpleString()}, places binary, parts binary"), "packed")
+    n = packed.count()
+    blocks = max(1, -(-n // PAIR_ROWS), min(PAIR_BLOCKS, -(-n // ROWS_EACH)))
+    own = packed.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = own.select("key", "places", "parts", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
     farthest = float(np.sqrt(max(0.0, 2 - 2 * least)))
-    return _met(home, plan, many, _pairs(dims, least, farthest, to_arrow_type(kind)), f"src {kind.simpleString()}, dst {kind.simpleString()}, score double")
+    # As many partitions as cells: small blocks take long too.
+    met = met.repartition(blocks * (blocks + 1) // 2, "i", "j")
+    return met.groupBy("i", "j").applyInArrow(_block_pairs(held, dims, least, farthest, to_arrow_type(kind)), f"src {kind.simpleString()}, dst {kind.simpleString()}, score double")

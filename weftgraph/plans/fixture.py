@@ -116,8 +116,8 @@ class Graph:
     @kept
     def text_vectors(self) -> DataFrame:
         """The hashed embedding of each distinct text, without those of no token."""
-        made = hash_vectors(self.texts, "chunk_id", "text", 384)
-        return made.where(F.exists("vec", lambda x: x != 0)).select("chunk_id", F.transform("vec", lambda x: F.round(x, 9)).alias("embedding"))
+        made = hash_vectors(self.texts, "chunk_id", "text", 384, digits=9)
+        return made.where(F.exists("vec", lambda x: x != 0)).select("chunk_id", F.col("vec").alias("embedding"))
 
     @kept
     def chunk_vectors(self) -> DataFrame:
