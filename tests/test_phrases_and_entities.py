@@ -5,6 +5,7 @@ import re
 from collections import Counter
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 
 from weftgraph.functions.text import QUERY_STOPWORDS
@@ -122,3 +123,40 @@ def test_no_mentions(spark):
     none = spark.createDataFrame([], "name string, type string")
     assert resolve.entities(none).count() == 0
     assert resolve.resolved(none, resolve.entities(none)).count() == 0
+
+
+def test_sequences_are_cut_before_the_shuffle(spark, corpus, monkeypatch):
+    """Slices of one row give the counts of whole batches; no row of a sequence that begins with a stop word, or of a longest one that ends with one, leaves a slice."""
+    monkeypatch.setattr(phrases, "SLICE_BYTES", 1)
+    rows, _ = corpus
+    words = [" ".join(re.findall(r"[\w-]+", (t or "").lower())) for _, t in rows]
+    batch = pa.RecordBatch.from_arrays([pa.array(words, pa.string())], names=["words"])
+    got = Counter()
+    for part in phrases._counted(3)([batch]):
+        for r in part.to_pylist():
+            got[r["kind"], r["seq"]] += r["n"]
+    content = lambda w: len(w) >= 3 and w not in QUERY_STOPWORDS
+    want = Counter()
+    for t in words:
+        w = t.split()
+        want.update((size, " ".join(w[i : i + size])) for size in (1, 2, 3) for i in range(len(w) - size + 1) if content(w[i]) and (size < 3 or content(w[i + 2])))
+        want.update((-size, x) for size in (2, 3) for x in w[size - 1 :] if content(x))
+        want.update({(0, str(size)): max(0, len(w) - size + 1) for size in (2, 3)})
+    assert +got == +want
+
+
+@pytest.mark.parametrize("bound", [4, 200_000])
+def test_key_phrases_of_looked_up_and_other_rows(spark, corpus, monkeypatch, bound):
+    """The best of each row, whether they are among the broadcast ones or not; rows of one key, or of none, are one."""
+    monkeypatch.setattr(phrases, "MOST_BROADCAST", bound)
+    rows, table = corpus
+    known = {r.phrase: r.association for r in phrases.phrases(table).collect()}
+    assert len(known) > 4
+    keyed = [(None if i % 10 == 9 else i - i % 10 if i % 10 < 2 else i, t) for i, t in rows]
+    want = {}
+    for i, t in keyed:
+        w = re.findall(r"[\w-]+", (t or "").lower())
+        want.setdefault(i, set()).update(p for size in (2, 3) for j in range(len(w) - size + 1) if (p := " ".join(w[j : j + size])) in known)
+    want = {(i, place, p, known[p]) for i, own in want.items() for place, p in enumerate(sorted(own, key=lambda p: (-known[p], p))[:2], 1)}
+    got = phrases.key_phrases(spark.createDataFrame(keyed, "id long, text string").repartition(3), phrases.phrases(table), "id", most=2).collect()
+    assert {(r.id, r.place, r.phrase, r.association) for r in got} == want and len(got) == len(want)
