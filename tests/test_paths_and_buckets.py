@@ -54,6 +54,15 @@ def test_paths_of_many_pairs(spark, seed, nodes, many, most, monkeypatch):
     assert paths.shortest_paths(paths.adjacency(frame), spark.createDataFrame([], "start string, goal string")).count() == 0
 
 
+def test_leaves_are_not_walked(spark):
+    """A hundred nodes of one neighbour hang on the hub: paths go by none of them, and to the one that is asked for."""
+    edges = spark.createDataFrame([("hub", "H", f"leaf{i}") for i in range(100)] + [("hub", "A", "x"), ("x", "A", "y")], "src string, type string, dst string")
+    pairs = spark.createDataFrame([("hub", "y"), ("y", "leaf7")], "start string, goal string")
+    near = paths.adjacency(edges)
+    assert {tuple(sorted((r.a, r.b))) for r in paths.passable(near, pairs).collect()} == {("hub", "x"), ("x", "y"), ("hub", "leaf7")}
+    assert {(r.start, tuple(r.nodes)) for r in paths.shortest_paths(near, pairs).collect()} == {("hub", ("hub", "x", "y")), ("y", ("y", "x", "hub", "leaf7"))}
+
+
 def rows_of(df):
     return {r.k: r.v for r in df.collect()}
 
@@ -117,3 +126,21 @@ def test_keys_stay_unique(spark, table):
     assert table.versions() == [1]
     table.insert(stamps(rows.where("k = 'fresh'")))
     assert rows_of(table.read())["fresh"] == 1
+
+
+def test_a_change_is_shuffled_once(spark, table, monkeypatch):
+    """Old and incoming rows are dealt by bucket once; null keys match nothing, and of incoming rows of a key the last by the order counts."""
+    plans, write = [], BucketTable._write
+
+    def noted(self, rows):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return write(self, rows)
+
+    monkeypatch.setattr(BucketTable, "_write", noted)
+    table.upsert(one(spark, ("k1", 7), ("k1", 3), (None, 4), ("k2", None)), AS_OF, order="v")
+    table.upsert(one(spark, (None, 5)), AS_OF)
+    table.delete(one(spark, ("k3", 0), (None, 0)))
+    assert plans == [1, 1, 1]
+    got = sorted(((r.k, r.v) for r in table.read().collect()), key=repr)
+    want = {f"k{i}": i for i in range(200) if i != 3} | {"k1": 7}
+    assert got == sorted([*want.items(), (None, 4), (None, 5)], key=repr)

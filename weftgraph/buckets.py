@@ -16,7 +16,7 @@ import uuid
 from collections.abc import Callable, Sequence
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -107,19 +107,47 @@ class BucketTable:
         raise Conflict(self.path)
 
     def _write(self, rows: DataFrame) -> dict[str, str]:
-        """Writes rows by bucket; the folder of each."""
+        """Writes rows by bucket, which is ``_bucket`` where they were dealt before; the folder of each."""
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
-        own = rows.select(*self.schema.names).withColumn("_bucket", self._bucket())
-        own.repartition("_bucket").sortWithinPartitions("_bucket", *self.keys).write.partitionBy("_bucket").parquet(folder)
+        own = rows if "_bucket" in rows.columns else rows.select(*self.schema.names).withColumn("_bucket", self._bucket()).repartition("_bucket")
+        own.sortWithinPartitions("_bucket", *self.keys).write.partitionBy("_bucket").parquet(folder)
         names = [s.getPath().getName() for s in self._fs.listStatus(self._files.Path(folder))]
         return {n.split("=")[1]: f"{folder}/{n}" for n in names if n.startswith("_bucket=")}
 
+    def _met(self, old: DataFrame, new: DataFrame, best: Column) -> DataFrame:
+        """Keys with their rows as ``_o`` (null: none) and ``best`` of the incoming ones as ``_n`` (null: none), in one shuffle by bucket.
+
+        Aggregates by bucket and key need no other, as joins would. Null keys match nothing, so each old row with one stays by itself.
+        """
+        null = F.greatest(*(F.col(k).isNull() for k in self.keys), F.lit(False))
+        names = self.schema.names
+        own = old.select(*self.keys, F.struct(*names).alias("_o"), F.when(null, F.monotonically_increasing_id()).alias("_apart"))
+        incoming = new.select(*self.keys, best.alias("_n"))
+        both = own.unionByName(incoming, allowMissingColumns=True).withColumn("_bucket", self._bucket()).repartition("_bucket")
+        return both.groupBy("_bucket", *self.keys, "_apart").agg(F.first("_o", ignorenulls=True).alias("_o"), F.max("_n").alias("_n"))
+
     def upsert(self, incoming: DataFrame, as_of: str, order: str | None = None, **options) -> int:
-        """Incoming values win where they aren't null (``writes.upsert``)."""
-        return self.merge(incoming, lambda old, new: writes.upsert(old, new, self.keys, as_of, order), **options)
+        """Incoming values win where they aren't null, as in ``writes.upsert``; old rows are one of each key."""
+
+        def how(old: DataFrame, new: DataFrame) -> DataFrame:
+            rest = [order] if order else []
+            rest += [c for c in new.columns if c not in (*self.keys, *rest)]
+            # A row of keys alone has a mark, too.
+            met = self._met(old, new, F.struct(*rest, F.lit(True).alias("_in")))
+            is_new, now = F.col("_n").isNotNull(), F.lit(as_of).cast("timestamp")
+            value = {c: F.coalesce(f"_n.{c}", f"_o.{c}") for c in self.schema.names if c in rest}
+            value |= {k: F.col(k) for k in self.keys}
+            marks = {"created_at": F.coalesce("_o.created_at", F.when(is_new & F.col("_o").isNull(), now)), "updated_at": F.when(is_new, now).otherwise(F.col("_o.updated_at")), "active": F.when(is_new, F.lit(True)).otherwise(F.col("_o.active"))}
+            return met.select("_bucket", *(value.get(c, marks.get(c, F.col(f"_o.{c}"))).alias(c) for c in self.schema.names))
+
+        return self.merge(incoming, how, **options)
 
     def delete(self, keys: DataFrame, **options) -> int:
-        return self.merge(keys, lambda old, new: old.join(new.select(*self.keys).distinct(), self.keys, "left_anti"), **options)
+        def how(old: DataFrame, new: DataFrame) -> DataFrame:
+            met = self._met(old, new, F.lit(True))
+            return met.where("_o is not null and _n is null").select("_bucket", "_o.*")
+
+        return self.merge(keys, how, **options)
 
     def taken(self, incoming: DataFrame) -> DataFrame:
         """Keys that a plain insert would double: the key, ``n`` (incoming rows) and ``existing``; null keys count as broken.
