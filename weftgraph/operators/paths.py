@@ -4,7 +4,8 @@ Each round every pair goes one hop further from that end whose frontier has fewe
 edges, so hubs are expanded only where the other end offers nothing smaller. A
 round is one join of all frontiers with the stored adjacency, whatever the number
 of pairs; rounds are as many as the longest path wanted. What is kept of a hop are
-its edges (node, node before), not path arrays. Where both ends meet, the edges
+its edges (node, node before), not path arrays. Nodes of one neighbour lie inside
+no path, so they are left out unless a pair asks for them. Where both ends meet, the edges
 that lie on a shortest path are picked back from the meeting nodes, and the path
 is read off from the start, each time to the least node.
 """
@@ -27,6 +28,14 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return stored(made.repartition("a").sortWithinPartitions("a"), "adjacency")
 
 
+def passable(near: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The adjacency without nodes of one neighbour, but for ends of pairs (start, goal)."""
+    inner = near.groupBy("a").agg(F.count(F.lit(1)).alias("degree")).where("degree > 1").select("a")
+    ends = pairs.select(F.col("start").alias("a")).unionByName(pairs.select(F.col("goal").alias("a")))
+    kept = inner.unionByName(ends).distinct()
+    return near.join(kept.withColumnRenamed("a", "b"), "b", "left_semi").join(kept, "a", "left_semi").select("a", "b", "type")
+
+
 def _joined(frontier: DataFrame, near: DataFrame, on: str) -> DataFrame:
     return near.join(F.broadcast(frontier) if frontier.count() <= BROADCAST_ROWS else frontier, on)
 
@@ -41,6 +50,7 @@ def shortest_paths(near: DataFrame, pairs: DataFrame, most: int = 5) -> DataFram
     spark = near.sparkSession
     asked = pairs.select("start", "goal").where("start is not null and goal is not null").distinct()
     own = stored(asked.withColumn("pair", F.monotonically_increasing_id()), "pairs")  # numbers are fixed by being written
+    near = stored(passable(near, own), "passable")
     degrees = stored(near.groupBy("a").agg(F.count(F.lit(1)).alias("degree")), "degrees")
     side = lambda s, c: own.where("start <> goal").select("pair", F.lit(s).alias("side"), F.col(c).alias("node"), F.lit(0).alias("depth"))
     reached = cut(side(0, "start").unionByName(side(1, "goal")))
