@@ -10,7 +10,8 @@ import pytest
 
 from weftgraph.functions.text import QUERY_STOPWORDS
 from weftgraph.ingest import Phrases, Words, ingest
-from weftgraph.operators import phrases, resolve
+from weftgraph.operators import joins, phrases, resolve
+from weftgraph.storage import stored
 
 PLANTED = ["solar inverter", "heat pump compressor", "copper busbar"]
 
@@ -160,3 +161,31 @@ def test_key_phrases_of_looked_up_and_other_rows(spark, corpus, monkeypatch, bou
     want = {(i, place, p, known[p]) for i, own in want.items() for place, p in enumerate(sorted(own, key=lambda p: (-known[p], p))[:2], 1)}
     got = phrases.key_phrases(spark.createDataFrame(keyed, "id long, text string").repartition(3), phrases.phrases(table), "id", most=2).collect()
     assert {(r.id, r.place, r.phrase, r.association) for r in got} == want and len(got) == len(want)
+
+
+def test_names_of_a_variant_are_not_paired(spark, monkeypatch):
+    """Twenty names of one place link as a star, not as 190 pairs; entities are those of all pairs, doubled letters and short names included."""
+    seen = []
+    monkeypatch.setattr(resolve, "components", lambda links: seen.append(links.distinct().count()) or joins.components(links))
+    names = [f"besse{c}" for c in "abcdefghijklmnopqrst"]
+    got = resolve.entities(spark.createDataFrame([(n, "X") for n in names], "name string, type string")).collect()
+    assert seen[0] < 3 * len(names) and {r.of_entity for r in got} == {20}
+    rng = random.Random(7)
+    words = sorted({"".join(rng.choice("ab") for _ in range(rng.randrange(3, 13))) for _ in range(150)})
+    group = {w: {w} for w in words}
+    for a, b in combinations(words, 2):
+        if min(len(a), len(b)) >= resolve.SHORT and edit_one(a, b):
+            joined = group[a] | group[b]
+            for w in joined:
+                group[w] = joined
+    got = resolve.entities(spark.createDataFrame([(w, "X") for w in words], "name string, type string").repartition(3)).collect()
+    assert {r.name: (r.entity, r.of_entity) for r in got} == {w: (min(group[w]), len(group[w])) for w in words}
+
+
+def test_stars_take_no_round(spark, monkeypatch):
+    """Links that are stars are done as they come."""
+    names = []
+    monkeypatch.setattr(joins, "stored", lambda df, name: names.append(name) or stored(df, name))
+    got = joins.components(spark.createDataFrame([(0, i) for i in range(1, 9)] + [(20, 21)], "a long, b long")).collect()
+    assert {(r.node, r.component) for r in got} == {(i, 0) for i in range(9)} | {(20, 20), (21, 20)} and len(got) == 11
+    assert names == ["links"]

@@ -28,8 +28,8 @@ def hot_join(rows: DataFrame, lookup: DataFrame, key: str, n: str = "n") -> Data
 def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
     """``node`` and ``component``, the least node that links (a, b) reach; nodes without a link are not listed.
 
-    Large and small stars in turn, each round one stored table; nothing is gathered
-    by node, neighbours meet only their least one.
+    Large and small stars in turn until all links are stars; nothing is gathered by
+    node, neighbours meet only their least one.
     """
     least, greatest = F.least("a", "b"), F.greatest("a", "b")
     edges = stored(links.where("a <> b").select(greatest.alias("a"), least.alias("b")).distinct(), "links")
@@ -41,10 +41,12 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
         return met.where(condition).select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(centre.where("a > low").select("a", F.col("low").alias("b"))).where("a <> b")
 
     for _ in range(most_rounds):
-        both = stored(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both")
+        # A node with one link down and none up is a leaf, one with links up alone a centre.
+        ends = edges.select("a", "b", F.explode(F.array(F.lit(1), F.lit(0))).alias("down")).select(F.when(F.col("down") == 1, F.col("a")).otherwise(F.col("b")).alias("node"), "down")
+        sides = ends.groupBy("node").agg(F.sum("down").alias("downs"), F.min("down").alias("least"))
+        if sides.where("downs > 1 or (downs = 1 and least = 0)").isEmpty():
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
         large = stored(star(both, F.col("b") > F.col("a")).distinct(), "large")
-        small = stored(star(large, F.col("b") < F.col("a")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "small")
-        if small.exceptAll(edges).isEmpty() and edges.exceptAll(small).isEmpty():
-            return small.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(small.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        edges = small
+        edges = stored(star(large, F.col("b") < F.col("a")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "small")
     raise RuntimeError(f"links have not settled in {most_rounds} rounds")

@@ -1,9 +1,12 @@
 """Entity resolution: spellings of one entity, and the typed entity that an untyped name stands for.
 
-Names that differ by one letter share a variant: the name itself, or it without
-one letter. Names meet by variant and are compared by edit distance. A variant
+Names that differ by one letter share a variant: the name itself (place 0), or it
+without the letter of one place. Names of one variant are within one letter if
+the places are the same or one of them is 0, so nothing is compared. A variant
 has few names, those that one more letter can make of it, so no key is hot,
-however often a name occurs: each distinct name is one row.
+however often a name occurs: each distinct name is one row. Variants are dealt
+once and not written; a name is linked with one other of its variant and place,
+which is as good for entities as all pairs are.
 
 Names of one type within one letter are one entity, also by way of others. Names
 shorter than ``SHORT`` letters match only as they are. Names are compared in
@@ -13,11 +16,11 @@ gives none.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse
-from ..storage import stored
+from ..storage import numbered, stored
 from .joins import components, hot_join
 
 SHORT = 5
@@ -29,14 +32,27 @@ def same_spelling(name: Column) -> Column:
     return F.lower(collapse(name))
 
 
+def _near(a: str, b: str) -> Column:
+    return F.levenshtein(F.col(a), F.col(b), 1) >= 0
+
+
 def variants(name: Column) -> Column:
-    """The name and, where it isn't short, the name without each of its letters."""
+    """The name (place 0) and, where it isn't short, the name without the letter of each place."""
     shorter = F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.concat(F.substr(name, F.lit(1), i - 1), F.substr(name, i + 1)))
-    return F.when(F.length(name) >= SHORT, F.array_distinct(F.array_append(shorter, name))).otherwise(F.array(name))
+    return F.when(F.length(name) >= SHORT, F.array_prepend(shorter, name)).otherwise(F.array(name))
 
 
-def _near(a: str, b: str) -> Column:
-    return F.levenshtein(F.col(a), F.col(b), 1) >= 0
+def _by_variant(names: DataFrame, *columns: str) -> DataFrame:
+    """The columns of each name that isn't short, ``variant`` and ``place``."""
+    return names.where(F.length("name") >= SHORT).select(*columns, F.posexplode(variants(F.col("name"))).alias("place", "variant"))
+
+
+def _links(names: DataFrame) -> DataFrame:
+    """Links (a, b) of the numbers of names within one letter and of one type, enough of them to reach all that pairs reach."""
+    # One exchange and one sort serve both windows.
+    of_variant, of_place = Window.partitionBy("type", "variant").orderBy("place", "node"), Window.partitionBy("type", "variant", "place").orderBy("node")
+    rows = _by_variant(names, "type", "node").repartition("type", "variant").select("node", F.first(F.struct("place", "node")).over(of_variant).alias("top"), F.first("node").over(of_place).alias("same"))
+    return rows.select(F.col("node").alias("a"), F.when(F.col("top.place") == 0, F.col("top.node")).otherwise(F.col("same")).alias("b")).where("a <> b")
 
 
 def entities(mentions: DataFrame) -> DataFrame:
@@ -45,13 +61,8 @@ def entities(mentions: DataFrame) -> DataFrame:
     ``mentions`` has name and type, a row each time. Ties go to the name that is less.
     """
     typed = mentions.where((F.coalesce("type", F.lit(UNKNOWN)) != UNKNOWN) & (same_spelling(F.col("name")) != ""))
-    names = stored(typed.groupBy(same_spelling(F.col("name")).alias("name"), "type").agg(F.count(F.lit(1)).alias("n")), "names")
-    node = F.concat_ws("|", "type", "name")
-    by_variant = stored(names.select("type", "name", node.alias("node"), F.explode(variants(F.col("name"))).alias("variant")), "variants")
-    a = by_variant.select("type", "variant", F.col("name").alias("x"), F.col("node").alias("a"))
-    b = by_variant.select("type", "variant", F.col("name").alias("y"), F.col("node").alias("b"))
-    links = a.join(b, ["type", "variant"]).where((F.col("a") < F.col("b")) & _near("x", "y")).select("a", "b").distinct()
-    of = names.withColumn("node", node).join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    names = numbered(typed.groupBy(same_spelling(F.col("name")).alias("name"), "type").agg(F.count(F.lit(1)).alias("n")), "node", "names")
+    of = names.join(components(_links(names)), "node", "left").withColumn("component", F.coalesce("component", "node"))
     of = stored(of, "members")
     best = of.groupBy("component").agg(F.min(F.struct((-F.col("n")).alias("low"), "name"))["name"].alias("entity"), F.sum("n").alias("of_entity"), F.count(F.lit(1)).alias("many"))
     return hot_join(of, stored(best, "entities"), "component", "many").select("name", "type", "n", "entity", "of_entity")

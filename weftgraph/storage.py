@@ -66,6 +66,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Stored rows with a number of their own, which is fixed by being written; without a shared folder, by being kept on the executors."""
+    made = df.withColumn(column, F.monotonically_increasing_id())
+    return made.localCheckpoint() if shared_dir(df.sparkSession) is None else stored(made, name)
+
+
 #: Keys that several rows have: up to so many are broadcast, more are joined by a shuffle.
 MOST_BROADCAST = 200_000
 
