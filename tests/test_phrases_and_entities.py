@@ -189,3 +189,21 @@ def test_stars_take_no_round(spark, monkeypatch):
     got = joins.components(spark.createDataFrame([(0, i) for i in range(1, 9)] + [(20, 21)], "a long, b long")).collect()
     assert {(r.node, r.component) for r in got} == {(i, 0) for i in range(9)} | {(20, 20), (21, 20)} and len(got) == 11
     assert names == ["links"]
+
+
+def test_ends_are_met_by_variant_only_where_open(spark, monkeypatch):
+    """Relations are written once before each end; names that are typed themselves meet no variants; short names match as they are alone."""
+    names = []
+    monkeypatch.setattr(resolve, "stored", lambda df, name: names.append(name) or stored(df, name))
+    rng = random.Random(11)
+    words = sorted({"".join(rng.choice("ab") for _ in range(rng.randrange(3, 10))) for _ in range(80)})
+    members = spark.createDataFrame([(w, "XY"[i % 2], 1 + i % 3, f"e{i}", 1 + i % 5) for i, w in enumerate(words[::2])], "name string, type string, n long, entity string, of_entity long")
+    known = {r.name: tuple(r) for r in members.collect()}
+    want = {}
+    for w in words:
+        found = [(w != t, -m[4], -m[2], m[1], t, m[3]) for t, m in known.items() if w == t or min(len(w), len(t)) >= resolve.SHORT and edit_one(w, t)]
+        want[w] = (min(found)[5], min(found)[3]) if found else (w, "UNKNOWN")
+    rows = [(a, "UNKNOWN", b, "UNKNOWN", i) for i, (a, b) in enumerate(zip(words, reversed(words)))] + [("", "UNKNOWN", None, None, -1)]
+    got = resolve.resolve_ends(spark.createDataFrame(rows, "source string, source_type string, target string, target_type string, n long"), members).collect()
+    assert sorted(map(tuple, got), key=lambda r: r[4]) == [("", "UNKNOWN", None, None, -1)] + [(*want[a], *want[b], i) for a, _, b, _, i in rows[:-1]]
+    assert names.count("ends") == 1 and names.count("relations") == 1

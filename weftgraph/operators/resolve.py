@@ -32,10 +32,6 @@ def same_spelling(name: Column) -> Column:
     return F.lower(collapse(name))
 
 
-def _near(a: str, b: str) -> Column:
-    return F.levenshtein(F.col(a), F.col(b), 1) >= 0
-
-
 def variants(name: Column) -> Column:
     """The name (place 0) and, where it isn't short, the name without the letter of each place."""
     shorter = F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.concat(F.substr(name, F.lit(1), i - 1), F.substr(name, i + 1)))
@@ -74,10 +70,18 @@ def resolved(names: DataFrame, members: DataFrame) -> DataFrame:
     A typed name that is the same goes before one of another letter, then the
     entity that occurs more often, the name that does, and the order of names decide.
     """
-    members = stored(members, "typed")
-    wanted = stored(names.select(same_spelling(F.col("name")).alias("name")).where("name <> ''").distinct(), "wanted")
-    of = members.select(F.col("name").alias("typed"), "type", "n", "entity", "of_entity", F.explode(variants(F.col("name"))).alias("variant"))
-    met = wanted.select("name", F.explode(variants(F.col("name"))).alias("variant")).join(of, "variant").where(_near("name", "typed"))
+    return _resolved(stored(names.select(same_spelling(F.col("name")).alias("name")).distinct(), "wanted"), members)
+
+
+def _resolved(wanted: DataFrame, members: DataFrame) -> DataFrame:
+    """Of distinct spellings. Only names that no typed one equals meet others by variant; what is known of those is joined to the pairs."""
+    members, wanted = stored(members, "typed"), wanted.where("name <> ''")
+    open_names = wanted.join(members.select("name"), "name", "left_anti")
+    a = _by_variant(open_names, "name").withColumnRenamed("place", "at")
+    b = _by_variant(members.select("name", F.col("name").alias("typed")), "typed")
+    near = a.join(b.hint("merge"), "variant").where("place = at or place = 0 or at = 0").select("name", "typed").distinct()
+    of = members.withColumnRenamed("name", "typed")
+    met = near.unionByName(wanted.withColumn("typed", F.col("name"))).join(of, "typed")
     distance = F.when(F.col("name") == F.col("typed"), 0).otherwise(1)
     place = F.struct(distance.alias("distance"), (-F.col("of_entity")).alias("low"), (-F.col("n")).alias("lower"), "type", "typed", "entity")
     return met.groupBy("name").agg(F.min(place).alias("p")).select("name", "p.entity", "p.type", "p.distance")
@@ -85,13 +89,20 @@ def resolved(names: DataFrame, members: DataFrame) -> DataFrame:
 
 def resolve_ends(relations: DataFrame, members: DataFrame) -> DataFrame:
     """Relations with their UNKNOWN ends (source, source_type, target, target_type) replaced by the typed entities that these stand for; all rows and columns stay."""
+    ends = ("source", "target")
+
+    def open_name(end: str) -> Column:
+        return F.when(F.coalesce(f"{end}_type", F.lit(UNKNOWN)) == UNKNOWN, same_spelling(F.col(end)))
+
     rows = stored(relations, "relations")
-    ends = [rows.where(F.coalesce(f"{end}_type", F.lit(UNKNOWN)) == UNKNOWN).select(same_spelling(F.col(end)).alias("name")) for end in ("source", "target")]
-    known = stored(resolved(ends[0].unionByName(ends[1]), members).select(F.col("name").alias("_name"), "entity", F.col("type").alias("_type")), "resolved")
-    for end in ("source", "target"):
-        open_end = F.coalesce(f"{end}_type", F.lit(UNKNOWN)) == UNKNOWN
-        keyed = stored(rows.withColumn("_name", F.when(open_end, same_spelling(F.col(end)))), "ends")
-        counts = stored(keyed.groupBy("_name").agg(F.count(F.lit(1)).alias("_n")).where("_name is not null").join(known, "_name", "left"), "lookup")
-        met = hot_join(keyed, counts, "_name", "_n").withColumn(end, F.coalesce("entity", end)).withColumn(f"{end}_type", F.coalesce("_type", f"{end}_type"))
+    each = rows.select(F.explode(F.array(*[F.struct(open_name(end).alias("name"), *[F.lit(int(end == x)).alias(x) for x in ends]) for end in ends])).alias("e")).select("e.*")
+    counts = stored(each.where("name is not null").groupBy("name").agg(*[F.sum(x).alias(x) for x in ends]), "counts")
+    known = _resolved(counts.select("name"), members).select("name", "entity", F.col("type").alias("_type"))
+    lookup = stored(counts.join(known, "name", "left"), "lookup")
+    for end in ends:
+        keyed = rows.withColumn("_name", open_name(end))
+        own = lookup.where(F.col(end) > 0).select(F.col("name").alias("_name"), "entity", "_type", F.col(end).alias("_n"))
+        met = hot_join(keyed, own, "_name", "_n").withColumn(end, F.coalesce("entity", end)).withColumn(f"{end}_type", F.coalesce("_type", f"{end}_type"))
         rows = met.select(*relations.columns).unionByName(keyed.where("_name is null").select(*relations.columns))
+        rows = stored(rows, "ends") if end == ends[0] else rows
     return rows
