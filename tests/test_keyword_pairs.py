@@ -1,6 +1,7 @@
 from collections import defaultdict
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 
 from weftgraph.operators import kb, keyword_pairs
@@ -43,6 +44,57 @@ def test_one_class(spark):
     assert (members.count(), listed.count(), keyword_pairs.class_edges(listed, 2).count()) == (40, 1, 0)
 
 
+def records_shuffled(spark):
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    none = context._gateway.new_array(context._jvm.double, 0)
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, none, None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_pairs_are_not_shuffled(spark):
+    """However many pairs there are, only documents are dealt; tables are too large for a broadcast here."""
+    rows = [(i, w) for i in range(1200) for w in ("x", "y", f"own{i}", f"own{i + 1}")]
+    keywords = spark.createDataFrame(rows, "doc_id long, keyword string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = records_shuffled(spark)
+        assert keyword_pairs.pairs(keywords, 2).count() == 1200 * 1199 // 2
+        assert records_shuffled(spark) - before < 4 * len(rows)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_many_common_keywords(spark):
+    """More than a byte can count; keywords that are no strings, ids whose order isn't that of numbers."""
+    rows = [(d, k) for d in ("9", "10", "é", "z") for k in range(300)] + [("11", k) for k in range(257)]
+    got = kb.similarity_edges(spark.createDataFrame(rows, "doc_id string, keyword long"), 250)
+    assert sorted(map(tuple, got.collect())) == brute(rows, 250)
+
+
+@pytest.mark.parametrize("frequent", [0, 1, 1000])
+def test_tiles(monkeypatch, frequent):
+    """Tiles of a few rows, keywords counted by bytes or by rows: the same pairs."""
+    monkeypatch.setattr(keyword_pairs, "TILE", 11)
+    monkeypatch.setattr(keyword_pairs, "MOST_FREQUENT", frequent)
+    monkeypatch.setattr(keyword_pairs, "BATCH", 5)
+    own = defaultdict(set)
+    for d, k in ROWS:
+        if d is not None and k is not None:
+            own[d].add(k)
+    rows = pa.RecordBatch.from_pylist([{"id": d, "words": sorted(w), "block": d % 2} for d, w in own.items()])
+    rows = rows.set_column(2, "block", rows.column("block").cast(pa.int32()))
+    packed = [r for b in keyword_pairs._packed([rows[:50], rows[50:]]) for r in b.to_pylist()]
+    got = []
+    for i, j in ((0, 0), (0, 1), (1, 1)):
+        cell = keyword_pairs._Cell()
+        for r in packed:
+            if r["block"] in (i, j):
+                cell.add(r["rows"], r["block"] == i)
+        got += [tuple(r.values()) for b in cell.pairs(2, i == j) for r in b.to_pylist()]
+    assert sorted(got) == brute(ROWS, 2)
+
+
 def test_empty(spark):
     assert kb.similarity_edges(spark.createDataFrame([], "doc_id long, keyword string"), 2).count() == 0
 
