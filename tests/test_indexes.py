@@ -189,3 +189,17 @@ def test_similar_pairs_by_few_axes_and_small_tiles(spark, monkeypatch):
     want = {(a, b): cos(v, w) for a, v in rows for b, w in rows if a < b and cos(v, w) >= 0.9}
     assert set(got) == set(want) and all(isclose(got[k], want[k], abs_tol=1e-9) for k in want)
     assert "explode(sequence(0, 2" in found._jdf.queryExecution().toString()
+
+
+def test_pairs_are_found_without_a_shuffle(spark, monkeypatch):
+    """Packs of a few rows meet as a product of the stored table: vectors go through no exchange, however many blocks there are."""
+    monkeypatch.setattr(vi, "PACK_ROWS", 40)
+    monkeypatch.setattr(vi, "PAIR_ROWS", 30)
+    monkeypatch.setattr(vi, "SIDES", 1)
+    rows = points(6, 200) + [(900, [0.0] * 6)]
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    found = vi.similar_pairs(df, "id", "v", 6, 0.9)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "CartesianProduct" in plan
+    got = sorted((r.src, r.dst) for r in found.collect())
+    assert got == sorted((a, b) for a, v in rows for b, w in rows if a < b and any(v) and any(w) and cos(v, w) >= 0.9)

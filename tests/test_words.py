@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftgraph import storage
-from weftgraph.functions.vectors import hash_embedding, hash_vectors
+from weftgraph.functions.vectors import added_sums, hash_embedding, hash_vectors, text_sums
 from weftgraph.operators.words import Pick, top_words
+from weftgraph.storage import stored
 
 PICKS = [Pick(3, least=2, stop=frozenset(["sea"])), Pick(2, longest=True, least=4)]
 
@@ -60,3 +61,16 @@ def test_embeddings_by_row(spark):
     for k, v in vectors.items():
         assert v == pytest.approx([sparse.get((k, d), 0.0) for d in range(32)])
     assert [d for k, d in sparse if k in (2, 4)] == [0, 0]
+
+
+def test_sums_of_distinct_texts(spark):
+    """Copies leave the least key, texts of one key add up, and nothing is kept of texts without a token or of tokens that cancel out."""
+    rows = [("b", "sea port sea"), ("a", "sea port sea"), ("c", "über 12"), ("c", "sea"), ("d", " . "), ("e", None), (None, "sea"), ("f", "sea"), ("a", "sea port sea")]
+    df = spark.createDataFrame(rows, "id string, text string").repartition(3)
+    first = stored(text_sums(df, "id", "text", 32), "sums")
+    got = {r.id: {p: x for p, x in zip(r.places, r.parts, strict=True)} for r in added_sums(first, "id").collect()}
+    want = {r.id: r.vec for r in hash_vectors(spark.createDataFrame([("a", "sea port sea"), ("c", "über 12"), ("c", "sea")], "id string, text string"), "id", "text", 32).collect()}
+    assert set(got) == set(want)
+    for key, sums in got.items():
+        length = sum(x * x for x in sums.values()) ** 0.5
+        assert [sums.get(i, 0) / length for i in range(32)] == pytest.approx(want[key], abs=1e-12)

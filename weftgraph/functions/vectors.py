@@ -29,6 +29,8 @@ def euclidean(a: Column, b: Column) -> Column:
 
 #: Tokens whose digests a task keeps.
 MOST_FOLDED = 500_000
+#: Weights are multiples of one over this.
+WHOLE = 9970
 
 
 class _Folds:
@@ -41,7 +43,7 @@ class _Folds:
         found = self.known.get(token)
         if found is None:
             h = int.from_bytes(hashlib.sha1(token.encode()).digest(), "big")
-            found = h % self.dims, (1.0 if h % 4 >= 2 else -1.0) * (1 + h % 997 / 9970.0)
+            found = h % self.dims, (1.0 if h % 4 >= 2 else -1.0) * (1 + h % 997 / float(WHOLE))
             if len(self.known) >= MOST_FOLDED:
                 self.known.clear()
             self.known[token] = found
@@ -136,3 +138,40 @@ def dense(weights: DataFrame, key: str, dims: int) -> DataFrame:
     """``key`` and ``vec``: the rows of ``hash_embedding`` as one array for each key."""
     own = weights.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.col("dim").cast("int"), F.col("weight")))).alias("_m"))
     return own.select(key, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.coalesce(F.try_element_at("_m", d), F.lit(0.0))).alias("vec"))
+
+
+def text_sums(df: DataFrame, key: str, text: str, dims: int = 384) -> DataFrame:
+    """``hash_embedding`` of each distinct text, but for its length: key, and the ``places`` and ``parts`` of what isn't zero.
+
+    A text's key is the least of those that have it; texts of one key still have to
+    be added up (``added_sums``). Parts are whole numbers, a token's least weight is
+    ``WHOLE``. Texts without a token are left out. Texts meet by their digests, with
+    what was summed where they were read.
+    """
+    dims, of = max(16, dims), df.schema[key].dataType.simpleString()
+    own = df.where(F.col(key).isNotNull()).select(key, F.unhex(F.sha2(F.col(text).cast("binary"), 256)).alias("digest"), F.array_join(tokens(F.col(text)), " ").alias("words"))
+    lists = "places array<smallint>, parts array<bigint>"
+
+    def run(batches):
+        fold = _Folds(dims)
+        for batch in batches:
+            sums = [_sums(joined, fold) for joined in batch.column("words").to_pylist()]
+            offsets = pa.array(np.cumsum([0, *(len(on) for on, _ in sums)]), pa.int32())
+            places = np.concatenate([np.zeros(0, np.int16), *(on.astype(np.int16) for on, _ in sums)])
+            parts = np.rint(np.concatenate([np.zeros(0), *(w for _, w in sums)]) * WHOLE).astype(np.int64)
+            made = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (places, parts)]
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("digest"), *made], names=[key, "digest", "places", "parts"])
+
+    made = own.where("words <> ''").mapInArrow(run, f"{key} {of}, digest binary, {lists}")
+    first = made.groupBy("digest").agg(F.min(F.struct(key, "places", "parts")).alias("x"))
+    return first.select(f"x.{key}", "x.places", "x.parts")
+
+
+def added_sums(sums: DataFrame, key: str) -> DataFrame:
+    """Stored ``text_sums`` with one row a key; those that come to nothing are left out."""
+    lone, shared = lone_and_shared(sums, key)
+    if shared is not None:
+        each = shared.select(key, F.explode(F.arrays_zip("places", "parts")).alias("x")).groupBy(key, F.col("x.places").alias("place")).agg(F.sum("x.parts").alias("part"))
+        listed = each.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("place", "part"))).alias("x"))
+        lone = lone.unionByName(listed.select(key, F.col("x.place").alias("places"), F.col("x.part").alias("parts")))
+    return lone.where(F.exists("parts", lambda x: x != 0))

@@ -18,7 +18,8 @@ comes first.
 
 Rows and queries meet in blocks: a cell of many rows or asked by many queries is
 dealt over several tasks, so a hot cell makes no large one, and a task's result
-is its own best ``top_k`` for each query, merged by query afterwards.
+is its own best ``top_k`` for each query, merged by query afterwards. All pairs of
+a table are found in packs of rows that meet without a shuffle (``sparse_pairs``).
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, euclidean
-from ..storage import stored
+from ..storage import numbered, stored
 from .search import check_index
 
 #: Rows that the model is fitted on, at most.
@@ -45,8 +46,10 @@ MOST_CELLS = 4096
 SUB, WORDS = 4, 256
 #: Rows and queries of a block.
 ROWS_EACH, QUERIES_EACH = 20_000, 1_000
-#: Pairs: blocks of a table, rows of a block at most, rows of a tile, and axes of the projections.
-PAIR_BLOCKS, PAIR_ROWS, TILE, AXES = 8, 200_000, 2048, 96
+#: Pairs: blocks of a table, rows of a block at most, rows of a tile, and axes of the projections, of all and of the first look.
+PAIR_BLOCKS, PAIR_ROWS, TILE, AXES, FIRST_AXES = 8, 200_000, 512, 96, 64
+#: Rows of a pack, packs that a task keeps unpacked, partitions of the packs while they have few, and rows that the axes are made of.
+PACK_ROWS, SIDES, PAIR_SPLITS, PAIR_SAMPLE = 8192, 8, 16, 20_000
 #: Candidates by code for each wanted neighbour.
 RERANK = 8
 #: Up to so many candidates are broadcast to pick out their vectors; more are joined by a shuffle.
@@ -385,121 +388,209 @@ def cell_plan(vectors: DataFrame, key: str, vector: str, dims: int, least: float
 
 @dataclass(frozen=True)
 class _Axes:
-    """The axes along which a sample of unit vectors is longest, and pivots in that space."""
+    """The axes along which a sample of unit vectors is longest."""
 
     axes: np.ndarray
-    pivots: np.ndarray
 
-    def placed(self, units: np.ndarray) -> np.ndarray:
-        """Projections, with the length of what they leave out as one more axis: their dot product is no less than the vectors' own."""
+    def placed(self, units: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+        """Projections on all axes and on the ``first``, with the length of what is left out as one more axis: their dot products are no less than the vectors' own."""
         at = units @ self.axes
-        rest = np.sqrt(np.maximum(1 - (at * at).sum(axis=1), 0))
-        return np.hstack([at, rest[:, None]]).astype(np.float32)
+        squares = np.cumsum(at * at, axis=1)
+        rest = lambda k: np.sqrt(np.maximum(1 - squares[:, k - 1 : k], 0))
+        every, first = self.axes.shape[1], min(first, self.axes.shape[1])
+        return np.hstack([at, rest(every)]).astype(np.float32), np.hstack([at[:, :first], rest(first)]).astype(np.float32)
 
 
-def _axes_of(rows: DataFrame, dims: int, pivots: int | None, seed: int = 1) -> _Axes:
-    picked = rows.orderBy(F.xxhash64(F.lit(seed), "key"), "key").limit(SAMPLE).select("vec").toArrow()
-    sample = _units(matrix(picked.column("vec"), dims)) if picked.num_rows else np.zeros((0, dims))
-    axes = np.linalg.eigh(sample.T @ sample)[1][:, ::-1][:, :AXES]
-    at = _Axes(axes, np.zeros((0, 0))).placed(sample)
-    wanted = pivots or max(1, min(MOST_CELLS, int(len(sample) ** 0.5 / 3)))
-    picks = np.random.default_rng(seed).permutation(len(sample))[:wanted]
-    return _Axes(axes, at[picks] if len(sample) else np.zeros((1, axes.shape[1] + 1), np.float32))
+def _sparse(dims: int):
+    """Vectors as the places and values of what isn't zero."""
 
+    def run(batches):
+        for batch in batches:
+            values = matrix(batch.column("vec"), dims)
+            row, place = np.nonzero(values)
+            offsets = pa.array(np.searchsorted(row, np.arange(len(values) + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (place.astype(np.int16), values[row, place])]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *lists], names=["key", "places", "parts"])
+
+    return run
 
-def _units(vectors: np.ndarray) -> np.ndarray:
-    norms = np.linalg.norm(vectors, axis=1)
-    return vectors / np.where(norms > 0, norms, 1)[:, None]
 
+def _packs(most: int):
+    """Up to so many rows (key, places, parts) as one value, and how many they are."""
 
-def _packed(dims: int):
-    """Unit vectors as the places and values of what isn't zero."""
+    def packed(rows: pa.Table):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_table(rows.combine_chunks())
+        return pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([len(rows)], pa.int32())], names=["rows", "n"])
 
     def run(batches):
+        some = None
         for batch in batches:
-            units = _units(matrix(batch.column("vec"), dims))
-            on = [np.flatnonzero(u) for u in units]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([p.astype("<u4").tobytes() for p in on], pa.binary()), pa.array([u[p].tobytes() for u, p in zip(units, on, strict=True)], pa.binary())], names=["key", "places", "parts"])
+            got = pa.Table.from_batches([batch])
+            some = got if some is None else pa.concat_tables([some, got])
+            while len(some) >= most:
+                yield packed(some.slice(0, most))
+                some = some.slice(most)
+        if some is not None and len(some):
+            yield packed(some)
 
     return run
 
 
 class _Side:
-    """A block's rows in the order of their pivots, in tiles with a centre and a radius."""
-
-    def __init__(self, rows: pa.Table, dims: int, held: _Axes):
-        self.dims = dims
-        self.places, self.parts = rows.column("places").combine_chunks(), rows.column("parts").combine_chunks()
-        at = np.vstack([held.placed(self.dense(np.arange(a, min(a + TILE, len(rows))))) for a in range(0, len(rows), TILE)])
-        near = np.concatenate([distances(at[a : a + TILE], held.pivots).argmin(axis=1) for a in range(0, len(rows), TILE)])
-        self.order = np.argsort(near, kind="stable")
-        self.at = at[self.order]
-        self.keys = rows.column("key").combine_chunks()
-        self.tiles = [(a, min(a + TILE, len(rows))) for a in range(0, len(rows), TILE)]
-        self.middles = np.stack([self.at[a:b].mean(axis=0, dtype=np.float64) for a, b in self.tiles])
-        self.radii = np.array([np.linalg.norm(self.at[a:b] - m, axis=1).max() for (a, b), m in zip(self.tiles, self.middles, strict=True)])
+    """A pack's rows in tiles of near ones, each in a box of the projections."""
+
+    def __init__(self, packed: pa.Buffer, dims: int, held: _Axes, tile: int, first: int):
+        rows = pa.ipc.open_stream(packed).read_all().combine_chunks()
+        self.dims, self.keys = dims, rows.column("key").combine_chunks()
+        lists = rows.column("places").combine_chunks()
+        self.sizes = pc.list_value_length(lists).to_numpy().astype(np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.places = lists.flatten().to_numpy()
+        parts = rows.column("parts").combine_chunks().flatten().to_numpy().astype(np.float64)
+        norms = np.sqrt(np.bincount(np.repeat(np.arange(len(rows)), self.sizes), parts * parts, len(rows)))
+        self.parts = parts / np.repeat(np.where(norms > 0, norms, 1), self.sizes)
+        placed = [held.placed(self.dense(np.arange(a, min(a + 2048, len(rows)))), first) for a in range(0, len(rows), 2048)]
+        at, near = (np.vstack(x) for x in zip(*placed, strict=True))
+        self.order = np.concatenate(list(_split(at, np.arange(len(rows)), tile)))
+        self.at, self.near = at[self.order], near[self.order]
+        self.tiles = [(a, min(a + tile, len(rows))) for a in range(0, len(rows), tile)]
+        self.low, self.high = (np.stack([f(self.at[a:b], axis=0) for a, b in self.tiles]) for f in (np.min, np.max))
 
     def dense(self, rows: np.ndarray) -> np.ndarray:
+        sizes = self.sizes[rows]
+        of = np.repeat(np.arange(len(rows)), sizes)
+        at = np.arange(len(of)) + np.repeat(self.starts[rows] - (np.cumsum(sizes) - sizes), sizes)
         out = np.zeros((len(rows), self.dims))
-        for row, i in zip(out, rows.tolist(), strict=True):
-            row[np.frombuffer(self.places[i].as_buffer(), "<u4")] = np.frombuffer(self.parts[i].as_buffer(), np.float64)
+        out[of, self.places[at]] = self.parts[at]
         return out
 
 
-def _block_pairs(held, dims: int, least: float, farthest: float, key_type: pa.DataType):
-    """Pairs of two blocks (or within one): by the projections, then by the vectors."""
-
-    def work(rows: pa.Table) -> pa.Table:
-        cell = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-        block = rows.column("block").to_numpy()
-        one = _Side(rows.filter(pa.array(block == cell[0])), dims, held.value) if (block == cell[0]).any() else None
-        other = one if cell[0] == cell[1] else _Side(rows.filter(pa.array(block == cell[1])), dims, held.value) if (block == cell[1]).any() else None
-        out: list[pa.Table] = []
-        if one is not None and other is not None:
-            apart = distances(one.middles, other.middles)
-            for x, y in zip(*np.nonzero(apart <= one.radii[:, None] + other.radii[None, :] + farthest + 1e-3), strict=True):
-                if one is other and y < x:
-                    continue
-                (a, b), (c, d) = one.tiles[x], other.tiles[y]
-                i, j = np.nonzero(one.at[a:b] @ other.at[c:d].T >= least - 1e-4)
-                if one is other and x == y:
-                    i, j = i[i < j], j[i < j]
-                for at in range(0, len(i), 20_000):
-                    p, q = one.order[a + i[at : at + 20_000]], other.order[c + j[at : at + 20_000]]
-                    (some, of_p), (others, of_q) = np.unique(p, return_inverse=True), np.unique(q, return_inverse=True)
-                    score = np.einsum("ij,ij->i", one.dense(some)[of_p], other.dense(others)[of_q])
-                    ok = score >= least - 1e-12
-                    left, right = one.keys.take(pa.array(p[ok])), other.keys.take(pa.array(q[ok]))
+def _split(at: np.ndarray, rows: np.ndarray, tile: int):
+    """Rows in tiles: halves along the axis on which they vary most, again and again."""
+    if len(rows) <= tile:
+        yield rows
+        return
+    axis = at[rows, :8].var(axis=0).argmax()
+    rows = rows[np.argsort(at[rows, axis], kind="stable")]
+    half = -(-len(rows) // (2 * tile)) * tile
+    yield from _split(at, rows[:half], tile)
+    yield from _split(at, rows[half:], tile)
+
+
+def _true(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a matrix with hardly anything true is true."""
+    flat = mask.ravel()
+    whole = len(flat) // 8 * 8
+    eights = np.flatnonzero(flat[:whole].view(np.uint64))
+    at = (eights[:, None] * 8 + np.arange(8)).ravel()
+    at = np.concatenate([at[flat[at]], whole + np.flatnonzero(flat[whole:])])
+    return np.divmod(at, mask.shape[1])
+
+
+def _met_sides(one: _Side, other: _Side, least: float):
+    """Pairs of two packs (or within one) and their cosines: by boxes, then by few axes, by all of them, by the vectors."""
+    farthest = np.sqrt(max(0.0, 2 - 2 * least)) + 1e-3
+    gaps = np.maximum(0, np.maximum(one.low[:, None] - other.high[None], other.low[None] - one.high[:, None]))
+    for x, y in zip(*np.nonzero((gaps * gaps).sum(axis=2) <= farthest * farthest), strict=True):
+        if one is other and y < x:
+            continue
+        (a, b), (c, d) = one.tiles[x], other.tiles[y]
+        i, j = _true(one.near[a:b] @ other.near[c:d].T >= least - 1e-4)
+        if one is other and x == y:
+            i, j = i[i < j], j[i < j]
+        for at in range(0, len(i), 20_000):
+            p, q = a + i[at : at + 20_000], c + j[at : at + 20_000]
+            ok = np.einsum("ij,ij->i", one.at[p], other.at[q]) >= least - 1e-4
+            p, q = one.order[p[ok]], other.order[q[ok]]
+            (some, of_p), (others, of_q) = np.unique(p, return_inverse=True), np.unique(q, return_inverse=True)
+            score = np.einsum("ij,ij->i", one.dense(some)[of_p], other.dense(others)[of_q])
+            ok = score >= least - 1e-12
+            if ok.any():
+                yield p[ok], q[ok], score[ok]
+
+
+def _pack_pairs(held, dims: int, least: float, key_type: pa.DataType, tile: int, first: int, kept: int):
+    def run(batches):
+        sides: dict[int, _Side] = {}
+
+        def side(number: int, packed: pa.Scalar) -> _Side:
+            if number not in sides:
+                while len(sides) >= kept:
+                    del sides[next(iter(sides))]
+                sides[number] = _Side(packed.as_buffer(), dims, held.value, tile, first)
+            else:
+                sides[number] = sides.pop(number)  # the last used one
+            return sides[number]
+
+        for batch in batches:
+            for n, (pack, with_pack) in enumerate(zip(batch.column("pack").to_pylist(), batch.column("with_pack").to_pylist(), strict=True)):
+                one, other = side(pack, batch.column("rows")[n]), side(with_pack, batch.column("with_rows")[n])
+                for p, q, score in _met_sides(one, other, least):
+                    left, right = one.keys.take(pa.array(p)).cast(key_type), other.keys.take(pa.array(q)).cast(key_type)
                     swap, same = pc.greater(left, right), pc.not_equal(left, right)
-                    out.append(pa.table([pc.if_else(swap, right, left), pc.if_else(swap, left, right), pa.array(score[ok])], names=["src", "dst", "score"]).filter(same))
-        none = pa.table([pa.array([], key_type), pa.array([], key_type), pa.array([], pa.float64())], names=["src", "dst", "score"])
-        return pa.concat_tables([none, *(t.cast(none.schema) for t in out)])
+                    yield pa.RecordBatch.from_arrays([pc.if_else(swap, right, left), pc.if_else(swap, left, right), pa.array(score)], names=["src", "dst", "score"]).filter(same)
 
-    return work
+    return run
 
 
 def similar_pairs(vectors: DataFrame, key: str, vector: str, dims: int, least: float = 0.95, pivots: int | None = None) -> DataFrame:
     """All pairs (src, dst, score) with cosine ``least`` or more, each once, ``src`` the smaller key; exact.
 
-    Rows are dealt into blocks, and each two blocks meet in a task, so a row is
-    shuffled once a block: ``PAIR_BLOCKS`` times, more only where a block would have
-    more than ``PAIR_ROWS``. In a task, tiles of rows around like pivots are left out
-    where their balls lie too far apart; others are compared by projections on
-    ``AXES`` axes, whose product bounds the cosine from above, and what reaches the
-    bound by the vectors. Comparisons grow with the square of the rows. Pass one row
-    of each group of equal vectors: copies are members of a class, not pairs.
+    See ``sparse_pairs``. Pass one row of each group of equal vectors: copies are
+    members of a class, not pairs. ``pivots`` is not used any more.
+    """
+    rows = _usable(vectors, key, vector, dims, "key")
+    return sparse_pairs(rows.mapInArrow(_sparse(dims), f"key {vectors.schema[key].dataType.simpleString()}, places array<smallint>, parts array<double>"), "key", dims, least)
+
+
+def sparse_pairs(rows: DataFrame, key: str, dims: int, least: float = 0.95) -> DataFrame:
+    """``similar_pairs`` of vectors given by the ``places`` and ``parts`` (numbers of any kind) of what isn't zero in them.
+
+    Rows are packed and stored, once: packs meet as a product of the stored table
+    with itself, which reads files again instead of shuffling rows. A pack is listed
+    for each of the blocks, by whose order two packs meet once only. Rows of a pack
+    are put in tiles of near ones, which are left out where their boxes lie too far
+    apart; others are compared by projections, first on ``FIRST_AXES`` axes, then on
+    ``AXES``, whose products bound the cosine from above, and what reaches the bound
+    by the vectors. Comparisons grow with the square of the rows.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
-    spark, kind = vectors.sparkSession, vectors.schema[key].dataType
-    rows = _usable(vectors, key, vector, dims, "key")
-    held = spark.sparkContext.broadcast(_axes_of(rows, dims, pivots))
-    packed = stored(rows.mapInArrow(_packed(dims), f"key {kind.simpleString()}, places binary, parts binary"), "packed")
-    n = packed.count()
+    spark, kind = rows.sparkSession, rows.schema[key].dataType
+    own = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), "places", "parts")
+    packs = numbered(own.mapInArrow(_packs(PACK_ROWS), "rows binary, n int"), "pack", "packs")
+    n, n_packs = packs.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    held = spark.sparkContext.broadcast(_axes_of(packs, n, dims))
     blocks = max(1, -(-n // PAIR_ROWS), min(PAIR_BLOCKS, -(-n // ROWS_EACH)))
-    own = packed.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = own.select("key", "places", "parts", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
-    farthest = float(np.sqrt(max(0.0, 2 - 2 * least)))
-    # As many partitions as cells: small blocks take long too.
-    met = met.repartition(blocks * (blocks + 1) // 2, "i", "j")
-    return met.groupBy("i", "j").applyInArrow(_block_pairs(held, dims, least, farthest, to_arrow_type(kind)), f"src {kind.simpleString()}, dst {kind.simpleString()}, score double")
+    dealt = packs.coalesce(max(PAIR_SPLITS, n_packs // SIDES)).select("pack", "rows", F.pmod(F.xxhash64("pack"), F.lit(blocks)).cast("int").alias("block"))
+    listed = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).where("block <= with")
+    others = dealt.select(F.col("pack").alias("with_pack"), F.col("rows").alias("with_rows"), F.col("block").alias("with_block"))
+    met = listed.hint("shuffle_replicate_nl").join(others, (F.col("with") == F.col("with_block")) & ((F.col("block") < F.col("with")) | (F.col("pack") <= F.col("with_pack"))))
+    work = _pack_pairs(held, dims, least, to_arrow_type(kind), TILE, FIRST_AXES, SIDES)
+    return met.select("pack", "rows", "with_pack", "with_rows").mapInArrow(work, f"src {kind.simpleString()}, dst {kind.simpleString()}, score double")
+
+
+def _axes_of(packs: DataFrame, n: int, dims: int) -> _Axes:
+    """From about ``PAIR_SAMPLE`` rows: some of each pack; whichever they are, the bounds hold."""
+    step = max(1, n // PAIR_SAMPLE)
+
+    def summed(batches):
+        total = np.zeros((dims, dims), np.float32)
+        for batch in batches:
+            for packed in batch.column("rows"):
+                rows = pa.ipc.open_stream(packed.as_buffer()).read_all()
+                some = rows.take(pa.array(np.arange(0, len(rows), step))).combine_chunks()
+                places, parts = (some.column(x).combine_chunks() for x in ("places", "parts"))
+                units = np.zeros((len(some), dims))
+                units[np.repeat(np.arange(len(some)), pc.list_value_length(places).to_numpy()), places.flatten().to_numpy()] = parts.flatten().to_numpy()
+                norms = np.linalg.norm(units, axis=1)
+                units /= np.where(norms > 0, norms, 1)[:, None]
+                total += units.T @ units
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["product"])
+
+    total = np.zeros((dims, dims))
+    for r in packs.coalesce(PAIR_SPLITS).mapInArrow(summed, "product binary").collect():  # a matrix for a partition
+        total += np.frombuffer(bytes(r["product"]), np.float32).reshape(dims, dims)
+    return _Axes(np.linalg.eigh(total)[1][:, ::-1][:, :AXES])

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import QUERY_STOPWORDS, windows
-from ..functions.vectors import hash_vectors
+from ..functions.vectors import added_sums, hash_vectors, text_sums
 from ..operators import batch, text_index, vector_index
 from ..operators.words import Pick, top_words
 from ..operators.writes import entity_id
@@ -119,6 +119,15 @@ class Graph:
         made = hash_vectors(self.texts, "chunk_id", "text", 384, digits=9)
         return made.where(F.exists("vec", lambda x: x != 0)).select("chunk_id", F.col("vec").alias("embedding"))
 
+    @kept
+    def first_sums(self) -> DataFrame:
+        return text_sums(self.windows(), "chunk_id", "text", 384)
+
+    @property
+    def text_sums(self) -> DataFrame:
+        """The hashed embedding of each distinct text, but for its length: places and parts of what isn't zero."""
+        return added_sums(self.first_sums, "chunk_id")
+
     @kept
     def chunk_vectors(self) -> DataFrame:
         """The embedding of each chunk that has a token."""
