@@ -104,3 +104,18 @@ def test_components(spark):
     want = {**{i: 0 for i in range(21)}, **{i: 100 for i in range(100, 140)}, 299: 299, 300: 299, 301: 299}
     got = components(spark.createDataFrame(links, "a long, b long")).collect()
     assert {r.node: r.component for r in got} == want and len(got) == len(want)
+
+
+def test_pairs_of_one_keyword_are_not_shuffled(spark):
+    """Pairs that share any keyword are the result; only documents are dealt on the way there."""
+    rows = [(i, w) for i in range(1000) for w in ("x", f"own{i}", f"half{i // 2}")]
+    keywords = spark.createDataFrame(rows, "doc_id long, keyword string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = records_shuffled(spark)
+        got = kb.similarity_edges(keywords)
+        assert got.groupBy("common_keywords").count().collect() and got.count() == 1000 * 999 // 2
+        assert got.where("common_keywords = 2").count() == 500
+        assert records_shuffled(spark) - before < 8 * len(rows)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
