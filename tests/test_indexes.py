@@ -1,9 +1,11 @@
 import random
+import re
 from math import isclose, sqrt
 
 import pytest
 from pyspark.sql import functions as F
 
+from weftgraph.functions.vectors import hash_sums, hash_vectors
 from weftgraph.operators import batch, search, text_index, traverse
 from weftgraph.operators import vector_index as vi
 from weftgraph.operators.answer import Tables
@@ -210,3 +212,35 @@ def test_linked_pairs_are_looked_for_once(spark):
     """The edges to ends that don't exist come from the same comparison."""
     found = QUERIES["link_similarities"](spark, "/root/testdata/sf0.001")
     assert found._jdf.queryExecution().executedPlan().toString().count("CartesianProduct") == 1
+
+
+def test_nearest_texts_are_found_where_they_are_read(spark, monkeypatch):
+    """Like a slow search, in packs of a few rows, without an exchange of vectors; of texts of one direction the smaller key comes first."""
+    monkeypatch.setattr(vi, "PACK_ROWS", 17)
+    monkeypatch.setattr(vi, "QUERIES_EACH", 3)
+    rng = random.Random(8)
+    words = ["harbour", "sea", "port", "ships", "light", "über", "x"]
+    texts = [(f"d{i:02d}", " ".join(rng.choice(words) for _ in range(rng.choice([1, 2, 5])))) for i in range(70)]
+    texts += [("b2", "sea port " * 7), ("b1", "sea port"), ("b3", "port sea " * 3), ("none", " . ")]
+    df = spark.createDataFrame(texts, "id string, text string").repartition(3)
+    asked = spark.createDataFrame([("q1", "port sea"), ("q2", "light über x"), ("q3", "ships"), ("q4", "sea"), ("q5", "")], "qid string, text string")
+    vectors = {r.id: list(r.vec) for r in hash_vectors(df, "id", "text", 32).collect()}
+    wanted = [(r.qid, list(r.vec)) for r in hash_vectors(asked, "qid", "text", 32).collect() if any(r.vec)]
+    like = lambda a, b: round(cos(a, b), 12)
+    found = vi.nearest_sparse(hash_sums(asked, "qid", "text", 32), "qid", hash_sums(df, "id", "text", 32), "id", 32, 6)
+    same(found.collect(), slow([(k, v) for k, v in vectors.items() if any(v)], wanted, 6, like))
+    assert [r.key for r in found.where("query = 'q1' and place <= 3").orderBy("place").collect()] == ["b1", "b2", "b3"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and set(re.findall(r"Exchange hashpartitioning\((\w+)#", plan)) == {"query"}
+
+
+def test_adjacency_of_reached_nodes(spark, graph):
+    """Made for a hop's nodes only, from edges that come again too: the same expansion, and other nodes' edges are left out before the shuffle."""
+    twice = graph.edges.unionByName(graph.edges)
+    seeds = spark.createDataFrame([("q1", "c003"), ("q1", "d1"), ("q2", "c010")], "qid string, id string")
+    for limit in (3, 50):
+        whole = batch.expanded(batch.adjacency(graph.edges, graph.nodes, limit), graph.nodes, seeds, 2, limit)
+        some = batch.expanded(lambda of, limit=limit: batch.adjacency(twice, graph.nodes, limit, of), graph.nodes, seeds, 2, limit)
+        assert sorted(map(tuple, some.collect())) == sorted(map(tuple, whole.collect()))
+    near = batch.adjacency(twice, graph.nodes, 50, spark.createDataFrame([("c003",)], "a string"))
+    assert {r.a for r in near.collect()} == {"c003"} and near.count() == near.distinct().count()

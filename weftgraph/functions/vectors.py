@@ -148,9 +148,14 @@ def text_sums(df: DataFrame, key: str, text: str, dims: int = 384) -> DataFrame:
     ``WHOLE``. Texts without a token are left out. Texts meet by their digests, with
     what was summed where they were read.
     """
-    dims, of = max(16, dims), df.schema[key].dataType.simpleString()
     own = df.where(F.col(key).isNotNull()).select(key, F.unhex(F.sha2(F.col(text).cast("binary"), 256)).alias("digest"), F.array_join(tokens(F.col(text)), " ").alias("words"))
-    lists = "places array<smallint>, parts array<bigint>"
+    first = _whole_sums(own, dims).groupBy("digest").agg(F.min(F.struct(key, "places", "parts")).alias("x"))
+    return first.select(f"x.{key}", "x.places", "x.parts")
+
+
+def _whole_sums(rows: DataFrame, dims: int) -> DataFrame:
+    """Rows that have ``words``, with ``places`` and ``parts`` instead."""
+    dims, others = max(16, dims), [c for c in rows.columns if c != "words"]
 
     def run(batches):
         fold = _Folds(dims)
@@ -160,18 +165,31 @@ def text_sums(df: DataFrame, key: str, text: str, dims: int = 384) -> DataFrame:
             places = np.concatenate([np.zeros(0, np.int16), *(on.astype(np.int16) for on, _ in sums)])
             parts = np.rint(np.concatenate([np.zeros(0), *(w for _, w in sums)]) * WHOLE).astype(np.int64)
             made = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (places, parts)]
-            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("digest"), *made], names=[key, "digest", "places", "parts"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), *made], names=[*others, "places", "parts"])
 
-    made = own.where("words <> ''").mapInArrow(run, f"{key} {of}, digest binary, {lists}")
-    first = made.groupBy("digest").agg(F.min(F.struct(key, "places", "parts")).alias("x"))
-    return first.select(f"x.{key}", "x.places", "x.parts")
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in others)
+    return rows.where("words <> ''").mapInArrow(run, f"{schema}, places array<smallint>, parts array<bigint>")
+
+
+def hash_sums(df: DataFrame, key: str, text: str, dims: int = 384) -> DataFrame:
+    """``hash_embedding``, but for its length: key, and the ``places`` and ``parts`` of what isn't zero, in whole numbers (see ``text_sums``).
+
+    Made where a text is read; only rows that share a key are shuffled. Keys without a token are left out.
+    """
+    lone, shared = lone_and_shared(_tokens_of(df, key, text), key)
+    out = _whole_sums(lone, dims)
+    out = out if shared is None else out.unionByName(_added(_whole_sums(shared, dims), key))
+    return out.where(F.exists("parts", lambda x: x != 0))
+
+
+def _added(shared: DataFrame, key: str) -> DataFrame:
+    each = shared.select(key, F.explode(F.arrays_zip("places", "parts")).alias("x")).groupBy(key, F.col("x.places").alias("place")).agg(F.sum("x.parts").alias("part"))
+    listed = each.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("place", "part"))).alias("x"))
+    return listed.select(key, F.col("x.place").alias("places"), F.col("x.part").alias("parts"))
 
 
 def added_sums(sums: DataFrame, key: str) -> DataFrame:
     """Stored ``text_sums`` with one row a key; those that come to nothing are left out."""
     lone, shared = lone_and_shared(sums, key)
-    if shared is not None:
-        each = shared.select(key, F.explode(F.arrays_zip("places", "parts")).alias("x")).groupBy(key, F.col("x.places").alias("place")).agg(F.sum("x.parts").alias("part"))
-        listed = each.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("place", "part"))).alias("x"))
-        lone = lone.unionByName(listed.select(key, F.col("x.place").alias("places"), F.col("x.part").alias("parts")))
-    return lone.where(F.exists("parts", lambda x: x != 0))
+    out = lone if shared is None else lone.unionByName(_added(shared, key))
+    return out.where(F.exists("parts", lambda x: x != 0))

@@ -572,6 +572,51 @@ def sparse_pairs(rows: DataFrame, key: str, dims: int, least: float = 0.95) -> D
     return met.select("pack", "rows", "with_pack", "with_rows").mapInArrow(work, f"src {kind.simpleString()}, dst {kind.simpleString()}, score double")
 
 
+def _unpacked(packed: pa.Buffer, dims: int) -> tuple[list, np.ndarray]:
+    """Keys and vectors of a pack, those of whole numbers without what these have in common: vectors of one direction are equal."""
+    rows = pa.ipc.open_stream(packed).read_all().combine_chunks()
+    places, parts = (rows.column(x).combine_chunks() for x in ("places", "parts"))
+    out = np.zeros((len(rows), dims))
+    sizes, values = pc.list_value_length(places).to_numpy(), parts.flatten().to_numpy()
+    if values.dtype.kind == "i" and len(values):
+        full = sizes > 0
+        least = np.gcd.reduceat(values, (np.cumsum(sizes) - sizes)[full])
+        values = values // np.repeat(np.maximum(least, 1), sizes[full])
+    out[np.repeat(np.arange(len(rows)), sizes), places.flatten().to_numpy()] = values
+    return rows.column("key").to_pylist(), out
+
+
+def nearest_sparse(queries: DataFrame, query_key: str, rows: DataFrame, key: str, dims: int, top_k: int = 8) -> DataFrame:
+    """``nearest_each`` by cosine, of queries and rows given by ``places`` and ``parts``; none may be zero.
+
+    Packs of queries are stored and meet the rows, packed where they are read:
+    these go through no shuffle. Of parts in whole numbers the products are exact,
+    so vectors of one direction have equal scores.
+    """
+    schema, query_type, key_type = _types(queries, query_key, rows, key)
+    packs = lambda df, name, most: df.select(F.col(name).alias("key"), "places", "parts").mapInArrow(_packs(most), "rows binary, n int")
+    asked = stored(packs(queries, query_key, QUERIES_EACH).select(F.col("rows").alias("asked")), "asked").coalesce(1)
+    met = packs(rows, key, PACK_ROWS).select("rows").hint("shuffle_replicate_nl").crossJoin(asked)
+
+    def run(batches):
+        for batch in batches:
+            for n in range(batch.num_rows):
+                keys, own = _unpacked(batch.column("rows")[n].as_buffer(), dims)
+                names, wanted = _unpacked(batch.column("asked")[n].as_buffer(), dims)
+                lengths, out = np.sqrt((own * own).sum(axis=1)), ([], [], [])
+                for at in range(0, len(names), 64):
+                    some = wanted[at : at + 64]
+                    found = some @ own.T / (np.sqrt((some * some).sum(axis=1))[:, None] * lengths[None, :])
+                    for name, score in zip(names[at : at + 64], found, strict=True):
+                        best = _top(score, keys, top_k)
+                        out[0].extend([name] * len(best))
+                        out[1].extend(keys[i] for i in best)
+                        out[2].extend(score[best].tolist())
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], query_type), pa.array(out[1], key_type), pa.array(out[2], pa.float64())], names=["query", "key", "score"])
+
+    return best_of(met.mapInArrow(run, schema), top_k, F.desc("score"), "key")
+
+
 def _axes_of(packs: DataFrame, n: int, dims: int) -> _Axes:
     """From about ``PAIR_SAMPLE`` rows: some of each pack; whichever they are, the bounds hold."""
     step = max(1, n // PAIR_SAMPLE)
@@ -580,11 +625,7 @@ def _axes_of(packs: DataFrame, n: int, dims: int) -> _Axes:
         total = np.zeros((dims, dims), np.float32)
         for batch in batches:
             for packed in batch.column("rows"):
-                rows = pa.ipc.open_stream(packed.as_buffer()).read_all()
-                some = rows.take(pa.array(np.arange(0, len(rows), step))).combine_chunks()
-                places, parts = (some.column(x).combine_chunks() for x in ("places", "parts"))
-                units = np.zeros((len(some), dims))
-                units[np.repeat(np.arange(len(some)), pc.list_value_length(places).to_numpy()), places.flatten().to_numpy()] = parts.flatten().to_numpy()
+                units = _unpacked(packed.as_buffer(), dims)[1][::step]
                 norms = np.linalg.norm(units, axis=1)
                 units /= np.where(norms > 0, norms, 1)[:, None]
                 total += units.T @ units

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import QUERY_STOPWORDS, windows
-from ..functions.vectors import added_sums, hash_vectors, text_sums
-from ..operators import batch, text_index, vector_index
+from ..functions.vectors import added_sums, hash_sums, text_sums
+from ..operators import text_index, vector_index
 from ..operators.words import Pick, top_words
 from ..operators.writes import entity_id
 from ..storage import file_states, shared_path, stored
@@ -113,12 +113,6 @@ class Graph:
         """The distinct texts of chunks: ``chunk_id`` is the least of those that have it."""
         return self.chunks.groupBy("text").agg(F.min("chunk_id").alias("chunk_id")).select("chunk_id", "text")
 
-    @kept
-    def text_vectors(self) -> DataFrame:
-        """The hashed embedding of each distinct text, without those of no token."""
-        made = hash_vectors(self.texts, "chunk_id", "text", 384, digits=9)
-        return made.where(F.exists("vec", lambda x: x != 0)).select("chunk_id", F.col("vec").alias("embedding"))
-
     @kept
     def first_sums(self) -> DataFrame:
         return text_sums(self.windows(), "chunk_id", "text", 384)
@@ -128,11 +122,10 @@ class Graph:
         """The hashed embedding of each distinct text, but for its length: places and parts of what isn't zero."""
         return added_sums(self.first_sums, "chunk_id")
 
-    @kept
-    def chunk_vectors(self) -> DataFrame:
-        """The embedding of each chunk that has a token."""
-        own = self.texts.select("text", F.col("chunk_id").alias("of")).join(self.text_vectors.withColumnRenamed("chunk_id", "of"), "of")
-        return self.chunks.select("chunk_id", "text").join(own, "text").select("chunk_id", "embedding")
+    @property
+    def chunk_sums(self) -> DataFrame:
+        """The embedding of each chunk that has a token, but for its length, made where chunks are read."""
+        return hash_sums(self.chunks, "chunk_id", "text", 384)
 
     @kept
     def text_index(self):
@@ -142,10 +135,6 @@ class Graph:
     def vector_index(self):
         return vector_index.build(self.table("embeddings"), "vec_id", "embedding", shared_path(self.spark, "vector_index"), 64)
 
-    @kept
-    def adjacency(self) -> DataFrame:
-        return batch.adjacency(self.all_edges, self.nodes, 50)
-
     @kept
     def all_edges(self) -> DataFrame:
         """Also tags, entities and what FAQs are derived from, where the chunk exists."""
